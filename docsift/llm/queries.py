@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docsift.llm import exact_dedup
+from docsift.llm import exact_dedup, simhash
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -31,3 +32,12 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id,
        row_number() OVER w = 1 AS kept, text_sha256
 FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id)
 """
+
+
+def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprint and near-duplicate group of every document."""
+    found = simhash.groups(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES["op8_simhash_groups"] = op8_simhash_groups
