@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import exact_dedup, simhash
+from docsift.llm import bpe, exact_dedup, simhash
 
 QUERIES: dict = {}
 ORACLE: dict = {}
 
 
+def tokenizer_path() -> str:
+    """Vocabulary file of the queries; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
@@ -41,3 +48,11 @@ def op8_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_simhash_groups"] = op8_simhash_groups
+
+
+def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of the ids and of the decoded text of every document."""
+    return bpe.round_trip(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
+QUERIES["op5_bpe_round_trip"] = op5_bpe_round_trip
