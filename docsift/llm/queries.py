@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, exact_dedup, simhash
+from docsift.llm import bpe, exact_dedup, packing, simhash
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -56,3 +56,11 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_bpe_round_trip"] = op5_bpe_round_trip
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document packed into sequences of 4096 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
+QUERIES["op1_best_fit_packing"] = op1_best_fit_packing
