@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, exact_dedup, packing, simhash
+from docsift.llm import bpe, exact_dedup, packing, repeats, simhash
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -64,3 +64,12 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_best_fit_packing"] = op1_best_fit_packing
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a repeated 400-byte string covers, and what is left."""
+    found = repeats.removals(_table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+QUERIES["op4_repeated_passages"] = op4_repeated_passages
