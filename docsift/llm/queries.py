@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, exact_dedup, packing, repeats, simhash
+from docsift.llm import bpe, exact_dedup, packing, quality, repeats, simhash
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -73,3 +73,12 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_repeated_passages"] = op4_repeated_passages
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document and whether it is kept."""
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.fit(docs).judge(docs)
+
+
+QUERIES["op2_quality_classifier"] = op2_quality_classifier
