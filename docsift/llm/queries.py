@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, exact_dedup, packing, quality, repeats, simhash
+from docsift.llm import bpe, exact_dedup, packing, quality, repeats, simhash, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -82,3 +82,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_quality_classifier"] = op2_quality_classifier
+
+
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC records by way of ARC, and read back."""
+    found = warc.round_trip(_table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES["op3_warc_round_trip"] = op3_warc_round_trip
