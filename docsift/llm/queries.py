@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, exact_dedup, packing, quality, repeats, simhash, warc
+from docsift.llm import bpe, exact_dedup, licences, packing, quality, repeats, simhash, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -91,3 +91,11 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_warc_round_trip"] = op3_warc_round_trip
+
+
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and wordings in every document."""
+    return licences.scan(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("spans")
+
+
+QUERIES["op6_licence_scan"] = op6_licence_scan
