@@ -17,10 +17,10 @@ are packed once each; an empty table gives no pieces.
 
 from __future__ import annotations
 
-import os
 import zlib
 from collections import defaultdict, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,77 +29,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docsift.llm._merges import BatchEncoder
+from docsift.llm.bpe import broadcast_file, model_of
 from docsift.scratch import written
 
 CAPACITY = 4096
 CLOSING = 1
-#: Texts between spaces with their ids kept by a worker.
-MEMO = 250_000
-MEMO_CHARS = 48
-#: Stands alone between spaces and is one token; marks where one text ends in a joined call.
-MARK = "\x01"
 
 
-class Encoder:
-    """Ids by the tokenizers library, with each text between two spaces encoded once.
-
-    The pre-tokenizer never joins what white space parts, so ids of such texts follow
-    one another as in the whole text.
-    """
-
-    def __init__(self, source: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(source.decode())
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.memo: dict[str, bytes] = {"": b""}
-        mark = self._ids(MARK)
-        self.mark = int(mark[0]) if len(mark) == 1 else None
-
-    def _ids(self, text: str) -> np.ndarray:
-        (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
-        return np.array(found.ids, "<u4")
-
-    def _learn(self, parts: list[str], into: dict[str, bytes]) -> None:
-        joined = [x for x in parts if MARK not in x] if self.mark is not None else []
-        if joined:
-            ids = self._ids(f" {MARK} ".join(joined))
-            cuts = np.flatnonzero(ids == self.mark)
-            if len(cuts) == len(joined) - 1:
-                data, at = ids.tobytes(), 0
-                for part, cut in zip(joined, [*cuts.tolist(), len(ids)], strict=True):
-                    into[part] = data[at * 4 : cut * 4]
-                    at = cut + 1
-        for part in parts:
-            if part not in into:
-                into[part] = self._ids(part).tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian 32-bit ids of each text."""
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-            memo[""] = b""
-        own: dict[str, bytes] = {}
-        cut = [x.replace("\n", " ").split(" ") for x in texts]
-        new = {x for parts in cut for x in parts if x not in memo}
-        self._learn([x for x in new if len(x) <= MEMO_CHARS], memo)
-        self._learn([x for x in new if len(x) > MEMO_CHARS], own)
-        if own:
-            return [b"".join([memo[x] if x in memo else own[x] for x in parts]) for parts in cut]
-        return [b"".join([memo[x] for x in parts]) for parts in cut]
-
-
-_encoders: dict[bytes, Encoder] = {}
-
-
-def encoder_of(source: bytes) -> Encoder:
-    if source not in _encoders:
-        _encoders.clear()
-        _encoders[source] = Encoder(source)
-    return _encoders[source]
+@lru_cache(maxsize=1)
+def encoder_of(source: bytes) -> BatchEncoder:
+    return BatchEncoder(model_of(source))
 
 
 def _pieces(source, capacity: int, closing: int, keep_ids: bool):
@@ -230,8 +170,6 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CL
     doc_id, piece, start, length, ids_crc32, sequence_id, offset; ``keep_ids`` adds ids,
     packed little-endian 32-bit integers.
     """
-    from docsift.llm.bpe import broadcast_file
-
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, rank long"
     schema += ", ids binary" * keep_ids

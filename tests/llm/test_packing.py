@@ -75,13 +75,18 @@ def test_segment_tree():
         assert tree.least(low) == min((x for x in on if x >= low), default=None)
 
 
-def test_encoder_agrees_with_the_library():
+def test_encoder_agrees_with_the_library(monkeypatch):
     with open(tokenizer_path(), "rb") as f:
-        encoder = pk.Encoder(f.read())
+        encoder = pk.encoder_of(f.read())
+    rng = random.Random(4)
     texts = [x or "" for x in CASES]
+    texts += ["".join(rng.choice("theinrsoaéü'1.! ") for _ in range(rng.randrange(400))) for _ in range(200)]
     for _ in range(2):
         for text, ids in zip(texts, encoder.encode(texts), strict=True):
             assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1]
+    monkeypatch.setattr(type(encoder), "MEMO", 3)
+    for text in texts[:20]:
+        assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == ids_of(text)[:-1]
 
 
 def test_pack(spark, sf):
