@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, exact_dedup, licences, packing, quality, repeats, simhash, warc
+from docsift.llm import bpe, exact_dedup, language_model, licences, packing, quality, repeats, simhash, sketches, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -99,3 +99,16 @@ def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_licence_scan"] = op6_licence_scan
+
+
+def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and their likeness."""
+    return sketches.with_next(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op10_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff score of every document under the counts of all others."""
+    return language_model.score(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+QUERIES |= {"op7_document_fingerprints": op7_document_fingerprints, "op10_language_model_scores": op10_language_model_scores}
