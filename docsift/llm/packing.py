@@ -64,6 +64,7 @@ def _pieces(source, capacity: int, closing: int, keep_ids: bool):
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "rank", "ids"]
                 columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=False)]
                 yield pa.RecordBatch.from_arrays(columns, names[: len(columns)])
+        encoder.words.clear()  # a worker outlives its task; what it keeps would stand in the way of other stages
 
     return run
 

@@ -27,7 +27,7 @@ from docsift.llm.repeats import Rolling
 
 #: Documents on which the scorer is trained at most, and hashed features.
 SAMPLE, FEATURES = 4096, 2048
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 #: Bounds of the label model: share of clean texts for which a labeller votes junk at most,
 #: and of junk texts at most, as no labeller is thought to know most kinds of junk.
 FALSE_ALARMS, MOST_KNOWN = 0.0002, 0.6
@@ -208,13 +208,19 @@ def train(features: np.ndarray, labels: np.ndarray, rounds: int = 300, penalty:
         return np.zeros(FEATURES + 1), 0.0
     scale = 1 / np.maximum(features.std(axis=0), 1e-3)
     x = np.c_[features * scale, np.ones(len(features), np.float32)].astype(np.float32)
-    step = 1 / (0.25 * np.linalg.norm(x.T @ x, 2) / len(x) + penalty)
-    w = v = np.zeros(x.shape[1])
+    labels = labels.astype(np.float32)
+    v = np.ones(x.shape[1], np.float32)
+    for _ in range(30):  # the steepest direction, by power iteration
+        v = x.T @ (x @ v)
+        steepest = np.linalg.norm(v)
+        v /= steepest
+    step = 1 / (0.3 * steepest / len(x) + penalty)
+    w = v = np.zeros(x.shape[1], np.float32)
     for k in range(rounds):
         error = 1 / (1 + np.exp(-np.clip(x @ v, -60, 60))) - labels
-        slope = x.T @ error / len(x) + penalty * np.r_[v[:-1], 0]
-        w, old = v - step * slope, w
-        v = w + k / (k + 3) * (w - old)
+        slope = x.T @ error / len(x) + penalty * np.r_[v[:-1], np.float32(0)]
+        w, old = (v - step * slope).astype(np.float32), w
+        v = (w + k / (k + 3) * (w - old)).astype(np.float32)
     return w[:-1] * scale, float(w[-1])
 
 
