@@ -37,8 +37,8 @@ def compare_blocks(one: DataFrame, two: DataFrame, least: int = LEAST, missing:
     cut = blocks(one, least).withColumn("terms", T.terms(F.col("text")))
     parts = F.when(F.size("terms") >= SHINGLE, shingles(F.col("terms"))).otherwise(F.col("terms"))
     each = cut.select("key", "block_no", F.left("text", F.lit(SHOWN)).alias("text"), F.explode_outer(parts).alias("part"))
-    terms = T.terms(F.col("text"))
-    there = two.select("key", F.explode(F.array_distinct(F.array_union(shingles(terms), terms))).alias("part")).distinct()
+    terms = F.col("terms")  # a column of its own: in a function over an array it would be worked out for each element
+    there = two.select("key", T.terms(F.col("text")).alias("terms")).select("key", F.explode(F.array_union(shingles(terms), terms)).alias("part")).distinct()
     joined = each.join(there.withColumn("hit", F.lit(1)), ["key", "part"], "left")
     ratio = F.round(F.avg(F.coalesce("hit", F.lit(0))), 6)
     rows = joined.groupBy("key", "block_no", "text").agg(ratio.alias("best_ratio"))

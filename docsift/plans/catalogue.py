@@ -1,6 +1,443 @@
-"""Registered queries and their SQL equivalents."""
+"""Registered queries over the test tables, each beside its SQL.
+
+The tables have no résumés, so documents stand in for them, benchmark items for job
+descriptions and for reference renditions, events for put, take and sign-in logs.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from docsift.functions import report
+from docsift.functions import text as T
+from docsift.operators import gate, lint, matching, parity, staging
+from docsift.sources import inputs
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(run):
+        QUERIES[run.__name__] = run
+        if sql:
+            ORACLE[run.__name__] = sql
+        return run
+
+    return add
+
+
+def _in(values) -> str:
+    return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
+
+
+def _values(pairs) -> str:
+    return ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+
+
+# the SQL's own account of what the flags mean
+_FLAGS = f"""
+  SELECT doc_id, coalesce(text, '') AS t, lower(coalesce(text, '')) AS l,
+    trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS s,
+    list_transform(string_split(lower(coalesce(text, '')), chr(10)),
+      lambda x: trim(regexp_replace(regexp_replace(x, ':$', ''), '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'))) AS lines
+  FROM documents"""
+_HAS = {k: f"list_has_any(lines, [{_in(v)}])" for k, v in lint.HEADINGS.items()}
+_PREDICATES = f"""
+  SELECT doc_id, CASE WHEN s = '' THEN 0 ELSE len(string_split(s, ' ')) END AS n_words,
+    regexp_matches(l, '{T.EMAIL}') AS has_email, regexp_matches(l, '{T.PHONE}') AS has_phone,
+    regexp_matches(l, '{T.YEAR}') AS has_date, regexp_matches(l, '{T.RANGE}') AS has_range,
+    {_HAS["experience"]} AND {_HAS["education"]} AND {_HAS["skills"]} AS has_sections,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '^[A-Z][A-Z &/]{{3,40}}$'))) > 0
+      AND NOT ({" OR ".join(_HAS.values())}) AS odd_headings,
+    regexp_matches(l, '{T.ODD_DATE.replace("'", "''")}') AS odd_dates
+  FROM flags"""
+_FINDINGS = f"""
+  WITH flags AS ({_FLAGS}), p AS ({_PREDICATES})
+  SELECT doc_id, 'no_email' AS id, 'high' AS severity FROM p WHERE NOT has_email
+  UNION ALL SELECT doc_id, 'no_phone', 'medium' FROM p WHERE NOT has_phone
+  UNION ALL SELECT doc_id, 'missing_sections', 'medium' FROM p WHERE NOT has_sections
+  UNION ALL SELECT doc_id, 'no_dates', 'medium' FROM p WHERE NOT has_date AND n_words > 0
+  UNION ALL SELECT doc_id, 'no_date_ranges', 'medium' FROM p WHERE NOT has_range AND n_words > 0
+  UNION ALL SELECT doc_id, 'x_odd_headings', 'low' FROM p WHERE odd_headings
+  UNION ALL SELECT doc_id, 'x_odd_dates', 'low' FROM p WHERE odd_dates"""
+
+
+@query(f"WITH flags AS ({_FLAGS}), p AS ({_PREDICATES}) SELECT doc_id, n_words::BIGINT AS n_words, has_email, has_phone, has_date, has_range FROM p")
+def q01_lint_flags(spark, sf_dir):
+    return lint.prepared(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "has_email", "has_phone", "has_date", "has_range")
+
+
+@query(_FINDINGS)
+def q02_lint_findings(spark, sf_dir):
+    return lint.findings(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "id", "severity")
+
+
+@query(f"""
+WITH f AS ({_FINDINGS}), g AS (
+  SELECT doc_id, sum(CASE severity WHEN 'blocker' THEN 40 WHEN 'high' THEN 15 WHEN 'medium' THEN 7 ELSE 3 END) AS lost,
+    count(*) FILTER (severity = 'blocker') AS blockers, count(*) FILTER (severity = 'high') AS high, count(*) AS n
+  FROM f GROUP BY doc_id)
+SELECT d.doc_id, greatest(0, 100 - coalesce(lost, 0))::INT AS score, coalesce(blockers, 0) AS blockers,
+  coalesce(high, 0) AS high, coalesce(n, 0) AS n_findings FROM documents d LEFT JOIN g USING (doc_id)""")
+def q03_score(spark, sf_dir):
+    return lint.score_inline(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(r"""
+WITH h AS (SELECT page_id, url, regexp_replace(lower(left(coalesce(html, ''), 1024)), '^[ \t\n\x0b\f\r]+', '') AS head FROM pages)
+SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme,
+  lower(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://([^/?#:]*)', 1)) AS host,
+  head LIKE '<!doctype html%' OR head LIKE '<html%' OR contains(left(head, 512), '<head') OR contains(left(head, 512), '<meta') AS is_html,
+  CASE WHEN contains(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1).regexp_extract('([^/]*)$', 1), '.')
+    THEN regexp_extract(coalesce(url, ''), '^[A-Za-z]+://[^/?#]*([^?#]*)', 1).regexp_extract('([^/]*)$', 1) ELSE 'document' END AS filename,
+  CASE WHEN lower(regexp_extract(coalesce(url, ''), '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) <> 'https' THEN 'scheme'
+    WHEN lower(regexp_extract(coalesce(url, ''), '^[A-Za-z]+://([^/?#:]*)', 1)) = '' THEN 'host' ELSE 'ok' END AS policy
+FROM h""")
+def q04_html_guard(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    content = F.col("html").cast("binary")
+    pages = inputs.url_policy(pages, "url", with_ipv6=False)
+    why = F.col("url_error")
+    policy = F.when(why.startswith("only https"), "scheme").when(why.contains("hostname"), "host").when(why.isNotNull(), "address").otherwise("ok")
+    return pages.select(
+        "page_id", F.col("url_scheme").alias("scheme"), F.col("url_host").alias("host"), F.coalesce(inputs.looks_html(content), F.lit(False)).alias("is_html"),
+        inputs.guess_filename(F.col("url"), "document").alias("filename"), policy.alias("policy"),
+    )
+
+
+def _documents(spark, sf_dir, where: str = "true"):
+    return table(spark, sf_dir, "documents").filter(where).select("doc_id", "text")
+
+
+def _jds(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("jd_id"), "text")
+
+
+_ALIASES = f"(VALUES {_values(sorted(matching.ALIASES.items()))}) a(alias, name)"
+_CANONICAL = "coalesce(a.name, CASE WHEN length(term) > 3 AND term NOT LIKE '%ss' THEN regexp_replace(term, 's$', '') ELSE term END)"
+_JD = f"""
+  jt AS (SELECT DISTINCT jd_id, {_CANONICAL} AS canonical FROM (
+      SELECT item_id AS jd_id, unnest(string_split_regex(lower(text), '{T.NOT_TERM}')) AS term FROM benchmark) x
+    LEFT JOIN {_ALIASES} ON a.alias = x.term
+    WHERE length(term) > 1 AND NOT regexp_matches(term, '^[0-9+]+$') AND term NOT IN ({_in(sorted(set(matching.FILLER)))}))"""
+_DT = f"""
+  dt AS (SELECT DISTINCT doc_id, {_CANONICAL} AS canonical FROM (
+      SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '{T.NOT_TERM}')) AS term FROM documents WHERE lang = 'en') x
+    LEFT JOIN {_ALIASES} ON a.alias = x.term WHERE term <> '')"""
+
+
+@query(f"""
+WITH {_JD}, {_DT}, n AS (SELECT jd_id, count(*) AS n_terms FROM jt GROUP BY jd_id),
+  c AS (SELECT jd_id, doc_id, count(*) AS n_matched FROM jt JOIN dt USING (canonical) GROUP BY ALL)
+SELECT jd_id, n_terms, max(round(n_matched / n_terms, 6)) AS best, count(*) FILTER (round(n_matched / n_terms, 6) >= 0.5) AS n_docs
+FROM c JOIN n USING (jd_id) GROUP BY ALL""")
+def q05_jd_coverage(spark, sf_dir):
+    """Best coverage of each description by an English document, and documents that cover half of it."""
+    rows = matching.coverage(_documents(spark, sf_dir, "lang = 'en'"), _jds(spark, sf_dir))
+    return rows.groupBy("jd_id", "n_terms").agg(F.max("coverage_required").alias("best"), F.count_if(F.col("coverage_required") >= 0.5).alias("n_docs"))
+
+
+@query(f"WITH {_JD}, {_DT} SELECT jd_id, canonical FROM jt WHERE canonical NOT IN (SELECT canonical FROM dt)")
+def q06_jd_missing(spark, sf_dir):
+    """Terms of descriptions that no English document has."""
+    docs = matching.doc_terms(_documents(spark, sf_dir, "lang = 'en'")).select("canonical").distinct()
+    return matching.jd_terms(_jds(spark, sf_dir)).select("jd_id", "canonical").join(docs, "canonical", "left_anti").select("jd_id", "canonical")
+
+
+@query(f"""
+WITH l AS (SELECT doc_id, split_part(text, chr(10), 1) AS one, substr(text, length(split_part(text, chr(10), 1)) + 1) AS rest FROM documents WHERE text IS NOT NULL),
+  a AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(one), '{T.NOT_TERM}')) AS term FROM l),
+  b AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(rest), '{T.NOT_TERM}')) AS term FROM l)
+SELECT doc_id, count(*) AS n_unsupported FROM a ANTI JOIN b USING (doc_id, term) WHERE term <> '' GROUP BY doc_id""")
+def q07_unsupported_skill(spark, sf_dir):
+    """Terms of the first line without a mention below it."""
+    docs = _documents(spark, sf_dir, "text IS NOT NULL")
+    one = F.substring_index("text", "\n", 1)
+    split = docs.select("doc_id", one.alias("one"), F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 1)").alias("rest"))
+    terms = lambda c: split.select("doc_id", F.explode(F.array_distinct(T.terms(F.col(c)))).alias("term"))
+    return terms("one").join(terms("rest"), ["doc_id", "term"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
+
+
+@query(f"""
+WITH t AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '{T.NOT_TERM}')) AS term FROM documents)
+SELECT a.alias, a.name AS canonical, count(t.doc_id) AS n_docs FROM {_ALIASES} LEFT JOIN t ON t.term = a.alias GROUP BY ALL""")
+def q08_alias_match(spark, sf_dir):
+    """Documents that use each other spelling of a term."""
+    each = _documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
+    known = matching.aliases(spark)
+    counts = each.join(F.broadcast(known), each["term"] == known["alias"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    return known.join(counts, known["alias"] == counts["term"], "left").select("alias", "canonical", F.coalesce("n", F.lit(0)).alias("n_docs"))
+
+
+@query(f"""
+WITH t AS (SELECT item_id, unnest(string_split_regex(lower(text), '{T.NOT_TERM}')) AS term FROM benchmark)
+SELECT item_id, count(*) AS n_terms, count(*) FILTER (term NOT IN ({_in(sorted(set(matching.FILLER)))})) AS n_kept FROM t WHERE term <> '' GROUP BY item_id""")
+def q09_filler_filter(spark, sf_dir):
+    each = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.terms(F.col("text"))).alias("term"))
+    kept = matching.without_filler(each).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_kept"))
+    return each.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_terms")).join(kept, "item_id", "left").select("item_id", "n_terms", F.coalesce("n_kept", F.lit(0)).alias("n_kept"))
+
+
+_BLOCKS = """
+  lines AS (SELECT item_id, text, unnest(range(len(string_split(text, chr(10))))) AS block_no FROM benchmark),
+  blocks AS (SELECT item_id, block_no, trim(regexp_replace(string_split(text, chr(10))[block_no + 1], '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS block FROM lines)"""
+
+
+@query(f"""
+WITH {_BLOCKS}, d AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+  n AS (SELECT trim(regexp_replace(line, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g')) AS line, count(DISTINCT doc_id) AS n_docs FROM d GROUP BY 1)
+SELECT item_id, block_no::INT AS block_no, coalesce(n_docs, 0) AS n_docs FROM blocks LEFT JOIN n ON line = block WHERE length(block) >= 20""")
+def q10_block_parity_exact(spark, sf_dir):
+    """Documents that have a block as a line of their own."""
+    blocks = parity.blocks(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text"))
+    lines = _documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: T.squeezed(x)))).alias("text"))
+    counts = lines.groupBy("text").agg(F.count(F.lit(1)).alias("n_docs"))
+    return blocks.join(counts, "text", "left").select(F.col("key").alias("item_id"), "block_no", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
+
+
+def _shingles(source: str, key: str, text: str) -> str:
+    """SQL for rows (key, part): 3-term shingles, or the run of fewer terms."""
+    return f"""SELECT {key}, unnest(CASE WHEN len(w) = 0 THEN [] ELSE list_transform(range(greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i + 1 : i + 3], ' ')) END) AS part
+      FROM (SELECT {key}, list_filter(string_split_regex(lower(coalesce({text}, '')), '{T.NOT_TERM}'), lambda x: x <> '') AS w FROM {source})"""
+
+
+@query(f"""
+WITH {_BLOCKS}, long AS (SELECT * FROM blocks WHERE length(block) >= 20 AND len(list_filter(string_split_regex(lower(block), '{T.NOT_TERM}'), lambda x: x <> '')) >= 3),
+  b AS ({_shingles("long", "item_id, block_no", "block")}), d AS (SELECT DISTINCT part FROM ({_shingles("documents", "doc_id", "text")}))
+SELECT item_id, block_no::INT AS block_no, round(avg(CASE WHEN d.part IS NULL THEN 0 ELSE 1 END), 6) AS best_ratio,
+  round(avg(CASE WHEN d.part IS NULL THEN 0 ELSE 1 END), 6) < {parity.MISSING} AS missing
+FROM b LEFT JOIN d USING (part) GROUP BY ALL""")
+def q11_block_parity_shingle(spark, sf_dir):
+    """Blocks of benchmark items that the documents as a whole do not contain."""
+    blocks = parity.blocks(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text")).withColumn("terms", T.terms(F.col("text")))
+    each = blocks.filter(F.size("terms") >= parity.SHINGLE).select(F.col("key").alias("item_id"), "block_no", F.explode(parity.shingles(F.col("terms"))).alias("part"))
+    # only shingles that a block has need to be found: the small side filters before anything is made distinct
+    wanted = each.select("part").distinct()
+    docs = _documents(spark, sf_dir).select(T.terms(F.col("text")).alias("terms"))
+    there = docs.select(F.explode(parity.shingles(F.col("terms"))).alias("part")).join(wanted, "part", "left_semi").distinct()
+    ratio = F.round(F.avg(F.coalesce("hit", F.lit(0))), 6)
+    rows = each.join(there.withColumn("hit", F.lit(1)), "part", "left").groupBy("item_id", "block_no").agg(ratio.alias("best_ratio"))
+    return rows.withColumn("missing", F.col("best_ratio") < parity.MISSING)
+
+
+@query(f"""
+WITH p AS (SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
+  k AS (SELECT conv_id * 1000000 + turn AS key, text, before FROM p WHERE before IS NOT NULL),
+  a AS (SELECT key, term, count(*) AS n FROM (SELECT key, unnest(string_split_regex(lower(text), '{T.NOT_TERM}')) AS term FROM k) WHERE term <> '' GROUP BY ALL),
+  b AS (SELECT key, term, count(*) AS n FROM (SELECT key, unnest(string_split_regex(lower(before), '{T.NOT_TERM}')) AS term FROM k) WHERE term <> '' GROUP BY ALL)
+SELECT key, round(sum(least(coalesce(a.n, 0), coalesce(b.n, 0))) / sum(greatest(coalesce(a.n, 0), coalesce(b.n, 0))), 6) AS similarity
+FROM a FULL JOIN b USING (key, term) GROUP BY key""")
+def q12_text_similarity(spark, sf_dir):
+    """Each turn of a conversation against the one before."""
+    order = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(order)).filter("before IS NOT NULL")
+    keyed = turns.select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("key"), "text", "before")
+    return parity.similarity(keyed.select("key", "text"), keyed.select("key", F.col("before").alias("text")))
+
+
+@query("""
+WITH i AS (SELECT l_suppkey, epoch(l_shipdate)::BIGINT // 86400 AS first, epoch(l_shipdate)::BIGINT // 86400 + l_quantity::BIGINT AS last FROM lineitem),
+  m AS (SELECT *, CASE WHEN first <= max(last) OVER (PARTITION BY l_suppkey ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i),
+  s AS (SELECT *, sum(new) OVER (PARTITION BY l_suppkey ORDER BY first, last ROWS UNBOUNDED PRECEDING) AS island FROM m),
+  g AS (SELECT l_suppkey, island, min(first) AS a, max(last) AS b, count(*) AS n FROM s GROUP BY ALL)
+SELECT l_suppkey, sum(n)::BIGINT AS n_intervals, sum(b - a)::BIGINT AS covered FROM g GROUP BY l_suppkey""")
+def q13_interval_union(spark, sf_dir):
+    """Days on which a supplier has something under way."""
+    day = F.datediff("l_shipdate", F.lit("1970-01-01")).cast("long")
+    items = table(spark, sf_dir, "lineitem").select("l_suppkey", day.alias("first"), (day + F.col("l_quantity").cast("long")).alias("last"))
+    return matching.union_length(items, "l_suppkey")
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '{T.NOT_TERM}')) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
+  b AS (SELECT doc_id, sum(n)::BIGINT AS n_terms, max({{'n': n, 'term': term}}) AS top FROM t GROUP BY doc_id)
+SELECT doc_id, top.term AS term, top.n AS n, n_terms, round(top.n / n_terms, 6) AS share FROM b
+WHERE n_terms >= {lint.STUFFED_LEAST} AND round(top.n / n_terms, 6) > {lint.STUFFED}""")
+def q14_stuffing(spark, sf_dir):
+    return lint.stuffing(_documents(spark, sf_dir))
+
+
+def _events(spark, sf_dir, *kinds: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").withColumn("at", F.expr("unix_seconds(cast(ts AS timestamp))"))
+    return events.filter(F.col("event_type").isin(*kinds)) if kinds else events
+
+
+@query("""
+SELECT user_id, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM events WHERE event_type = 'click') WHERE place = 1""")
+def q15_first_take(spark, sf_dir):
+    return staging.first_takes(_events(spark, sf_dir, "click"), "user_id", "ts", "event_id").select("user_id", "event_id", "ts")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec FROM events WHERE event_type = 'error')
+SELECT event_id, user_id, count(*) OVER w AS n_recent, count(*) OVER w >= 2 AS locked FROM e
+WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)""")
+def q16_lockout_window(spark, sf_dir):
+    """With a day instead of five minutes and two failures instead of eight, as events are sparse."""
+    rows = staging.lockouts(_events(spark, sf_dir, "error"), "user_id", "at", 2, 86400)
+    return rows.select("event_id", "user_id", "n_recent", "locked")
+
+
+@query("""
+WITH v AS (SELECT user_id, max(floor(epoch(ts))::BIGINT) AS put_at FROM events WHERE event_type = 'view' GROUP BY user_id),
+  c AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec FROM events WHERE event_type = 'click'),
+  j AS (SELECT c.*, put_at IS NOT NULL AND sec >= put_at AND sec - put_at <= 604800 AS live FROM c LEFT JOIN v USING (user_id)),
+  o AS (SELECT *, coalesce(max(live::INT) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS used FROM j)
+SELECT event_id, user_id, sec, live AND NOT used AS ok FROM o""")
+def q17_ttl_expiry(spark, sf_dir):
+    """Clicks take what the user's last view has put, within a week and once."""
+    puts = _events(spark, sf_dir, "view").groupBy(F.col("user_id").alias("id")).agg(F.max("at").alias("at"))
+    taken = _events(spark, sf_dir, "click").select(F.col("event_id").alias("take_id"), F.col("user_id").alias("id"), "at")
+    return staging.takes(puts, taken, 604_800).select(F.col("take_id").alias("event_id"), F.col("id").alias("user_id"), F.col("at").alias("sec"), "ok")
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec, length(props)::BIGINT AS bytes FROM events WHERE event_type = 'view')
+SELECT event_id, user_id, count(*) OVER w AS n_live, (sum(bytes) OVER w)::BIGINT AS live_bytes FROM e
+WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW)""")
+def q18_live_entries(spark, sf_dir):
+    """A store for each user, views as puts, a week to live."""
+    puts = _events(spark, sf_dir, "view").select("event_id", F.col("user_id").alias("store"), "at", F.length("props").cast("long").alias("bytes"))
+    return staging.live_entries(puts, "at", "bytes", 604_800).select("event_id", F.col("store").alias("user_id"), "n_live", "live_bytes")
+
+
+@query("""
+SELECT conv_id, turn, role, coalesce(lag(role) OVER w <> role, true) AS in_order, coalesce(length(text) <= lag(length(text)) OVER w, true) AS falling
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)""")
+def q19_section_order(spark, sf_dir):
+    """Speakers take turns, as sections follow their order; lengths fall, as dates do."""
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    in_order = F.coalesce(F.lag("role").over(order) != F.col("role"), F.lit(True))
+    falling = F.coalesce(F.length("text") <= F.lag(F.length("text")).over(order), F.lit(True))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", in_order.alias("in_order"), falling.alias("falling"))
+
+
+_THREE = """
+  c AS (SELECT d.doc_id, l.quality = 1 AS quality, l.toxic = 0 AS clean, d.n_chars >= 200 AS long FROM documents d LEFT JOIN labels l USING (doc_id)),
+  u AS (SELECT doc_id, quality AS ok FROM c UNION ALL SELECT doc_id, clean FROM c UNION ALL SELECT doc_id, long FROM c),
+  v AS (SELECT doc_id, count(*) FILTER (ok) AS n_pass, count(*) FILTER (NOT ok) AS n_fail, count(*) FILTER (ok IS NULL) AS n_skip FROM u GROUP BY doc_id)"""
+
+
+def _three(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    made = [("label.quality", F.col("quality") == 1), ("label.clean", F.col("toxic") == 0), ("text.long", F.col("n_chars") >= 200)]
+    return rows.select("doc_id", F.inline(F.array(*[F.struct(F.lit(i).alias("id"), ok.alias("ok")) for i, ok in made])))
+
+
+@query(f"""
+WITH {_THREE} SELECT doc_id, n_pass, n_fail, n_skip,
+  CASE WHEN n_pass + n_fail > 0 THEN floor((200 * n_pass + n_pass + n_fail) / (2 * (n_pass + n_fail)))::INT END AS score,
+  n_fail = 0 AND n_pass > 0 AS passed, CASE WHEN n_pass + n_fail = 0 THEN 2 WHEN n_fail = 0 THEN 0 ELSE 1 END AS exit_code FROM v""")
+def q20_three_valued_verdict(spark, sf_dir):
+    """Three checks for each document; without a label, two of them skip."""
+    return gate.verdict(_three(spark, sf_dir))
+
+
+@query("""
+SELECT lang, source, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(quality) AS n_labelled, grouping(lang, source)::BIGINT AS level
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ROLLUP (lang, source)""")
+def q21_corpus_rollup(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return rows.rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count("quality").alias("n_labelled"), F.grouping_id().alias("level"))
+
+
+@query("""
+WITH l AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
+  s AS (SELECT doc_id, line_no, string_split(text, chr(10))[line_no + 1] AS line FROM l),
+  h AS (SELECT *, CASE WHEN length(line) <= 12 THEN line END AS heading FROM s)
+SELECT doc_id, line_no::INT AS line_no, heading IS NOT NULL AS is_heading,
+  last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM h""")
+def q22_header_split(spark, sf_dir):
+    """Lines under the short line that precedes them, as a description's lines stand under its headings."""
+    lines = _documents(spark, sf_dir, "text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    heading = F.when(F.length("line") <= 12, F.col("line"))
+    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("heading", heading)
+    return rows.select("doc_id", "line_no", F.col("heading").isNotNull().alias("is_heading"), F.last("heading", ignorenulls=True).over(before).alias("section"))
+
+
+_B64 = """
+  s AS (SELECT doc_id, 'whole' AS kind, base64(encode(coalesce(text, ''))) AS b64 FROM documents
+    UNION ALL SELECT doc_id, 'spaced', ' ' || base64(encode(coalesce(text, ''))) FROM documents UNION ALL SELECT doc_id, 'raw', text FROM documents)"""
+
+
+@query(f"""
+WITH {_B64}, v AS (SELECT *, regexp_matches(b64, '{inputs.BASE64}') AND length(b64) % 4 = 0 AS shape FROM s)
+SELECT doc_id, kind, CASE WHEN coalesce(regexp_replace(b64, '[ \\t\\n\\x0b\\f\\r]+', '', 'g'), '') = '' OR NOT shape THEN 'BadUpload' END AS error_class,
+  CASE WHEN coalesce(regexp_replace(b64, '[ \\t\\n\\x0b\\f\\r]+', '', 'g'), '') <> '' AND shape THEN octet_length(from_base64(CASE WHEN shape THEN b64 END)) END AS n_bytes FROM v""")
+def q23_base64_guard(spark, sf_dir):
+    """Texts in base64, with a blank before it, and not in base64 at all."""
+    docs = _documents(spark, sf_dir)
+    whole = F.base64(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    kinds = F.array(F.struct(F.lit("whole").alias("kind"), F.regexp_replace(whole, "[\\r\\n]", "").alias("b64")), F.struct(F.lit("spaced").alias("kind"), F.concat(F.lit(" "), F.regexp_replace(whole, "[\\r\\n]", "")).alias("b64")), F.struct(F.lit("raw").alias("kind"), F.col("text").alias("b64")))
+    rows = inputs.decode_base64(docs.select("doc_id", F.inline(kinds)), "b64", "resume_base64")
+    return rows.select("doc_id", "kind", "error_class", F.octet_length("content").cast("long").alias("n_bytes"))
+
+
+_IP = "((event_id * 2654435761) % 4294967296)"
+_OCTETS = " || '.' || ".join(f"(({_IP} // {256**i}) % 256)::VARCHAR" for i in (3, 2, 1, 0))
+_CLOSED = " OR ".join(
+    f"ip BETWEEN {int.from_bytes(bytes(map(int, a.split('.'))), 'big')} AND {int.from_bytes(bytes(map(int, a.split('.'))), 'big') + 2 ** (32 - p) - 1}" for a, p in inputs.IPV4_CLOSED
+)
+
+
+@query(f"""
+WITH e AS (SELECT event_id, {_IP} AS ip, {_OCTETS} AS host FROM events)
+SELECT event_id, host, ip, {_CLOSED} AS closed FROM e""")
+def q24_address_policy(spark, sf_dir):
+    """Addresses made from event numbers against the closed ranges."""
+    ip = F.expr("(event_id * 2654435761L) % 4294967296L")
+    octet = lambda i: (F.floor(ip / 256**i) % 256).cast("string")
+    rows = table(spark, sf_dir, "events").select("event_id", F.concat_ws(".", octet(3), octet(2), octet(1), octet(0)).alias("host"))
+    number = inputs.ipv4(inputs.host(F.concat(F.lit("https://u@"), F.col("host"), F.lit(":8443/x"))))
+    return rows.select("event_id", "host", number.alias("ip"), inputs.ipv4_closed(number).alias("closed"))
+
+
+@query("""
+SELECT page_id, (CASE WHEN html IS NOT NULL AND html <> '' THEN 1 ELSE 0 END) + (CASE WHEN url LIKE 'https:%' THEN 1 ELSE 0 END) AS n_given,
+  CASE WHEN (html IS NOT NULL AND html <> '') <> (url LIKE 'https:%') THEN (CASE WHEN url LIKE 'https:%' THEN 'url' ELSE 'base64' END) END AS source,
+  CASE WHEN (html IS NOT NULL AND html <> '') = (url LIKE 'https:%') THEN 'BadUpload' END AS error_class FROM pages""")
+def q25_source_resolution(spark, sf_dir):
+    """Pages give their bytes, and their URL as well where it is https."""
+    url = F.when(F.col("url").like("https:%"), F.col("url"))
+    rows = table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("b"), url.alias("u"), F.lit(None).cast("string").alias("i"))
+    out = inputs.resolve_source(rows, "resume", "b", "u", "i")
+    n = (~inputs.blank(F.col("b"))).cast("int") + (~inputs.blank(F.col("u"))).cast("int")
+    return out.select("page_id", n.alias("n_given"), "source", "error_class")
+
+
+@query(f"""
+WITH {_THREE}, w AS (SELECT *, n_fail = 0 AND n_pass > 0 AS passed, CASE WHEN n_pass + n_fail > 0 THEN floor((200 * n_pass + n_pass + n_fail) / (2 * (n_pass + n_fail)))::INT END AS score FROM v)
+SELECT doc_id, '**' || CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END || ' · ' || coalesce(score::VARCHAR, '-') || '/100** · ' || n_pass || ' passed, ' || n_fail || ' failed, ' || n_skip || ' skipped' AS line FROM w""")
+def q26_verdict_line(spark, sf_dir):
+    rows = gate.verdict(_three(spark, sf_dir))
+    return rows.select("doc_id", report.verdict_line(*[F.col(c) for c in ("passed", "score", "n_pass", "n_fail", "n_skip")]).alias("line"))
+
+
+@query()
+def q27_parse_documents(spark, sf_dir):
+    """All documents as text files through the reader, page layout and text extraction."""
+    from docsift.plans import api
+
+    files = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.col("text").cast("binary").alias("content"))
+    return api.extract(files).select("doc_id", "format", "words", "text")
+
+
+@query("""
+WITH f AS (SELECT user_id, floor(epoch(ts))::BIGINT AS sec FROM events WHERE event_type = 'error'),
+  s AS (SELECT user_id, sec // 3600 - k AS slot FROM f, unnest(range(24)) u(k))
+SELECT user_id, slot * 3600 AS starts, count(*) AS n FROM s GROUP BY ALL""")
+def q28_sliding_failures(spark, sf_dir):
+    """Failures in spans of a day that start every hour."""
+    failed = table(spark, sf_dir, "events").filter("event_type = 'error'")
+    spans = F.window(F.col("ts").cast("timestamp"), "24 hours", "1 hour")
+    return failed.groupBy("user_id", spans.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_seconds("w.start").alias("starts"), "n")
