@@ -59,7 +59,12 @@ class Staging(StatefulProcessor):
 
 
 def staged(events: DataFrame, ttl: int = TTL_STAGED) -> DataFrame:
-    """Outcome of each event of a stream; needs the RocksDB state store."""
+    """Outcome of each event of a stream; needs the RocksDB state store.
+
+    A run that should end (trigger availableNow) needs
+    ``spark.sql.streaming.noDataMicroBatches.enabled=false``, as batches without data
+    otherwise go on for the sake of the time-to-live.
+    """
     return events.groupBy("id").transformWithStateInPandas(Staging(ttl), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
 
 

@@ -103,6 +103,7 @@ def test_streaming(spark, tmp_path, ttl):
     from docsift.streaming.staging import staged
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     schema = "id string, kind string, at long, bytes long"
     source = tmp_path / "in"
     batches = [[("a", "put", 0, 5), ("b", "put", 0, 0), ("c", "put", 0, 5)], [("a", "take", 10, None), ("a", "take", 11, None), ("z", "take", 1, None), ("c", "take", 1801, None)]]
