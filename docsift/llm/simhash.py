@@ -225,7 +225,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     fate = found.groupBy("doc_id").agg(
         F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), (F.count(F.lit(1)) > 1).alias("again")
     )
+    fate = written(fate, "simhash-fate")
     columns = [F.col(f"docs.`{c}`") for c in docs.columns]
-    judged = docs.alias("docs").join(written(fate, "simhash-fate").alias("fate"), "doc_id", "left").filter("stays IS NOT FALSE")
+    judged = docs.alias("docs").join(fate.alias("fate"), "doc_id", "left").filter("stays IS NOT FALSE")
+    if not fate.filter("again").limit(1).count():
+        return judged.select(*columns)  # no id repeats, so the texts need not be dealt out a second time
     once = judged.filter("again IS NOT TRUE").select(*columns)
     return once.unionByName(judged.filter("again").select(*columns).dropDuplicates(["doc_id"]))
