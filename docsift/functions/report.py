@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from docsift.operators.gate import status, verdict
 
+#: Fixed value: the first line of a review in Markdown.
+REVIEW_HEADING = "# ATS parse report"
+
 
 def html_escaped(text: Column) -> Column:
     for ch, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
@@ -53,5 +56,5 @@ def review_report(docs: DataFrame, findings: DataFrame, scores: DataFrame, jd: D
         missing = F.array_join(F.col("jd.missing"), ", ")
         overlap = F.coalesce(F.concat(F.lit("\n## Job description overlap\n\nRequired terms covered: "), F.coalesce(F.col("jd.coverage_required").cast("string"), F.lit("-")), F.lit("\nMissing: "), missing, F.lit("\n")), F.lit(""))
     line = lambda f: F.concat(F.lit("- **"), f["severity"], F.lit("** "), f["title"], F.when(f["detail"] != "", F.concat(F.lit(": "), f["detail"])).otherwise(F.lit("")), F.lit(". "), f["fix"])
-    markdown = F.concat(F.lit("# ATS parse report\n\n"), F.col("filename"), F.lit("\n\nParseability "), F.col("score").cast("string"), F.lit("/100\n\n"), F.array_join(F.transform("findings", line), "\n"), overlap)
+    markdown = F.concat(F.lit(f"{REVIEW_HEADING}\n\n"), F.col("filename"), F.lit("\n\nParseability "), F.col("score").cast("string"), F.lit("/100\n\n"), F.array_join(F.transform("findings", line), "\n"), overlap)
     return rows.select("doc_id", F.to_json(F.struct(*parts)).alias("json"), markdown.alias("markdown"))

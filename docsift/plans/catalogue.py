@@ -107,7 +107,7 @@ def q04_html_guard(spark, sf_dir):
     content = F.col("html").cast("binary")
     pages = inputs.url_policy(pages, "url", with_ipv6=False)
     why = F.col("url_error")
-    policy = F.when(why.startswith("only https"), "scheme").when(why.contains("hostname"), "host").when(why.isNotNull(), "address").otherwise("ok")
+    policy = F.when(why.startswith("the scheme"), "scheme").when(why.contains("no host"), "host").when(why.isNotNull(), "address").otherwise("ok")
     return pages.select(
         "page_id", F.col("url_scheme").alias("scheme"), F.col("url_host").alias("host"), F.coalesce(inputs.looks_html(content), F.lit(False)).alias("is_html"),
         inputs.guess_filename(F.col("url"), "document").alias("filename"), policy.alias("policy"),
