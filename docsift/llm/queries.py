@@ -91,6 +91,13 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_warc_round_trip"] = op3_warc_round_trip
+ORACLE["op3_warc_round_trip"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+  b AS (SELECT page_id, payload_bytes, max(page_id) OVER (PARTITION BY x) AS best, array_to_string(list_transform(range(32),
+      lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(x, (5 * (i // 4) + 1)::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1, 1)), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to FROM b
+"""
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
