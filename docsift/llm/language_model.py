@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +45,15 @@ BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 12 << 20
 _U = np.uint64
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Counts are mostly ones and twos, which a general compressor makes small."""
+    return zstandard.compress(counts.astype("<u8").tobytes(), 1)
+
+
+def _counts(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data.as_buffer()), "<u8").astype(np.int64)
+
+
 class Block:
     """N-grams of the texts of a block."""
 
@@ -77,7 +87,7 @@ def _grams(buckets: int):
             number = _range_of(hashes, buckets)
             heads = np.flatnonzero(np.r_[True, number[1:] != number[:-1]]) if len(number) else []
             for a, b in zip(heads, [*heads[1:], len(number)], strict=False):
-                out.append((block, int(number[a]), order, hashes[a:b].tobytes(), counts[a:b].astype("<u4").tobytes()))
+                out.append((block, int(number[a]), order, hashes[a:b].tobytes(), _squeezed(counts[a:b])))
         kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[i]) for i in range(5)], ["block", "bucket", "gram", "hashes", "counts"])
 
@@ -101,11 +111,11 @@ def _grams(buckets: int):
 def _totals(batches: pa.Table) -> pa.Table:
     """Rows of one bucket and gram length: each hash's count over all blocks, row by row."""
     hashes = [np.frombuffer(x.as_buffer(), _U) for x in batches.column("hashes")]
-    counts = [np.frombuffer(x.as_buffer(), "<u4") for x in batches.column("counts")]
+    counts = [_counts(x) for x in batches.column("counts")]
     _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    total = np.bincount(at, weights=np.concatenate(counts)).astype("<u8")[at]
+    total = np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)[at]  # exact below 2 ** 53
     ends = np.cumsum([len(x) for x in hashes])
-    parts = [x.tobytes() for x in np.split(total, ends[:-1])]
+    parts = [_squeezed(x) for x in np.split(total, ends[:-1])]
     return pa.table({"block": batches.column("block"), "bucket": batches.column("bucket"), "gram": batches.column("gram"), "totals": pa.array(parts, pa.binary())})
 
 
@@ -123,7 +133,7 @@ def _scores(docs: pa.Table, totals: pa.Table) -> pa.Table:
     order = np.lexsort((totals.column("bucket"), totals.column("gram")))
     grams, parts = np.asarray(totals.column("gram")), totals.column("totals")
     for gram in (1, 2):
-        looked[gram] = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(parts[int(i)].as_buffer(), "<u8") for i in order if grams[i] == gram)]).astype(np.int64)
+        looked[gram] = np.concatenate([np.zeros(0, np.int64), *(_counts(parts[int(i)]) for i in order if grams[i] == gram)])
     _, word_at, _ = block.distinct(1, inverse=True)
     _, pair_at, _ = block.distinct(2, inverse=True)
     word = looked[1][word_at] - _own(block.doc, word_at) if len(word_at) else word_at
