@@ -59,6 +59,17 @@ def test_sources(spark):
     assert [r.f for r in limits] == ["n", "n", "n", "b", "n"]
 
 
+def test_obtain(spark):
+    rows = spark.createDataFrame([(1, "aGk=", None, None, "a.txt"), (2, None, "https://x.example/c.pdf", None, None), (3, None, "http://x.example", None, None), (4, None, None, "id", "n"), (5, None, None, "gone", None), (6, "@@@@", None, None, "n"), (7, "aGk=", None, "id", "n")], "k int, b string, u string, i string, n string")
+    staged = spark.createDataFrame([("id", bytearray(b"PK"), "cv.docx")], "id string, content binary, filename string")
+    got = {r.k: r for r in i.obtain(rows, "resume", "b", "u", "i", "n", staged).collect()}
+    assert bytes(got[1].content) == b"hi" and got[1].filename == "a.txt" and got[1].error_class is None
+    assert got[2].filename == "c.pdf" and got[2].error_class is None and got[2].content is None
+    assert bytes(got[4].content) == b"PK" and got[4].filename == "cv.docx" and got[4].error_class is None
+    assert [got[k].error_class for k in (3, 5, 6, 7)] == ["BadUpload"] * 4
+    assert "https" in got[3].message and "expired" in got[5].message and "base64" in got[6].message and "exactly one" in got[7].message
+
+
 def frame(spark, rows, schema):
     return spark.createDataFrame(rows, schema)
 
