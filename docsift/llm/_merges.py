@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 from docsift.llm.bpe import MEMO_CHARS, NEVER, Model
@@ -78,6 +80,11 @@ class BatchMerger:
         return found
 
 
+#: A splitting pattern, and what it comes to for lower-case ASCII text, where it needs no Unicode classes.
+UNICODE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+ASCII_SPLIT = re.compile(r"[a-z]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^ \t\n\r\f\va-z0-9]+")
+
+
 class BatchEncoder:
     """Ids of texts, a batch at a time; each word is encoded once and kept for a while."""
 
@@ -87,15 +94,19 @@ class BatchEncoder:
     def __init__(self, model: Model) -> None:
         self.model, self.merger = model, BatchMerger(model)
         self.words: dict[str, bytes] = {}
+        self.plain_ascii = model.pattern.pattern == UNICODE_SPLIT
+
+    def _split(self, text: str) -> list[str]:
+        pattern = ASCII_SPLIT if self.plain_ascii and text.isascii() else self.model.pattern
+        return pattern.findall(self.model.normalise(text))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed little-endian 32-bit ids of each text."""
         model, known = self.model, self.words
         if len(known) > self.MEMO:
             known.clear()
-        normalise, findall = model.normalise, model.pattern.findall
         plain = [not any(mark in x for mark in model.added) for x in texts]
-        cut = [findall(normalise(x)) if ok else [] for x, ok in zip(texts, plain, strict=True)]
+        cut = [self._split(x) if ok else [] for x, ok in zip(texts, plain, strict=True)]
         new = set().union(*cut).difference(known)
         own: dict[str, bytes] = {}
         if new:

@@ -80,6 +80,8 @@ def test_encoder_agrees_with_the_library(monkeypatch):
         encoder = pk.encoder_of(f.read())
     rng = random.Random(4)
     texts = [x or "" for x in CASES]
+    texts += ["".join(rng.choice("theIn's_^`~|0\x1c\x7f\x0b-\r ") for _ in range(rng.randrange(400))) for _ in range(200)]
+    assert encoder.plain_ascii
     texts += ["".join(rng.choice("theinrsoaéü'1.! ") for _ in range(rng.randrange(400))) for _ in range(200)]
     for _ in range(2):
         for text, ids in zip(texts, encoder.encode(texts), strict=True):
