@@ -38,4 +38,7 @@ def terms(text: Column) -> Column:
 
 
 def has(text: Column, pattern: str) -> Column:
-    return F.coalesce(F.lower(text).rlike(pattern), F.lit(False))
+    """Whether a pattern occurs; a letter that it needs is looked for first where it is a rare one."""
+    found = F.lower(text).rlike(pattern)
+    rare = {EMAIL: "@", ODD_DATE: "'"}.get(pattern)
+    return F.coalesce(text.contains(rare) & found if rare else found, F.lit(False))

@@ -398,8 +398,9 @@ def q24_address_policy(spark, sf_dir):
     ip = F.expr("(event_id * 2654435761L) % 4294967296L")
     octet = lambda i: (F.floor(ip / 256**i) % 256).cast("string")
     rows = table(spark, sf_dir, "events").select("event_id", F.concat_ws(".", octet(3), octet(2), octet(1), octet(0)).alias("host"))
-    number = inputs.ipv4(inputs.host(F.concat(F.lit("https://u@"), F.col("host"), F.lit(":8443/x"))))
-    return rows.select("event_id", "host", number.alias("ip"), inputs.ipv4_closed(number).alias("closed"))
+    rows = rows.withColumn("parsed", inputs.host(F.concat(F.lit("https://u@"), F.col("host"), F.lit(":8443/x"))))
+    rows = rows.withColumn("ip", inputs.ipv4(F.col("parsed")))
+    return rows.select("event_id", "host", "ip", inputs.ipv4_closed(F.col("ip")).alias("closed"))
 
 
 @query("""
