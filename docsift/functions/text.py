@@ -27,8 +27,8 @@ def squeezed(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    text = squeezed(F.coalesce(text, F.lit("")))
-    return F.when(text == "", F.lit(0)).otherwise(F.size(F.split(text, " "))).cast("long")
+    """Runs of anything but white space."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit("[^ \\t\\n\\x0b\\f\\r]+")).cast("long")
 
 
 def terms(text: Column) -> Column:
