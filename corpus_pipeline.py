@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docsift.llm import exact_dedup, packing, quality, repeats, simhash
+from docsift.llm import exact_dedup, near_copies, packing, quality, repeats
 from docsift.llm.queries import tokenizer_path
 from docsift.scratch import written
 from docsift.session import ship
@@ -28,9 +28,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+    """One document of each group stays whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
     ship(spark)
-    return simhash.drop_near_copies(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
