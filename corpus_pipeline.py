@@ -34,9 +34,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes or more that repeat are cut from the texts."""
+    """Passages of more than 50 words that repeat are cut from the texts, then those of 400 bytes or more."""
     ship(spark)
-    return repeats.drop_repeats(docs)
+    cut = written(repeats.drop_repeats(docs, repeats.WORDS, repeats.WORD_GRAM, words=True), "repeats-words")
+    return repeats.drop_repeats(cut)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,6 +19,10 @@ of all documents share is no larger to any task than another.
 
 Cores and hulls are told apart by two independent 64-bit polynomial hashes.
 
+The same search runs over words (``words``): the units are then the runs of bytes between
+blanks, each by its hash, ``width`` and ``gram`` count words, and spans run from the first
+byte of a word to the last of another. What the blanks between them are makes no difference.
+
 Texts are UTF-8 bytes, null counts as empty, and windows never cross texts. A text that
 stands in two rows repeats as a whole. Null ids and repeated rows are rows like others;
 an empty table gives an empty result.
@@ -27,10 +31,12 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +44,8 @@ from pyspark.sql import functions as F
 from docsift.scratch import written
 
 WIDTH, GRAM = 400, 200
+#: Passages of more than 50 words, found by their least-hashed 16 words.
+WORDS, WORD_GRAM = 51, 16
 #: Offsets from the anchor at which the passes after the first cut pieces.
 PASSES = (16, 1)
 #: Window starts that are looked at together; bounds memory for a text of any length.
@@ -65,7 +73,8 @@ class Rolling:
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self.prepare(len(data))
         out = np.zeros(len(data) + 1, _U)
-        np.cumsum(self.letters[data] * self.powers[: len(data)], out=out[1:])
+        letters = self.letters[data] if data.dtype == np.uint8 else _mixed(data + self.letters[0]) | _U(1)
+        np.cumsum(letters * self.powers[: len(data)], out=out[1:])
         return out
 
     def of(self, prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -82,6 +91,16 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
+def units(text, words: bool) -> np.ndarray:
+    """What windows count: the bytes of a text, or the hashes of its words."""
+    if words:
+        return np.array([xxhash.xxh64_intdigest(w) for w in bytes(text).split()], _U)
+    return np.frombuffer(text, np.uint8) if len(text) else np.zeros(0, np.uint8)
+
+
+_WORD = re.compile(rb"[^ \t\n\r\x0b\f]+")
+
+
 def _anchors(prefix: np.ndarray, n: int, width: int, gram: int) -> np.ndarray:
     """The anchor's place for each window of n bytes."""
     grams = n - gram + 1
@@ -173,14 +192,15 @@ def _structs(columns: dict[str, np.ndarray], sizes: list[int]) -> pa.ListArray:
 PIECE = "core long, hull long, place long, s1 long, s2 long, n long"
 
 
-def _scan(width: int, gram: int):
+def _scan(width: int, gram: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = [x.as_buffer() if x.is_valid else b"" for x in batch.column("text")]
-                found = [pieces_of(np.frombuffer(x, np.uint8) if len(x) else np.zeros(0, np.uint8), width, gram) for x in texts]
+                data = [units(x, words) for x in texts]
+                found = [pieces_of(x, width, gram) for x in data]
                 names = ["core", "hull", "place", "s1", "s2", "n"]
                 pieces = {name: np.concatenate([f[i] for f in found]) for i, name in enumerate(names)}
                 marks = {"s1": np.concatenate([f[6] for f in found]), "s2": np.concatenate([f[7] for f in found])}
@@ -190,17 +210,18 @@ def _scan(width: int, gram: int):
                         batch.column("doc_id"),
                         pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
                         pa.array([len(x) for x in texts], pa.int64()),
+                        pa.array([len(x) for x in data], pa.int64()),
                         _structs(pieces, [len(f[0]) for f in found]),
                         _structs(marks, [len(f[6]) for f in found]),
                     ],
-                    ["row_id", "doc_id", "digest", "n_bytes", "pieces", "marks"],
+                    ["row_id", "doc_id", "digest", "n_bytes", "n_units", "pieces", "marks"],
                 )
                 row += len(texts)
 
     return run
 
 
-def _recut(block: int, width: int):
+def _recut(block: int, width: int, words: bool):
     """Rows (row_id, text, pieces) to (row_id, pieces, marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +230,7 @@ def _recut(block: int, width: int):
                 batch = whole.slice(at, 256)
                 found = []
                 for text, pieces in zip(batch.column("text"), batch.column("pieces"), strict=True):
-                    data = np.frombuffer(text.as_buffer(), np.uint8)
+                    data = units(text.as_buffer(), words)
                     place, s1, s2 = (np.asarray(pieces.values.field(x)) for x in ("place", "s1", "s2"))
                     found.append(_collapsed(*cut(data, place, s1, s2, block, width)))
                 names = ["core", "hull", "place", "s1", "s2", "n"]
@@ -245,7 +266,7 @@ def _marks(rows: DataFrame, judged: DataFrame) -> DataFrame:
     return found.unionByName(rows.select("row_id", F.inline("marks")))
 
 
-def _removals(width: int, keep: bool):
+def _removals(width: int, keep: bool, words: bool):
     """Rows (row_id, text, marks) to spans and what is left."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,6 +276,9 @@ def _removals(width: int, keep: bool):
                 data = text.as_buffer().to_pybytes()
                 s1, s2 = (np.asarray(marks.values.field(x)) for x in ("s1", "s2"))
                 first, last = _runs(s1, s2 + width - 1)
+                if words:
+                    at = np.array([m.span() for m in _WORD.finditer(data)])
+                    first, last = at[first, 0], at[last, 1] - 1
                 left, at = [], 0
                 for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     left.append(data[at:a])
@@ -273,20 +297,21 @@ def _removals(width: int, keep: bool):
     return run
 
 
-def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool = False) -> DataFrame:
+def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool = False, words: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, digest, n_bytes, n_removed, n_spans, kept_sha256.
 
     ``keep`` adds spans (bytes [start, stop) that went) and kept_text (what is left, without
-    bytes of letters that a span cut in two), both null where nothing went.
+    bytes of letters that a span cut in two), both null where nothing went. With ``words``,
+    ``width`` and ``gram`` count words, not bytes.
     """
     if not 0 < gram < width:
         raise ValueError("a gram must be shorter than the width")
     piece = f"array<struct<{PIECE.replace(' long', ':long')}>>"
     mark = "array<struct<s1:long,s2:long>>"
-    kinds = f"row_id long, doc_id long, digest binary, n_bytes long, pieces {piece}, marks {mark}"
+    kinds = f"row_id long, doc_id long, digest binary, n_bytes long, n_units long, pieces {piece}, marks {mark}"
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    facts = written(texts.mapInArrow(_scan(width, gram), kinds), "repeats-facts")
-    copied = facts.filter(F.col("n_bytes") >= width).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    facts = written(texts.mapInArrow(_scan(width, gram, words), kinds), "repeats-facts")
+    copied = facts.filter(F.col("n_units") >= width).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     rows = facts.join(copied, "digest", "left")
     fates = written(rows.select("row_id", "doc_id", "digest", "n_bytes", F.col("copies").isNotNull().alias("whole")), "repeats-fates")
 
@@ -303,10 +328,10 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     kept = written(hashed.join(named, same).select("row_id", "text"), "repeats-texts")
     # a text whose id and text both repeat stands in kept more than once, and so do its windows in the input
     found = [marks]
-    for number, block in enumerate(PASSES):
+    for number, block in enumerate(b for b in PASSES if b < width):  # else the windows of a block share nothing
         lists = alive.groupBy("row_id").agg(F.collect_list(F.struct("place", "s1", "s2")).alias("pieces"))
         opened = kept.join(lists, "row_id").select("row_id", "text", "pieces")
-        level = written(opened.mapInArrow(_recut(block, width), f"row_id long, pieces {piece}, marks {mark}"), f"repeats-pass{number}")
+        level = written(opened.mapInArrow(_recut(block, width, words), f"row_id long, pieces {piece}, marks {mark}"), f"repeats-pass{number}")
         judged = written(_judged(level), "repeats-judged")
         found.append(written(_marks(level, judged).join(single, "row_id", "left_semi"), "repeats-marks"))
         alive = judged.filter("alive").select("row_id", "place", "s1", "s2")
@@ -316,7 +341,7 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     lists = marks.groupBy("row_id").agg(F.collect_list(F.struct("s1", "s2")).alias("marks"))
     kinds = "row_id long, n_removed long, n_spans long, kept_sha256 string"
     kinds += ", spans array<struct<start:long,stop:long>>, kept_text string" * keep
-    parts = kept.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(_removals(width, keep), kinds)
+    parts = kept.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(_removals(width, keep, words), kinds)
     nothing = hashlib.sha256(b"").hexdigest()
     out = [
         F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
@@ -329,9 +354,9 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     return fates.join(parts, "row_id", "left").select("doc_id", "digest", "n_bytes", *out)
 
 
-def drop_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM) -> DataFrame:
+def drop_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, words: bool = False) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` and ``n_chars``, if there is one, set anew."""
-    found = removals(docs, width, gram, keep=True).filter("n_removed > 0")
+    found = removals(docs, width, gram, keep=True, words=words).filter("n_removed > 0")
     changed = written(found.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("kept_text").alias("t")).dropDuplicates(["id", "d"]), "repeats-changed")
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     base = docs.alias("docs").join(changed.alias("c"), (digest == F.col("c.d")) & F.col("docs.doc_id").eqNullSafe(F.col("c.id")), "left")
