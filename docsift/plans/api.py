@@ -36,10 +36,17 @@ def all_findings(loaded: DataFrame) -> DataFrame:
     return lint.findings(loaded).unionByName(lint.stuffing_findings(loaded))
 
 
+def _single(jds: DataFrame) -> DataFrame:
+    """jd_id of the job description; an error if there are several, as results are by document alone."""
+    if len(jds.select("jd_id").take(2)) > 1:
+        raise ValueError("there must be one job description at most")
+    return jds.select("jd_id").limit(1)
+
+
 def jd_struct(loaded: DataFrame, jds: DataFrame) -> DataFrame:
     """(doc_id, jd) for a single job description: coverage, matched and missing terms, gates."""
     docs = loaded.select("doc_id", "text")
-    pairs = docs.select("doc_id").crossJoin(F.broadcast(jds.select("jd_id").limit(1)))  # one row: not a product of tables
+    pairs = docs.select("doc_id").crossJoin(F.broadcast(_single(jds)))  # one row: not a product of tables
     cover = matching.coverage(docs, jds).select("doc_id", "coverage_required")
     listed = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias(name))
     hit, lacks = listed(matching.matched(docs, jds), "matched"), listed(matching.missing(pairs, docs, jds), "missing")
@@ -72,5 +79,5 @@ def validate(files: DataFrame, pdfs: DataFrame | None = None, jds: DataFrame | N
     if jds is None:
         return checks.unionByName(gate.jd_checks(docs, None, None, spec))
     texts = docs.select("doc_id", "text")
-    pairs = texts.select("doc_id").crossJoin(F.broadcast(jds.select("jd_id").limit(1)))
+    pairs = texts.select("doc_id").crossJoin(F.broadcast(_single(jds)))
     return checks.unionByName(gate.jd_checks(docs, matching.coverage(texts, jds), matching.gates(pairs, texts, jds), spec))
