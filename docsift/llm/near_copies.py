@@ -1,7 +1,7 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-SimHash does not reach that far: such pairs differ in up to some 16 of 64 bits, and blocks
-sized for that radius are so short that every shard grows with the input.
+SimHash does not reach that far: such pairs often differ in 9 or more of 64 bits, and blocks
+for such a radius are short, so that shards would grow with the input.
 
 Search. A text is a *node*, the hash of its shingle set, so texts of equal sets are one.
 ``BANDS`` keys of ``ROWS`` minima each are taken from the set; two sets of similarity 0.8
