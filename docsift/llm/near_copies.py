@@ -1,21 +1,31 @@
-"""Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies by SimHash and BK-trees: 5-word shingle sets of Jaccard similarity 0.8 or more.
 
-SimHash does not reach that far: such pairs often differ in 9 or more of 64 bits, and blocks
-for such a radius are short, so that shards would grow with the input.
+A text is a *node*, the hash of its shingle set, so texts of equal sets are one.
 
-Search. A text is a *node*, the hash of its shingle set, so texts of equal sets are one.
-``BANDS`` keys of ``ROWS`` minima each are taken from the set; two sets of similarity 0.8
-share a key with a probability of 1 - (1 - 0.8 ** 7) ** 40 = 0.9999, and more alike sets
-more surely. What shared keys connect is a *heap*; its keys meet as a star around the least
-node, so a key that very many texts have makes no more rows than texts.
+Shards. Sets of similarity 0.8 differ in about 0.151 of their SimHash bits, which op8's 4 of
+64 can not reach, and blocks of bits that survive such a radius are too short to split an
+input (16 equal bits come through in 0.07 of pairs, but also in 1 of 65536 unlike ones). So
+a shard is not a block of bits but a key of ``ROWS`` minima of the set, ``BANDS`` for each
+text: sets of similarity 0.8 share one with a probability of 1 - (1 - 0.8 ** 7) ** 40 =
+0.9999, more alike sets more surely, unlike sets hardly ever. The nodes that shards connect
+are a *heap*; a shard's nodes meet as a star around the one that meets most others.
 
-Check. A heap's whole shingle sets go to one task (or, beyond ``most`` nodes, a task for
-each pair of slices), which finds all pairs of the similarity asked for by prefix filtering:
-sets that alike share one of the rarest fifth of their members. Every link is checked by
-the exact similarity; links between nodes that are connected already are not looked for.
+Search. A heap's nodes go to one task, which builds a BK-tree of their SimHash fingerprints
+of ``BITS`` bits and follows edges within ``RADIUS`` only. At 0.8 a pair differs in 38.7 bits
+with a deviation of 5.7, so 64 leaves nothing out in practice; unlike texts differ in about
+128. Every pair that the tree finds is checked by the exact similarity, unless its texts
+are connected already.
+
+Large heaps. Beyond ``most`` nodes, each node is first checked against its best centre only,
+in tasks of bounded size, and nodes so connected are one *body*. Then slices of bodies and
+of what is left meet pair by pair, but a body's slices never meet each other: a group of
+copies that holds a third of all rows costs one check a row, plus what is not connected.
 
 Words are split at blanks and compared in lower case (of ASCII); a text of fewer than five
-words is one shingle. Blank and null texts are copies of each other.
+words is one shingle. Blank and null texts are copies of each other. Rows are told apart by
+id and text; where both repeat, one of the rows stays. A null id ranks last. Extra columns
+may have any names; an empty table gives an empty result. A task holds the sets of at most
+two slices.
 """
 
 from __future__ import annotations
@@ -31,17 +41,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.components import components
-from docsift.scratch import written
+from docsift.llm.simhash import BKTree
+from docsift.scratch import discard, written
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 ROWS, BANDS = 7, 40
+BITS, RADIUS = 256, 64
 #: Nodes in a slice of a heap, give or take the slicing hash.
 MOST = 512
-#: Shingles whose minima are taken at once.
+#: Shingles whose minima or bits are taken at once.
 BLOCK = 1 << 11
 _rng = np.random.default_rng(SEED)
 _FLIP = _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2)
 _TIMES = _rng.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_WIDEN = _rng.integers(0, 1 << 63, BITS // 64, dtype=np.uint64)
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -72,6 +85,27 @@ def keys_of(found: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(rows)], np.uint64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """SimHash of ``BITS`` bits of a set of shingle hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(found), BLOCK):
+        wide = found[at : at + BLOCK, None] ^ _WIDEN
+        for shift, times in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+            wide = (wide ^ (wide >> np.uint64(shift))) * np.uint64(times)
+        wide ^= wide >> np.uint64(33)
+        ones += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(found)).tobytes())
+
+
+def alike(one: np.ndarray, two: np.ndarray, least: float = LEAST) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of ``least`` or more."""
+    small, large = sorted((len(one), len(two)))
+    if small < least * large - 1e-9:
+        return False
+    both = len(np.intersect1d(one, two, assume_unique=True))
+    return both >= least * (small + large - both) - 1e-9
+
+
 def _longs(found: list[np.ndarray]) -> pa.ListArray:
     offsets = np.zeros(len(found) + 1, np.int32)
     np.cumsum([len(x) for x in found], out=offsets[1:])
@@ -102,39 +136,73 @@ def _sets(shingle: int):
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 found = _longs([shingles(_bytes(t), shingle) for t in batch.column("text")])
-                columns = [batch.column(c) for c in ("heap", "parts", "part", "node")]
-                yield pa.RecordBatch.from_arrays([*columns, found], ["heap", "parts", "part", "node", "members"])
+                yield pa.RecordBatch.from_arrays([batch.column("node"), found], ["node", "members"])
 
     return run
 
 
-def similar(nodes: list[int], sets: list[np.ndarray], sides: list[int] | None = None, least: float = LEAST) -> list[tuple[int, int]]:
-    """Links that connect the nodes as all pairs of ``least`` similarity do; with ``sides``,
-    as the pairs do whose two sides differ."""
-    _, member, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    ends = np.cumsum([len(x) for x in sets])
-    parts = [member[e - len(x) : e] for e, x in zip(ends, sets, strict=True)]
-    label, held, index, out = np.arange(len(nodes)), {}, defaultdict(list), []
-    side, size = np.array(sides if sides is not None else range(len(nodes))), np.array([len(x) for x in sets])
-    for x in np.argsort(size, kind="stable").tolist():
-        own, n = parts[x], len(parts[x])
-        rare = own[np.lexsort((own, counts[own]))][: n - int(np.ceil(least * n - 1e-9)) + 1].tolist()
-        seen = np.zeros(len(nodes), bool)
-        for m in rare:
-            if m in index:
-                seen[index[m]] = True
-            index[m].append(x)
-        own_set = held[x] = set(own.tolist())
-        for y in np.flatnonzero(seen & (side != side[x]) & (size >= least * n - 1e-9)).tolist():
-            if label[x] == label[y]:
-                continue
-            both = len(own_set & held[y])
-            if both >= least * (n + len(held[y]) - both) - 1e-9:
-                out.append((nodes[x], nodes[y]))
-                label[label == label[y]] = label[x]
+def similar(nodes: list[int], sets: list[np.ndarray], bodies: list[int], sides: list[int] | None = None, least: float = LEAST, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links that connect the nodes, of which those of a body are connected already, as all
+    pairs of ``least`` similarity do; with ``sides``, as the pairs of either side 0 and 1 do."""
+    number = {body: i for i, body in enumerate(dict.fromkeys(bodies))}
+    label, fps = np.array([number[b] for b in bodies]), [fingerprint(x) for x in sets]
+    tree, holders, out = BKTree(), defaultdict(list), []
+
+    def add(x: int) -> None:
+        tree.add(fps[x])
+        holders[fps[x]].append(x)
+
+    def query(x: int) -> None:
+        for fp in tree.within(fps[x], radius):
+            for y in holders[fp]:
+                if label[x] != label[y] and alike(sets[x], sets[y], least):
+                    out.append((nodes[x], nodes[y]))
+                    label[label == label[y]] = label[x]
+
+    if sides is None:
+        for x in range(len(nodes)):
+            query(x)
+            add(x)
+    else:
+        for side, step in ((0, add), (1, query)):
+            for x in range(len(nodes)):
+                if sides[x] == side:
+                    step(x)
     return out
 
 
+def _runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...], rest: tuple[str, ...]) -> Iterator[tuple[tuple, tuple]]:
+    """(key, (rest, members)) of each row; the members are a copy, so that the batch can go."""
+    for batch in batches:
+        keys = zip(*(batch.column(c).to_pylist() for c in key), strict=True)
+        others = zip(*(batch.column(c).to_pylist() for c in rest), strict=True)
+        for row, (k, other) in enumerate(zip(keys, others, strict=True)):
+            yield k, (*other, np.asarray(batch.column("members")[row].values).view(np.uint64).copy())
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    u, v = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def _stars(least: float):
+    """Rows sorted by (u, salt), the centre first, to the edges that hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        centre, at, found = None, None, []
+        for key, (spoke, node, members) in _runs(batches, ("u", "salt"), ("spoke", "node")):
+            if not spoke:
+                centre, at = members, key
+            elif at == key and alike(centre, members, least):
+                found.append((key[0], node))
+                if len(found) > 50_000:
+                    yield _edges(found)
+                    found = []
+        yield _edges(found)
+
+    return run
+
+
 def _links(least: float):
     """Rows sorted by (heap, low, high) to links."""
 
@@ -142,20 +210,16 @@ def _links(least: float):
         key, rows = None, []
 
         def solved() -> pa.RecordBatch:
-            nodes, parts, sets = zip(*rows, strict=True)
-            found = similar(list(nodes), list(sets), None if key[1] == key[2] else list(parts), least)
-            u, v = zip(*found, strict=True) if found else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-
-        for batch in batches:
-            names = ("heap", "low", "high", "part", "node")
-            for row, *at in zip(range(batch.num_rows), *(batch.column(c).to_pylist() for c in names), strict=True):
-                if tuple(at[:3]) != key:
-                    if len(rows) > 1:
-                        yield solved()
-                    key, rows = tuple(at[:3]), []
-                # a copy, so that the batch can go
-                rows.append((at[4], at[3], np.asarray(batch.column("members")[row].values).view(np.uint64).copy()))
+            nodes, bodies, parts, sets = map(list, zip(*rows, strict=True))
+            sides = None if key[1] == key[2] else [int(part == key[2]) for part in parts]
+            return _edges(similar(nodes, sets, bodies, sides, least))
+
+        for at, row in _runs(batches, ("heap", "low", "high"), ("node", "body", "part")):
+            if at != key:
+                if len(rows) > 1:
+                    yield solved()
+                key, rows = at, []
+            rows.append(row)
         if len(rows) > 1:
             yield solved()
 
@@ -163,35 +227,80 @@ def _links(least: float):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("digest", F.xxhash64("text"))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
 
 
 def _facts_of(docs: DataFrame, shingle: int) -> DataFrame:
     kinds = "doc_id long, digest long, node long, keys array<long>"
-    return written(_keyed(docs.select("doc_id", "text")).select("doc_id", "digest", "text").mapInArrow(_facts(shingle), kinds), "near-facts")
+    return written(_keyed(docs).select("doc_id", "digest", "text").mapInArrow(_facts(shingle), kinds), "near-facts")
+
+
+def _shards(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes by heap, and the best centre of each node that has one: (node, heap), (u, node)."""
+    stars = facts.select("node", F.explode("keys").alias("key"))
+    shared = stars.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
+    met = written(stars.join(shared.filter("first < last").select("key", "size"), "key").distinct(), "near-shards")
+    ranked = met.join(met.groupBy("node").agg(F.sum("size").alias("degree")), "node").select("key", "node", F.struct("degree", "node").alias("rank"))
+    ranked = written(ranked, "near-ranked")
+    centres = ranked.groupBy("key").agg(F.max("rank").alias("centre"))
+    edges = written(ranked.join(centres, "key").select("node", "centre").distinct(), "near-edges")
+    discard(met)
+    heaps = written(components(edges.select(F.col("centre.node").alias("u"), F.col("node").alias("v"))).withColumnRenamed("root", "heap"), "near-heaps")
+    best = edges.groupBy("node").agg(F.max("centre").alias("centre")).select(F.col("centre.node").alias("u"), "node").filter("u != node")
+    return heaps, best
+
+
+def _bodies(sets: DataFrame, large: DataFrame, best: DataFrame, least: float, most: int) -> DataFrame:
+    """(node, root) of the nodes of large heaps that are connected by way of their best centres."""
+    best = written(best.join(large.select("node"), "node", "left_semi"), "near-best")
+    salts = best.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("salts"))
+    spokes = best.join(salts, "u").select("u", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), F.lit(True).alias("spoke"), "node")
+    hubs = salts.select("u", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("spoke"), F.col("u").alias("node"))
+    dealt = hubs.unionByName(spokes).join(sets, "node").select("u", "salt", "spoke", "node", "members")
+    ordered = dealt.repartition("u", "salt").sortWithinPartitions("u", "salt", "spoke")
+    return components(ordered.mapInArrow(_stars(least), "u long, v long"))
+
+
+def _sliced(large: DataFrame, bodies: DataFrame, most: int) -> DataFrame:
+    """Nodes of large heaps, a row for each pair of slices that must meet."""
+    nodes = large.join(bodies, "node", "left").select("heap", "node", F.coalesce("root", "node").alias("body"))
+    nodes = written(nodes, "near-nodes")
+    solid = nodes.groupBy("heap", "body").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= most // 2).select("heap", "body", F.col("body").alias("solid"))
+    nodes = nodes.join(solid, ["heap", "body"], "left")
+    sizes = nodes.groupBy(F.col("heap").alias("h"), F.col("solid").alias("s")).agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("slices"))
+    nodes = nodes.join(sizes, (F.col("heap") == F.col("h")) & F.col("solid").eqNullSafe(F.col("s")))
+    place = F.pmod(F.xxhash64("node"), "slices")
+    part = F.xxhash64(F.coalesce("solid", F.lit(0)), F.col("solid").isNull(), place).alias("part")
+    nodes = written(nodes.select("heap", "node", "body", "solid", part), "near-slices")
+    slices = nodes.select("heap", "part", "solid").distinct()
+    apart = "a.heap = b.heap AND a.part <= b.part AND (a.solid IS NULL OR b.solid IS NULL OR a.solid != b.solid)"
+    pairs = slices.alias("a").join(slices.alias("b"), F.expr(apart)).select("a.heap", F.col("a.part").alias("low"), F.col("b.part").alias("high"))
+    sides = pairs.select("heap", "low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("part"))
+    return nodes.join(sides, ["heap", "part"]).select("heap", "low", "high", "part", "node", "body")
 
 
 def links(docs: DataFrame, facts: DataFrame, shingle: int = SHINGLE, least: float = LEAST, most: int = MOST) -> DataFrame:
     """Edges (u, v) between nodes that connect them as all pairs of ``least`` similarity do."""
-    stars = facts.select("node", F.explode("keys").alias("key"))
-    centres = stars.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("last")).filter("u < last")
-    heaps = components(stars.join(centres, "key").filter("node != u").select("u", F.col("node").alias("v")))
-    heaps = written(heaps.withColumnRenamed("root", "heap"), "near-heaps")
-    parts = heaps.groupBy("heap").agg(F.ceil(F.count(F.lit(1)) / F.lit(most)).cast("int").alias("parts"))
+    heaps, best = _shards(facts)
     example = F.min(F.struct("doc_id", "digest")).alias("e")
-    wanted = facts.join(heaps, "node", "left_semi").groupBy("node").agg(example).join(heaps, "node").join(parts, "heap")
-    wanted = written(
-        wanted.select("heap", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("part"), "node", F.col("e.doc_id").alias("id"), F.col("e.digest").alias("d")),
-        "near-wanted",
-    )
-    texts = _keyed(docs.select("doc_id", "text"))
+    wanted = facts.join(heaps, "node", "left_semi").groupBy("node").agg(example)
+    wanted = written(wanted.select("node", F.col("e.doc_id").alias("id"), F.col("e.digest").alias("d")), "near-wanted")
+    texts = _keyed(docs)
     same = (texts["digest"] == wanted["d"]) & texts["doc_id"].eqNullSafe(wanted["id"])
-    found = texts.join(wanted, same).select("heap", "parts", "part", "node", "text")
-    sets = found.mapInArrow(_sets(shingle), "heap long, parts int, part int, node long, members array<long>")
-    paired = sets.select("heap", "part", "node", "members", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = paired.select("heap", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "members")
-    ordered = dealt.repartition("heap", "low", "high").sortWithinPartitions("heap", "low", "high")
-    return ordered.mapInArrow(_links(least), "u long, v long").distinct()
+    found = texts.join(wanted, same).select("node", "text")
+    sets = written(found.mapInArrow(_sets(shingle), "node long, members array<long>").dropDuplicates(["node"]), "near-sets")
+    sized = heaps.join(heaps.groupBy("heap").agg(F.count(F.lit(1)).alias("n")), "heap")
+    none = F.lit(0).cast("long")
+    bodies = None
+    dealt = sized.filter(F.col("n") <= most).select("heap", none.alias("low"), none.alias("high"), none.alias("part"), "node", F.col("node").alias("body"))
+    if sized.filter(F.col("n") > most).limit(1).count():
+        large = written(sized.filter(F.col("n") > most).select("heap", "node"), "near-large")
+        bodies = written(_bodies(sets, large, best, least, most), "near-bodies")
+        dealt = dealt.unionByName(_sliced(large, bodies, most))
+    whole = dealt.join(sets, "node").select("heap", "low", "high", "part", "node", "body", "members")
+    ordered = whole.repartition("heap", "low", "high").sortWithinPartitions("heap", "low", "high")
+    found = ordered.mapInArrow(_links(least), "u long, v long").distinct()
+    return found if bodies is None else found.unionByName(bodies.select(F.col("node").alias("u"), F.col("root").alias("v")))
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST, most: int = MOST) -> DataFrame:
@@ -207,12 +316,10 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEA
     best = rows.groupBy("root").agg(F.min("rank").alias("best"), F.sum("n").alias("all")).filter("all > 1")
     fate = rows.join(best, "root").select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("rank").eqNullSafe(F.col("best")).alias("stays"), "n")
     fate = written(fate.filter("NOT stays OR n > 1"), "near-fate")
-    texts = _keyed(docs).alias("docs")
-    same = (F.col("docs.digest") == fate["d"]) & F.col("docs.doc_id").eqNullSafe(fate["id"])
-    judged = texts.join(fate, same, "left").filter("stays IS NOT FALSE")
-    columns = [F.col(f"docs.`{c}`") for c in docs.columns]
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    texts = docs.select(whole, F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own"))
+    judged = texts.join(fate, (F.col("own") == F.col("d")) & F.col("own_id").eqNullSafe(F.col("id")), "left").filter("stays IS NOT FALSE")
     if not fate.filter("stays").limit(1).count():
-        return judged.select(*columns)  # no row that stays is repeated, so the texts need not be dealt out a second time
-    once = judged.filter("stays IS NULL").select(*columns)
-    again = judged.filter("stays").select(*columns, F.col("docs.digest").alias("_digest"))
-    return once.unionByName(again.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
+        return judged.select("whole.*")  # no row that stays is repeated, so the texts need not be dealt out a second time
+    again = judged.filter("stays").dropDuplicates(["own_id", "own"])
+    return judged.filter("stays IS NULL").unionByName(again).select("whole.*")

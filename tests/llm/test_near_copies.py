@@ -73,7 +73,44 @@ def test_rows_are_told_apart_by_id_and_text(spark):
     assert nc.drop_near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_extra_columns_may_clash(spark):
+    names = "doc_id long, text string, digest string, stays string, id string, d string, whole string, own string, root string"
+    text = " ".join(f"a{i}" for i in range(200))
+    rows = [(1, text, *"abcdefg"), (2, text + " end", *"hijklmn"), (2, text + " end", *"hijklmn"), (3, "quite another", *"opqrstu")]
+    got = nc.drop_near_copies(spark.createDataFrame(rows, names))
+    assert got.columns == [n.split()[0] for n in names.split(", ")]
+    assert sorted(map(tuple, got.collect())) == [rows[0], rows[3]]
+
+
+def test_large_group_around_one_text(spark):
+    """Copies are alike to the original only, which all links pass; loose texts hang on single copies."""
+    rng = random.Random(11)
+    words = [f"w{rng.randrange(9000)}" for _ in range(300)]
+    rows = [(500, " ".join(words))]
+    for i in range(120):
+        copy = list(words)
+        for at in rng.sample(range(300), 6):
+            copy[at] = f"n{i}x{at}"
+        rows.append((1000 - i, " ".join(copy)))
+        if i % 10 == 0:
+            for at in rng.sample(range(300), 4):
+                copy[at] = f"m{i}x{at}"
+            rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_kept(rows)
+    for most in (16, 512):
+        assert sorted(r.doc_id for r in nc.drop_near_copies(docs, most=most).collect()) == want
+
+
+def test_fingerprints_of_copies_are_near():
+    rows = planted(8, 40)
+    fps = [nc.fingerprint(nc.shingles(t.encode())) for _, t in rows]
+    assert max((a ^ b).bit_count() for a, b in zip(fps[::2], fps[1::2], strict=True)) <= nc.RADIUS
+    assert min((a ^ b).bit_count() for a, b in zip(fps[::2], fps[2::2], strict=False)) > nc.RADIUS
+
+
 def test_similar_finds_links_across_sides():
     sets = [np.arange(100, dtype=np.uint64), np.arange(10, 110, dtype=np.uint64), np.arange(20, 120, dtype=np.uint64)]
-    assert {frozenset(x) for x in nc.similar([5, 6, 7], sets)} == {frozenset((5, 6)), frozenset((6, 7))}
-    assert {frozenset(x) for x in nc.similar([5, 6, 7], sets, [0, 0, 1])} == {frozenset((6, 7))}
+    assert {frozenset(x) for x in nc.similar([5, 6, 7], sets, [1, 2, 3])} == {frozenset((5, 6)), frozenset((6, 7))}
+    assert {frozenset(x) for x in nc.similar([5, 6, 7], sets, [1, 1, 3])} == {frozenset((6, 7))}
+    assert {frozenset(x) for x in nc.similar([5, 6, 7], sets, [1, 2, 3], [0, 0, 1])} == {frozenset((6, 7))}
