@@ -19,9 +19,11 @@ of all documents share is no larger to any task than another.
 
 Cores and hulls are told apart by two independent 64-bit polynomial hashes.
 
-The same search runs over words (``words``): the units are then the runs of bytes between
-blanks, each by its hash, ``width`` and ``gram`` count words, and spans run from the first
-byte of a word to the last of another. What the blanks between them are makes no difference.
+The same search runs over words (``Windows.words``): the units are then the runs of bytes
+between blanks, each by its hash, ``width`` and ``gram`` count words, and spans run from the
+first byte of a word to the last of another. What the blanks between them are makes no
+difference. Windows of several kinds are looked for in the same passes; the lowest bits of a
+core tell them apart.
 
 Texts are UTF-8 bytes, null counts as empty, and windows never cross texts. A text that
 stands in two rows repeats as a whole. Null ids and repeated rows are rows like others;
@@ -33,19 +35,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docsift.scratch import written
+from docsift.scratch import discard, written
 
 WIDTH, GRAM = 400, 200
-#: Passages of more than 50 words, found by their least-hashed 16 words.
-WORDS, WORD_GRAM = 51, 16
 #: Offsets from the anchor at which the passes after the first cut pieces.
 PASSES = (16, 1)
 #: Window starts that are looked at together; bounds memory for a text of any length.
@@ -53,6 +54,21 @@ SEGMENT = 1 << 21
 _U = np.uint64
 
 
+@dataclass(frozen=True)
+class Windows:
+    """Windows of ``width`` units whose anchor is the least-hashed ``gram`` units in them."""
+
+    width: int = WIDTH
+    gram: int = GRAM
+    words: bool = False
+
+
+#: Passages of more than 50 words.
+PASSAGES = Windows(51, 16, words=True)
+#: Kinds of windows that one search can look for.
+_KINDS = 4
+
+
 class Rolling:
     """Polynomial hashes modulo 2**64 of all substrings of a byte string."""
 
@@ -190,29 +206,50 @@ def _structs(columns: dict[str, np.ndarray], sizes: list[int]) -> pa.ListArray:
 
 
 PIECE = "core long, hull long, place long, s1 long, s2 long, n long"
+MARK = "kind long, s1 long, s2 long"
+
+
+def _array_of(fields: str) -> str:
+    return f"array<struct<{fields.replace(' long', ':long')}>>"
+
+
+def _told_apart(found: list[tuple[np.ndarray, ...]]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Pieces and marks of one text from those of each kind."""
+    names = ["core", "hull", "place", "s1", "s2", "n"]
+    pieces = {name: np.concatenate([f[i] for f in found]) for i, name in enumerate(names)}
+    kinds = np.repeat(np.arange(len(found)), [len(f[0]) for f in found]).astype(_U)
+    pieces["core"] = (pieces["core"] & ~_U(_KINDS - 1)) | kinds
+    marks = {"kind": np.repeat(np.arange(len(found)), [len(f[6]) for f in found])}
+    return pieces, marks | {"s1": np.concatenate([f[6] for f in found]), "s2": np.concatenate([f[7] for f in found])}
+
 
+def _listed(parts: list[dict[str, np.ndarray]]) -> pa.ListArray:
+    return _structs({name: np.concatenate([p[name] for p in parts]) for name in parts[0]}, [len(p["s1"]) for p in parts])
 
-def _scan(width: int, gram: int, words: bool):
+
+def _scan(kinds: tuple[Windows, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 texts = [x.as_buffer() if x.is_valid else b"" for x in batch.column("text")]
-                data = [units(x, words) for x in texts]
-                found = [pieces_of(x, width, gram) for x in data]
-                names = ["core", "hull", "place", "s1", "s2", "n"]
-                pieces = {name: np.concatenate([f[i] for f in found]) for i, name in enumerate(names)}
-                marks = {"s1": np.concatenate([f[6] for f in found]), "s2": np.concatenate([f[7] for f in found])}
+                sizes, pieces, marks = [], [], []
+                for text in texts:
+                    data = [units(text, kind.words) for kind in kinds]
+                    found = _told_apart([pieces_of(x, kind.width, kind.gram) for x, kind in zip(data, kinds, strict=True)])
+                    sizes.append([len(x) for x in data])
+                    pieces.append(found[0])
+                    marks.append(found[1])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(row, row + len(texts))),
                         batch.column("doc_id"),
                         pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
                         pa.array([len(x) for x in texts], pa.int64()),
-                        pa.array([len(x) for x in data], pa.int64()),
-                        _structs(pieces, [len(f[0]) for f in found]),
-                        _structs(marks, [len(f[6]) for f in found]),
+                        pa.array(sizes, pa.list_(pa.int64())),
+                        _listed(pieces),
+                        _listed(marks),
                     ],
                     ["row_id", "doc_id", "digest", "n_bytes", "n_units", "pieces", "marks"],
                 )
@@ -221,25 +258,25 @@ def _scan(width: int, gram: int, words: bool):
     return run
 
 
-def _recut(block: int, width: int, words: bool):
+def _recut(block: int, kinds: tuple[Windows, ...]):
     """Rows (row_id, text, pieces) to (row_id, pieces, marks)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                found = []
-                for text, pieces in zip(batch.column("text"), batch.column("pieces"), strict=True):
-                    data = units(text.as_buffer(), words)
-                    place, s1, s2 = (np.asarray(pieces.values.field(x)) for x in ("place", "s1", "s2"))
-                    found.append(_collapsed(*cut(data, place, s1, s2, block, width)))
-                names = ["core", "hull", "place", "s1", "s2", "n"]
-                out = {name: np.concatenate([f[i] for f in found]) for i, name in enumerate(names)}
-                marks = {"s1": np.concatenate([f[6] for f in found]), "s2": np.concatenate([f[7] for f in found])}
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id"), _structs(out, [len(f[0]) for f in found]), _structs(marks, [len(f[6]) for f in found])],
-                    ["row_id", "pieces", "marks"],
-                )
+                pieces, marks = [], []
+                for text, opened in zip(batch.column("text"), batch.column("pieces"), strict=True):
+                    number, place, s1, s2 = (np.asarray(opened.values.field(x)) for x in ("kind", "place", "s1", "s2"))
+                    found = []
+                    for i, kind in enumerate(kinds):
+                        own = number == i
+                        data = units(text.as_buffer(), kind.words) if own.any() else np.zeros(0, np.uint8)
+                        found.append(_collapsed(*cut(data, place[own], s1[own], s2[own], block, kind.width)))
+                    told = _told_apart(found)
+                    pieces.append(told[0])
+                    marks.append(told[1])
+                yield pa.RecordBatch.from_arrays([batch.column("row_id"), _listed(pieces), _listed(marks)], ["row_id", "pieces", "marks"])
 
     return run
 
@@ -260,67 +297,92 @@ def _judged(rows: DataFrame) -> DataFrame:
 
 
 def _marks(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """(row_id, s1, s2): starts of windows that a pass has found to be repeated."""
+    """(row_id, kind, s1, s2): starts of windows that a pass has found to be repeated."""
     twice = judged.filter("again").select("core", "hull")
-    found = rows.select("row_id", F.inline("pieces")).join(twice, ["core", "hull"], "left_semi").select("row_id", "s1", "s2")
+    found = rows.select("row_id", F.inline("pieces")).join(twice, ["core", "hull"], "left_semi").select("row_id", _kind().alias("kind"), "s1", "s2")
     return found.unionByName(rows.select("row_id", F.inline("marks")))
 
 
-def _removals(width: int, keep: bool, words: bool):
-    """Rows (row_id, text, marks) to spans and what is left."""
+def _kind() -> Column:
+    return F.col("core").bitwiseAND(F.lit(_KINDS - 1))
+
+
+def _removals(kinds: tuple[Windows, ...], keep: bool):
+    """Rows (row_id, text, marks) to spans and what is left.
+
+    With ``keep``, the windows of all kinds go, else those of the first kind.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row_id, text, marks in zip(*(batch.column(c) for c in ("row_id", "text", "marks")), strict=True):
                 data = text.as_buffer().to_pybytes()
-                s1, s2 = (np.asarray(marks.values.field(x)) for x in ("s1", "s2"))
-                first, last = _runs(s1, s2 + width - 1)
-                if words:
-                    at = np.array([m.span() for m in _WORD.finditer(data)])
-                    first, last = at[first, 0], at[last, 1] - 1
+                number, s1, s2 = (np.asarray(marks.values.field(x)) for x in ("kind", "s1", "s2"))
+                covered, spans = [], []
+                for i, kind in enumerate(kinds):
+                    own = number == i
+                    first, last = _runs(s1[own], s2[own] + kind.width - 1)
+                    covered.append(int((last - first + 1).sum()))
+                    if kind.words and len(first):
+                        at = np.array([m.span() for m in _WORD.finditer(data)])
+                        first, last = at[first, 0], at[last, 1] - 1
+                    if keep or not i:
+                        spans.append((first, last))
+                first, last = spans[0] if len(spans) == 1 else _runs(*(np.concatenate(x) for x in zip(*spans, strict=True)))
                 left, at = [], 0
                 for a, b in zip(first.tolist(), last.tolist(), strict=True):
                     left.append(data[at:a])
                     at = b + 1
                 rest = b"".join([*left, data[at:]])
-                row = (row_id.as_py(), len(data) - len(rest), len(first), hashlib.sha256(rest).hexdigest())
+                row = (row_id.as_py(), len(data) - len(rest), len(first), hashlib.sha256(rest).hexdigest(), covered)
                 if keep:
-                    spans = [{"start": a, "stop": b + 1} for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                    row += (spans, rest.decode("utf-8", "ignore"))
+                    went = [{"start": a, "stop": b + 1} for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+                    row += (went, rest.decode("utf-8", "ignore"))
                 out.append(row)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()]
-            names = ["row_id", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"][: 6 if keep else 4]
-            columns = [pa.array([r[i] for r in out], kinds[i]) for i in range(len(names))]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64())]
+            types += [pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()]
+            names = ["row_id", "n_removed", "n_spans", "kept_sha256", "covered", "spans", "kept_text"][: 7 if keep else 5]
+            columns = [pa.array([r[i] for r in out], types[i]) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
 
 
-def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool = False, words: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, digest, n_bytes, n_removed, n_spans, kept_sha256.
+def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool = False, words: bool = False, more: tuple[Windows, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, digest, n_bytes, n_removed, n_spans, kept_sha256, covered.
 
     ``keep`` adds spans (bytes [start, stop) that went) and kept_text (what is left, without
     bytes of letters that a span cut in two), both null where nothing went. With ``words``,
-    ``width`` and ``gram`` count words, not bytes.
+    ``width`` and ``gram`` count words, not bytes. ``more`` are further kinds of windows: they
+    are looked for as well, and with ``keep`` they go too. ``covered`` has the units (bytes or
+    words) that repeated windows cover, for the first kind and each of ``more``.
     """
-    if not 0 < gram < width:
+    kinds = (Windows(width, gram, words), *more)
+    if not all(0 < k.gram < k.width for k in kinds):
         raise ValueError("a gram must be shorter than the width")
-    piece = f"array<struct<{PIECE.replace(' long', ':long')}>>"
-    mark = "array<struct<s1:long,s2:long>>"
-    kinds = f"row_id long, doc_id long, digest binary, n_bytes long, n_units long, pieces {piece}, marks {mark}"
+    if len(kinds) > _KINDS:
+        raise ValueError(f"at most {_KINDS} kinds of windows")
+    piece, mark = _array_of(PIECE), _array_of(MARK)
+    types = f"row_id long, doc_id long, digest binary, n_bytes long, n_units array<long>, pieces {piece}, marks {mark}"
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    facts = written(texts.mapInArrow(_scan(width, gram, words), kinds), "repeats-facts")
-    copied = facts.filter(F.col("n_units") >= width).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    facts = written(texts.mapInArrow(_scan(kinds), types), "repeats-facts")
+    enough = [F.col("n_units")[i] >= k.width for i, k in enumerate(kinds)]
+    some = enough[0]
+    for one in enough[1:]:
+        some = some | one
+    copied = facts.filter(some).groupBy("digest").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
     rows = facts.join(copied, "digest", "left")
-    fates = written(rows.select("row_id", "doc_id", "digest", "n_bytes", F.col("copies").isNotNull().alias("whole")), "repeats-fates")
+    full = F.array(*[F.when(F.col("copies").isNotNull() & one, F.col("n_units")[i]) for i, one in enumerate(enough)])
+    # full: units of a text that stands in two rows, for each kind that it has a window of
+    fates = written(rows.select("row_id", "doc_id", "digest", "n_bytes", full.alias("full"), F.col("copies").isNotNull().alias("whole")), "repeats-fates")
 
-    level, found = facts.select("row_id", "pieces", "marks"), None
+    level = facts.select("row_id", "pieces", "marks")
     judged = written(_judged(level), "repeats-judged")
-    marks = _marks(level, judged)
     single = fates.filter("NOT whole").select("row_id")
-    marks = written(marks.join(single, "row_id", "left_semi"), "repeats-marks")
-    alive = judged.filter("alive").select("row_id", "place", "s1", "s2")
+    marks = written(_marks(level, judged).join(single, "row_id", "left_semi"), "repeats-marks")
+    opened = [_kind().alias("kind"), "row_id", "place", "s1", "s2"]
+    alive = judged.filter("alive").select(*opened)
     wanted = alive.select("row_id").unionByName(marks.select("row_id")).distinct()
     named = fates.join(wanted, "row_id", "left_semi").select("row_id", F.col("doc_id").alias("id"), F.col("digest").alias("d"))
     hashed = texts.withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
@@ -328,38 +390,54 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     kept = written(hashed.join(named, same).select("row_id", "text"), "repeats-texts")
     # a text whose id and text both repeat stands in kept more than once, and so do its windows in the input
     found = [marks]
-    for number, block in enumerate(b for b in PASSES if b < width):  # else the windows of a block share nothing
-        lists = alive.groupBy("row_id").agg(F.collect_list(F.struct("place", "s1", "s2")).alias("pieces"))
-        opened = kept.join(lists, "row_id").select("row_id", "text", "pieces")
-        level = written(opened.mapInArrow(_recut(block, width, words), f"row_id long, pieces {piece}, marks {mark}"), f"repeats-pass{number}")
-        judged = written(_judged(level), "repeats-judged")
+    for number, block in enumerate(b for b in PASSES if b < min(k.width for k in kinds)):  # else the windows of a block share nothing
+        lists = alive.groupBy("row_id").agg(F.collect_list(F.struct("kind", "place", "s1", "s2")).alias("pieces"))
+        cuts = kept.join(lists, "row_id").select("row_id", "text", "pieces")
+        discard(level)
+        level = written(cuts.mapInArrow(_recut(block, kinds), f"row_id long, pieces {piece}, marks {mark}"), f"repeats-pass{number}")
+        before, judged = judged, written(_judged(level), "repeats-judged")
+        discard(before)
         found.append(written(_marks(level, judged).join(single, "row_id", "left_semi"), "repeats-marks"))
-        alive = judged.filter("alive").select("row_id", "place", "s1", "s2")
+        alive = judged.filter("alive").select(*opened)
     marks = found[0]
-    for more in found[1:]:
-        marks = marks.unionByName(more)
-    lists = marks.groupBy("row_id").agg(F.collect_list(F.struct("s1", "s2")).alias("marks"))
-    kinds = "row_id long, n_removed long, n_spans long, kept_sha256 string"
-    kinds += ", spans array<struct<start:long,stop:long>>, kept_text string" * keep
-    parts = kept.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(_removals(width, keep, words), kinds)
+    for another in found[1:]:
+        marks = marks.unionByName(another)
+    lists = marks.groupBy("row_id").agg(F.collect_list(F.struct("kind", "s1", "s2")).alias("marks"))
+    types = "row_id long, n_removed long, n_spans long, kept_sha256 string, covered array<long>"
+    types += ", spans array<struct<start:long,stop:long>>, kept_text string" * keep
+    parts = kept.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(_removals(kinds, keep), types)
+    return _results(fates, parts, kinds, keep)
+
+
+def _results(fates: DataFrame, parts: DataFrame, kinds: tuple[Windows, ...], keep: bool) -> DataFrame:
+    """What each row of the input comes to: ``parts`` has those of which something went."""
+    whole = F.col("full")[0].isNotNull()
+    for i in range(1, len(kinds) if keep else 1):
+        whole = whole | F.col("full")[i].isNotNull()
     nothing = hashlib.sha256(b"").hexdigest()
+    covered = [F.coalesce(F.col("full")[i], F.col("covered")[i], F.lit(0)).cast("long") for i in range(len(kinds))]
     out = [
-        F.when(F.col("whole"), F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
-        F.when(F.col("whole"), F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(F.col("whole"), F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
+        F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
+        F.when(whole, F.lit(nothing)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest")))).alias("kept_sha256"),
+        F.array(*covered).alias("covered"),
     ]
     if keep:
         everything = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("stop")))
-        out += [F.when(F.col("whole"), everything).otherwise(F.col("spans")).alias("spans"), F.when(F.col("whole"), F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")]
+        out += [F.when(whole, everything).otherwise(F.col("spans")).alias("spans"), F.when(whole, F.lit("")).otherwise(F.col("kept_text")).alias("kept_text")]
     return fates.join(parts, "row_id", "left").select("doc_id", "digest", "n_bytes", *out)
 
 
-def drop_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, words: bool = False) -> DataFrame:
-    """``docs`` with repeated passages cut from ``text`` and ``n_chars``, if there is one, set anew."""
-    found = removals(docs, width, gram, keep=True, words=words).filter("n_removed > 0")
-    changed = written(found.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("kept_text").alias("t")).dropDuplicates(["id", "d"]), "repeats-changed")
+def drop_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, words: bool = False, more: tuple[Windows, ...] = ()) -> DataFrame:
+    """``docs`` with repeated passages cut from ``text`` and ``n_chars``, if there is one, set anew.
+
+    Every copy of a passage goes, as ``removals`` has it; no other column changes, whatever
+    its name. A text that stands in two rows goes whole from both.
+    """
+    found = removals(docs, width, gram, keep=True, words=words, more=more).filter("n_removed > 0")
+    cuts = written(found.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("kept_text").alias("t")).dropDuplicates(["id", "d"]), "repeats-changed")
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    base = docs.alias("docs").join(changed.alias("c"), (digest == F.col("c.d")) & F.col("docs.doc_id").eqNullSafe(F.col("c.id")), "left")
+    base = docs.alias("docs").join(cuts.alias("c"), (digest == F.col("c.d")) & F.col("docs.doc_id").eqNullSafe(F.col("c.id")), "left")
     cut_text = F.coalesce(F.col("c.t"), F.col("docs.text"))
     out = []
     for name, kind in docs.dtypes:
