@@ -28,16 +28,22 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays whose 5-word shingles have a Jaccard similarity of 0.8 or more."""
+    """One document of each group stays whose 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+    It is the one with the smallest doc_id. Found by SimHash and BK-trees, each link checked
+    exactly. Null and blank texts are copies of each other.
+    """
     ship(spark)
     return near_copies.drop_near_copies(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of more than 50 words that repeat are cut from the texts, then those of 400 bytes or more."""
+    """Passages of more than 50 words, or of 400 bytes or more, that repeat are cut from the texts.
+
+    Every copy of such a passage goes. A text of which nothing is left stays as an empty one.
+    """
     ship(spark)
-    cut = written(repeats.drop_repeats(docs, repeats.WORDS, repeats.WORD_GRAM, words=True), "repeats-words")
-    return repeats.drop_repeats(cut)
+    return repeats.drop_repeats(docs, more=(repeats.PASSAGES,))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
