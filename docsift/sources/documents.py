@@ -111,7 +111,9 @@ def parse(files: DataFrame) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = inputs.MAX_FILE_BYTES) -> DataFrame:
-    """(doc_id, path, filename, folder, length, content) of all files below a folder; content is null over the limit.
+    """(doc_id, path, filename, folder, length, content) of all files below a folder; up to the limit.
+
+    Larger ones are in ``oversize_files``.
 
     Pick columns before using them: content is read only if it is asked for.
     """
@@ -124,7 +126,7 @@ def read_files(spark: SparkSession, path: str, most_bytes: int = inputs.MAX_FILE
 def oversize_files(spark: SparkSession, path: str, most_bytes: int = inputs.MAX_FILE_BYTES) -> DataFrame:
     """Error rows of files that are refused by length alone; their content is not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    message = F.concat(F.floor(F.col("length") / 1024).cast("string"), F.lit(f" KB, over the {most_bytes // 1048576} MB limit"))
+    message = F.concat(F.lit("the file has "), F.col("length").cast("string"), F.lit(f" bytes, {most_bytes} at most are read"))
     rows = files.select("path", "length").filter(F.col("length") > most_bytes)
     return rows.select(F.xxhash64("path").alias("doc_id"), F.regexp_extract("path", "([^/]*)$", 1).alias("filename"), F.lit("error").alias("status"), F.lit("InputTooLarge").alias("error_class"), message.alias("message"))
 

@@ -12,11 +12,15 @@ def one(spark, column):
 
 
 def test_urls(spark):
-    blocked = ["http://example.com/cv.pdf", "ftp://example.com/cv.pdf", "https://localhost/cv.pdf", "https://127.0.0.1/cv.pdf", "https://169.254.169.254/latest", "https://192.168.1.10/cv", "https://10.0.0.5/cv", "https://[::1]/cv", "https:///x", "x", None, "https://[fe80::1%25eth0]/x"]
+    blocked = [
+        "gopher://files.example.org/ada.docx", "https:///ada.docx", "no address at all", None, "http://files.example.org/ada.docx",
+        "https://172.31.4.9/ada.docx", "https://[fc00::17]/ada.docx", "https://100.100.7.7:8443/", "https://u:p@0.0.0.0/", "https://LOCALHOST:9/",
+        "https://[fe80::9%25lan0]/", "https://224.0.0.251/a",
+    ]
     fine = ["https://example.com/cv.pdf", "https://user:pw@8.8.8.8:8443/x", "https://[2606:4700::1111]/x", "HTTPS://Example.com"]
     rows = i.url_policy(spark.createDataFrame([(u,) for u in blocked + fine], "url string"), "url").collect()
     assert {r.url for r in rows if r.url_error is None} == set(fine)
-    assert "it is 'http'" in rows[0].url_error and "missing" in rows[9].url_error and "no host" in rows[8].url_error
+    assert "it is 'gopher'" in rows[0].url_error and "no host" in rows[1].url_error and "missing" in rows[2].url_error
 
 
 def test_names(spark):
@@ -30,7 +34,7 @@ def test_names(spark):
 
 
 def test_html_guard(spark):
-    page = b"<!DOCTYPE html><html><head><title>x</title></head>"
+    page = b"\n<!doctype HTML>\n<html lang=\"eo\"><body>Sign in to see this file"
     rows = [(page, "https://www.icloud.com/x"), (b"  \n<html><body>", "https://f.example/s"), (b"%PDF-1.4 <html", "u"), (b"PK\x03\x04<head", "u"), (b"{\\rtf1", "u"), (b"\xd0\xcf\x11\xe0", "u"), (b"Ada Verne\nWORK", "u"), (b"", "u"), (None, None), (b"text <META x>", "u")]
     df = spark.createDataFrame([(n, None if c is None else bytearray(c), u) for n, (c, u) in enumerate(rows)], "n int, c binary, u string")
     got = {r.n: (r.w, r.m) for r in df.select("n", i.html_guard(F.col("c"), F.col("u")).alias("w"), i.magic(F.col("c")).alias("m")).collect()}
@@ -99,6 +103,41 @@ def test_sign_in(spark):
     assert [r["at"] for r in locked] == [7]
 
 
+def outcomes(spark, rows):
+    attempts = frame(spark, [("u", *r) for r in rows], "key string, at long, ok boolean, pending_at long")
+    return [r.outcome for r in sorted(staging.sign_ins(attempts).collect(), key=lambda r: r["at"])]
+
+
+def test_locked_attempts_change_nothing(spark):
+    fails = [(t, False, 0) for t in range(8)]
+    # neither does the right passphrase end a lockout, nor does a wrong one prolong it
+    assert outcomes(spark, [*fails, (10, True, 0), (11, True, 0)])[8:] == ["locked", "locked"]
+    assert outcomes(spark, [*fails, (250, False, 0), (300, True, 0)])[8:] == ["locked", "code"]
+    # an expired sign-in is neither a failure nor a success
+    assert outcomes(spark, [*fails[:7], (7, False, -600), (8, True, -600), (9, False, 0), (10, True, 0)])[7:] == ["expired", "expired", "refused", "locked"]
+
+
+def test_a_failure_as_old_as_the_span_is_forgotten(spark):
+    fails = [(t, False, 0) for t in range(8)]
+    assert outcomes(spark, [*fails, (299, True, 0)])[8:] == ["locked"]
+    assert outcomes(spark, [*fails, (300, True, 0)])[8:] == ["code"]
+    rows = frame(spark, [("u", 0)] * 7 + [("u", 299), ("v", 0)] + [("v", 1)] * 6 + [("v", 300)], "k string, at long")
+    got = {(r.k, r["at"]): (r.n_recent, r.locked) for r in staging.lockouts(rows, "k", "at").collect()}
+    assert got[("u", 299)] == (8, True) and got[("v", 300)] == (7, False)
+
+
+def test_refused_and_taken_entries_are_not_in_the_store(spark):
+    puts = frame(spark, [(f"e{n}", n, 0) for n in range(20)] + [("a", 30, 100)], "id string, at long, bytes long")
+    assert {r.id: r.error for r in staging.put_errors(puts).collect()}["a"] is None
+    puts = frame(spark, [(f"p{n}", n, 1) for n in range(17)] + [("q", 20, 1), ("r", 1800, 1), ("s", 1801, 1)], "id string, at long, bytes long")
+    taken = frame(spark, [("p3", 18), ("p16", 18), ("none", 19)], "id string, at long")
+    got = {r.id: r.error for r in staging.put_errors(puts, taken=taken).collect()}
+    assert got["p16"] == "too many entries" and got["q"] is None and got["r"] == "too many entries" and got["s"] is None
+    both = frame(spark, [(s, n, 5, "x") for n in range(17) for s in ("one", "two")], "store string, at long, bytes long, error2 string")
+    got = staging.put_errors(both).filter("error IS NOT NULL").collect()
+    assert sorted((r.store, r["at"]) for r in got) == [("one", 16), ("two", 16)]
+
+
 def test_codes_and_tokens(spark):
     codes = frame(spark, [("c", "x", 0), ("d", "x", 0)], "code string, client string, at long")
     uses = frame(spark, [(1, "c", "y", 1), (2, "c", "x", 2), (3, "c", "x", 3), (4, "d", "x", 301), (5, "e", "x", 1)], "use_id int, code string, client string, at long")
