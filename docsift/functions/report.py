@@ -38,7 +38,10 @@ def gate_report(checks: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def review_report(docs: DataFrame, findings: DataFrame, scores: DataFrame, jd: DataFrame | None = None) -> DataFrame:
-    """(doc_id, json, markdown) of documents with their findings, scores and, if given, jd (doc_id, jd struct)."""
+    """(doc_id, json, markdown) of documents with their findings, scores and, if given, jd (doc_id, jd struct).
+
+    Where ``jd`` has a jd_id, so does the result, with a row for each pair.
+    """
     found = findings.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("severity", "id", "title", "detail", "fix"))).alias("findings"))
     empty = F.array().cast("array<struct<severity:string,id:string,title:string,detail:string,fix:string>>")
     rows = docs.join(scores, "doc_id").join(found, "doc_id", "left").withColumn("findings", F.coalesce("findings", empty))
@@ -57,4 +60,5 @@ def review_report(docs: DataFrame, findings: DataFrame, scores: DataFrame, jd: D
         overlap = F.coalesce(F.concat(F.lit("\n## Job description overlap\n\nRequired terms covered: "), F.coalesce(F.col("jd.coverage_required").cast("string"), F.lit("-")), F.lit("\nMissing: "), missing, F.lit("\n")), F.lit(""))
     line = lambda f: F.concat(F.lit("- **"), f["severity"], F.lit("** "), f["title"], F.when(f["detail"] != "", F.concat(F.lit(": "), f["detail"])).otherwise(F.lit("")), F.lit(". "), f["fix"])
     markdown = F.concat(F.lit(f"{REVIEW_HEADING}\n\n"), F.col("filename"), F.lit("\n\nParseability "), F.col("score").cast("string"), F.lit("/100\n\n"), F.array_join(F.transform("findings", line), "\n"), overlap)
-    return rows.select("doc_id", F.to_json(F.struct(*parts)).alias("json"), markdown.alias("markdown"))
+    keys = ["jd_id", "doc_id"] if jd is not None and "jd_id" in jd.columns else ["doc_id"]
+    return rows.select(*keys, F.to_json(F.struct(*parts)).alias("json"), markdown.alias("markdown"))

@@ -84,15 +84,33 @@ def jd_terms(jds: DataFrame) -> DataFrame:
     return each.groupBy("jd_id", "canonical").agg(best.alias("b")).select("jd_id", "b.term", "canonical", "b.section", "b.weight").filter("weight > 0")
 
 
-def doc_terms(docs: DataFrame) -> DataFrame:
-    """(doc_id, canonical): the distinct canonical terms of each document."""
-    each = docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    return canonical(each).select("doc_id", "canonical").distinct()
+def doc_terms(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """(doc_id, canonical): the distinct canonical terms of each document; with ``only``
+    (canonical), those of them, and the others go before anything is shuffled or made distinct."""
+    each = canonical(docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))).select("doc_id", "canonical")
+    if only is not None:
+        each = each.join(only.select("canonical").distinct(), "canonical", "left_semi")
+    return each.select("doc_id", "canonical").distinct()
 
 
 def matched(docs: DataFrame, jds: DataFrame) -> DataFrame:
     """(jd_id, doc_id, term, canonical, section, weight) for each term that both have."""
-    return doc_terms(docs).join(jd_terms(jds), "canonical").select("jd_id", "doc_id", "term", "canonical", "section", "weight")
+    wanted = jd_terms(jds)
+    return doc_terms(docs, wanted).join(wanted, "canonical").select("jd_id", "doc_id", "term", "canonical", "section", "weight")
+
+
+def judged(pairs: DataFrame, docs: DataFrame, jds: DataFrame) -> DataFrame:
+    """(jd_id, doc_id, coverage_required, matched, missing) of given pairs; the lists hold terms, sorted."""
+    terms = jd_terms(jds)
+    there = doc_terms(docs, terms).withColumn("hit", F.lit(True))
+    rows = pairs.select("jd_id", "doc_id").distinct().join(terms, "jd_id", "left").join(there, ["doc_id", "canonical"], "left")
+    hit, required = F.col("hit").isNotNull(), F.when(F.col("section") == "required", F.col("weight"))
+    share = F.coalesce(F.sum(F.when(hit, required)), F.lit(0.0)) / F.nullif(F.sum(required), F.lit(0.0))
+    return rows.groupBy("jd_id", "doc_id").agg(
+        F.coalesce(F.round(share, 6), F.lit(0.0)).alias("coverage_required"),
+        F.array_sort(F.collect_set(F.when(hit, F.col("term")))).alias("matched"),
+        F.array_sort(F.collect_set(F.when(~hit, F.col("term")))).alias("missing"),
+    )
 
 
 def coverage(docs: DataFrame, jds: DataFrame) -> DataFrame:
@@ -106,8 +124,9 @@ def coverage(docs: DataFrame, jds: DataFrame) -> DataFrame:
 
 def missing(pairs: DataFrame, docs: DataFrame, jds: DataFrame) -> DataFrame:
     """(jd_id, doc_id, term, canonical, section) that the document of a given pair lacks."""
-    wanted = pairs.select("jd_id", "doc_id").join(jd_terms(jds), "jd_id")
-    return wanted.join(doc_terms(docs), ["doc_id", "canonical"], "left_anti").select("jd_id", "doc_id", "term", "canonical", "section")
+    terms = jd_terms(jds)
+    wanted = pairs.select("jd_id", "doc_id").join(terms, "jd_id")
+    return wanted.join(doc_terms(docs, terms), ["doc_id", "canonical"], "left_anti").select("jd_id", "doc_id", "term", "canonical", "section")
 
 
 def tenures(docs: DataFrame, now: int = 2026) -> DataFrame:

@@ -7,8 +7,12 @@ counts. The streaming form of staging is in ``docsift.streaming.staging``.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 #: Seconds that staged inputs, codes, access and refresh tokens and pending
@@ -51,42 +55,112 @@ def live_entries(puts: DataFrame, at: str, bytes_column: str, ttl: int = TTL_STA
     return puts.withColumns({"n_live": F.count(F.lit(1)).over(span), "live_bytes": F.sum(bytes_column).over(span)})
 
 
-def put_errors(puts: DataFrame, at: str = "at", bytes_column: str = "bytes") -> DataFrame:
-    """Adds ``error`` to puts: empty, oversize, too many entries, too many bytes, in that order."""
-    rows = live_entries(puts, at, bytes_column)
-    n = F.coalesce(F.col(bytes_column), F.lit(0))
-    return rows.withColumn(
-        "error",
-        F.when(n == 0, F.lit("empty"))
-        .when(n > MAX_BYTES, F.lit("too large"))
-        .when(F.col("n_live") > MAX_ENTRIES, F.lit("too many entries"))
-        .when(F.col("live_bytes") > MAX_TOTAL_BYTES, F.lit("too many bytes")),
-    )
+def _folded(rows: DataFrame, key: str, order: list[str], step, name: str) -> DataFrame:
+    """``rows`` with ``step``'s answer to each row of a key, in order, as a column ``name``.
+
+    ``step`` makes a function of a row (dict) for each key, which holds what that key's rows
+    have come to. What a row does depends on what became of those before it, so a key's rows
+    are read one after another; they pass by in batches, and only the state is held.
+    """
+    schema = StructType([*rows.schema.fields, StructField(name, StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, answer = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if answer is None or row[key] != now:
+                    now, answer = row[key], step()
+                out.append(answer(row))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, name])
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
+
+
+def put_errors(
+    puts: DataFrame, at: str = "at", bytes_column: str = "bytes", order: tuple[str, ...] = (), taken: DataFrame | None = None,
+    ttl: int = TTL_STAGED, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES, max_total: int = MAX_TOTAL_BYTES,
+) -> DataFrame:
+    """Adds ``error`` to puts: empty, too large, too many entries, too many bytes, in that order.
+
+    Only what the store holds counts: puts that it refused, entries that have expired and
+    those that ``taken`` (id, at; puts need an id then) has released do not. A column
+    ``store`` names the store, else there is one. ``order`` settles the order of puts of the
+    same time; a take comes before the puts of its time.
+    """
+    names = puts.columns
+    own = "store" if "store" in names else None
+    ident = F.col("id").cast("string") if "id" in names else F.lit(None).cast("string")
+    whole = F.struct(*[F.col(f"`{c}`") for c in names])
+    ties = F.struct(*[F.col(c) for c in order]) if order else F.struct(F.lit(0).alias("none"))
+    store = F.col(own).cast("string") if own else F.lit("")
+    size = F.coalesce(F.col(bytes_column), F.lit(0)).cast("long")
+    rows = puts.select(store.alias("in_store"), F.col(at).alias("when"), F.lit(1).alias("turn"), ties.alias("ties"), ident.alias("ident"), size.alias("n"), whole.alias("whole"))
+    if taken is not None:
+        store = F.col(own).cast("string") if own else F.lit("")
+        none = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("ties", "n", "whole")]
+        gone = taken.select(store.alias("in_store"), F.col("at").alias("when"), F.lit(0).alias("turn"), none[0], F.col("id").cast("string").alias("ident"), none[1], none[2])
+        rows = rows.unionByName(gone)
+
+    def step():
+        held: list[tuple] = []  # (at, bytes, id) of at most max_entries
+
+        def answer(row: dict) -> str | None:
+            held[:] = [x for x in held if row["when"] - x[0] <= ttl]
+            if not row["turn"]:
+                held[:] = [x for x in held if x[2] != row["ident"]]
+                return None
+            if row["n"] == 0:
+                return "empty"
+            if row["n"] > max_bytes:
+                return "too large"
+            if len(held) >= max_entries:
+                return "too many entries"
+            if sum(x[1] for x in held) + row["n"] > max_total:
+                return "too many bytes"
+            held.append((row["when"], row["n"], row["ident"]))
+            return None
+
+        return answer
+
+    return _folded(rows, "in_store", ["when", "turn", "ties"], step, "error").filter("turn = 1").select("whole.*", "error")
 
 
 def lockouts(failures: DataFrame, key: str, at: str, least: int = LOCKOUT_FAILURES, seconds: int = LOCKOUT_SECONDS) -> DataFrame:
-    """Failures (times in seconds) with those in the trailing span and whether they lock out."""
-    span = Window.partitionBy(key).orderBy(at).rangeBetween(-seconds, 0)
+    """Failures (times in whole seconds) with those in the trailing span and whether they lock out.
+
+    A failure that is exactly ``seconds`` old no longer counts.
+    """
+    span = Window.partitionBy(key).orderBy(at).rangeBetween(1 - seconds, 0)
     return failures.withColumn("n_recent", F.count(F.lit(1)).over(span)).withColumn("locked", F.col("n_recent") >= least)
 
 
-def sign_ins(attempts: DataFrame) -> DataFrame:
-    """Outcome of attempts (key, at, ok, pending_at): sweep, lockout, expiry, password, in that order.
+def sign_ins(attempts: DataFrame, order: tuple[str, ...] = (), least: int = LOCKOUT_FAILURES, seconds: int = LOCKOUT_SECONDS, ttl: int = TTL_PENDING) -> DataFrame:
+    """Outcome of attempts (key, at, ok, pending_at): locked, expired, refused or code, in that order.
 
-    A success clears the failures before it.
+    Only a refused attempt is a failure, and only a code clears the failures before it: what
+    a lockout or an expired sign-in turns away changes nothing. A failure that is exactly
+    ``seconds`` old no longer counts. ``order`` settles the order of attempts of the same time.
     """
-    order = Window.partitionBy("key").orderBy("at")
-    since = F.sum(F.col("ok").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = attempts.withColumn("run", F.coalesce(since, F.lit(0)))
-    span = Window.partitionBy("key", "run").orderBy("at").rangeBetween(-LOCKOUT_SECONDS, -1)
-    failed = F.coalesce(F.sum((~F.col("ok")).cast("int")).over(span), F.lit(0))
-    outcome = (
-        F.when(failed >= LOCKOUT_FAILURES, F.lit("locked"))
-        .when(F.col("at") - F.col("pending_at") > TTL_PENDING, F.lit("expired"))
-        .when(~F.col("ok"), F.lit("refused"))
-        .otherwise(F.lit("code"))
-    )
-    return rows.withColumn("outcome", outcome).drop("run")
+
+    def step():
+        failed: list = []  # times of at most ``least`` failures
+
+        def answer(row: dict) -> str:
+            failed[:] = [t for t in failed if t > row["at"] - seconds]
+            if len(failed) >= least:
+                return "locked"
+            if row["pending_at"] is None or row["at"] - row["pending_at"] > ttl:
+                return "expired"
+            if not row["ok"]:
+                failed.append(row["at"])
+                return "refused"
+            failed.clear()
+            return "code"
+
+        return answer
+
+    return _folded(attempts, "key", ["at", *order], step, "outcome")
 
 
 def code_exchanges(codes: DataFrame, uses: DataFrame) -> DataFrame:

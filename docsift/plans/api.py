@@ -36,32 +36,39 @@ def all_findings(loaded: DataFrame) -> DataFrame:
     return lint.findings(loaded).unionByName(lint.stuffing_findings(loaded))
 
 
-def _single(jds: DataFrame) -> DataFrame:
-    """jd_id of the job description; an error if there are several, as results are by document alone."""
+def _pairs(docs: DataFrame, jds: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """(jd_id, doc_id) of what is to be compared: the given pairs, or each document with the only description."""
+    if pairs is not None:
+        return pairs.select("jd_id", "doc_id").join(docs.select("doc_id"), "doc_id", "left_semi").distinct()
     if len(jds.select("jd_id").take(2)) > 1:
-        raise ValueError("there must be one job description at most")
-    return jds.select("jd_id").limit(1)
+        raise ValueError("with more than one job description, say which documents to compare with which: pairs (jd_id, doc_id)")
+    return docs.select("doc_id").crossJoin(F.broadcast(jds.select("jd_id")))  # one row at most: not a product of tables
 
 
-def jd_struct(loaded: DataFrame, jds: DataFrame) -> DataFrame:
-    """(doc_id, jd) for a single job description: coverage, matched and missing terms, gates."""
+def jd_struct(loaded: DataFrame, jds: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(jd_id, doc_id, jd): coverage, matched and missing terms and gates of each pair.
+
+    One job description is compared with every document. Any number of them goes with
+    ``pairs`` (jd_id, doc_id), each of which gets a row of its own.
+    """
     docs = loaded.select("doc_id", "text")
-    pairs = docs.select("doc_id").crossJoin(F.broadcast(_single(jds)))  # one row: not a product of tables
-    cover = matching.coverage(docs, jds).select("doc_id", "coverage_required")
-    listed = lambda df, name: df.groupBy("doc_id").agg(F.array_sort(F.collect_set("term")).alias(name))
-    hit, lacks = listed(matching.matched(docs, jds), "matched"), listed(matching.missing(pairs, docs, jds), "missing")
-    conditions = matching.gates(pairs, docs, jds).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value", "satisfied"))).alias("gates"))
-    rows = pairs.join(cover, "doc_id", "left").join(hit, "doc_id", "left").join(lacks, "doc_id", "left").join(conditions, "doc_id", "left")
-    none = F.array().cast("array<string>")
-    jd = F.struct(F.coalesce("coverage_required", F.lit(0.0)).alias("coverage_required"), F.coalesce("matched", none).alias("matched"), F.coalesce("missing", none).alias("missing"), "gates")
-    return rows.select("doc_id", jd.alias("jd"))
-
-
-def review(files: DataFrame, jds: DataFrame | None = None) -> DataFrame:
-    """(doc_id, json, markdown): parseability of each document and, with a job description, its overlap."""
+    pairs = written(_pairs(docs, jds, pairs), "pairs")
+    conditions = matching.gates(pairs, docs, jds).groupBy("jd_id", "doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "value", "satisfied"))).alias("gates"))
+    rows = matching.judged(pairs, docs, jds).join(conditions, ["jd_id", "doc_id"], "left")
+    return rows.select("jd_id", "doc_id", F.struct("coverage_required", "matched", "missing", "gates").alias("jd"))
+
+
+def review(files: DataFrame, jds: DataFrame | None = None, pairs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, json, markdown): parseability of each document and, with a job description, its overlap.
+
+    With ``pairs`` (jd_id, doc_id) there is a row for each of them, and for each document
+    in none, with a column ``jd_id``.
+    """
     loaded = load(files).filter("status = 'ok'")
     found = written(all_findings(loaded), "findings")
-    jd = None if jds is None else jd_struct(loaded, jds)
+    jd = None if jds is None else jd_struct(loaded, jds, pairs)
+    if pairs is None and jd is not None:
+        jd = jd.drop("jd_id")
     return report.review_report(loaded, found, lint.score(loaded, found), jd)
 
 
@@ -79,5 +86,5 @@ def validate(files: DataFrame, pdfs: DataFrame | None = None, jds: DataFrame | N
     if jds is None:
         return checks.unionByName(gate.jd_checks(docs, None, None, spec))
     texts = docs.select("doc_id", "text")
-    pairs = texts.select("doc_id").crossJoin(F.broadcast(_single(jds)))
+    pairs = _pairs(texts, jds, None)
     return checks.unionByName(gate.jd_checks(docs, matching.coverage(texts, jds), matching.gates(pairs, texts, jds), spec))

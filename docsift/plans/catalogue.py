@@ -15,7 +15,9 @@ from pyspark.sql.window import Window
 from docsift.functions import report
 from docsift.functions import text as T
 from docsift.operators import gate, lint, matching, parity, staging
+from docsift.plans import api
 from docsift.sources import inputs
+from docsift.streaming.staging import failures_per_span
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -131,7 +133,7 @@ _JD = f"""
     WHERE length(term) > 1 AND NOT regexp_matches(term, '^[0-9+]+$') AND term NOT IN ({_in(sorted(set(matching.FILLER)))}))"""
 _DT = f"""
   dt AS (SELECT DISTINCT doc_id, {_CANONICAL} AS canonical FROM (
-      SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '{T.NOT_TERM}')) AS term FROM documents WHERE lang = 'en') x
+      SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '{T.NOT_TERM}')) AS term FROM documents) x
     LEFT JOIN {_ALIASES} ON a.alias = x.term WHERE term <> '')"""
 
 
@@ -141,30 +143,41 @@ WITH {_JD}, {_DT}, n AS (SELECT jd_id, count(*) AS n_terms FROM jt GROUP BY jd_i
 SELECT jd_id, n_terms, max(round(n_matched / n_terms, 6)) AS best, count(*) FILTER (round(n_matched / n_terms, 6) >= 0.5) AS n_docs
 FROM c JOIN n USING (jd_id) GROUP BY ALL""")
 def q05_jd_coverage(spark, sf_dir):
-    """Best coverage of each description by an English document, and documents that cover half of it."""
-    rows = matching.coverage(_documents(spark, sf_dir, "lang = 'en'"), _jds(spark, sf_dir))
+    """Best coverage of each description by a document, and documents that cover half of it."""
+    rows = matching.coverage(_documents(spark, sf_dir), _jds(spark, sf_dir))
     return rows.groupBy("jd_id", "n_terms").agg(F.max("coverage_required").alias("best"), F.count_if(F.col("coverage_required") >= 0.5).alias("n_docs"))
 
 
 @query(f"WITH {_JD}, {_DT} SELECT jd_id, canonical FROM jt WHERE canonical NOT IN (SELECT canonical FROM dt)")
 def q06_jd_missing(spark, sf_dir):
-    """Terms of descriptions that no English document has."""
-    docs = matching.doc_terms(_documents(spark, sf_dir, "lang = 'en'")).select("canonical").distinct()
-    return matching.jd_terms(_jds(spark, sf_dir)).select("jd_id", "canonical").join(docs, "canonical", "left_anti").select("jd_id", "canonical")
+    """Terms of descriptions that no document has."""
+    wanted = matching.jd_terms(_jds(spark, sf_dir))
+    docs = matching.doc_terms(_documents(spark, sf_dir), wanted).select("canonical").distinct()
+    return wanted.select("jd_id", "canonical").join(docs, "canonical", "left_anti").select("jd_id", "canonical")
+
+
+_SPACE = "[ \\t\\n\\x0b\\f\\r]+"
+_SKILLS = ("skills", "technical skills", "key skills", "core competencies", "technology")
 
 
 @query(f"""
-WITH l AS (SELECT doc_id, split_part(text, chr(10), 1) AS one, substr(text, length(split_part(text, chr(10), 1)) + 1) AS rest FROM documents WHERE text IS NOT NULL),
-  a AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(one), '{T.NOT_TERM}')) AS term FROM l),
-  b AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(rest), '{T.NOT_TERM}')) AS term FROM l)
-SELECT doc_id, count(*) AS n_unsupported FROM a ANTI JOIN b USING (doc_id, term) WHERE term <> '' GROUP BY doc_id""")
+WITH w AS (SELECT doc_id, 'Skills' || chr(10) || split_part(text, chr(10), 1) || chr(10) || 'EXPERIENCE' || substr(text, length(split_part(text, chr(10), 1)) + 1) AS t
+    FROM documents WHERE text IS NOT NULL),
+  n AS (SELECT doc_id, t, unnest(range(len(string_split(t, chr(10))))) AS n FROM w),
+  l AS (SELECT doc_id, n, string_split(t, chr(10))[n + 1] AS line FROM n),
+  h AS (SELECT *, CASE WHEN trim(regexp_replace(lower(regexp_replace(line, '[:#*]', ' ', 'g')), '{_SPACE}', ' ', 'g')) IN ({_in(_SKILLS)}) THEN 1
+      WHEN regexp_matches(line, '^[A-Z][A-Z &/]{{3,40}}$') THEN 0 END AS h FROM l),
+  s AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS skills FROM h),
+  t AS (SELECT doc_id, skills, {_CANONICAL} AS canonical FROM (
+      SELECT doc_id, skills, unnest(string_split_regex(lower(line), '{T.NOT_TERM}')) AS term FROM s WHERE h IS NULL) x
+    LEFT JOIN {_ALIASES} ON a.alias = x.term WHERE term <> '' AND term NOT IN ({_in(sorted(set(matching.FILLER)))})),
+  u AS (SELECT doc_id, canonical FROM t GROUP BY ALL HAVING min(skills) = 1)
+SELECT doc_id, count(*) AS n_unsupported FROM u GROUP BY doc_id""")
 def q07_unsupported_skill(spark, sf_dir):
-    """Terms of the first line without a mention below it."""
-    docs = _documents(spark, sf_dir, "text IS NOT NULL")
-    one = F.substring_index("text", "\n", 1)
-    split = docs.select("doc_id", one.alias("one"), F.expr("substring(text, length(substring_index(text, '\\n', 1)) + 1)").alias("rest"))
-    terms = lambda c: split.select("doc_id", F.explode(F.array_distinct(T.terms(F.col(c)))).alias("term"))
-    return terms("one").join(terms("rest"), ["doc_id", "term"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
+    """Terms of the first line, set under a heading for skills, without a mention below it."""
+    text = F.expr("concat('Skills\\n', substring_index(text, '\\n', 1), '\\nEXPERIENCE', substring(text, length(substring_index(text, '\\n', 1)) + 1))")
+    docs = _documents(spark, sf_dir, "text IS NOT NULL").select("doc_id", text.alias("text"))
+    return matching.unsupported_skills(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
 
 
 @query(f"""
@@ -200,6 +213,7 @@ def q10_block_parity_exact(spark, sf_dir):
     """Documents that have a block as a line of their own."""
     blocks = parity.blocks(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text"))
     lines = _documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(F.transform(F.split("text", "\n"), lambda x: T.squeezed(x)))).alias("text"))
+    lines = lines.join(blocks.select("text").distinct(), "text", "left_semi")  # lines that are no block go before they are counted
     counts = lines.groupBy("text").agg(F.count(F.lit(1)).alias("n_docs"))
     return blocks.join(counts, "text", "left").select(F.col("key").alias("item_id"), "block_no", F.coalesce("n_docs", F.lit(0)).alias("n_docs"))
 
@@ -280,7 +294,7 @@ def q15_first_take(spark, sf_dir):
 @query("""
 WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec FROM events WHERE event_type = 'error')
 SELECT event_id, user_id, count(*) OVER w AS n_recent, count(*) OVER w >= 2 AS locked FROM e
-WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86400 PRECEDING AND CURRENT ROW)""")
+WINDOW w AS (PARTITION BY user_id ORDER BY sec RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW)""")
 def q16_lockout_window(spark, sf_dir):
     """With a day instead of five minutes and two failures instead of eight, as events are sparse."""
     rows = staging.lockouts(_events(spark, sf_dir, "error"), "user_id", "at", 2, 86400)
@@ -350,19 +364,24 @@ def q21_corpus_rollup(spark, sf_dir):
     return rows.rollup("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.count("quality").alias("n_labelled"), F.grouping_id().alias("level"))
 
 
-@query("""
-WITH l AS (SELECT doc_id, text, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM documents WHERE text IS NOT NULL),
-  s AS (SELECT doc_id, line_no, string_split(text, chr(10))[line_no + 1] AS line FROM l),
-  h AS (SELECT *, CASE WHEN length(line) <= 12 THEN line END AS heading FROM s)
-SELECT doc_id, line_no::INT AS line_no, heading IS NOT NULL AS is_heading,
-  last_value(heading IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING) AS section FROM h""")
+_SECTION = " ".join(f"WHEN key IN ({_in(v)}) THEN '{k}'" for k, v in matching.SECTIONS.items())
+
+
+@query(f"""
+WITH w AS (SELECT doc_id, left(split_part(text, chr(10), 1) || chr(10) || '## Nice to have:' || substr(text, length(split_part(text, chr(10), 1)) + 1)
+      || chr(10) || 'Benefits' || chr(10) || split_part(text, chr(10), 1), 60000) AS t FROM documents WHERE text IS NOT NULL),
+  n AS (SELECT doc_id, t, unnest(range(len(string_split(t, chr(10))))) AS line_no FROM w),
+  l AS (SELECT doc_id, line_no, string_split(t, chr(10))[line_no + 1] AS line FROM n),
+  k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(line, '[:#*-]', ' ', 'g'), '{_SPACE}', ' ', 'g'))) AS key FROM l),
+  o AS (SELECT *, CASE {_SECTION} END AS opened FROM k),
+  s AS (SELECT *, coalesce(last_value(opened IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'required') AS section FROM o)
+SELECT doc_id, line_no::INT AS line_no, md5(line) AS line_md5, section FROM s WHERE opened IS NULL AND trim(line, ' ') <> ''""")
 def q22_header_split(spark, sf_dir):
-    """Lines under the short line that precedes them, as a description's lines stand under its headings."""
-    lines = _documents(spark, sf_dir, "text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    heading = F.when(F.length("line") <= 12, F.col("line"))
-    before = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("heading", heading)
-    return rows.select("doc_id", "line_no", F.col("heading").isNotNull().alias("is_heading"), F.last("heading", ignorenulls=True).over(before).alias("section"))
+    """Documents as descriptions: the first line is required, the rest nice to have, and the first again a benefit."""
+    one = "substring_index(text, '\\n', 1)"
+    text = F.expr(f"concat({one}, '\\n## Nice to have:', substring(text, length({one}) + 1), '\\nBenefits\\n', {one})")
+    lines = matching.jd_lines(_documents(spark, sf_dir, "text IS NOT NULL").select(F.col("doc_id").alias("jd_id"), text.alias("text")))
+    return lines.select(F.col("jd_id").alias("doc_id"), "line_no", F.md5("line").alias("line_md5"), "section")
 
 
 _B64 = """
@@ -427,18 +446,77 @@ def q26_verdict_line(spark, sf_dir):
 @query()
 def q27_parse_documents(spark, sf_dir):
     """All documents as text files through the reader, page layout and text extraction."""
-    from docsift.plans import api
-
     files = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.col("text").cast("binary").alias("content"))
     return api.extract(files).select("doc_id", "format", "words", "text")
 
 
 @query("""
 WITH f AS (SELECT user_id, floor(epoch(ts))::BIGINT AS sec FROM events WHERE event_type = 'error'),
-  s AS (SELECT user_id, sec // 3600 - k AS slot FROM f, unnest(range(24)) u(k))
-SELECT user_id, slot * 3600 AS starts, count(*) AS n FROM s GROUP BY ALL""")
+  s AS (SELECT user_id, sec // 17280 - k AS slot FROM f, unnest(range(5)) u(k))
+SELECT user_id, slot * 17280 AS starts, count(*) AS n FROM s GROUP BY ALL""")
 def q28_sliding_failures(spark, sf_dir):
-    """Failures in spans of a day that start every hour."""
-    failed = table(spark, sf_dir, "events").filter("event_type = 'error'")
-    spans = F.window(F.col("ts").cast("timestamp"), "24 hours", "1 hour")
-    return failed.groupBy("user_id", spans.alias("w")).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.unix_seconds("w.start").alias("starts"), "n")
+    """Failures in spans of a day, five of which start within each."""
+    failed = table(spark, sf_dir, "events").filter("event_type = 'error'").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"))
+    return failures_per_span(failed, 86_400).select(F.col("key").alias("user_id"), F.unix_seconds("window.start").alias("starts"), "n")
+
+
+@query("""
+WITH RECURSIVE a AS (
+    SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec, event_type = 'click' AS ok, event_id % 4 = 0 AS expired,
+      row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS k
+    FROM events WHERE event_type IN ('click', 'error')),
+  s AS (
+    SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, 0::BIGINT AS sec, ''::VARCHAR AS outcome, []::BIGINT[] AS failures FROM a
+    UNION ALL
+    SELECT user_id, k, event_id, sec, outcome, CASE outcome WHEN 'refused' THEN list_append(recent, sec) WHEN 'code' THEN [] ELSE recent END
+    FROM (SELECT *, CASE WHEN len(recent) >= 2 THEN 'locked' WHEN expired THEN 'expired' WHEN NOT ok THEN 'refused' ELSE 'code' END AS outcome
+      FROM (SELECT a.*, list_filter(s.failures, lambda x: x > a.sec - 1000000) AS recent FROM s JOIN a ON a.user_id = s.user_id AND a.k = s.k + 1)))
+SELECT event_id, user_id, sec, outcome FROM s WHERE k > 0""")
+def q29_sign_ins(spark, sf_dir):
+    """Clicks as right and errors as wrong passphrases, each fourth of them late; two failures in 1,000,000 seconds lock."""
+    attempts = _events(spark, sf_dir, "click", "error").select(
+        "event_id", F.col("user_id").alias("key"), "at", (F.col("event_type") == "click").alias("ok"),
+        (F.col("at") - F.when(F.col("event_id") % 4 == 0, F.lit(601)).otherwise(F.lit(600))).alias("pending_at"),
+    )
+    rows = staging.sign_ins(attempts, ("event_id",), least=2, seconds=1_000_000)
+    return rows.select("event_id", F.col("key").alias("user_id"), F.col("at").alias("sec"), "outcome")
+
+
+@query("""
+WITH RECURSIVE a AS (
+    SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec, event_type, event_id % 47 AS bytes,
+      row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), CASE event_type WHEN 'view' THEN 1 ELSE 0 END, event_id) AS k
+    FROM events WHERE event_type IN ('view', 'click')),
+  s AS (
+    SELECT DISTINCT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, 'click'::VARCHAR AS event_type, NULL::VARCHAR AS error,
+      []::STRUCT(put_at BIGINT, n BIGINT, id BIGINT)[] AS held FROM a
+    UNION ALL
+    SELECT user_id, k, event_id, event_type, error, CASE WHEN event_type = 'click' THEN list_filter(live, lambda x: x.id <> event_id - 2)
+      WHEN error IS NULL THEN list_append(live, {'put_at': sec, 'n': bytes, 'id': event_id}) ELSE live END
+    FROM (SELECT *, CASE WHEN event_type = 'click' THEN NULL WHEN bytes = 0 THEN 'empty' WHEN bytes > 40 THEN 'too large' WHEN len(live) >= 3 THEN 'too many entries'
+        WHEN coalesce(list_sum(list_transform(live, lambda x: x.n)), 0) + bytes > 60 THEN 'too many bytes' END AS error
+      FROM (SELECT a.*, list_filter(s.held, lambda x: a.sec - x.put_at <= 2000000) AS live FROM s JOIN a ON a.user_id = s.user_id AND a.k = s.k + 1)))
+SELECT event_id, user_id, error FROM s WHERE k > 0 AND event_type = 'view'""")
+def q30_staging_puts(spark, sf_dir):
+    """A store for each user: views are puts, a click takes the entry with the number before the last; small caps, as events are."""
+    events = _events(spark, sf_dir, "view", "click").withColumn("store", F.col("user_id"))
+    bytes_ = (F.col("event_id") % 47).cast("long")
+    puts = events.filter("event_type = 'view'").select("event_id", "store", F.col("event_id").alias("id"), "at", bytes_.alias("bytes"))
+    taken = events.filter("event_type = 'click'").select("store", (F.col("event_id") - 2).alias("id"), "at")
+    rows = staging.put_errors(puts, order=("event_id",), taken=taken, ttl=2_000_000, max_bytes=40, max_entries=3, max_total=60)
+    return rows.select("event_id", F.col("store").alias("user_id"), "error")
+
+
+@query(f"""
+WITH {_JD}, {_DT}, o AS (SELECT item_id AS jd_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark),
+  p AS (SELECT doc_id, jd_id FROM documents JOIN o ON doc_id % n = place),
+  m AS (SELECT p.doc_id, p.jd_id, count(canonical) AS n_terms, count(dt.doc_id) AS n_matched FROM p LEFT JOIN jt USING (jd_id) LEFT JOIN dt USING (doc_id, canonical) GROUP BY ALL)
+SELECT jd_id, doc_id, n_matched, n_terms - n_matched AS n_missing, coalesce(round(n_matched / nullif(n_terms, 0), 6), 0) AS coverage FROM m""")
+def q31_review_pairs(spark, sf_dir):
+    """Every document beside one description; all descriptions take part."""
+    jds = _jds(spark, sf_dir)
+    places = jds.select("jd_id", (F.row_number().over(Window.orderBy("jd_id")) - 1).cast("long").alias("place"))  # descriptions are few
+    docs = _documents(spark, sf_dir)
+    pairs = docs.select("doc_id", (F.col("doc_id") % F.lit(jds.count())).alias("place")).join(places, "place").select("jd_id", "doc_id")
+    rows = api.jd_struct(docs, jds, pairs)
+    return rows.select("jd_id", "doc_id", F.size("jd.matched").cast("long").alias("n_matched"), F.size("jd.missing").cast("long").alias("n_missing"), F.col("jd.coverage_required").alias("coverage"))
