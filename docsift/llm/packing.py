@@ -181,7 +181,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, closing: int = CL
     bases = written(per_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "piece-bases")
     counts = {r.length: r.n for r in bases.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     steps = np.array(sorted(plan(counts, capacity)) or [(0, 0, 0, 0, 0, 1)], dtype=np.int64).T.copy()
-    ranked = pieces.join(bases.select("task", "length", "base"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
+    # there are as many bases as tasks have lengths, which grows with the input: they meet the pieces by a shuffle
+    ranked = pieces.join(bases.select("task", "length", "base").hint("merge"), ["task", "length"]).withColumn("rank", F.col("rank") + F.col("base"))
     out = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     kinds = schema.replace(", task int, rank long", "") + ", sequence_id long, offset long"
     return ranked.select(*out, "rank").mapInArrow(_placed(spark.sparkContext.broadcast(steps)), kinds)
