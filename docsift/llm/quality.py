@@ -227,10 +227,11 @@ def train(features: np.ndarray, labels: np.ndarray, rounds: int = 300, penalty:
 def _examples(belief):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, texts in _batches(batch.column("text")):
+            for a, b, texts in _batches(batch.column("text")):
                 rows = [x.tobytes() for x in texts.features()]
                 labels = belief.value[_pattern(texts.votes())]
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), pa.array(labels)], ["features", "label"])
+                order = batch.column("order").slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([order, pa.array(rows, pa.binary()), pa.array(labels)], ["order", "features", "label"])
 
     return run
 
@@ -274,7 +275,11 @@ class Classifier:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Count votes over all documents, estimate the label model, train on a sample by hash."""
+    """Count votes over all documents, estimate the label model, train on a sample by hash.
+
+    The sample are the ``sample`` rows whose id and text hash lowest among about 1.3 times
+    as many that the hash picks.
+    """
     spark = docs.sparkSession
     counted = docs.select("text").mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     counts = {r.pattern: r.n for r in counted.collect()}  # at most 3 ** labellers rows
@@ -283,7 +288,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     share = min(1.0, 1.3 * sample / max(total, 1))
     order = F.xxhash64("doc_id", "text")
     chosen = docs.select("text", order.alias("order")).filter(F.abs(F.col("order") % 1_000_000) < int(share * 1_000_000) + 1)
-    rows = chosen.select("text").mapInArrow(_examples(spark.sparkContext.broadcast(belief)), "features binary, label double").limit(sample).collect()
+    examples = chosen.mapInArrow(_examples(spark.sparkContext.broadcast(belief)), "order long, features binary, label double")
+    rows = examples.orderBy("order", "features").limit(sample).collect()  # the same rows however the table is partitioned
     features = np.stack([np.frombuffer(r.features, np.float32) for r in rows]) if rows else np.zeros((0, FEATURES + 1), np.float32)
     weights, intercept = train(features, np.array([r.label for r in rows]))
     accuracies = {name: (float(table[0, i, 1]), float(table[1, i, 2])) for i, name in enumerate(LABELLERS)}

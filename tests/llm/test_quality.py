@@ -66,3 +66,47 @@ def test_label_model_recovers_planted_accuracies():
     assert abs(share - 0.2) < 0.03
     assert np.abs(table[1, :, 2] - knows).max() < 0.05
     assert ((belief[q._pattern(says)] > 0.5) == junk).mean() > 0.97
+
+
+def plain_em(votes, rounds=200):
+    """Expectation-maximisation over single documents, vote by vote."""
+    n, m = votes.shape
+    belief = [0.9 if 2 in row else 0.1 for row in votes.tolist()]
+    for _ in range(rounds):
+        junk = []  # for each class and labeller, how often a vote is for junk
+        for weight in ([1 - b for b in belief], belief):
+            junk.append([])
+            for j in range(m):
+                said = {v: 0.1 + sum(w for w, row in zip(weight, votes, strict=True) if row[j] == v) for v in (1, 2)}
+                junk[-1].append(said[2] / (said[1] + said[2]))
+        junk[0] = [min(x, q.FALSE_ALARMS) for x in junk[0]]
+        junk[1] = [min(max(x, 10 * q.FALSE_ALARMS), q.MOST_KNOWN) for x in junk[1]]
+        share = (sum(belief) + 1) / (n + 2)
+        after = []
+        for row in votes:
+            odds = share / (1 - share)
+            for j, v in enumerate(row):
+                if v:
+                    odds *= (junk[1][j] if v == 2 else 1 - junk[1][j]) / (junk[0][j] if v == 2 else 1 - junk[0][j])
+            after.append(odds / (1 + odds))
+        done = max(abs(a - b) for a, b in zip(after, belief, strict=True)) < 1e-9
+        belief = after
+        if done:
+            break
+    return belief
+
+
+def test_label_model_matches_brute_force():
+    rng = np.random.default_rng(5)
+    junk = rng.random(300) < 0.3
+    knows = np.array([0.5, 0.4, 0.3, 0.5, 0.2, 0.4, 0.3])
+    says = np.where(rng.random((300, 7)) < 0.3, 0, np.where(junk[:, None] & (rng.random((300, 7)) < knows), 2, 1))
+    pattern, n = np.unique(q._pattern(says), return_counts=True)
+    belief, _, _ = q.expectation_maximisation(dict(zip(pattern.tolist(), n.tolist(), strict=True)))
+    assert np.allclose(belief[q._pattern(says)], plain_em(says), atol=1e-6)
+
+
+def test_sample_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    one, two = q.fit(docs.coalesce(1), 300), q.fit(docs.repartition(7), 300)
+    assert np.array_equal(one.weights, two.weights) and one.intercept == two.intercept
