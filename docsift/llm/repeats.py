@@ -282,25 +282,34 @@ def _recut(block: int, kinds: tuple[Windows, ...]):
 
 
 def _judged(rows: DataFrame) -> DataFrame:
-    """One row per (core, hull) of cores that occur twice, with how often and one example.
+    """(core, hull, again, alive) of cores that occur twice; where pieces are is not carried along.
 
     ``again``: the hull occurs twice, its windows are repeated. ``alive``: another pass
-    must look at the example, as the core also has a hull that occurs once.
+    must look at one such piece, as the core also has a hull that occurs once.
     """
-    seen = rows.select("row_id", F.inline("pieces"))
-    example = [F.first(c).alias(c) for c in ("row_id", "place", "s1", "s2")]  # primitives of one and the same row
-    hulls = seen.groupBy("core", "hull").agg(F.sum("n").alias("n"), *example)
+    hulls = rows.select(F.inline("pieces")).groupBy("core", "hull").agg(F.sum("n").alias("n"))
     cores = hulls.groupBy("core").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("all > 1")
-    return hulls.join(cores, "core").select(
-        "core", "hull", "row_id", "place", "s1", "s2", (F.col("n") > 1).alias("again"), (F.col("least") == 1).alias("alive")
-    )
+    return hulls.join(cores, "core").select("core", "hull", (F.col("n") > 1).alias("again"), (F.col("least") == 1).alias("alive"))
+
 
+def _passed(rows: DataFrame, single: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """What a pass over pieces finds.
 
-def _marks(rows: DataFrame, judged: DataFrame) -> DataFrame:
-    """(row_id, kind, s1, s2): starts of windows that a pass has found to be repeated."""
-    twice = judged.filter("again").select("core", "hull")
-    found = rows.select("row_id", F.inline("pieces")).join(twice, ["core", "hull"], "left_semi").select("row_id", _kind().alias("kind"), "s1", "s2")
-    return found.unionByName(rows.select("row_id", F.inline("marks")))
+    (row_id, kind, s1, s2): starts of windows that are repeated, but for rows that are not
+    ``single``; and (row_id, kind, place, s1, s2) of the pieces that are still open.
+    """
+    judged = written(_judged(rows), f"{tag}-judged")
+    pieces = rows.select("row_id", F.inline("pieces")).select("row_id", "core", "hull", "place", "s1", "s2")
+    found = written(pieces.join(judged, ["core", "hull"]), f"{tag}-found")
+    discard(judged)
+    marks = found.filter("again").select("row_id", _kind().alias("kind"), "s1", "s2").unionByName(rows.select("row_id", F.inline("marks")))
+    marks = written(marks.join(single, "row_id", "left_semi"), f"{tag}-marks")
+    opened = ["row_id", _kind().alias("kind"), "place", "s1", "s2"]
+    example = [F.first(c).alias(c) for c in ("row_id", "place", "s1", "s2")]  # primitives of one and the same row
+    twice = found.filter("alive AND again").groupBy("core", "hull").agg(*example).select(*opened)
+    alive = written(found.filter("alive AND NOT again").select(*opened).unionByName(twice), f"{tag}-open")
+    discard(found)
+    return marks, alive
 
 
 def _kind() -> Column:
@@ -377,12 +386,9 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     # full: units of a text that stands in two rows, for each kind that it has a window of
     fates = written(rows.select("row_id", "doc_id", "digest", "n_bytes", full.alias("full"), F.col("copies").isNotNull().alias("whole")), "repeats-fates")
 
-    level = facts.select("row_id", "pieces", "marks")
-    judged = written(_judged(level), "repeats-judged")
     single = fates.filter("NOT whole").select("row_id")
-    marks = written(_marks(level, judged).join(single, "row_id", "left_semi"), "repeats-marks")
-    opened = [_kind().alias("kind"), "row_id", "place", "s1", "s2"]
-    alive = judged.filter("alive").select(*opened)
+    marks, alive = _passed(facts.select("row_id", "pieces", "marks"), single, "repeats-pass")
+    discard(facts)
     wanted = alive.select("row_id").unionByName(marks.select("row_id")).distinct()
     named = fates.join(wanted, "row_id", "left_semi").select("row_id", F.col("doc_id").alias("id"), F.col("digest").alias("d"))
     hashed = texts.withColumn("digest", F.unhex(F.sha2(F.col("text"), 256)))
@@ -393,12 +399,11 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     for number, block in enumerate(b for b in PASSES if b < min(k.width for k in kinds)):  # else the windows of a block share nothing
         lists = alive.groupBy("row_id").agg(F.collect_list(F.struct("kind", "place", "s1", "s2")).alias("pieces"))
         cuts = kept.join(lists, "row_id").select("row_id", "text", "pieces")
+        level = written(cuts.mapInArrow(_recut(block, kinds), f"row_id long, pieces {piece}, marks {mark}"), f"repeats-cuts{number}")
+        discard(alive)
+        more_marks, alive = _passed(level, single, f"repeats-pass{number}")
+        found.append(more_marks)
         discard(level)
-        level = written(cuts.mapInArrow(_recut(block, kinds), f"row_id long, pieces {piece}, marks {mark}"), f"repeats-pass{number}")
-        before, judged = judged, written(_judged(level), "repeats-judged")
-        discard(before)
-        found.append(written(_marks(level, judged).join(single, "row_id", "left_semi"), "repeats-marks"))
-        alive = judged.filter("alive").select(*opened)
     marks = found[0]
     for another in found[1:]:
         marks = marks.unionByName(another)
