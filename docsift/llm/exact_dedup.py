@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docsift.llm.fates import staying, text_key
 from docsift.scratch import written
 
 #: Removed before texts are compared.
@@ -122,22 +123,27 @@ def decisions(docs: DataFrame, phi: float = PHI, counters: int = COUNTERS) -> Da
 
 
 def drop_copies(docs: DataFrame, phi: float = PHI, counters: int = COUNTERS) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns.
+    """The rows of ``docs`` that stay, with all their columns, whatever their names.
 
-    Rows of a frequent digest that are not its winner go before any shuffle; repeated
-    winners (the same id and text again) are reduced by partial aggregation.
+    Who stays is settled on narrow rows, written once; texts are hashed for it in one pass
+    and meet the verdicts in another. Of rows with equal id and text one stays.
     """
-    columns = docs.columns
-    whole = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("whole")
-    rows = docs.select(
-        whole,
-        F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
-        F.struct(F.length(F.coalesce("text", F.lit(""))).alias("chars"), (-F.col("doc_id")).alias("neg_id")).alias("rank"),
+    facts = written(
+        docs.select(
+            "doc_id",
+            text_key().alias("key"),
+            F.length(F.coalesce("text", F.lit(""))).cast("long").alias("chars"),
+            F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
+        ),
+        "exact-facts",
     )
-    facts = rows.select("digest", "rank")
-    best = winners(facts, frequent_keys(facts, "digest", phi, counters), "digest", F.col("rank"))
-    marked = rows.join(F.broadcast(written(best, "exact-winners")), "digest", "left")
-    hot = marked.filter(F.col("w_rank").isNotNull() & (F.col("rank") == F.col("w_rank"))).dropDuplicates(["digest"])
-    place = F.row_number().over(Window.partitionBy("digest").orderBy(F.col("rank").desc()))
-    rare = marked.filter(F.col("w_rank").isNull()).withColumn("place", place).filter("place = 1")
-    return hot.select("whole").unionByName(rare.select("whole")).select("whole.*")
+    rank = F.struct("chars", (-F.col("doc_id")).alias("neg_id"), "key")
+    facts = facts.withColumn("rank", rank)
+    best = written(winners(facts, frequent_keys(facts, "digest", phi, counters), "digest", F.col("rank")), "exact-winners")
+    marked = facts.join(F.broadcast(best), "digest", "left")  # as many as frequent_keys may find
+    group = Window.partitionBy("digest")
+    rare = marked.filter(F.col("w_size").isNull()).withColumns({"size": F.count(F.lit(1)).over(group), "best": F.max("rank").over(group)}).filter("size > 1")
+    hot = marked.filter(F.col("w_size").isNotNull())
+    judged = hot.select("doc_id", "key", (F.col("rank") == F.col("w_rank")).alias("stays")).unionByName(rare.select("doc_id", "key", (F.col("rank") == F.col("best")).alias("stays")))
+    fate = judged.groupBy(F.col("doc_id").alias("id"), "key", "stays").agg(F.count(F.lit(1)).alias("n"))
+    return staying(docs, fate, "exact-fate")

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docsift.llm.components import components
+from docsift.llm.fates import staying, text_key
 from docsift.llm.simhash import BKTree
 from docsift.scratch import discard, written
 
@@ -227,7 +228,7 @@ def _links(least: float):
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return docs.select("doc_id", "text", text_key().alias("digest"))
 
 
 def _facts_of(docs: DataFrame, shingle: int) -> DataFrame:
@@ -314,12 +315,5 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, least: float = LEA
     rows = rows.groupBy("doc_id", "digest", F.coalesce("root", "node").alias("root")).agg(F.count(F.lit(1)).alias("n"))
     rows = written(rows.withColumn("rank", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")), "near-rows")
     best = rows.groupBy("root").agg(F.min("rank").alias("best"), F.sum("n").alias("all")).filter("all > 1")
-    fate = rows.join(best, "root").select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("rank").eqNullSafe(F.col("best")).alias("stays"), "n")
-    fate = written(fate.filter("NOT stays OR n > 1"), "near-fate")
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    texts = docs.select(whole, F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own"))
-    judged = texts.join(fate, (F.col("own") == F.col("d")) & F.col("own_id").eqNullSafe(F.col("id")), "left").filter("stays IS NOT FALSE")
-    if not fate.filter("stays").limit(1).count():
-        return judged.select("whole.*")  # no row that stays is repeated, so the texts need not be dealt out a second time
-    again = judged.filter("stays").dropDuplicates(["own_id", "own"])
-    return judged.filter("stays IS NULL").unionByName(again).select("whole.*")
+    fate = rows.join(best, "root").select(F.col("doc_id").alias("id"), F.col("digest").alias("key"), F.col("rank").eqNullSafe(F.col("best")).alias("stays"), "n")
+    return staying(docs, fate, "near-fate")
