@@ -14,7 +14,8 @@ A tokenizer file fixes vocabulary, merges and added tokens; this module runs fil
 normaliser is NFC, white space to a space, lower case, and whose pre-tokenizer splits by
 one pattern and maps bytes to letters. Other files are refused.
 
-Defined results: null counts as empty, which has no tokens and decodes to empty text.
+Defined results: null counts as empty, which has no tokens and decodes to empty text;
+repeated rows each get a row; an empty table gives an empty result.
 """
 
 from __future__ import annotations

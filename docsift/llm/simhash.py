@@ -216,7 +216,7 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, most:
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The row of each group that stays (its smallest doc_id), with all columns of ``docs``.
+    """The row of each group that stays (its smallest doc_id), with all columns of ``docs``, whatever their names.
 
     Rows that repeat the id of the one that stays are reduced to one. A group in which
     all ids are null keeps its rows.
@@ -225,10 +225,11 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADI
     fate = found.groupBy("doc_id").agg(
         F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), (F.count(F.lit(1)) > 1).alias("again")
     )
-    fate = written(fate, "simhash-fate")
-    columns = [F.col(f"docs.`{c}`") for c in docs.columns]
-    judged = docs.alias("docs").join(fate.alias("fate"), "doc_id", "left").filter("stays IS NOT FALSE")
+    fate = written(fate.withColumnRenamed("doc_id", "id"), "simhash-fate")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    rows = docs.select(whole, F.col("doc_id").alias("own_id"))
+    judged = rows.join(fate, F.col("own_id") == F.col("id"), "left").filter("stays IS NOT FALSE")
     if not fate.filter("again").limit(1).count():
-        return judged.select(*columns)  # no id repeats, so the texts need not be dealt out a second time
-    once = judged.filter("again IS NOT TRUE").select(*columns)
-    return once.unionByName(judged.filter("again").select(*columns).dropDuplicates(["doc_id"]))
+        return judged.select("whole.*")  # no id repeats, so the texts need not be dealt out a second time
+    again = judged.filter("again").dropDuplicates(["own_id"])
+    return judged.filter("again IS NOT TRUE").unionByName(again).select("whole.*")

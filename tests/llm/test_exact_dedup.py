@@ -50,6 +50,14 @@ def test_drop_copies_keeps_one_row_of_each_text(spark):
         assert sorted(repr(tuple(r)) for r in clean.collect()) == want
 
 
+def test_drop_copies_with_clashing_names(spark):
+    names = "doc_id long, text string, key string, stays string, id string, whole string, digest string, rank string, w_rank string, chars string"
+    rows = [(3, "a b c", *"12345678"), (1, "a  bc", *"abcdefgh"), (1, "a  bc", *"abcdefgh"), (9, "another", *"ijklmnop")]
+    got = ed.drop_copies(spark.createDataFrame(rows, names))
+    assert got.columns == [n.split()[0] for n in names.split(", ")]
+    assert sorted(map(tuple, got.collect())) == [rows[1], rows[3]]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert ed.decisions(docs).count() == 0

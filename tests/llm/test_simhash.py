@@ -72,6 +72,14 @@ def test_drop_near_copies(spark):
     assert sh.drop_near_copies(empty).count() == 0
 
 
+def test_drop_near_copies_with_clashing_names(spark):
+    names = "doc_id long, text string, stays string, again string, id string, whole string, own_id string"
+    for again in (0, 1):
+        rows = [(3, "a b c d e", *"12345"), (1, "A b c d e", *"abcde"), (9, "quite another text here", *"vwxyz")]
+        got = sh.drop_near_copies(spark.createDataFrame(rows + rows[1:2] * again, names))
+        assert sorted(map(tuple, got.collect())) == rows[1:]
+
+
 def test_tree_finds_what_brute_force_finds():
     rng = random.Random(7)
     centre = rng.getrandbits(64)
