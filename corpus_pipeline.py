@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and
 returns a DataFrame; :func:`run` writes it to the shared folder and reads it back as the
-next stage's ``docs``. All but the last return the columns of ``documents``.
+next stage's ``docs``. All but the last return the columns of ``documents``, and further
+columns, whatever their names, as they are. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ from docsift.session import ship
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go; null and blank texts stay, repeated rows are judged alike."""
     ship(spark)
     return quality.keep_good(docs)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays: the longest, then the smallest doc_id (null last).
+
+    White space does not count, null texts count as empty, and of rows that repeat one stays.
+    """
     ship(spark)
     return exact_dedup.drop_copies(docs)
 
@@ -47,7 +51,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the remaining texts in sequences of 4096 tokens."""
+    """Pieces of the remaining texts in sequences of 4096 tokens; null and empty texts are their closing token."""
     ship(spark)
     return packing.pack(docs, tokenizer_path())
 
