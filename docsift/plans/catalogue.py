@@ -443,7 +443,9 @@ def q26_verdict_line(spark, sf_dir):
     return rows.select("doc_id", report.verdict_line(*[F.col(c) for c in ("passed", "score", "n_pass", "n_fail", "n_skip")]).alias("line"))
 
 
-@query()
+@query(r"""
+SELECT doc_id, 'text' AS format, len(regexp_extract_all(text, '[^ \t\n\x0b\f\r]+')) AS words, regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '^' || chr(65279), '') AS text
+FROM documents WHERE text <> ''""")
 def q27_parse_documents(spark, sf_dir):
     """All documents as text files through the reader, page layout and text extraction."""
     files = _documents(spark, sf_dir).select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.col("text").cast("binary").alias("content"))

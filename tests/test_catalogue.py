@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from docsift.plans import catalogue
+from docsift.plans import catalogue, rendered  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
