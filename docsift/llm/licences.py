@@ -4,8 +4,11 @@ A generalised suffix automaton holds every run of words of every template. A tex
 streamed through it: after each word the state tells the longest run of words ending
 there that some template has. A run that cannot be continued is a match; long matches
 of one template are chained in order, and what part of the template they cover decides
-on its label. Apart from that, the base phrases are found wherever their words stand
-consecutively.
+on its label. Of wordings that overlap, the one that covers more stays. Apart from that,
+the base phrases are found wherever their words stand consecutively.
+
+The score grades the evidence: the greatest share of a wording that is covered, and
+``MENTION`` for a base phrase, put together as independent grounds.
 
 Words are runs of letters and digits as ``WORD`` has them, after lower-casing A-Z.
 
@@ -65,10 +68,63 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
         " granted, provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "as-is-text": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE"
+        " WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR"
+        " COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR"
+        " OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "bsd-3-clause-text": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+        " derived from this software without specific prior written permission."
+    ),
+    "apache-2.0-header-text": (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the"
+        " License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
+    ),
+    "gpl-2.0-text": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public"
+        " License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later"
+        " version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the"
+        " implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "agpl-3.0-text": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General"
+        " Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any"
+        " later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even"
+        " the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "lgpl-2.1-text": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General"
+        " Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option)"
+        " any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without"
+        " even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."
+    ),
+    "mpl-2.0-text": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not"
+        " distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."
+    ),
+    "unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use,"
+        " compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose,"
+        " commercial or non-commercial, and by any means."
+    ),
+    "zlib-text": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable"
+        " for any damages arising from the use of this software. Permission is granted to anyone to use this software for any"
+        " purpose, including commercial applications, and to alter it and redistribute it freely."
+    ),
+    "boost-1.0-notice": "Distributed under the Boost Software License, Version 1.0",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "lgpl-3.0-notice": "licensed under the GNU Lesser General Public License, version 3",
+    "agpl-3.0-notice": "licensed under the GNU Affero General Public License, version 3",
+    "cc0-1.0-notice": "dedicated to the public domain under CC0 1.0",
 }
 #: Words of a match that is chained, share of a template that its chain must cover, and
 #: words that may stand between two matches of a chain.
 LEAST_MATCH, LEAST_COVER, LARGEST_GAP = 4, 0.8, 12
+#: What a base phrase alone adds to the score: it may be mentioned without being granted.
+MENTION = 0.5
 #: Words looked at together.
 BLOCK = 1 << 18
 
@@ -174,6 +230,7 @@ class Scanner:
         known = sorted({w for ws in [*cut.values(), *(p for p, _ in self.phrases)] for w in ws})
         self.ids = {w: i + 1 for i, w in enumerate(known)}
         self.names = list(cut)
+        self.index = {name: t for t, name in enumerate(self.names)}
         self.sequences = [[self.ids[w] for w in ws] for ws in cut.values()]
         self.phrase_ids = [([self.ids[w] for w in ws], label) for ws, label in self.phrases]
         self.automaton = SuffixAutomaton()
@@ -206,7 +263,28 @@ class Scanner:
         out = []
         for t, found in by_template.items():
             out += self._chains(t, sorted(found))
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+        return self._settled(sorted(out, key=lambda x: (x[1], x[2], x[0])))
+
+    def _settled(self, spans: list[tuple[str, int, int, float]]) -> list[tuple[str, int, int, float]]:
+        """Without spans of which another, that covers more, takes half: kindred wordings differ in a word or two."""
+        strength = [(round(cover * len(self.sequences[self.index[name]])), cover) for name, _, _, cover in spans]
+        longest = max((stop - first for _, first, stop, _ in spans), default=0)
+        out = []
+        low = 0
+        for i, (_, first, stop, _) in enumerate(spans):
+            while spans[low][1] + longest <= first:
+                low += 1
+            beaten = False
+            for j in range(low, len(spans)):
+                _, a, b, _ = spans[j]
+                if a >= stop:
+                    break
+                if strength[j] > strength[i] and 2 * (min(b, stop) - max(a, first)) >= stop - first:
+                    beaten = True
+                    break
+            if not beaten:
+                out.append(spans[i])
+        return out
 
     def _chains(self, t: int, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
         """Chains of matches (text first, text stop, template first) rising in text and template."""
@@ -246,7 +324,7 @@ class Scanner:
             "last_word": max(starts, default=None),
             "base_labels": ",".join(base),
             "labels": ",".join(labels),
-            "score": 1.0 if places else cover,  # a phrase that stands there is covered in full
+            "score": 1 - (1 - cover) * (1 - MENTION * bool(places)),
             "spans": [{"template": n, "first": a, "stop": b, "cover": c} for n, a, b, c in spans],
         }
 

@@ -85,6 +85,40 @@ def test_templates_are_found_with_small_changes():
     assert one.scan(b"permission is hereby granted to the free software of this program")["labels"] == ""
 
 
+def test_kindred_wordings_are_told_apart():
+    one = lc.scanner()
+    for name, text in lc.TEMPLATES.items():
+        labels = {x["template"] for x in one.scan(f"{text} {text}".encode())["spans"]}
+        assert labels - {"apache-2.0-notice"} <= {name}, (name, labels)
+    both = one.scan(f"{lc.TEMPLATES['gpl-text']} And: {lc.TEMPLATES['agpl-3.0-text']}".encode())
+    assert [x["template"] for x in both["spans"]] == ["gpl-text", "agpl-3.0-text"]
+
+
+def test_settled_spans_against_brute_force():
+    rng = random.Random(4)
+    one = lc.scanner()
+    size = [len(s) for s in one.sequences]
+    for _ in range(200):
+        spans = []
+        for _ in range(rng.randrange(12)):
+            a = rng.randrange(60)
+            spans.append((rng.choice(one.names), a, a + rng.randrange(1, 40), rng.choice([0.8, 0.9, 1.0])))
+        spans.sort(key=lambda x: (x[1], x[2], x[0]))
+        force = [(round(c * size[one.index[n]]), c) for n, _, _, c in spans]
+        shared = lambda x, y: min(x[2], y[2]) - max(x[1], y[1])
+        want = [x for x, f in zip(spans, force, strict=True) if not any(g > f and 2 * shared(x, y) >= x[2] - x[1] for y, g in zip(spans, force, strict=True))]
+        assert one._settled(spans) == want
+
+
+def test_score_grades_the_evidence():
+    score = lambda text: lc.scanner().scan(text.encode())["score"]
+    assert score("nothing of the kind") == 0
+    assert score("they spoke of the MIT license") == lc.MENTION
+    assert score(lc.TEMPLATES["zlib-text"]) == 1
+    words = lc.TEMPLATES["zlib-text"].split()
+    assert 0.8 <= score(" ".join(words[:-6])) < 1
+
+
 def test_plain_prose_has_no_labels():
     rng = np.random.default_rng(2)
     words = [w.decode() for w in lc.scanner().ids]
