@@ -5,7 +5,7 @@
    junk texts, and the share of junk. The votes' patterns are counted over all documents
    (at most ``3 ** labellers`` counts, whatever the input), which is all that it needs.
 3. The posterior of each pattern labels a bounded sample (``SAMPLE`` rows) on which a
-   logistic scorer over hashed character-shape trigrams is trained.
+   logistic scorer over hashed character-shape trigrams and hashed words is trained.
 4. The scorer judges every document; those likelier junk than not are rejected.
 
 Defined results: null counts as empty; a text without words gets no votes and only the
@@ -25,12 +25,20 @@ from pyspark.sql import functions as F
 from docsift.llm._columns import raw_text, slices
 from docsift.llm.repeats import Rolling
 
-#: Documents on which the scorer is trained at most, and hashed features.
-SAMPLE, FEATURES = 4096, 2048
+#: Documents on which the scorer is trained at most, and features: of hashed trigrams, of
+#: hashed words, and the share of words that repeat the one before.
+SAMPLE, TRIGRAMS, WORDS = 4096, 2048, 2048
+REPEATED = TRIGRAMS + WORDS
+FEATURES = REPEATED + 1
+#: Words added to a text's own when shares of words are taken, so that a few words prove little.
+DAMPING = 50
+#: Least deviation that a feature is scaled by: trigrams and words. Rare words stay small.
+LEAST_DEVIATION, LEAST_WORD_DEVIATION = 1e-3, 2e-2
 STEP_BYTES = 1 << 19
-#: Bounds of the label model: share of clean texts for which a labeller votes junk at most,
-#: and of junk texts at most, as no labeller is thought to know most kinds of junk.
-FALSE_ALARMS, MOST_KNOWN = 0.0002, 0.6
+#: Words within which a pair of words counts as recurring, however long a text is.
+NEAR = 256
+#: Votes of either kind that the label model adds to each class and labeller.
+ADDED = 0.1
 
 #: Classes of bytes: letters by case, digits, blanks, line ends; other ASCII stands for itself.
 _LOWER, _UPPER, _DIGIT, _BLANK, _LINE = 1, 2, 3, 4, 5
@@ -55,9 +63,7 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 SHAPES = 64
 #: Where each of the SHAPES ** 3 trigrams of classes hashes to.
-SLOT = ((np.arange(SHAPES**3, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % FEATURES
-#: Behind the hashed features: share of words that repeat the one before.
-REPEATED = FEATURES
+SLOT = ((np.arange(SHAPES**3, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % TRIGRAMS
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -66,6 +72,19 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _recurring(hashes: np.ndarray, text_no: np.ndarray, texts: int) -> np.ndarray:
+    """For each text, how many of its word pairs stood there within the last ``NEAR`` words."""
+    if len(hashes) < 2:
+        return np.zeros(texts)
+    inside = text_no[1:] == text_no[:-1]
+    at = np.flatnonzero(inside)
+    pair = hashes[:-1][inside] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:][inside]
+    order = np.lexsort((at, pair))
+    again = np.zeros(len(at), bool)
+    again[1:] = (pair[order][1:] == pair[order][:-1]) & (np.diff(at[order]) <= NEAR) & (text_no[at[order]][1:] == text_no[at[order]][:-1])
+    return np.bincount(text_no[at[order[again]]] - 1, minlength=texts).astype(np.float64)
+
+
 class Batch:
     """What labellers and scorer read off the texts of a slice."""
 
@@ -96,8 +115,12 @@ class Batch:
         same = np.zeros(len(data), bool)
         if len(starts) > 1:
             same[starts[1:]] = hashes[1:] == hashes[:-1]
-        same[starts[np.r_[True, np.diff(np.searchsorted(offsets, starts, side="right")) > 0]] if len(starts) else []] = False
+        text_no = np.searchsorted(offsets, starts, side="right")
+        same[starts[np.r_[True, np.diff(text_no) > 0]] if len(starts) else []] = False
         self.repeated = count(same)
+        self.word_slots = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % WORDS + TRIGRAMS
+        self.word_edges = np.searchsorted(starts, offsets)
+        self.recurring = _recurring(hashes, text_no, len(offsets) - 1)
 
     def votes(self) -> np.ndarray:
         """Rows of votes: 0 none, 1 clean, 2 junk; a column for each of LABELLERS."""
@@ -109,6 +132,7 @@ class Batch:
                 _vote(self.upper / letters, 0.20, 0.50, letters >= 20),
                 _vote(self.bangs / words, 0.05, 0.30, self.words >= 5),
                 _vote(self.repeated / words, 0.05, 0.20, self.words >= 5),
+                _vote(self.recurring / words, 0.10, 0.40, self.words >= 5),
                 _vote(self.pipes / words, 0.02, 0.15, self.words >= 5),
                 _vote(self.decorated / words, 0.05, 0.30, self.words >= 5),
                 _vote(np.abs(self.dense / words - 7), 4, 13, self.words >= 5),
@@ -116,15 +140,15 @@ class Batch:
             axis=1,
         )
 
-    def features(self) -> np.ndarray:
-        """Share of each hashed trigram in each text, and of repeated words."""
-        out = np.zeros((len(self.words), FEATURES + 1), np.float32)
-        at = self.trigrams()
-        for i, (a, b) in enumerate(zip(self.offsets, self.offsets[1:], strict=False)):
-            if b - a > 2:
-                out[i, :FEATURES] = np.bincount(SLOT[at[a : b - 2]], minlength=FEATURES) / (b - a - 2)
-        out[:, REPEATED] = self.repeated / np.maximum(self.words, 1)
-        return out
+    def features(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text the places of its features that are not 0, rising, and their values."""
+        at = SLOT[self.trigrams()]
+        repeated = self.repeated / np.maximum(self.words, 1)
+        edges = zip(self.offsets, self.offsets[1:], self.word_edges, self.word_edges[1:], repeated, strict=False)
+        for a, b, first, stop, again in edges:
+            found = [np.unique(at[a : max(a, b - 2)], return_counts=True), np.unique(self.word_slots[first:stop], return_counts=True)]
+            values = [found[0][1] / max(b - a - 2, 1), found[1][1] / (stop - first + DAMPING), [again]]
+            yield np.concatenate([found[0][0], found[1][0], [REPEATED]]).astype(np.uint16), np.concatenate(values).astype(np.float32)
 
     def trigrams(self) -> np.ndarray:
         k = self.kind.astype(np.int32)
@@ -138,10 +162,13 @@ class Batch:
         values[len(at) + 1 :] = values[len(at)]
         a, b = self.offsets[:-1], np.maximum(self.offsets[1:] - 2, self.offsets[:-1])
         share = (values[b] - values[a]) / np.maximum(b - a, 1)
+        words = np.zeros(len(self.word_slots) + 1)
+        np.cumsum(weights[self.word_slots], out=words[1:])
+        share += np.diff(words[self.word_edges]) / (np.diff(self.word_edges) + DAMPING)
         return share + weights[REPEATED] * self.repeated / np.maximum(self.words, 1) + intercept
 
 
-LABELLERS = ("symbols", "capitals", "exclamations", "repeated words", "table bars", "decorated words", "word length")
+LABELLERS = ("symbols", "capitals", "exclamations", "repeated words", "recurring pairs", "table bars", "decorated words", "word length")
 
 
 def _vote(value: np.ndarray, clean: float, junk: float, sure: np.ndarray) -> np.ndarray:
@@ -171,10 +198,8 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = len(LABELL
     """Posterior of junk for every pattern, P(vote | class, labeller), share of junk.
 
     Starts from the belief that a text with a vote for junk is junk. A labeller that gives
-    no vote says nothing. Votes for junk are made at thresholds that clean text hardly
-    reaches, so their share among clean texts is held at or below ``FALSE_ALARMS``, and
-    that among junk texts at or below ``MOST_KNOWN``; without these bounds, a kind of junk
-    that only one labeller knows would pass as clean.
+    no vote says nothing. Each kind of junk is known to two labellers or more, so what one
+    of them says alone counts for less than what several agree on; no estimate is bounded.
     """
     patterns = np.arange(3**labellers)
     votes = patterns[:, None] // 3 ** np.arange(labellers) % 3
@@ -187,11 +212,8 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = len(LABELL
         before = belief
         for c, weight in enumerate((n * (1 - belief), n * belief)):
             for v in (1, 2):
-                table[c, :, v] = weight @ (votes == v) + 0.1
+                table[c, :, v] = weight @ (votes == v) + ADDED
             table[c, :, 1:] /= table[c, :, 1:].sum(axis=1, keepdims=True)
-        table[0, :, 2] = np.minimum(table[0, :, 2], FALSE_ALARMS)
-        table[1, :, 2] = np.clip(table[1, :, 2], 10 * FALSE_ALARMS, MOST_KNOWN)
-        table[:, :, 1] = 1 - table[:, :, 2]
         share = (n @ belief + 1) / (n.sum() + 2)
         said = np.log(np.where(votes[None] == 0, 1.0, table[:, np.arange(labellers), votes]))
         logs = said.sum(axis=2)
@@ -202,33 +224,41 @@ def expectation_maximisation(counts: dict[int, int], labellers: int = len(LABELL
     return belief, table, share
 
 
-def train(features: np.ndarray, labels: np.ndarray, rounds: int = 300, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by accelerated gradient steps."""
+def train(features: np.ndarray, labels: np.ndarray, rounds: int = 300, penalty: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by accelerated gradient steps; ``features`` are scaled in place."""
     if not len(labels):
-        return np.zeros(FEATURES + 1), 0.0
-    scale = 1 / np.maximum(features.std(axis=0), 1e-3)
-    x = np.c_[features * scale, np.ones(len(features), np.float32)].astype(np.float32)
+        return np.zeros(FEATURES), 0.0
+    n, width = features.shape
+    mean = features.mean(axis=0, dtype=np.float64)
+    deviation = np.sqrt(np.maximum(np.einsum("ij,ij->j", features, features) / n - mean**2, 0))
+    least = np.full(width, LEAST_DEVIATION)
+    least[TRIGRAMS:REPEATED] = LEAST_WORD_DEVIATION
+    scale = (1 / np.maximum(deviation, least)).astype(np.float32)
+    x = features
+    x *= scale
     labels = labels.astype(np.float32)
-    v = np.ones(x.shape[1], np.float32)
+    v, b = np.ones(width, np.float32), np.float32(1)
     for _ in range(30):  # the steepest direction, by power iteration
-        v = x.T @ (x @ v)
-        steepest = np.linalg.norm(v)
-        v /= steepest
-    step = 1 / (0.3 * steepest / len(x) + penalty)
-    w = v = np.zeros(x.shape[1], np.float32)
+        y = x @ v + b
+        v, b = x.T @ y, y.sum()
+        steepest = np.sqrt(v @ v + b * b)
+        v, b = v / steepest, b / steepest
+    step = 1 / (0.3 * steepest / n + penalty)
+    w = v = np.zeros(width, np.float32)
+    c = b = np.float32(0)
     for k in range(rounds):
-        error = 1 / (1 + np.exp(-np.clip(x @ v, -60, 60))) - labels
-        slope = x.T @ error / len(x) + penalty * np.r_[v[:-1], np.float32(0)]
-        w, old = (v - step * slope).astype(np.float32), w
-        v = (w + k / (k + 3) * (w - old)).astype(np.float32)
-    return w[:-1] * scale, float(w[-1])
+        error = 1 / (1 + np.exp(-np.clip(x @ v + b, -60, 60))) - labels
+        w, old = (v - step * (x.T @ error / n + penalty * v)).astype(np.float32), w
+        c, before = np.float32(b - step * error.mean()), c
+        v, b = (w + k / (k + 3) * (w - old)).astype(np.float32), np.float32(c + k / (k + 3) * (c - before))
+    return (w * scale).astype(np.float64), float(c)
 
 
 def _examples(belief):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, texts in _batches(batch.column("text")):
-                rows = [x.tobytes() for x in texts.features()]
+                rows = [at.tobytes() + values.tobytes() for at, values in texts.features()]
                 labels = belief.value[_pattern(texts.votes())]
                 order = batch.column("order").slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([order, pa.array(rows, pa.binary()), pa.array(labels)], ["order", "features", "label"])
@@ -290,7 +320,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Classifier:
     chosen = docs.select("text", order.alias("order")).filter(F.abs(F.col("order") % 1_000_000) < int(share * 1_000_000) + 1)
     examples = chosen.mapInArrow(_examples(spark.sparkContext.broadcast(belief)), "order long, features binary, label double")
     rows = examples.orderBy("order", "features").limit(sample).collect()  # the same rows however the table is partitioned
-    features = np.stack([np.frombuffer(r.features, np.float32) for r in rows]) if rows else np.zeros((0, FEATURES + 1), np.float32)
+    features = np.zeros((len(rows), FEATURES), np.float32)
+    for i, r in enumerate(rows):
+        n = len(r.features) // 6  # two bytes for a place, four for a value
+        features[i, np.frombuffer(r.features, np.uint16, n)] = np.frombuffer(r.features, np.float32, n, 2 * n)
     weights, intercept = train(features, np.array([r.label for r in rows]))
     accuracies = {name: (float(table[0, i, 1]), float(table[1, i, 2])) for i, name in enumerate(LABELLERS)}
     return Classifier(belief, weights, intercept, accuracies)

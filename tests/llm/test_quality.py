@@ -43,24 +43,57 @@ def test_votes_are_counted_over_slices_alike(monkeypatch):
     whole = [v.tolist() for _, _, b in q._batches(texts) for v in b.votes()]
     monkeypatch.setattr(q, "STEP_BYTES", 10)
     assert [v.tolist() for _, _, b in q._batches(texts) for v in b.votes()] == whole
-    assert whole[0][3] == 2 and whole[2][2] == 2 and whole[4][4] == 2 and whole[1] == [0] * 7
+    assert whole[0][3] == 2 and whole[0][4] == 2 and whole[2][2] == 2 and whole[4][5] == 2 and whole[1] == [0] * 8
 
 
 def test_margins_equal_features_times_weights():
     import pyarrow as pa
 
     rng = np.random.default_rng(1)
-    weights = rng.normal(size=q.FEATURES + 1)
+    weights = rng.normal(size=q.FEATURES)
     texts = pa.array(["Some text, really!", "ab", "", "é" * 50, "again again again more", None, "*** ###"])
     for _, _, batch in q._batches(texts):
-        assert np.allclose(batch.margins(weights, 0.5), batch.features() @ weights + 0.5, atol=1e-4)
+        rows = list(batch.features())
+        assert all((np.diff(at.astype(int)) > 0).all() for at, _ in rows)
+        assert np.allclose(batch.margins(weights, 0.5), [weights[at] @ values + 0.5 for at, values in rows], atol=1e-4)
+
+
+def test_recurring_pairs_against_brute_force(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(q, "NEAR", 6)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(list("abc"), rng.integers(0, 40))) for _ in range(50)] + [None, "a", "a b a b"]
+    want = []
+    for t in texts:
+        w = (t or "").split()
+        pairs = list(zip(w, w[1:], strict=False))
+        want.append(sum(p in pairs[max(0, i - 6) : i] for i, p in enumerate(pairs)))
+    got = [x for _, _, b in q._batches(pa.array(texts)) for x in b.recurring.tolist()]
+    assert got == want
+
+
+def test_words_tell_texts_of_one_shape_apart():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(9)
+    kinds = [["bone", "tree", "wind", "lake"], ["spam", "cash", "free", "wins"]]
+    make = lambda n: [(" ".join(rng.choice(kinds[k], 60)), k) for k in rng.integers(0, 2, n)]
+    taught, asked = make(300), make(100)
+    rows = [r for _, _, b in q._batches(pa.array([t for t, _ in taught])) for r in b.features()]
+    features = np.zeros((len(rows), q.FEATURES), np.float32)
+    for i, (at, values) in enumerate(rows):
+        features[i, at] = values
+    weights, intercept = q.train(features, np.array([float(k) for _, k in taught]))
+    margins = np.concatenate([b.margins(weights, intercept) for _, _, b in q._batches(pa.array([t for t, _ in asked]))])
+    assert ((margins > 0) == np.array([k == 1 for _, k in asked])).all()
 
 
 def test_label_model_recovers_planted_accuracies():
     rng = np.random.default_rng(3)
     junk = rng.random(20_000) < 0.2
-    knows = np.array([0.5, 0.4, 0.3, 0.5, 0.2, 0.4, 0.3])
-    says = np.where(rng.random((20_000, 7)) < 0.2, 0, np.where(junk[:, None] & (rng.random((20_000, 7)) < knows), 2, 1))
+    knows = np.array([0.5, 0.4, 0.3, 0.5, 0.2, 0.4, 0.3, 0.4])
+    says = np.where(rng.random((20_000, 8)) < 0.2, 0, np.where(junk[:, None] & (rng.random((20_000, 8)) < knows), 2, 1))
     pattern, n = np.unique(q._pattern(says), return_counts=True)
     belief, table, share = q.expectation_maximisation(dict(zip(pattern.tolist(), n.tolist(), strict=True)))
     assert abs(share - 0.2) < 0.03
@@ -77,10 +110,8 @@ def plain_em(votes, rounds=200):
         for weight in ([1 - b for b in belief], belief):
             junk.append([])
             for j in range(m):
-                said = {v: 0.1 + sum(w for w, row in zip(weight, votes, strict=True) if row[j] == v) for v in (1, 2)}
+                said = {v: q.ADDED + sum(w for w, row in zip(weight, votes, strict=True) if row[j] == v) for v in (1, 2)}
                 junk[-1].append(said[2] / (said[1] + said[2]))
-        junk[0] = [min(x, q.FALSE_ALARMS) for x in junk[0]]
-        junk[1] = [min(max(x, 10 * q.FALSE_ALARMS), q.MOST_KNOWN) for x in junk[1]]
         share = (sum(belief) + 1) / (n + 2)
         after = []
         for row in votes:
@@ -99,8 +130,8 @@ def plain_em(votes, rounds=200):
 def test_label_model_matches_brute_force():
     rng = np.random.default_rng(5)
     junk = rng.random(300) < 0.3
-    knows = np.array([0.5, 0.4, 0.3, 0.5, 0.2, 0.4, 0.3])
-    says = np.where(rng.random((300, 7)) < 0.3, 0, np.where(junk[:, None] & (rng.random((300, 7)) < knows), 2, 1))
+    knows = np.array([0.5, 0.4, 0.3, 0.5, 0.2, 0.4, 0.3, 0.4])
+    says = np.where(rng.random((300, 8)) < 0.3, 0, np.where(junk[:, None] & (rng.random((300, 8)) < knows), 2, 1))
     pattern, n = np.unique(q._pattern(says), return_counts=True)
     belief, _, _ = q.expectation_maximisation(dict(zip(pattern.tolist(), n.tolist(), strict=True)))
     assert np.allclose(belief[q._pattern(says)], plain_em(says), atol=1e-6)
