@@ -79,7 +79,7 @@ def _recurring(hashes: np.ndarray, text_no: np.ndarray, texts: int) -> np.ndarra
     inside = text_no[1:] == text_no[:-1]
     at = np.flatnonzero(inside)
     pair = hashes[:-1][inside] * np.uint64(0x9E3779B97F4A7C15) ^ hashes[1:][inside]
-    order = np.lexsort((at, pair))
+    order = np.argsort(pair, kind="stable")  # positions rise already
     again = np.zeros(len(at), bool)
     again[1:] = (pair[order][1:] == pair[order][:-1]) & (np.diff(at[order]) <= NEAR) & (text_no[at[order]][1:] == text_no[at[order]][:-1])
     return np.bincount(text_no[at[order[again]]] - 1, minlength=texts).astype(np.float64)
