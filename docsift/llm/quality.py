@@ -64,6 +64,7 @@ CLASS = _classes()
 SHAPES = 64
 #: Where each of the SHAPES ** 3 trigrams of classes hashes to.
 SLOT = ((np.arange(SHAPES**3, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % TRIGRAMS
+SLOT = SLOT.astype(np.uint16)  # two bytes for each byte of a text
 
 
 def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -119,6 +120,8 @@ class Batch:
         same[starts[np.r_[True, np.diff(text_no) > 0]] if len(starts) else []] = False
         self.repeated = count(same)
         self.word_slots = (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % WORDS + TRIGRAMS
+        self.word_slots = self.word_slots.astype(np.uint16)
+        del prefix
         self.word_edges = np.searchsorted(starts, offsets)
         self.recurring = _recurring(hashes, text_no, len(offsets) - 1)
 
