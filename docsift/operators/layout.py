@@ -1,100 +1,111 @@
 """Page layout from spans: visual lines, columns, reading order.
 
-A span is (doc_id, page_no, seq, x, y, size, text); y grows upwards and seq is the order of
-the content stream. All steps are windows and sums per page.
+A span has page_no, seq, x, y, size and text; y grows upwards and seq is the order of the
+content stream. A page is laid out on its own, in time n log n of its spans.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from docsift.functions import text as T
+from docsift.sources.pdf import Page, Span
 
 #: Lines: difference of y as a share of the font size. Gutters: least width in points, share
 #: of a page's lines that they must part, width of a character as a share of the font size.
 LINE, GUTTER, SUPPORT, CHARACTER = 0.5, 24.0, 0.4, 0.5
 #: Starts of columns are compared in steps of so many points.
 STEP = 12.0
-
-PAGE = ("doc_id", "page_no")
-
-
-def lines(spans: DataFrame) -> DataFrame:
-    """Adds ``line_no`` (from the top), by gaps in y."""
-    order = Window.partitionBy(*PAGE).orderBy(F.desc("y"), "x", "seq")
-    gap = F.lag("y").over(order) - F.col("y")
-    new = F.when(F.coalesce(gap > LINE * F.greatest("size", F.lit(1.0)), F.lit(True)), 1).otherwise(0)
-    marked = spans.withColumn("new_line", new)
-    return marked.withColumn("line_no", F.sum("new_line").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("new_line")
-
-
-def gutters(lined: DataFrame) -> DataFrame:
-    """(doc_id, page_no, starts): x at which a further column begins, for pages that have such."""
-    order = Window.partitionBy(*PAGE, "line_no").orderBy("x", "seq")
-    end = F.lag(F.col("x") + CHARACTER * F.col("size") * F.length("text")).over(order)
-    gaps = lined.withColumn("gap", F.col("x") - end).withColumn("start", F.round(F.col("x") / STEP).cast("int"))
-    n = gaps.groupBy(*PAGE).agg(F.count_distinct("line_no").alias("n_lines"))
-    support = gaps.filter(F.col("gap") >= GUTTER).groupBy(*PAGE, "start").agg(F.count_distinct("line_no").alias("support"), F.min("x").alias("x"))
-    found = support.join(n, list(PAGE)).filter((F.col("support") >= SUPPORT * F.col("n_lines")) & (F.col("support") >= 3))
-    return found.groupBy(*PAGE).agg(F.sort_array(F.collect_list("x")).alias("starts"))
-
-
-def columns(spans: DataFrame) -> DataFrame:
-    """Spans with line_no, col_no (from 0) and the page's multi_column."""
-    lined = lines(spans)
-    joined = lined.join(gutters(lined), list(PAGE), "left")
-    starts = F.coalesce("starts", F.array().cast("array<double>"))
-    col_no = F.size(F.filter(starts, lambda s: s <= F.col("x") + STEP / 2))
-    return joined.withColumns({"col_no": col_no, "multi_column": F.size(starts) > 0}).drop("starts")
-
-
-def _joined(parts, by: list[str], order: list[str], gap: str, into: str) -> DataFrame:
-    rows = parts.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, "text"))).alias("p"))
-    return rows.select(*by, F.array_join(F.transform("p", lambda x: x["text"]), gap).alias(into))
-
-
-def texts(spans: DataFrame) -> DataFrame:
-    """(doc_id, text, stream_text, n_pages, multi_column, multi_column_pages).
+#: Share of a page's height above which its header band begins.
+BAND = 0.94
+
+
+def lines(spans: list[Span]) -> list[list[Span]]:
+    """Lines of a page from the top, by gaps in y; each in the order of y, x and the content stream."""
+    out: list[list[Span]] = []
+    above = None
+    for s in sorted(spans, key=lambda s: (-s.y, s.x, s.seq)):
+        if above is None or above - s.y > LINE * max(s.size, 1.0):
+            out.append([])
+        out[-1].append(s)
+        above = s.y
+    return out
+
+
+def _step(x: float) -> int:
+    """Half a step counts as a whole one, away from zero."""
+    whole = int(min(abs(x) / STEP, 2.0**31))
+    whole += abs(x) / STEP - whole >= 0.5
+    return -whole if x < 0 else whole
+
+
+def gutters(lined: list[list[Span]]) -> list[float]:
+    """x at which a further column of a page begins, if any; lines are in the order of x."""
+    support: dict[int, int] = {}
+    least: dict[int, float] = {}
+    for line in lined:
+        starts = set()
+        for one, two in zip(line, line[1:]):
+            if two.x - (one.x + CHARACTER * one.size * len(one.text)) >= GUTTER:
+                start = _step(two.x)
+                starts.add(start)
+                least[start] = min(two.x, least.get(start, two.x))
+        for start in starts:
+            support[start] = support.get(start, 0) + 1
+    return sorted(least[start] for start, n in support.items() if n >= 3 and n >= SUPPORT * len(lined))
+
+
+def placed(pages: list[Page]) -> dict:
+    """text, stream_text, band_text and multi_column_pages of a document.
 
     ``text`` is read column by column; ``stream_text`` follows the content stream, with a
-    line end where y changes.
+    line end where y changes; ``band_text`` is what stands in the topmost part of a page.
+    All are empty without spans. A document is laid out where it is parsed: its spans are there.
     """
-    placed = columns(spans)
-    line = _joined(placed, [*PAGE, "col_no", "line_no"], ["x", "seq"], " ", "text")
-    read = _joined(line, ["doc_id"], ["page_no", "col_no", "line_no"], "\n", "text")
-    order = Window.partitionBy("doc_id").orderBy("page_no", "seq")
-    same = (F.lag("y").over(order) == F.col("y")) & (F.lag("page_no").over(order) == F.col("page_no"))
-    glued = spans.withColumn("text", F.concat(F.when(F.lag("y").over(order).isNull(), "").when(same, " ").otherwise("\n"), F.col("text")))
-    stream = _joined(glued, ["doc_id"], ["page_no", "seq"], "", "stream_text")
-    pages = placed.groupBy("doc_id").agg(
-        F.bool_or("multi_column").alias("multi_column"), F.array_sort(F.collect_set(F.when(F.col("multi_column"), F.col("page_no")))).alias("multi_column_pages")
-    )
-    return read.join(stream, "doc_id").join(pages, "doc_id")
+    read, stream, band, multi = [], [], [], []
+    for page in pages:
+        y = None
+        for s in page.spans:
+            stream += [" " if y == s.y else "\n", s.text] if y is not None or stream else [s.text]
+            y = s.y
+            if s.y > BAND * page.height:
+                band.append(s.text)
+        lined = lines(page.spans)
+        for line in lined:
+            if len(line) > 1:
+                line.sort(key=lambda s: (s.x, s.seq))
+        starts = gutters(lined)
+        if not starts:
+            read += [" ".join([s.text for s in line]) for line in lined]
+            continue
+        multi.append(page.number)
+        columns: list[list[str]] = [[] for _ in range(len(starts) + 1)]
+        for line in lined:
+            parts: dict[int, list[str]] = {}
+            for s in line:
+                parts.setdefault(sum(x <= s.x + STEP / 2 for x in starts), []).append(s.text)
+            for i, texts in parts.items():
+                columns[i].append(" ".join(texts))
+        read += [text for column in columns for text in column]
+    return {"text": "\n".join(read), "stream_text": "".join(stream), "band_text": " ".join(band), "multi_column_pages": multi}
 
 
 def extracted(parsed: DataFrame) -> DataFrame:
-    """Parsed documents with text, stream_text, pages and layout flags filled in, ready for the other operators."""
-    laid = texts(parsed.select("doc_id", F.inline("spans"))).withColumnRenamed("text", "laid_text")
-    top = parsed.select("doc_id", F.explode("spans").alias("s"), "pages").select("doc_id", "s.text", (F.col("s.y") > 0.94 * F.element_at("pages", F.col("s.page_no"))["height"]).alias("band"))
-    band = top.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list(F.when(F.col("band"), F.col("text")))).alias("band_text"))
+    """Parsed documents with the columns that the other operators read filled in."""
     mailto = F.get(F.flatten(F.transform("pages", lambda p: p["mailto"])), F.lit(0))
-    rows = parsed.join(laid, "doc_id", "left").join(band, "doc_id", "left")
-    text = F.when(F.col("kind") == "pdf", F.coalesce("laid_text", F.lit(""))).otherwise(F.col("text"))
-    rows = rows.withColumns(
+    rows = parsed.withColumns(
         {
-            "text": text,
-            "stream_text": F.coalesce("stream_text", text),
+            "stream_text": F.coalesce("stream_text", "text"),
             "n_pages": F.coalesce(F.size("pages"), F.lit(1)),
-            "multi_column": F.coalesce("multi_column", F.lit(False)),
+            "multi_column": F.coalesce(F.size("multi_column_pages") > 0, F.lit(False)),
             "multi_column_pages": F.coalesce("multi_column_pages", F.array().cast("array<int>")),
             "n_images": F.col("images"),
             "mailto": mailto,
             "header_text": F.col("section.header_text"),
         }
     )
-    return rows.withColumn("n_words", T.n_words(F.col("text"))).drop("laid_text")
+    return rows.withColumn("n_words", T.n_words(F.col("text")))
 
 
 def extract_text(extracted_rows: DataFrame, stream_order: bool = False) -> DataFrame:

@@ -95,6 +95,12 @@ def findings(docs: DataFrame) -> DataFrame:
     return prepared(docs).select("doc_id", F.inline(found))
 
 
+def with_blockers(docs: DataFrame) -> DataFrame:
+    """Adds ``blockers``: how many findings of that severity a document has, judged in its row."""
+    tests = [F.coalesce(predicate, F.lit(False)).cast("int") for _, severity, _, predicate, _, _ in rules() if severity == "blocker"]
+    return prepared(docs).select(*docs.columns, sum(tests[1:], tests[0]).alias("blockers"))
+
+
 def stuffing(docs: DataFrame) -> DataFrame:
     """(doc_id, term, n, n_terms, share): each document's commonest term, where its share is too large.
 

@@ -1,20 +1,33 @@
 """Comparison of two renditions of a text: what of one has no counterpart in the other.
 
-Blocks are non-blank lines. A block's shingles are joined to the other rendition's distinct
-shingles by equality, so the work is linear in the texts, order does not matter, and as
-shingles run across line ends, neither does wrapping.
+Blocks are non-blank lines. A block's shingles are looked up among the other rendition's
+distinct shingles, so the work is linear in the texts, order does not matter, and as
+shingles run across line ends, neither does wrapping. Both renditions of a text meet once, by
+their key; no row is made for a shingle.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from docsift.functions import text as T
+from docsift.sources import documents
 
 #: Words of a shingle, share of a block's shingles below which it is missing, least length
 #: of a block that is judged, and characters of it that are shown.
 SHINGLE, MISSING, LEAST, SHOWN = 3, 0.6, 20, 80
+#: Characters within which the next block is looked for as a whole.
+NEAR = 512
+_SPACE = re.compile(T.SPACE)
+#: Bytes of ``T.NOT_TERM`` to spaces; those of further characters are none of a term's.
+_BLANKS = bytes(32 if re.match(T.NOT_TERM, chr(b)) else b for b in range(256))
 
 
 def shingles(words: Column, k: int = SHINGLE) -> Column:
@@ -29,20 +42,59 @@ def blocks(texts: DataFrame, least: int = LEAST) -> DataFrame:
     return lines.select("key", "block_no", T.squeezed(F.col("line")).alias("text")).filter(F.length("text") >= least)
 
 
-def compare_blocks(one: DataFrame, two: DataFrame, least: int = LEAST, missing: float = MISSING) -> DataFrame:
-    """(key, block_no, text, best_ratio, missing) for the blocks of ``one`` (key, text) in ``two`` (key, text).
+def _terms(text: str) -> list[bytes]:
+    """``T.terms`` of a text."""
+    return text.lower().encode("utf-8", "replace").translate(_BLANKS).split()
+
+
+def _runs(terms: list[bytes]) -> list[bytes]:
+    return [b" ".join(terms[i : i + SHINGLE]) for i in range(len(terms) - SHINGLE + 1)]
 
-    A block with fewer terms than a shingle is looked for by its terms one by one.
+
+def judged(one: str, two: str, least: int = LEAST) -> Iterator[tuple[int, str, float]]:
+    """(block_no, text, ratio) of each block of ``one``: the share of its shingles that are in ``two``.
+
+    A block with fewer terms than a shingle is looked for by its terms one by one. A block that
+    goes on in ``two`` where the one before ended, or a little later, has all its shingles there;
+    only for others are they looked up, among those of ``two``, which are taken apart once.
     """
-    cut = blocks(one, least).withColumn("terms", T.terms(F.col("text")))
-    parts = F.when(F.size("terms") >= SHINGLE, shingles(F.col("terms"))).otherwise(F.col("terms"))
-    each = cut.select("key", "block_no", F.left("text", F.lit(SHOWN)).alias("text"), F.explode_outer(parts).alias("part"))
-    terms = F.col("terms")  # a column of its own: in a function over an array it would be worked out for each element
-    there = two.select("key", T.terms(F.col("text")).alias("terms")).select("key", F.explode(F.array_union(shingles(terms), terms)).alias("part")).distinct()
-    joined = each.join(there.withColumn("hit", F.lit(1)), ["key", "part"], "left")
-    ratio = F.round(F.avg(F.coalesce("hit", F.lit(0))), 6)
-    rows = joined.groupBy("key", "block_no", "text").agg(ratio.alias("best_ratio"))
-    return rows.withColumn("missing", F.col("best_ratio") < missing)
+    words = _terms(two)
+    there, at = b" %s " % b" ".join(words), 0
+    known = None
+    for block_no, text in enumerate(one.split("\n")):
+        if len(text) < least:
+            continue
+        if "  " in text or not text.isprintable():  # other white space than the space is not printable
+            text = _SPACE.sub(" ", text)
+        text = text.strip(" ")
+        if len(text) < least:
+            continue
+        terms = _terms(text)
+        wanted = b" %s " % b" ".join(terms)
+        found = there.find(wanted, at, at + NEAR + len(wanted)) if terms else -1
+        if found >= 0:
+            at = found + len(wanted) - 1
+            yield block_no, text, 1.0
+            continue
+        if known is None:
+            known = {*words, *_runs(words)}
+        parts = _runs(terms) or terms
+        yield block_no, text, sum(p in known for p in parts) / max(len(parts), 1)
+
+
+def compare_blocks(one: DataFrame, two: DataFrame, least: int = LEAST, missing: float = MISSING) -> DataFrame:
+    """(key, block_no, text, best_ratio, missing) for the blocks of ``one`` (key, text) in ``two`` (key, text)."""
+    schema = "key long, block_no int, text string, ratio double"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
+        for key, mine, other in documents.each_row(batches):
+            for block_no, text, ratio in judged(mine or "", other or "", least):
+                yield {"key": key, "block_no": block_no, "text": text[:SHOWN], "ratio": ratio}, len(text)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    both = one.select(F.col("key").cast("long").alias("key"), "text").join(two.select("key", F.col("text").alias("other")), "key", "left")
+    rows = both.mapInArrow(lambda batches: documents.in_batches(each(batches), arrow), schema)
+    return rows.select("key", "block_no", "text", F.round("ratio", 6).alias("best_ratio")).withColumn("missing", F.col("best_ratio") < missing)
 
 
 def similarity(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -53,11 +105,26 @@ def similarity(one: DataFrame, two: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.round(F.sum(F.least(a, b)) / F.sum(F.greatest(a, b)), 6).alias("similarity"))
 
 
-def parity_check(docs: DataFrame, pdfs: DataFrame) -> DataFrame:
-    """The check ``parity.docx_pdf`` as (doc_id, id, ok, detail); ok is null without a PDF."""
-    one, two = (df.select(F.col("doc_id").alias("key"), "text") for df in (docs, pdfs))
-    found = compare_blocks(one, two).filter("missing").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("block_no", "text"))).alias("m"))
-    rows = docs.select("doc_id").join(pdfs.select("doc_id", F.lit(True).alias("there")), "doc_id", "left").join(found.withColumnRenamed("key", "doc_id"), "doc_id", "left")
-    named = F.array_join(F.transform("m", lambda x: F.concat(F.lit('"'), x["text"], F.lit('"'))), "; ")
-    detail = F.when(F.col("there").isNull(), F.lit("no PDF")).when(F.col("n") > 0, F.concat(F.col("n").cast("string"), F.lit(" block(s) have no counterpart: "), named)).otherwise(F.lit(""))
-    return rows.select("doc_id", F.lit("parity.docx_pdf").alias("id"), F.when(F.col("there"), F.coalesce("n", F.lit(0)) == 0).alias("ok"), detail.alias("detail"))
+def with_lacking(rows: DataFrame, one: str = "text", two: str = "pdf_text") -> DataFrame:
+    """In place of the texts ``one`` and ``two``, ``lacking``: the blocks (block_no, text) of one without a counterpart; null if two is."""
+    kept = [c for c in rows.columns if c not in (one, two)]
+    struct = "array<struct<block_no:int,text:string>>"
+    kind = to_arrow_schema(StructType.fromDDL(f"lacking {struct}")).field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for mine, other in documents.each_row([batch.select([one, two])]):
+                found.append(None if other is None else [{"block_no": n, "text": t[:SHOWN]} for n, t, ratio in judged(mine or "", other) if round(ratio, 6) < MISSING])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, kind)], names=[*kept, "lacking"])
+
+    schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(f"lacking {struct}").fields])
+    return rows.mapInArrow(run, schema)
+
+
+def parity_check() -> tuple[str, str, Column, Column, str]:
+    """The check ``parity.docx_pdf`` over ``lacking``; null without a PDF."""
+    n = F.size("lacking")
+    named = F.array_join(F.transform("lacking", lambda x: F.concat(F.lit('"'), x["text"], F.lit('"'))), "; ")
+    detail = F.when(F.col("lacking").isNull(), F.lit("no PDF")).when(n > 0, F.concat(n.cast("string"), F.lit(" block(s) have no counterpart: "), named)).otherwise(F.lit(""))
+    return "parity.docx_pdf", "Every block is in the PDF", F.when(F.col("lacking").isNotNull(), n == 0), detail, "high"

@@ -8,7 +8,7 @@ knows without reading them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from docsift.operators import layout
 from docsift.sources import inputs
 from docsift.sources.docx import DocxError, Reader
 from docsift.sources.pdf import UNMAPPED, Document, PdfError
@@ -32,9 +33,11 @@ def _struct(fields: str) -> str:
 
 
 SCHEMA = (
-    f"doc_id long, filename string, kind string, status string, error_class string, message string, text string, spans array<{_struct(SPAN)}>, pages array<{_struct(PAGE)}>,"
+    f"doc_id long, filename string, kind string, status string, error_class string, message string, text string, stream_text string, band_text string, multi_column_pages array<int>, spans array<{_struct(SPAN)}>, pages array<{_struct(PAGE)}>,"
     f" paras array<{_struct(PARA)}>, section {_struct(SECTION)}, tables int, textboxes int, images int, n_unmapped int, hidden_text string"
 )
+#: Rows and bytes of files after which a batch of parsed documents is handed on.
+BATCH_ROWS, BATCH_BYTES = 128, 1 << 20
 ADVICE = {".pages": "Export to PDF or DOCX first.", ".doc": "Save as DOCX first.", ".odt": "Export to PDF or DOCX first.", ".html": "Save as PDF first.", ".htm": "Save as PDF first."}
 
 
@@ -47,7 +50,7 @@ def _suffix(name: str) -> str:
     return ("." + base.rpartition(".")[2].lower()) if "." in base[1:] else ""
 
 
-def parse_one(name: str, data: bytes) -> dict:
+def parse_one(name: str, data: bytes, spans_too: bool = True) -> dict:
     """Parsed parts of one document; raises an error class that names the trouble."""
     suffix = _suffix(name)
     if not data:
@@ -59,7 +62,8 @@ def parse_one(name: str, data: bytes) -> dict:
         spans = [s for p in pages for s in p.spans]
         return {
             "kind": "pdf",
-            "spans": [{"page_no": s.page_no, "seq": s.seq, "x": s.x, "y": s.y, "size": s.size, "font": s.font, "text": s.text, "hidden": s.hidden} for s in spans],
+            **layout.placed(pages),
+            "spans": [{"page_no": s.page_no, "seq": s.seq, "x": s.x, "y": s.y, "size": s.size, "font": s.font, "text": s.text, "hidden": s.hidden} for s in spans] if spans_too else [],
             "pages": [{"page_no": p.number, "width": p.width, "height": p.height, "images": p.images, "mailto": p.mailto} for p in pages],
             "images": sum(p.images for p in pages),
             "n_unmapped": sum(s.text.count(UNMAPPED) for s in spans),
@@ -88,26 +92,52 @@ def parse_one(name: str, data: bytes) -> dict:
     raise UnsupportedFormat(f"{suffix} files are not read")
 
 
-def _rows(schema: pa.Schema):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, name, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = {"doc_id": doc_id, "filename": (name or "").rpartition("/")[2], "status": "ok", "tables": 0, "textboxes": 0, "images": 0, "n_unmapped": 0}
-                try:
-                    row |= parse_one(name or "", data or b"")
-                except (UnsupportedFormat, PdfError, RtfError) as wrong:
-                    row |= {"status": "error", "error_class": type(wrong).__name__, "message": str(wrong)}
-                except Exception as wrong:  # a reader's defect must not fail the other documents
-                    row |= {"status": "error", "error_class": type(wrong).__name__, "message": "the document could not be processed"}
-                yield pa.RecordBatch.from_pylist([row], schema=schema)
-
-    return run
-
-
-def parse(files: DataFrame) -> DataFrame:
-    """One row of ``SCHEMA`` for each row (doc_id, filename, content)."""
-    schema = to_arrow_schema(StructType.fromDDL(SCHEMA))
-    return files.select("doc_id", "filename", "content").mapInArrow(_rows(schema), SCHEMA)
+def in_batches(each: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of (row, bytes); keys of a row that the schema lacks are left out."""
+    rows, size = [], 0
+    for row, n in each:
+        rows.append(row)
+        size += n
+        if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches, a few at a time in memory as Python's objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, BATCH_ROWS).columns), strict=True)
+
+
+def _rows(schema: pa.Schema, also=None):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
+        for doc_id, name, data in each_row(batches):
+            row = {"doc_id": doc_id, "filename": (name or "").rpartition("/")[2], "status": "ok", "tables": 0, "textboxes": 0, "images": 0, "n_unmapped": 0}
+            try:
+                row |= parse_one(name or "", data or b"", "spans" in schema.names)
+                if also:
+                    row |= also(row)
+            except (UnsupportedFormat, PdfError, RtfError) as wrong:
+                row |= {"status": "error", "error_class": type(wrong).__name__, "message": str(wrong)}
+            except Exception as wrong:  # a reader's defect must not fail the other documents
+                row |= {"status": "error", "error_class": type(wrong).__name__, "message": "the document could not be processed"}
+            yield row, len(data or b"")
+
+    return lambda batches: in_batches(each(batches), schema)
+
+
+def parse(files: DataFrame, only: Iterable[str] | None = None, also=None, more: str = "") -> DataFrame:
+    """One row of ``SCHEMA`` for each row (doc_id, filename, content).
+
+    ``only`` names the columns that are wanted, so that no others are made. ``also`` works out
+    further columns of the DDL ``more`` from what was parsed, while it is at hand.
+    """
+    fields = [f for f in StructType.fromDDL(SCHEMA).fields if only is None or f.name in set(only)]
+    schema = StructType(fields + (StructType.fromDDL(more).fields if more else []))
+    return files.select("doc_id", "filename", "content").mapInArrow(_rows(to_arrow_schema(schema), also), schema)
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = inputs.MAX_FILE_BYTES) -> DataFrame:
