@@ -6,7 +6,7 @@ content stream. A page is laid out on its own, in time n log n of its spans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions import text as T
@@ -91,16 +91,19 @@ def placed(pages: list[Page]) -> dict:
     return {"text": "\n".join(read), "stream_text": "".join(stream), "band_text": " ".join(band), "multi_column_pages": multi}
 
 
+def counted() -> dict[str, Column]:
+    """Pages, images and whether any page has columns, of parsed documents."""
+    return {"n_pages": F.coalesce(F.size("pages"), F.lit(1)), "multi_column": F.coalesce(F.size("multi_column_pages") > 0, F.lit(False)), "n_images": F.col("images")}
+
+
 def extracted(parsed: DataFrame) -> DataFrame:
     """Parsed documents with the columns that the other operators read filled in."""
     mailto = F.get(F.flatten(F.transform("pages", lambda p: p["mailto"])), F.lit(0))
     rows = parsed.withColumns(
         {
             "stream_text": F.coalesce("stream_text", "text"),
-            "n_pages": F.coalesce(F.size("pages"), F.lit(1)),
-            "multi_column": F.coalesce(F.size("multi_column_pages") > 0, F.lit(False)),
+            **counted(),
             "multi_column_pages": F.coalesce("multi_column_pages", F.array().cast("array<int>")),
-            "n_images": F.col("images"),
             "mailto": mailto,
             "header_text": F.col("section.header_text"),
         }

@@ -7,6 +7,7 @@ make of them. Files differ by ``doc_id``, as the functions' descriptions have it
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -112,6 +113,10 @@ _DUTIES = (
 _LINES = 35
 
 
+def _summarised(parts: list[str]) -> list[tuple[str, dict]]:
+    return [(f"Summary {i} {part}".strip(), {}) for i, part in enumerate(parts)]
+
+
 def _resume(variant: int, parts: list[str]) -> list[tuple[str, dict]]:
     """(text, formatting) of each paragraph; ``variant`` names the one thing that is wrong, 0 nothing."""
     head = {"size": 12, "bold": variant != 11, "rule": True}
@@ -119,7 +124,7 @@ def _resume(variant: int, parts: list[str]) -> list[tuple[str, dict]]:
     contact = "Hull, England , +44 20 7946 0958 , mara@example.org" if variant == 8 else "Hull, England | +44 20 7946 0958 | mara@example.org"
     rows = [("Mara Lind", {"size": 14 if variant == 7 else 18, "bold": True}), ("Head of Works", {"size": 12, "color": "FF0000" if variant == 24 else "808080"}), (contact, {})]
     rows.append(("linkedin.com/in/mara", {"link": variant != 22}))
-    rows += [("PROFESSIONAL SUMMARY", head)] + [(f"Summary {i} {part}".strip(), {}) for i, part in enumerate(parts)]
+    rows += [("PROFESSIONAL SUMMARY", head)] + _summarised(parts)
     rows += [("CORE COMPETENCIES", head)] + [(f"Planning {i} {',' if variant == 25 else '|'} Budget {i}", {}) for i in range(3)]
     achieved = [x.format(n="" if variant == 14 else 11 + i).replace("  ", " ") for i, x in enumerate(_ACHIEVED)]
     if variant == 6:
@@ -137,15 +142,27 @@ def _resume(variant: int, parts: list[str]) -> list[tuple[str, dict]]:
     return rows + [x for part in last[:: -1 if variant == 10 else 1] for x in part]
 
 
-def _paragraphs(doc_id: int, text: str) -> list[tuple[str, dict]]:
-    words, variant = _WORD.findall(text), doc_id % 32
-    n = 2 if variant == 12 else 3
-    return _resume(variant, [" ".join(words[i * len(words) // n : (i + 1) * len(words) // n]) for i in range(n)])
+#: Paragraphs before those that hold the document's words.
+_BEFORE = 5
+
+
+def _summary(variant: int, text: str) -> list[str]:
+    """The paragraphs that hold the document's words."""
+    words, n = _WORD.findall(text), 2 if variant == 12 else 3
+    parts = [" ".join(words[i * len(words) // n : (i + 1) * len(words) // n]) for i in range(n)]
+    return [t for t, _ in _summarised(parts)]
+
+
+@functools.cache
+def _fixed_xml(variant: int) -> list[str]:
+    """The other paragraphs, which are the same for all documents of a variant."""
+    return [compose.paragraph(t, **kind) for t, kind in _resume(variant, [])]
 
 
 def _docx_of(doc_id: int, text: str) -> bytes:
     variant = doc_id % 32
-    body = [compose.paragraph(t, **kind) for t, kind in _paragraphs(doc_id, text)]
+    fixed = _fixed_xml(variant)
+    body = [*fixed[:_BEFORE], *map(compose.paragraph, _summary(variant, text)), *fixed[_BEFORE:]]
     body += {3: [compose.text_table("Skills")], 4: [compose.picture()], 30: [compose.text_box()]}.get(variant, [])
     return compose.docx(
         body, (12240, 15840) if variant == 23 else (11906, 16838), (2.4, 1.7) if variant == 1 else (1.5, 1.7), 2 if variant == 2 else 1,
@@ -153,10 +170,20 @@ def _docx_of(doc_id: int, text: str) -> bytes:
     )
 
 
+def _lines(texts: list[str]) -> list[str]:
+    return [" ".join(words[i : i + 10]) for words in (t.split(" ") for t in texts) for i in range(0, len(words), 10)]
+
+
+@functools.cache
+def _fixed_lines(variant: int, whole: bool) -> tuple[list[str], list[str]]:
+    fixed = [t for t, _ in _resume(variant, [])]
+    return _lines(fixed[:_BEFORE]), _lines([t for t in fixed[_BEFORE:] if whole or not t.startswith("Negotiated")])
+
+
 def _pdf_of_resume(doc_id: int, text: str) -> bytes:
     """The same paragraphs as PDF in lines of ten words; every third lacks a duty."""
-    texts = [t for t, _ in _paragraphs(doc_id, text) if doc_id % 3 != 2 or not t.startswith("Negotiated")]
-    lines = [" ".join(words[i : i + 10]) for words in (t.split(" ") for t in texts) for i in range(0, len(words), 10)]
+    before, after = _fixed_lines(doc_id % 32, doc_id % 3 != 2)
+    lines = [*before, *_lines(_summary(doc_id % 32, text)), *after]
     return compose.pdf([[(40, 730 - 13 * i, 8, line) for i, line in enumerate(lines[at : at + ROWS])] for at in range(0, len(lines), ROWS)])
 
 

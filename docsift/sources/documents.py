@@ -59,14 +59,14 @@ def parse_one(name: str, data: bytes, spans_too: bool = True) -> dict:
         raise UnsupportedFormat(f"{suffix} files are not read. {ADVICE[suffix]}")
     if suffix == ".pdf" or data[:4] == b"%PDF":
         pages = Document(data).pages()
-        spans = [s for p in pages for s in p.spans]
+        spans, laid = [s for p in pages for s in p.spans], layout.placed(pages)
         return {
             "kind": "pdf",
-            **layout.placed(pages),
+            **laid,
             "spans": [{"page_no": s.page_no, "seq": s.seq, "x": s.x, "y": s.y, "size": s.size, "font": s.font, "text": s.text, "hidden": s.hidden} for s in spans] if spans_too else [],
             "pages": [{"page_no": p.number, "width": p.width, "height": p.height, "images": p.images, "mailto": p.mailto} for p in pages],
             "images": sum(p.images for p in pages),
-            "n_unmapped": sum(s.text.count(UNMAPPED) for s in spans),
+            "n_unmapped": laid["stream_text"].count(UNMAPPED),
             "hidden_text": " ".join(s.text for s in spans if s.hidden),
         }
     if suffix in (".docx", ".doc") or data[:4] == b"PK\x03\x04":
