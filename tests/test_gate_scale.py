@@ -19,6 +19,14 @@ def test_each_document_meets_its_pdf_once_and_no_row_is_made_for_a_line(spark):
     assert "Window" not in plan and "Aggregate" not in plan and plan.count("Generate") == 1  # the checks themselves
 
 
+def test_documents_go_to_python_a_few_at_a_time(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    files = spark.createDataFrame([], "doc_id long, filename string, content binary")
+    api.validate(files, files)
+    assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
+
+
 def test_blocks_are_judged_as_by_all_their_shingles():
     rnd = random.Random(3)
     words = ["a", "b", "C#", "d-e", "É", "K", "1", "--", "\t", "long", "  "]
