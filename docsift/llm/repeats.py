@@ -45,6 +45,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.scratch import discard, written
+from docsift.session import bounded_steps
 
 WIDTH, GRAM = 400, 200
 #: Offsets from the anchor at which the passes after the first cut pieces.
@@ -281,29 +282,38 @@ def _recut(block: int, kinds: tuple[Windows, ...]):
     return run
 
 
+def _hulls(rows: DataFrame) -> DataFrame:
+    """(core, hull, n)."""
+    return rows.select(F.inline("pieces")).groupBy("core", "hull").agg(F.sum("n").alias("n"))
+
+
 def _judged(rows: DataFrame) -> DataFrame:
     """(core, hull, again, alive) of cores that occur twice; where pieces are is not carried along.
 
     ``again``: the hull occurs twice, its windows are repeated. ``alive``: another pass
     must look at one such piece, as the core also has a hull that occurs once.
     """
-    hulls = rows.select(F.inline("pieces")).groupBy("core", "hull").agg(F.sum("n").alias("n"))
+    hulls = _hulls(rows)
     cores = hulls.groupBy("core").agg(F.sum("n").alias("all"), F.min("n").alias("least")).filter("all > 1")
     return hulls.join(cores, "core").select("core", "hull", (F.col("n") > 1).alias("again"), (F.col("least") == 1).alias("alive"))
 
 
-def _passed(rows: DataFrame, single: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
-    """What a pass over pieces finds.
+def _pieces(rows: DataFrame) -> DataFrame:
+    return rows.select("row_id", F.inline("pieces")).select("row_id", "core", "hull", "place", "s1", "s2")
 
-    (row_id, kind, s1, s2): starts of windows that are repeated, but for rows that are not
-    ``single``; and (row_id, kind, place, s1, s2) of the pieces that are still open.
-    """
+
+def _marks(again: DataFrame, rows: DataFrame, single: DataFrame, tag: str) -> DataFrame:
+    """(row_id, kind, s1, s2): starts of windows that are repeated, but for rows that are not ``single``."""
+    marks = again.select("row_id", _kind().alias("kind"), "s1", "s2").unionByName(rows.select("row_id", F.inline("marks")))
+    return written(marks.join(single, "row_id", "left_semi"), f"{tag}-marks")
+
+
+def _passed(rows: DataFrame, single: DataFrame, tag: str) -> tuple[DataFrame, DataFrame]:
+    """What a pass over pieces finds: marks, and (row_id, kind, place, s1, s2) of the pieces that are still open."""
     judged = written(_judged(rows), f"{tag}-judged")
-    pieces = rows.select("row_id", F.inline("pieces")).select("row_id", "core", "hull", "place", "s1", "s2")
-    found = written(pieces.join(judged, ["core", "hull"]), f"{tag}-found")
+    found = written(_pieces(rows).join(judged, ["core", "hull"]), f"{tag}-found")
     discard(judged)
-    marks = found.filter("again").select("row_id", _kind().alias("kind"), "s1", "s2").unionByName(rows.select("row_id", F.inline("marks")))
-    marks = written(marks.join(single, "row_id", "left_semi"), f"{tag}-marks")
+    marks = _marks(found.filter("again"), rows, single, tag)
     opened = ["row_id", _kind().alias("kind"), "place", "s1", "s2"]
     example = [F.first(c).alias(c) for c in ("row_id", "place", "s1", "s2")]  # primitives of one and the same row
     twice = found.filter("alive AND again").groupBy("core", "hull").agg(*example).select(*opened)
@@ -312,6 +322,14 @@ def _passed(rows: DataFrame, single: DataFrame, tag: str) -> tuple[DataFrame, Da
     return marks, alive
 
 
+def _passed_last(rows: DataFrame, single: DataFrame, tag: str) -> DataFrame:
+    """Marks of a pass over single windows: core and hull are the same bytes, so nothing stays open."""
+    twice = written(_hulls(rows).filter("n > 1").select("core", "hull"), f"{tag}-judged")
+    marks = _marks(_pieces(rows).join(twice, ["core", "hull"], "left_semi"), rows, single, tag)
+    discard(twice)
+    return marks
+
+
 def _kind() -> Column:
     return F.col("core").bitwiseAND(F.lit(_KINDS - 1))
 
@@ -368,6 +386,14 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     words) that repeated windows cover, for the first kind and each of ``more``.
     """
     kinds = (Windows(width, gram, words), *more)
+    with bounded_steps(docs.sparkSession):
+        fates, parts = _search(docs, kinds, keep)
+        parts = written(parts, "repeats-parts")
+    return _results(fates, parts, kinds, keep)
+
+
+def _search(docs: DataFrame, kinds: tuple[Windows, ...], keep: bool) -> tuple[DataFrame, DataFrame]:
+    """What is known of each row, and spans and rest of those of which something goes (not computed yet)."""
     if not all(0 < k.gram < k.width for k in kinds):
         raise ValueError("a gram must be shorter than the width")
     if len(kinds) > _KINDS:
@@ -396,12 +422,16 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     kept = written(hashed.join(named, same).select("row_id", "text"), "repeats-texts")
     # a text whose id and text both repeat stands in kept more than once, and so do its windows in the input
     found = [marks]
-    for number, block in enumerate(b for b in PASSES if b < min(k.width for k in kinds)):  # else the windows of a block share nothing
+    blocks = [b for b in PASSES if b < min(k.width for k in kinds)]  # else the windows of a block share nothing; 1 is less than any
+    for number, block in enumerate(blocks):
         lists = alive.groupBy("row_id").agg(F.collect_list(F.struct("kind", "place", "s1", "s2")).alias("pieces"))
         cuts = kept.join(lists, "row_id").select("row_id", "text", "pieces")
         level = written(cuts.mapInArrow(_recut(block, kinds), f"row_id long, pieces {piece}, marks {mark}"), f"repeats-cuts{number}")
         discard(alive)
-        more_marks, alive = _passed(level, single, f"repeats-pass{number}")
+        if block > 1:
+            more_marks, alive = _passed(level, single, f"repeats-pass{number}")
+        else:
+            more_marks = _passed_last(level, single, f"repeats-pass{number}")
         found.append(more_marks)
         discard(level)
     marks = found[0]
@@ -410,8 +440,7 @@ def removals(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, keep: bool =
     lists = marks.groupBy("row_id").agg(F.collect_list(F.struct("kind", "s1", "s2")).alias("marks"))
     types = "row_id long, n_removed long, n_spans long, kept_sha256 string, covered array<long>"
     types += ", spans array<struct<start:long,stop:long>>, kept_text string" * keep
-    parts = kept.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(_removals(kinds, keep), types)
-    return _results(fates, parts, kinds, keep)
+    return fates, kept.join(lists, "row_id").select("row_id", "text", "marks").mapInArrow(_removals(kinds, keep), types)
 
 
 def _results(fates: DataFrame, parts: DataFrame, kinds: tuple[Windows, ...], keep: bool) -> DataFrame:
@@ -439,8 +468,10 @@ def drop_repeats(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, words: b
     Every copy of a passage goes, as ``removals`` has it; no other column changes, whatever
     its name. A text that stands in two rows goes whole from both.
     """
-    found = removals(docs, width, gram, keep=True, words=words, more=more).filter("n_removed > 0")
-    cuts = written(found.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("kept_text").alias("t")).dropDuplicates(["id", "d"]), "repeats-changed")
+    kinds = (Windows(width, gram, words), *more)
+    with bounded_steps(docs.sparkSession):
+        found = _results(*_search(docs, kinds, True), kinds, True).filter("n_removed > 0")
+        cuts = written(found.select(F.col("doc_id").alias("id"), F.col("digest").alias("d"), F.col("kept_text").alias("t")).dropDuplicates(["id", "d"]), "repeats-changed")
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     base = docs.alias("docs").join(cuts.alias("c"), (digest == F.col("c.d")) & F.col("docs.doc_id").eqNullSafe(F.col("c.id")), "left")
     cut_text = F.coalesce(F.col("c.t"), F.col("docs.text"))

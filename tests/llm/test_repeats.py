@@ -94,3 +94,19 @@ def test_long_text_in_segments(monkeypatch):
     core, hull, place, s1, s2, n, *_ = rp.pieces_of(data, 50, 20)
     starts = sorted(s for a, b in zip(s1, s2, strict=True) for s in range(a, b + 1))
     assert starts == list(range(4951))
+
+
+@pytest.mark.parametrize("run", [rp.removals, rp.drop_repeats])
+def test_steps_run_in_bounded_batches_without_shuffle_files_left_and_settings_stay(spark, monkeypatch, run):
+    records, size, clean = (f"spark.sql.{x}" for x in ("execution.arrow.maxRecordsPerBatch", "execution.arrow.maxBytesPerBatch", "classic.shuffleDependency.fileCleanup.enabled"))
+    before = spark.conf.get(records)
+    try:
+        spark.conf.set(records, "10000")
+        had, seen, write = (spark.conf.get(size), spark.conf.get(clean)), [], rp.written
+        monkeypatch.setattr(rp, "written", lambda df, tag: seen.append((int(spark.conf.get(records)), spark.conf.get(clean))) or write(df, tag))
+        out = run(spark.createDataFrame(mixture(6), "doc_id long, text string"), 40, 20)
+        assert seen and all(0 < n <= 256 and gone == "true" for n, gone in seen)
+        assert "InArrow" not in out._jdf.queryExecution().toString()  # nothing of it runs later, under other settings
+        assert (spark.conf.get(records), spark.conf.get(size), spark.conf.get(clean)) == ("10000", *had)
+    finally:
+        spark.conf.set(records, before)
