@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm import bpe, exact_dedup, language_model, licences, packing, quality, repeats, simhash, sketches, warc
+from docsift.llm import bpe, clustering, decontamination, exact_dedup, language_model, licences, packing, quality, repeats, simhash, sketches, spelling, warc
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -123,3 +123,78 @@ def op10_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op7_document_fingerprints": op7_document_fingerprints, "op10_language_model_scores": op10_language_model_scores}
+
+
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside passages of ten words of the benchmark, and the items they are of."""
+    return decontamination.decontaminate(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+QUERIES["op12_benchmark_decontamination"] = op12_benchmark_decontamination
+ORACLE["op12_benchmark_decontamination"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+  windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS size,
+      unnest(list_transform(range(greatest(len(w) - 9, 1)), lambda k: array_to_string(w[k + 1 : k + 10], ' '))) AS x FROM b WHERE len(w) > 0),
+  sizes AS (SELECT DISTINCT size FROM windows),
+  starts AS (SELECT doc_id, w, size, unnest(range(len(w) - size + 1)) AS k FROM d, sizes WHERE len(w) >= size),
+  hits AS (SELECT s.doc_id, s.k, s.size, v.item_id FROM starts s JOIN windows v ON v.size = s.size AND v.x = array_to_string(s.w[s.k + 1 : s.k + s.size], ' ')),
+  covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + size)) AS place FROM hits) GROUP BY doc_id),
+  items AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds of Lloyd's method with forty centroids."""
+    return clustering.cluster(_table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
+def _lloyd_sql(rounds: int) -> str:
+    """Each round: assignment a<i> to centroids c<i> (number, v), then the means c<i + 1>."""
+    parts = [
+        """v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+        """c0 AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM v ORDER BY sha256('2:' || vec_id) LIMIT 40)""",
+    ]
+    apart = "list_sum(list_transform(list_zip(v.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    for i in range(rounds + 1):
+        parts.append(f"a{i} AS (SELECT vec_id, any_value(v.v) AS v, arg_min(c.c, (d, c.c)) AS c, min(d) AS d FROM (SELECT v.*, c.c, {apart} AS d FROM v, c{i} c) AS v JOIN c{i} c ON c.c = v.c GROUP BY vec_id)")
+        if i < rounds:
+            parts.append(
+                f"""m{i} AS (SELECT c, k, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS k FROM a{i}) GROUP BY c, k),
+  c{i + 1} AS (SELECT c.c, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN (SELECT c, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY k) AS v FROM m{i} GROUP BY c) m USING (c))"""
+            )
+    return f"""WITH {", ".join(parts)}
+SELECT vec_id, a.c::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM a{rounds} a JOIN c{rounds} c ON a.c = c.c"""
+
+
+QUERIES["op13_centroid_clustering"] = op13_centroid_clustering
+ORACLE["op13_centroid_clustering"] = _lloyd_sql(clustering.ROUNDS)
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Common form and root of every word of the documents that occurs three times or more."""
+    return spelling.variants(spelling.vocabulary(_table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
+QUERIES["op11_spelling_variants"] = op11_spelling_variants
+ORACLE["op11_spelling_variants"] = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS t),
+  runs AS (SELECT doc_id, run, count(*) AS times, hex(coalesce(doc_id::VARCHAR, '') || ':' || run) AS x FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text,
+    '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) WHERE length(run) >= 5 GROUP BY doc_id, run),
+  hashed AS (SELECT run, times, xor(list_reduce(list_transform(range(len(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM runs, t),
+  words AS (SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run) + 2)::INT) ELSE run END AS word
+    FROM hashed) WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+  keys AS (SELECT word, n, unnest(range(length(word) + 1)) AS k, CASE WHEN k = 0 THEN word ELSE substr(word, 1, k::INT - 1) || substr(word, k::INT + 1) END AS key FROM words),
+  pairs AS (SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM keys a JOIN keys b ON a.key = b.key AND a.word <> b.word
+    WHERE CASE WHEN length(a.word) = length(b.word) THEN a.k = b.k ELSE a.k = 0 OR b.k = 0 END),
+  best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+  forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 2 * w.n THEN near END AS form, CASE WHEN near_n >= 2 * w.n THEN near_n END AS form_n FROM words w LEFT JOIN best b USING (word)),
+  chains AS (SELECT word, word AS root FROM forms UNION ALL SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL),
+  roots AS (SELECT c.word, c.root FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN roots USING (word)
+"""
