@@ -3,20 +3,30 @@
 Coverage is lexical only: it says which terms occur, not how good a candidate is.
 Job descriptions are few and given; documents are many. Terms meet by equi-joins on the
 term, so no pair without a common term is ever looked at.
+
+A term is a word, or a phrase of the alias table. In a description, words of a phrase ask
+for the phrase only (the leftmost and longest one, see ``docsift.operators.phrases``); a
+document has its words and every phrase in it.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docsift.functions import text as T
+from docsift.operators import phrases
+from docsift.operators.phrases import singular
+from docsift.sources.inputs import MAX_JD_CHARS
 
-#: Other spellings of a term; canonical spellings are singular.
+#: Other spellings of a term, of one word or several; canonical spellings are singular.
 ALIASES = {
     "k8s": "kubernete", "js": "javascript", "ts": "typescript", "postgres": "postgresql", "psql": "postgresql", "golang": "go", "py": "python",
     "tf": "terraform", "gcp": "google cloud", "nodejs": "node", "cpp": "c++", "csharp": "c#", "ml": "machine learning", "ai": "artificial intelligence",
+    "google cloud platform": "google cloud", "amazon web services": "aws", "node js": "node",
 }
 #: Words that ask for nothing by themselves.
 FILLER = (
@@ -39,18 +49,27 @@ def _table(spark, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def aliases(spark, more: dict[str, str] | None = None) -> DataFrame:
+def aliases(spark, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """(alias, canonical) of the table above and of ``more``: a dict, or rows (alias, canonical) of any number."""
+    if isinstance(more, DataFrame):
+        return aliases(spark).unionByName(more.select(F.lower("alias").alias("alias"), phrases.key("canonical").alias("canonical")))
     return _table(spark, sorted({**ALIASES, **(more or {})}.items()), "alias string, canonical string")
 
 
-def singular(term: Column) -> Column:
-    """Without a plural s; short terms and those in -ss keep theirs."""
-    return F.when((F.length(term) > 3) & ~term.endswith("ss"), F.regexp_replace(term, "s$", "")).otherwise(term)
+def _dictionary(spark, more: dict[str, str] | DataFrame | None) -> tuple[DataFrame, list[int]]:
+    """The phrases of the alias table, and how many terms they have."""
+    table = phrases.dictionary(aliases(spark, more))
+    if isinstance(more, DataFrame):
+        return table, phrases.lengths(table)
+    words = lambda x: len([w for w in re.split(T.NOT_TERM, x.lower()) if w])
+    return table, sorted({n for pair in {**ALIASES, **(more or {})}.items() for n in map(words, pair) if n > 1})
 
 
-def canonical(rows: DataFrame, term: str = "term") -> DataFrame:
-    """Adds ``canonical``: the alias table's entry, or the singular. The table is a constant, hence the broadcast."""
-    table = F.broadcast(aliases(rows.sparkSession).withColumnsRenamed({"alias": "a", "canonical": "c"}))
+def canonical(rows: DataFrame, term: str = "term", more: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """Adds ``canonical``: the alias table's entry, or the singular. The table is a constant, hence the broadcast;
+    if ``more`` is a DataFrame, Spark judges its size."""
+    table = aliases(rows.sparkSession, more).groupBy("alias").agg(F.min("canonical").alias("c")).withColumnRenamed("alias", "a")
+    table = table if isinstance(more, DataFrame) else F.broadcast(table)
     return rows.join(table, rows[term] == F.col("a"), "left").withColumn("canonical", F.coalesce("c", singular(F.col(term)))).drop("a", "c")
 
 
@@ -62,47 +81,66 @@ def without_filler(rows: DataFrame, term: str = "term") -> DataFrame:
     return rows.join(F.broadcast(filler(rows.sparkSession)), rows[term] == F.col("filler"), "left_anti")
 
 
-def jd_lines(jds: DataFrame) -> DataFrame:
-    """(jd_id, line_no, line, section): a heading opens a section that lasts to the next."""
-    lines = jds.select("jd_id", F.posexplode(F.split(F.substring(F.coalesce("text", F.lit("")), 1, 60_000), "\n")).alias("line_no", "line"))
+def jd_lines(jds: DataFrame, most_chars: int | None = MAX_JD_CHARS) -> DataFrame:
+    """(jd_id, line_no, line, section, clipped): a heading opens a section that lasts to the next.
+
+    A description counts up to ``most_chars`` characters, as the limit for descriptions has
+    it; ``clipped`` says where that cut one. With None, whole texts count, however long.
+    """
+    text = F.coalesce("text", F.lit(""))
+    clipped = F.lit(False) if most_chars is None else F.length(text) > most_chars
+    text = text if most_chars is None else F.substring(text, 1, most_chars)
+    lines = jds.select("jd_id", clipped.alias("clipped"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     key = F.lower(T.squeezed(F.regexp_replace("line", "[:#*-]", " ")))
     opened = F.lit(None).cast("string")
     for name, headings in SECTIONS.items():
         opened = F.coalesce(opened, F.when(key.isin(*headings), F.lit(name)))
     before = Window.partitionBy("jd_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("opened", opened).withColumn("section", F.coalesce(F.last("opened", ignorenulls=True).over(before), F.lit("required")))
-    return lines.filter(F.col("opened").isNull() & (F.trim("line") != "")).drop("opened")
+    return lines.filter(F.col("opened").isNull() & (F.trim("line") != "")).select("jd_id", "line_no", "line", "section", "clipped")
+
 
+def jd_terms(jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """(jd_id, term, canonical, section, weight): each canonical term once, in its weightiest section.
 
-def jd_terms(jds: DataFrame) -> DataFrame:
-    """(jd_id, term, canonical, section, weight): each canonical term once, in its weightiest section."""
+    Phrases that the alias table (and ``more``) knows are one term; their words ask for nothing else.
+    """
     weight = F.create_map(*[F.lit(x) for pair in SECTION_WEIGHTS.items() for x in pair])
-    each = jd_lines(jds).select("jd_id", "section", F.explode(T.terms(F.col("line"))).alias("term"))
-    each = without_filler(each.filter((F.length("term") > 1) & ~F.col("term").rlike("^[0-9+]+$")))
-    each = canonical(each).withColumn("weight", weight[F.col("section")])
+    lines = jd_lines(jds).select("jd_id", "line_no", "section", T.terms(F.col("line")).alias("terms"))
+    place = ["jd_id", "line_no"]
+    table, sizes = _dictionary(jds.sparkSession, more)
+    found = phrases.settled(phrases.found(lines, table, sizes, [*place, "section"]), [*place, "section"])
+    taken = found.select(*place, F.explode(F.sequence("place", F.col("place") + F.col("n") - 1)).alias("place"))
+    words = lines.select(*place, "section", F.posexplode("terms").alias("place", "term")).join(taken, [*place, "place"], "left_anti")
+    words = without_filler(words.filter((F.length("term") > 1) & ~F.col("term").rlike("^[0-9+]+$")))
+    each = canonical(words, more=more).select("jd_id", "section", "term", "canonical").unionByName(found.select("jd_id", "section", F.col("run").alias("term"), "canonical"))
+    each = each.withColumn("weight", weight[F.col("section")])
     best = F.max(F.struct("weight", "section", "term"))
     return each.groupBy("jd_id", "canonical").agg(best.alias("b")).select("jd_id", "b.term", "canonical", "b.section", "b.weight").filter("weight > 0")
 
 
-def doc_terms(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """(doc_id, canonical): the distinct canonical terms of each document; with ``only``
+def doc_terms(docs: DataFrame, only: DataFrame | None = None, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
+    """(doc_id, canonical): the distinct canonical terms of each document, phrases included; with ``only``
     (canonical), those of them, and the others go before anything is shuffled or made distinct."""
-    each = canonical(docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))).select("doc_id", "canonical")
+    table, sizes = _dictionary(docs.sparkSession, more)
+    each = canonical(docs.select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term")), more=more).select("doc_id", "canonical")
     if only is not None:
-        each = each.join(only.select("canonical").distinct(), "canonical", "left_semi")
-    return each.select("doc_id", "canonical").distinct()
+        only = only.select("canonical").distinct()
+        each, table = each.join(only, "canonical", "left_semi"), table.join(only, "canonical", "left_semi")
+    runs = phrases.found(docs.select("doc_id", T.terms(F.col("text")).alias("terms")), table, sizes, ["doc_id"])
+    return each.unionByName(runs.select("doc_id", "canonical")).distinct()
 
 
-def matched(docs: DataFrame, jds: DataFrame) -> DataFrame:
+def matched(docs: DataFrame, jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(jd_id, doc_id, term, canonical, section, weight) for each term that both have."""
-    wanted = jd_terms(jds)
-    return doc_terms(docs, wanted).join(wanted, "canonical").select("jd_id", "doc_id", "term", "canonical", "section", "weight")
+    wanted = jd_terms(jds, more)
+    return doc_terms(docs, wanted, more).join(wanted, "canonical").select("jd_id", "doc_id", "term", "canonical", "section", "weight")
 
 
-def judged(pairs: DataFrame, docs: DataFrame, jds: DataFrame) -> DataFrame:
+def judged(pairs: DataFrame, docs: DataFrame, jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(jd_id, doc_id, coverage_required, matched, missing) of given pairs; the lists hold terms, sorted."""
-    terms = jd_terms(jds)
-    there = doc_terms(docs, terms).withColumn("hit", F.lit(True))
+    terms = jd_terms(jds, more)
+    there = doc_terms(docs, terms, more).withColumn("hit", F.lit(True))
     rows = pairs.select("jd_id", "doc_id").distinct().join(terms, "jd_id", "left").join(there, ["doc_id", "canonical"], "left")
     hit, required = F.col("hit").isNotNull(), F.when(F.col("section") == "required", F.col("weight"))
     share = F.coalesce(F.sum(F.when(hit, required)), F.lit(0.0)) / F.nullif(F.sum(required), F.lit(0.0))
@@ -113,20 +151,20 @@ def judged(pairs: DataFrame, docs: DataFrame, jds: DataFrame) -> DataFrame:
     )
 
 
-def coverage(docs: DataFrame, jds: DataFrame) -> DataFrame:
+def coverage(docs: DataFrame, jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(jd_id, doc_id, coverage_required, n_matched, n_terms) of each pair with a term in common."""
     required = F.when(F.col("section") == "required", F.col("weight"))
-    of_jd = jd_terms(jds).groupBy("jd_id").agg(F.sum(required).alias("all"), F.count(F.lit(1)).alias("n_terms"))
-    hits = matched(docs, jds).groupBy("jd_id", "doc_id").agg(F.sum(required).alias("hit"), F.count(F.lit(1)).alias("n_matched"))
+    of_jd = jd_terms(jds, more).groupBy("jd_id").agg(F.sum(required).alias("all"), F.count(F.lit(1)).alias("n_terms"))
+    hits = matched(docs, jds, more).groupBy("jd_id", "doc_id").agg(F.sum(required).alias("hit"), F.count(F.lit(1)).alias("n_matched"))
     share = F.round(F.coalesce("hit", F.lit(0.0)) / F.nullif(F.col("all"), F.lit(0.0)), 6)
     return hits.join(of_jd, "jd_id").select("jd_id", "doc_id", share.alias("coverage_required"), "n_matched", "n_terms")
 
 
-def missing(pairs: DataFrame, docs: DataFrame, jds: DataFrame) -> DataFrame:
+def missing(pairs: DataFrame, docs: DataFrame, jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(jd_id, doc_id, term, canonical, section) that the document of a given pair lacks."""
-    terms = jd_terms(jds)
+    terms = jd_terms(jds, more)
     wanted = pairs.select("jd_id", "doc_id").join(terms, "jd_id")
-    return wanted.join(doc_terms(docs, terms), ["doc_id", "canonical"], "left_anti").select("jd_id", "doc_id", "term", "canonical", "section")
+    return wanted.join(doc_terms(docs, terms, more), ["doc_id", "canonical"], "left_anti").select("jd_id", "doc_id", "term", "canonical", "section")
 
 
 def tenures(docs: DataFrame, now: int = 2026) -> DataFrame:

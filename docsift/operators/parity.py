@@ -4,6 +4,9 @@ Blocks are non-blank lines. A block's shingles are looked up among the other ren
 distinct shingles, so the work is linear in the texts, order does not matter, and as
 shingles run across line ends, neither does wrapping. Both renditions of a text meet once, by
 their key; no row is made for a shingle.
+
+:func:`counterparts` is stricter: it names the one block of the other texts that has most of
+a block, by a set-similarity join, so fragments that lie scattered are no counterpart.
 """
 
 from __future__ import annotations
@@ -16,8 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
+from pyspark.sql.window import Window
 
 from docsift.functions import text as T
+from docsift.scratch import written
 from docsift.sources import documents
 
 #: Words of a shingle, share of a block's shingles below which it is missing, least length
@@ -97,6 +102,60 @@ def compare_blocks(one: DataFrame, two: DataFrame, least: int = LEAST, missing:
     return rows.select("key", "block_no", "text", F.round("ratio", 6).alias("best_ratio")).withColumn("missing", F.col("best_ratio") < missing)
 
 
+def stretches(texts: DataFrame, lines: int = 1) -> DataFrame:
+    """(key, first, n, terms): each run of up to ``lines`` consecutive non-blank lines that has terms.
+
+    ``first`` is the number of its first line in the text. Runs of more than one line have a
+    block whole that the other rendition has wrapped.
+    """
+    text = F.regexp_replace(F.coalesce("text", F.lit("")), "^\ufeff", "")
+    numbered = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), T.terms(x).alias("terms"))), lambda x: F.size(x["terms"]) > 0)
+    each = texts.select("key", numbered.alias("lines")).select("key", "lines", F.posexplode("lines").alias("at", "line"))
+    runs = [F.when(F.col("at") + n <= F.size("lines"), F.struct(F.lit(n).alias("n"), F.flatten(F.transform(F.slice("lines", F.col("at") + 1, n), lambda x: x["terms"])).alias("terms"))) for n in range(1, lines + 1)]
+    each = each.select("key", F.col("line.no").alias("first"), F.explode(F.array(*runs)).alias("r")).filter("r IS NOT NULL")
+    return each.select("key", "first", "r.n", "r.terms")
+
+
+def counterparts(one: DataFrame, two: DataFrame, least: float = MISSING, lines: int = 1, same_key: bool = False, shortest: int = LEAST) -> DataFrame:
+    """(key, block_no, n_shingles, ratio, other, first, n_lines, missing) for each block of ``one`` (key, text).
+
+    Its best counterpart among the stretches of up to ``lines`` lines of ``two`` (key, text):
+    the one with the largest share of the block's distinct shingles, if that is ``least`` or
+    more (of equal ones the shortest stretch, then the smallest key and line); else nothing
+    is named and the block is missing. With ``same_key``, only texts of the same key are looked at.
+
+    A set-similarity join: a stretch that has that share must have one of the block's
+    rarest shingles, as many as may be lacking and one more; only these are looked up, and
+    only stretches of enough shingles pass. What passes is counted exactly. Equal stretches
+    are compared once. Null texts have no blocks; blocks without terms are missing.
+    """
+    by = ["key"] if same_key else []
+    keyed = blocks(one, shortest).select("key", "block_no", F.array_distinct(shingles(T.terms(F.col("text")))).alias("parts"))
+    keyed = written(keyed.withColumn("n_shingles", F.size("parts")), "parity-blocks")
+    wanted = written(keyed.select("key", "block_no", "n_shingles", F.explode("parts").alias("part")), "parity-parts")
+    looked_up = wanted.select(*by, "part").distinct()
+    sets = stretches(two, lines).withColumn("parts", F.array_distinct(shingles(F.col("terms"))))
+    sets = sets.select("key", "first", "n", F.unhex(F.md5(F.array_join("terms", " "))).alias("stretch"), F.size("parts").alias("size"), F.explode("parts").alias("part"))
+    hits = written(sets.join(looked_up, [*by, "part"], "left_semi"), "parity-hits")
+    of = [*by, "stretch"]
+    where = hits.groupBy(*of, "size").agg(F.min(F.struct("n", "key", "first")).alias("at"))
+    there = written(hits.select(*of, "size", "part").distinct(), "parity-shared")
+    rarity = there.groupBy(*by, "part").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("key", "block_no").orderBy(F.coalesce("n", F.lit(0)), "part"))
+    needed = F.ceil(F.col("n_shingles") * least - 1e-9).cast("int")
+    ranked = wanted.join(rarity, [*by, "part"], "left").withColumn("place", place).withColumn("needed", F.greatest(needed, F.lit(1)))
+    prefix = ranked.filter(F.col("place") <= F.col("n_shingles") - F.col("needed") + 1).select(F.col("key").alias("block_key"), "block_no", "n_shingles", "needed", "part", *by)
+    met = prefix.join(there, [*by, "part"]).filter(F.col("size") >= F.col("needed")).select(*by, "block_key", "block_no", "n_shingles", "needed", "stretch", "size").distinct()
+    shared = met.join(there.select(*of, "part"), of).join(wanted.select(F.col("key").alias("block_key"), "block_no", "part"), ["block_key", "block_no", "part"])
+    shared = shared.groupBy("block_key", "block_no", "n_shingles", "needed", *of, "size").agg(F.count(F.lit(1)).alias("common")).filter(F.col("common") >= F.col("needed"))
+    best = F.min(F.struct((-F.col("common")).alias("minus"), "size", "at"))
+    found = shared.join(where.drop("size"), of).groupBy("block_key", "block_no").agg(best.alias("b"))
+    found = found.select(F.col("block_key").alias("key"), "block_no", (-F.col("b.minus")).alias("common"), F.col("b.at.key").alias("other"), F.col("b.at.first").alias("first"), F.col("b.at.n").alias("n_lines"))
+    ratio = F.round(F.col("common") / F.col("n_shingles"), 6)
+    rows = keyed.drop("parts").join(found, ["key", "block_no"], "left")
+    return rows.select("key", "block_no", "n_shingles", ratio.alias("ratio"), "other", "first", "n_lines", F.col("common").isNull().alias("missing"))
+
+
 def similarity(one: DataFrame, two: DataFrame) -> DataFrame:
     """(key, similarity): common terms over all terms, repeats included, of texts with one key."""
     count = lambda df, name: df.select("key", F.explode(T.terms(F.col("text"))).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias(name))

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from docsift.functions import report
 from docsift.functions import text as T
-from docsift.operators import gate, lint, matching, parity, staging
+from docsift.operators import gate, lint, matching, parity, phrases, staging
 from docsift.plans import api
 from docsift.sources import inputs
 from docsift.streaming.staging import failures_per_span
@@ -116,8 +116,8 @@ def q04_html_guard(spark, sf_dir):
     )
 
 
-def _documents(spark, sf_dir, where: str = "true"):
-    return table(spark, sf_dir, "documents").filter(where).select("doc_id", "text")
+def _documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 def _jds(spark, sf_dir):
@@ -126,19 +126,60 @@ def _jds(spark, sf_dir):
 
 _ALIASES = f"(VALUES {_values(sorted(matching.ALIASES.items()))}) a(alias, name)"
 _CANONICAL = "coalesce(a.name, CASE WHEN length(term) > 3 AND term NOT LIKE '%ss' THEN regexp_replace(term, 's$', '') ELSE term END)"
-_JD = f"""
-  jt AS (SELECT DISTINCT jd_id, {_CANONICAL} AS canonical FROM (
-      SELECT item_id AS jd_id, unnest(string_split_regex(lower(text), '{T.NOT_TERM}')) AS term FROM benchmark) x
-    LEFT JOIN {_ALIASES} ON a.alias = x.term
-    WHERE length(term) > 1 AND NOT regexp_matches(term, '^[0-9+]+$') AND term NOT IN ({_in(sorted(set(matching.FILLER)))}))"""
-_DT = f"""
-  dt AS (SELECT DISTINCT doc_id, {_CANONICAL} AS canonical FROM (
-      SELECT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '{T.NOT_TERM}')) AS term FROM documents) x
-    LEFT JOIN {_ALIASES} ON a.alias = x.term WHERE term <> '')"""
+
+
+def _terms(text: str) -> str:
+    """SQL for the list of a text's terms."""
+    return f"list_filter(string_split_regex(lower(coalesce({text}, '')), '{T.NOT_TERM}'), lambda x: x <> '')"
+
+
+def _key(terms: str) -> str:
+    """SQL for a list of terms in the singular, joined."""
+    return f"array_to_string(list_transform({terms}, lambda x: CASE WHEN length(x) > 3 AND x NOT LIKE '%ss' THEN regexp_replace(x, 's$', '') ELSE x END), ' ')"
+
+
+def _phrases(spellings: str) -> str:
+    """SQL for the phrases of spellings (alias, name); the aliases come first."""
+    return f"""(SELECT phrase, len(string_split(phrase, ' ')) AS size, first(canonical ORDER BY rank, canonical) AS canonical FROM (
+      SELECT {_key(_terms("alias"))} AS phrase, {_key(_terms("name"))} AS canonical, 0 AS rank FROM {spellings}
+      UNION ALL SELECT {_key(_terms("name"))}, {_key(_terms("name"))}, 1 FROM {spellings}) WHERE contains(phrase, ' ') GROUP BY phrase)"""
+
+
+def _runs(source: str, by: str) -> str:
+    """SQL for the phrases ``ph`` in the lists ``w`` of a source."""
+    return f"""SELECT {by}, i, size, canonical, array_to_string(w[i + 1 : i + size], ' ') AS term FROM (SELECT {by}, w, unnest(range(len(w))) AS i FROM {source})
+      JOIN (SELECT DISTINCT size FROM ph) s ON i + size <= len(w) JOIN ph USING (size) WHERE {_key("w[i + 1 : i + size]")} = phrase"""
+
+
+def _settled(hits: str, by: str) -> str:
+    """SQL (recursive) for the phrases of ``hits`` that stand: from each, on to the next that starts behind it."""
+    same = " AND ".join(f"h.{c} = s.{c}" for c in by.split(", "))
+    first = "arg_min({'i': i, 'size': size, 'canonical': canonical, 'term': term}, (i, -size))"
+    return f"""SELECT {by}, {first} AS x FROM {hits} GROUP BY {by}
+      UNION ALL SELECT {", ".join(f"s.{c}" for c in by.split(", "))}, arg_min({{'i': h.i, 'size': h.size, 'canonical': h.canonical, 'term': h.term}}, (h.i, -h.size))
+      FROM s JOIN {hits} h ON {same} AND h.i >= s.x.i + s.x.size GROUP BY {", ".join(f"s.{c}" for c in by.split(", "))}, s.x"""
+
+
+def _jd_sql(spellings: str) -> str:
+    """SQL for jt (jd_id, canonical), the terms of descriptions, and dt (doc_id, canonical), those of documents; WITH RECURSIVE."""
+    filler = _in(sorted(set(matching.FILLER)))
+    return f"""
+  ph AS {_phrases(spellings)}, jl AS (SELECT item_id AS jd_id, string_split(text, chr(10)) AS lines, unnest(range(len(lines))) AS line_no FROM benchmark),
+  jw AS (SELECT jd_id, line_no, {_terms("lines[line_no + 1]")} AS w FROM jl), jh AS ({_runs("jw", "jd_id, line_no")}),
+  s AS ({_settled("jh", "jd_id, line_no")}), taken AS (SELECT jd_id, line_no, unnest(range(x.i, x.i + x.size)) AS i FROM s),
+  jt AS (SELECT DISTINCT jd_id, {_CANONICAL} AS canonical FROM (SELECT jd_id, line_no, unnest(range(len(w))) AS i, w[i + 1] AS term FROM jw) x LEFT JOIN {spellings} ON a.alias = x.term
+      WHERE length(term) > 1 AND NOT regexp_matches(term, '^[0-9+]+$') AND term NOT IN ({filler}) AND (jd_id, line_no, i) NOT IN (SELECT (jd_id, line_no, i) FROM taken)
+    UNION SELECT jd_id, x.canonical FROM s),
+  dw AS (SELECT doc_id, {_terms("text")} AS w FROM documents),
+  dt AS (SELECT DISTINCT doc_id, {_CANONICAL} AS canonical FROM (SELECT doc_id, unnest(w) AS term FROM dw) x LEFT JOIN {spellings} ON a.alias = x.term
+    UNION SELECT doc_id, canonical FROM ({_runs("dw", "doc_id")}))"""
+
+
+_JD = _jd_sql(_ALIASES)
 
 
 @query(f"""
-WITH {_JD}, {_DT}, n AS (SELECT jd_id, count(*) AS n_terms FROM jt GROUP BY jd_id),
+WITH RECURSIVE {_JD}, n AS (SELECT jd_id, count(*) AS n_terms FROM jt GROUP BY jd_id),
   c AS (SELECT jd_id, doc_id, count(*) AS n_matched FROM jt JOIN dt USING (canonical) GROUP BY ALL)
 SELECT jd_id, n_terms, max(round(n_matched / n_terms, 6)) AS best, count(*) FILTER (round(n_matched / n_terms, 6) >= 0.5) AS n_docs
 FROM c JOIN n USING (jd_id) GROUP BY ALL""")
@@ -148,7 +189,7 @@ def q05_jd_coverage(spark, sf_dir):
     return rows.groupBy("jd_id", "n_terms").agg(F.max("coverage_required").alias("best"), F.count_if(F.col("coverage_required") >= 0.5).alias("n_docs"))
 
 
-@query(f"WITH {_JD}, {_DT} SELECT jd_id, canonical FROM jt WHERE canonical NOT IN (SELECT canonical FROM dt)")
+@query(f"WITH RECURSIVE {_JD} SELECT jd_id, canonical FROM jt WHERE canonical NOT IN (SELECT canonical FROM dt)")
 def q06_jd_missing(spark, sf_dir):
     """Terms of descriptions that no document has."""
     wanted = matching.jd_terms(_jds(spark, sf_dir))
@@ -161,8 +202,8 @@ _SKILLS = ("skills", "technical skills", "key skills", "core competencies", "tec
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, 'Skills' || chr(10) || split_part(text, chr(10), 1) || chr(10) || 'EXPERIENCE' || substr(text, length(split_part(text, chr(10), 1)) + 1) AS t
-    FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT doc_id, 'Skills' || chr(10) || split_part(text, chr(10), 1) || chr(10) || 'EXPERIENCE' || substr(text, length(split_part(text, chr(10), 1)) + 1) AS t FROM d),
   n AS (SELECT doc_id, t, unnest(range(len(string_split(t, chr(10))))) AS n FROM w),
   l AS (SELECT doc_id, n, string_split(t, chr(10))[n + 1] AS line FROM n),
   h AS (SELECT *, CASE WHEN trim(regexp_replace(lower(regexp_replace(line, '[:#*]', ' ', 'g')), '{_SPACE}', ' ', 'g')) IN ({_in(_SKILLS)}) THEN 1
@@ -176,19 +217,29 @@ SELECT doc_id, count(*) AS n_unsupported FROM u GROUP BY doc_id""")
 def q07_unsupported_skill(spark, sf_dir):
     """Terms of the first line, set under a heading for skills, without a mention below it."""
     text = F.expr("concat('Skills\\n', substring_index(text, '\\n', 1), '\\nEXPERIENCE', substring(text, length(substring_index(text, '\\n', 1)) + 1))")
-    docs = _documents(spark, sf_dir, "text IS NOT NULL").select("doc_id", text.alias("text"))
+    docs = _documents(spark, sf_dir).fillna("", "text").select("doc_id", text.alias("text"))
     return matching.unsupported_skills(docs).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_unsupported"))
 
 
 @query(f"""
-WITH t AS (SELECT DISTINCT doc_id, unnest(string_split_regex(lower(coalesce(text, '')), '{T.NOT_TERM}')) AS term FROM documents)
-SELECT a.alias, a.name AS canonical, count(t.doc_id) AS n_docs FROM {_ALIASES} LEFT JOIN t ON t.term = a.alias GROUP BY ALL""")
+WITH w AS (SELECT doc_id, {_terms("text")} AS w, ' ' || {_key("w")} || ' ' AS k FROM documents),
+  t AS (SELECT DISTINCT doc_id, unnest(w) AS term FROM w), n AS (SELECT alias, name, {_key(_terms("alias"))} AS ak, {_key(_terms("name"))} AS nk FROM {_ALIASES})
+SELECT alias, name AS canonical, (SELECT count(*) FROM t WHERE term = alias) + (SELECT count(*) FROM w WHERE contains(alias, ' ') AND contains(k, ' ' || ak || ' ')) AS n_docs,
+  (SELECT count(*) FROM w WHERE contains(k, ' ' || nk || ' ')) AS n_long FROM n""")
 def q08_alias_match(spark, sf_dir):
-    """Documents that use each other spelling of a term."""
-    each = _documents(spark, sf_dir).select("doc_id", F.explode(F.array_distinct(T.terms(F.col("text")))).alias("term"))
-    known = matching.aliases(spark)
-    counts = each.join(F.broadcast(known), each["term"] == known["alias"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    return known.join(counts, known["alias"] == counts["term"], "left").select("alias", "canonical", F.coalesce("n", F.lit(0)).alias("n_docs"))
+    """Documents that use each other spelling of a term, and those that use its own, of one word or several."""
+    docs = _documents(spark, sf_dir).select("doc_id", T.terms(F.col("text")).alias("terms"))
+    known = matching.aliases(spark).select("alias", "canonical", phrases.key("alias").alias("ak"), phrases.key("canonical").alias("nk"))
+    spelling = known.select(F.col("ak").alias("phrase"), F.col("ak").alias("canonical")).union(known.select("nk", "nk")).distinct().withColumn("n", F.size(F.split("phrase", " ")))
+    runs = phrases.found(docs, spelling.filter("n > 1"), phrases.lengths(spelling.filter("n > 1")), ["doc_id"]).select("doc_id", F.col("canonical").alias("spelling"))
+    words = docs.select("doc_id", F.explode(F.array_distinct("terms")).alias("word"))
+    plain = words.join(F.broadcast(known.select(F.col("alias").alias("word")).distinct()), "word").select("doc_id", F.concat(F.lit("="), "word").alias("spelling"))
+    named = words.withColumn("spelling", phrases.singular(F.col("word"))).join(F.broadcast(spelling.select(F.col("phrase").alias("spelling"))), "spelling").select("doc_id", "spelling")
+    counts = plain.unionByName(named).unionByName(runs).distinct().groupBy("spelling").agg(F.count(F.lit(1)).alias("n_docs"))
+    short = F.when(F.col("alias").contains(" "), F.col("ak")).otherwise(F.concat(F.lit("="), "alias"))  # one word counts as it stands
+    rows = known.withColumn("short", short).join(counts.withColumnRenamed("spelling", "short"), "short", "left")
+    rows = rows.join(counts.select(F.col("spelling").alias("nk"), F.col("n_docs").alias("n_long")), "nk", "left")
+    return rows.select("alias", "canonical", F.coalesce("n_docs", F.lit(0)).alias("n_docs"), F.coalesce("n_long", F.lit(0)).alias("n_long"))
 
 
 @query(f"""
@@ -368,8 +419,9 @@ _SECTION = " ".join(f"WHEN key IN ({_in(v)}) THEN '{k}'" for k, v in matching.SE
 
 
 @query(f"""
-WITH w AS (SELECT doc_id, left(split_part(text, chr(10), 1) || chr(10) || '## Nice to have:' || substr(text, length(split_part(text, chr(10), 1)) + 1)
-      || chr(10) || 'Benefits' || chr(10) || split_part(text, chr(10), 1), 60000) AS t FROM documents WHERE text IS NOT NULL),
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  w AS (SELECT doc_id, split_part(text, chr(10), 1) || chr(10) || '## Nice to have:' || substr(text, length(split_part(text, chr(10), 1)) + 1)
+      || chr(10) || 'Benefits' || chr(10) || split_part(text, chr(10), 1) AS t FROM d),
   n AS (SELECT doc_id, t, unnest(range(len(string_split(t, chr(10))))) AS line_no FROM w),
   l AS (SELECT doc_id, line_no, string_split(t, chr(10))[line_no + 1] AS line FROM n),
   k AS (SELECT *, lower(trim(regexp_replace(regexp_replace(line, '[:#*-]', ' ', 'g'), '{_SPACE}', ' ', 'g'))) AS key FROM l),
@@ -377,10 +429,11 @@ WITH w AS (SELECT doc_id, left(split_part(text, chr(10), 1) || chr(10) || '## Ni
   s AS (SELECT *, coalesce(last_value(opened IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line_no ROWS UNBOUNDED PRECEDING), 'required') AS section FROM o)
 SELECT doc_id, line_no::INT AS line_no, md5(line) AS line_md5, section FROM s WHERE opened IS NULL AND trim(line, ' ') <> ''""")
 def q22_header_split(spark, sf_dir):
-    """Documents as descriptions: the first line is required, the rest nice to have, and the first again a benefit."""
+    """Documents as descriptions: the first line is required, the rest nice to have, and the first again a benefit; whole texts, however long."""
     one = "substring_index(text, '\\n', 1)"
     text = F.expr(f"concat({one}, '\\n## Nice to have:', substring(text, length({one}) + 1), '\\nBenefits\\n', {one})")
-    lines = matching.jd_lines(_documents(spark, sf_dir, "text IS NOT NULL").select(F.col("doc_id").alias("jd_id"), text.alias("text")))
+    docs = _documents(spark, sf_dir).fillna("", "text").select(F.col("doc_id").alias("jd_id"), text.alias("text"))
+    lines = matching.jd_lines(docs, most_chars=None)
     return lines.select(F.col("jd_id").alias("doc_id"), "line_no", F.md5("line").alias("line_md5"), "section")
 
 
@@ -510,7 +563,7 @@ def q30_staging_puts(spark, sf_dir):
 
 
 @query(f"""
-WITH {_JD}, {_DT}, o AS (SELECT item_id AS jd_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark),
+WITH RECURSIVE {_JD}, o AS (SELECT item_id AS jd_id, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark),
   p AS (SELECT doc_id, jd_id FROM documents JOIN o ON doc_id % n = place),
   m AS (SELECT p.doc_id, p.jd_id, count(canonical) AS n_terms, count(dt.doc_id) AS n_matched FROM p LEFT JOIN jt USING (jd_id) LEFT JOIN dt USING (doc_id, canonical) GROUP BY ALL)
 SELECT jd_id, doc_id, n_matched, n_terms - n_matched AS n_missing, coalesce(round(n_matched / nullif(n_terms, 0), 6), 0) AS coverage FROM m""")
@@ -522,3 +575,78 @@ def q31_review_pairs(spark, sf_dir):
     pairs = docs.select("doc_id", (F.col("doc_id") % F.lit(jds.count())).alias("place")).join(places, "place").select("jd_id", "doc_id")
     rows = api.jd_struct(docs, jds, pairs)
     return rows.select("jd_id", "doc_id", F.size("jd.matched").cast("long").alias("n_matched"), F.size("jd.missing").cast("long").alias("n_missing"), F.col("jd.coverage_required").alias("coverage"))
+
+
+_OPENINGS = f"""(SELECT alias, min(name) AS name FROM (
+      SELECT array_to_string(w[1:2], ' ') AS alias, 'two' || item_id % 5 AS name FROM (SELECT item_id, {_terms("text")} AS w FROM benchmark) WHERE len(w) > 2
+      UNION ALL SELECT array_to_string(w[1:3], ' '), 'three' || item_id % 5 FROM (SELECT item_id, {_terms("text")} AS w FROM benchmark) WHERE len(w) > 2 AND item_id % 2 = 1
+      UNION ALL SELECT array_to_string(w[2:3], ' '), 'later' || item_id % 5 FROM (SELECT item_id, {_terms("text")} AS w FROM benchmark) WHERE len(w) > 2
+      UNION ALL SELECT * FROM {_ALIASES}) GROUP BY alias) a"""
+
+
+def _openings(spark, sf_dir) -> DataFrame:
+    """Other spellings made of the items' first terms, so that phrases overlap: 1-2, of every second item 1-3, and 2-3."""
+    terms = table(spark, sf_dir, "benchmark").select("item_id", T.terms(F.col("text")).alias("w")).filter(F.size("w") > 2)
+    part = lambda a, n, name: F.struct(F.array_join(F.slice("w", a, n), " ").alias("alias"), F.concat(F.lit(name), (F.col("item_id") % 5).cast("string")).alias("canonical"))
+    made = F.array(part(1, 2, "two"), F.when(F.col("item_id") % 2 == 1, part(1, 3, "three")), part(2, 2, "later"))
+    return terms.select(F.inline(F.filter(made, lambda x: x.isNotNull()))).groupBy("alias").agg(F.min("canonical").alias("canonical"))
+
+
+@query(f"""
+WITH RECURSIVE {_jd_sql(_OPENINGS)}, n AS (SELECT jd_id, count(*) AS n_terms FROM jt GROUP BY jd_id),
+  c AS (SELECT jd_id, doc_id, count(*) AS n_matched FROM jt JOIN dt USING (canonical) GROUP BY ALL)
+SELECT jd_id, n_terms, max(n_matched) AS most, count(*) FILTER (round(n_matched / n_terms, 6) >= 0.5) AS n_docs
+FROM c JOIN n USING (jd_id) GROUP BY ALL""")
+def q36_phrase_coverage(spark, sf_dir):
+    """As q05, with phrases of two and three terms that descriptions and documents have, in a table of other spellings."""
+    rows = matching.coverage(_documents(spark, sf_dir), _jds(spark, sf_dir), _openings(spark, sf_dir))
+    return rows.groupBy("jd_id", "n_terms").agg(F.max("n_matched").alias("most"), F.count_if(F.col("coverage_required") >= 0.5).alias("n_docs"))
+
+
+@query(f"""
+WITH RECURSIVE ph AS {_phrases(_OPENINGS)}, dw AS (SELECT doc_id, {_terms("text")} AS w FROM documents), h AS ({_runs("dw", "doc_id")}), s AS ({_settled("h", "doc_id")})
+SELECT x.canonical AS canonical, count(*) AS n_places, count(DISTINCT doc_id) AS n_docs, sum(x.size)::BIGINT AS n_terms FROM s GROUP BY 1""")
+def q37_phrase_places(spark, sf_dir):
+    """Phrases as they stand in the documents, where of those that overlap the leftmost and longest counts."""
+    known = phrases.dictionary(matching.aliases(spark, _openings(spark, sf_dir)))
+    docs = _documents(spark, sf_dir).select("doc_id", T.terms(F.col("text")).alias("terms"))
+    rows = phrases.settled(phrases.found(docs, known, phrases.lengths(known), ["doc_id"]), ["doc_id"])
+    return rows.groupBy("canonical").agg(F.count(F.lit(1)).alias("n_places"), F.count_distinct("doc_id").alias("n_docs"), F.sum("n").alias("n_terms"))
+
+
+def _parts(words: str) -> str:
+    """SQL for the distinct 3-term shingles of a list of terms, or the run of fewer."""
+    return f"list_distinct(CASE WHEN len({words}) = 0 THEN [] ELSE list_transform(range(greatest(len({words}) - 2, 1)), lambda i: array_to_string({words}[i + 1 : i + 3], ' ')) END)"
+
+
+def _counterparts(n_lines: int) -> str:
+    """SQL for the best counterpart of each benchmark block among all stretches of so many lines, every common shingle counted."""
+    return f"""
+WITH {_BLOCKS}, b AS (SELECT item_id, block_no, {_parts(_terms("block"))} AS parts FROM blocks WHERE length(block) >= {parity.LEAST}),
+  dl AS (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS no FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents)),
+  dt AS (SELECT doc_id, no, {_terms("line")} AS w FROM dl), dn AS (SELECT doc_id, no, w, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k FROM dt WHERE len(w) > 0),
+  st AS ({" UNION ALL ".join(f"SELECT a.doc_id, a.no, {n} AS n, {' || '.join(['a.w', *[f'x{i}.w' for i in range(1, n)]])} AS w FROM dn a" + "".join(f" JOIN dn x{i} ON x{i}.doc_id = a.doc_id AND x{i}.k = a.k + {i}" for i in range(1, n)) for n in range(1, n_lines + 1))}),
+  sl AS MATERIALIZED (SELECT doc_id, no, n, {_parts("w")} AS parts FROM st), sp AS (SELECT doc_id, no, n, len(parts) AS size, unnest(parts) AS part FROM sl),
+  bp AS (SELECT item_id, block_no, len(parts) AS n_shingles, unnest(parts) AS part FROM b),
+  c AS (SELECT item_id, block_no, n_shingles, doc_id, no, n, size, count(*) AS common FROM bp JOIN sp USING (part) GROUP BY ALL),
+  best AS (SELECT item_id, block_no, arg_min({{'common': common, 'n': n, 'doc_id': doc_id, 'no': no}}, (-common, size, n, doc_id, no)) AS x FROM c WHERE common >= {parity.MISSING} * n_shingles - 1e-9 GROUP BY ALL)
+SELECT item_id, b.block_no::INT AS block_no, len(parts)::INT AS n_shingles, round(x.common / len(parts), 6) AS ratio, x.doc_id AS doc_id, x.no::INT AS first, x.n::INT AS n_lines, x IS NULL AS missing
+FROM b LEFT JOIN best USING (item_id, block_no)"""
+
+
+def _best_blocks(spark, sf_dir, lines: int) -> DataFrame:
+    blocks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("key"), "text")
+    rows = parity.counterparts(blocks, _documents(spark, sf_dir).withColumnRenamed("doc_id", "key"), lines=lines)
+    return rows.withColumnsRenamed({"key": "item_id", "other": "doc_id"})
+
+
+@query(_counterparts(1))
+def q38_best_counterpart(spark, sf_dir):
+    """The line of a document that has most of each benchmark line, if it has three fifths of it."""
+    return _best_blocks(spark, sf_dir, 1)
+
+
+@query(_counterparts(2))
+def q39_best_counterpart_wrapped(spark, sf_dir):
+    """As q38, where two consecutive lines of a document are a counterpart as well."""
+    return _best_blocks(spark, sf_dir, 2)
