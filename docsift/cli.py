@@ -17,8 +17,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import report
-from docsift.operators import archive, layout
+from docsift.operators import archive, gate, layout
 from docsift.plans import api
+from docsift.scratch import written
 from docsift.session import local_session
 from docsift.sources import inputs
 
@@ -74,10 +75,11 @@ def validate(spark: SparkSession, args) -> tuple[str, int]:
     files = _file(spark, Path(docx))
     checks = api.validate(files, None if pdf is None else _file(spark, Path(pdf)), _jd(spark, args.jd))
     checks = checks if extra is None else checks.unionByName(extra)
+    checks = written(checks, "checks")
+    wrong = checks.filter(F.col("id").isin(*gate.READABLE) & ~F.col("ok")).first()
+    if wrong is not None:
+        raise CannotRun(f"{docx if wrong.id == gate.READABLE[0] else pdf}: {wrong.detail}")
     row = report.gate_report(checks, files).first()
-    if row is None:
-        wrong = api.errors(api.load(files)).first()
-        raise CannotRun(f"{docx}: {wrong.message if wrong else 'not a DOCX'}")
     return (row.json if args.json else row.markdown), row.exit_code
 
 

@@ -37,28 +37,71 @@ def spec_of(overrides: dict | None = None) -> dict:
     return {**SPEC, **{k: v for k, v in (overrides or {}).items() if v is not None}}
 
 
+def _kind(value) -> str:
+    return {int: "int", float: "double"}.get(type(value), "string")
+
+
+def spec_columns(spec: dict) -> dict[str, Column]:
+    """A specification that holds for all documents, as expressions."""
+    return {k: F.lit(v).cast(_kind(v)) for k, v in spec.items()}
+
+
+def with_specs(rows: DataFrame, specs: DataFrame, spec: dict) -> tuple[DataFrame, dict[str, Column]]:
+    """``rows`` (owner, ...) with their owner's specification, and its expressions.
+
+    ``specs`` are rows (owner, version, spec), spec being a VARIANT. Key by key, an owner's
+    latest version that gives a value of the right kind counts, else that of ``spec``; owners
+    without rows get all of ``spec``, as do rows without an owner. See :func:`spec_problems`
+    for what in ``specs`` counts for nothing.
+    """
+    value = {k: F.try_variant_get("spec", f"$.{k}", _kind(SPEC[k])) for k in SPEC}
+    merged = [F.max_by(v, F.when(v.isNotNull(), F.col("version"))).alias(k) for k, v in value.items()]
+    own = specs.filter("owner IS NOT NULL").groupBy("owner").agg(*merged)
+    own = own.select(F.col("owner").alias("spec_owner"), F.struct(*[F.col(k) for k in SPEC]).alias("own_spec"))
+    rows = rows.join(own, rows["owner"] == F.col("spec_owner"), "left").drop("spec_owner")
+    return rows, {k: F.coalesce(F.col("own_spec")[k], given) for k, given in spec_columns(spec).items()}
+
+
+def spec_problems(specs: DataFrame) -> DataFrame:
+    """(owner, version, key, problem) of entries that no check reads: unknown keys and values of another kind."""
+    text = F.to_json("spec")
+    keys = F.coalesce(F.json_object_keys(text), F.array(F.lit(None).cast("string")))
+    each = specs.select("owner", "version", "spec", F.explode(keys).alias("key"))
+    known = F.col("key").isin(*SPEC)
+    fits = F.lit(False)
+    for k, v in SPEC.items():
+        fits = F.when(F.col("key") == k, F.try_variant_get("spec", f"$.{k}", _kind(v)).isNotNull() | (F.coalesce(F.try_variant_get("spec", f"$.{k}", "string"), F.lit("null")) == "null")).otherwise(fits)
+    problem = F.when(F.col("key").isNull(), F.lit("not an object")).when(~known, F.lit("unknown key")).when(~fits, F.lit("value of another kind"))
+    return each.select("owner", "version", "key", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 LINE = "size_pt double, bold boolean, color string, text string, is_hyperlink boolean"
 _LINE_TYPE = f"struct<{LINE.replace(' ', ':').replace(',:', ',')}>"
 FIGURES = (
-    f"name {_LINE_TYPE}, headline {_LINE_TYPE}, contact {_LINE_TYPE}, linkedin {_LINE_TYPE}, headings array<int>, headings_formed boolean, glyphs int, bullets int, deepest int,"
-    " font_same boolean, summary int, competencies int, competencies_piped boolean, achievements int, achievements_counted boolean, role_lines int, companies int,"
-    " companies_formed boolean, titles_formed boolean, fewest int, most int, out_of_order int, body_same boolean, lines_formed boolean"
+    f"name {_LINE_TYPE}, headline {_LINE_TYPE}, contact {_LINE_TYPE}, linkedin {_LINE_TYPE}, headings array<int>, headings_formed boolean, heading_sizes array<double>, glyphs int, bullets int, deepest int,"
+    " fonts array<string>, summary int, competencies int, competencies_piped boolean, achievements int, achievements_counted boolean, role_lines int, companies int,"
+    " companies_formed boolean, company_sizes array<double>, titles_formed boolean, title_sizes array<double>, fewest int, most int, out_of_order int, body_sizes array<double>, lines_formed boolean"
 )
+#: Checks of whether a file can be read; where one fails, the gate could not run.
+READABLE = ("x_docx.readable", "x_pdf.readable")
 _ANY = "[^\\n\\r\\x85\\u2028\\u2029]"
 _COMPANY, _DATED, _MONTH, _DIGIT = (re.compile(x) for x in (COMPANY.replace(".", _ANY), DATED_LINE.replace(".", _ANY), "[|] ([A-Z][a-z]+) ([0-9]{4})", "[0-9]"))
 _RANK = {s: i for i, s in enumerate(SECTIONS, 1)}
 _SMALL = {"PROFESSIONAL SUMMARY", "CORE COMPETENCIES", "TECHNOLOGY", "LANGUAGES"}
 
 
-def figures(paras: list[dict], spec: dict) -> dict:
+def figures(paras: list[dict]) -> dict:
     """What the structure checks look at, of one document's paragraphs in their order.
 
+    No specification is needed for it: sizes and fonts are listed, each once.
+
     They are read one after another as the document is parsed, so neither a shuffle nor a
     window is needed. What holds of every line of some kind is None where there is none.
     """
     out: dict = dict.fromkeys(("glyphs", "bullets", "summary", "competencies", "achievements", "role_lines", "companies", "out_of_order"), 0)
     out["headings"] = []
     section, start, deepest, duties = None, None, None, []
+    seen: dict[str, dict] = {k: {} for k in ("fonts", "heading_sizes", "company_sizes", "title_sizes", "body_sizes")}
 
     def every(name: str, holds: bool) -> None:
         out[name] = bool(holds) and out.get(name, True)
@@ -72,18 +115,19 @@ def figures(paras: list[dict], spec: dict) -> dict:
         if p["is_bullet"]:
             out["bullets"] += 1
             deepest = p["ilvl"] if deepest is None else max(deepest, p["ilvl"])
-        every("font_same", p["font"] == spec["font"])
+        seen["fonts"][p["font"]] = None
         if heading in _RANK:
             section = heading
             out["headings"].append(_RANK[heading])
-            every("headings_formed", size == spec["heading_pt"] and bold and p["has_bottom_rule"] and text == upper)
+            seen["heading_sizes"][size] = None
+            every("headings_formed", bold and p["has_bottom_rule"] and text == upper)
             continue
         if section is None:
             if p["p_no"] <= 4:
                 out[("name", "headline", "contact", "linkedin")[p["p_no"] - 1]] = {k: p[k] for k in ("size_pt", "bold", "color", "text", "is_hyperlink")}
             continue
         if bullet or section in _SMALL:
-            every("body_same", size == spec["body_pt"])
+            seen["body_sizes"][size] = None
         if section == "PROFESSIONAL SUMMARY":
             out["summary"] += 1
         elif section == "CORE COMPETENCIES":
@@ -102,19 +146,21 @@ def figures(paras: list[dict], spec: dict) -> dict:
             if _COMPANY.search(text):
                 out["companies"] += 1
                 duties.append(0)
-                every("companies_formed", size == spec["company_pt"] and p["italic"])
+                seen["company_sizes"][size] = None
+                every("companies_formed", p["italic"])
                 month, year = _MONTH.search(text).groups()
                 before, start = start, 12 * int(year) + (MONTHS.index(month) + 1 if month in MONTHS else 0)
                 out["out_of_order"] += before is not None and start > before
             else:
-                every("titles_formed", size == spec["title_pt"] and bold)
+                seen["title_sizes"][size] = None
+                every("titles_formed", bold)
         elif section in ("EARLIER CAREER", "EDUCATION"):
             every("lines_formed", text.endswith(")") and _DATED.search(text))
-    return out | {"deepest": deepest, "fewest": min(duties, default=None), "most": max(duties, default=None)}
+    return out | {k: list(v) for k, v in seen.items()} | {"deepest": deepest, "fewest": min(duties, default=None), "most": max(duties, default=None)}
 
 
-def structure_checks(spec: dict) -> list[tuple[str, str, Column, Column, str]]:
-    """(id, title, ok, detail, severity); ids with x_ are this project's own."""
+def structure_checks(spec: dict[str, Column]) -> list[tuple[str, str, Column, Column, str]]:
+    """(id, title, ok, detail, severity); ids with x_ are this project's own. All are null where the DOCX cannot be read."""
     col, lit = F.col, F.lit
     near = lambda c, v, t: F.abs(col(c) - v) <= t
     text = lambda c: F.coalesce(col(c).cast("string"), lit("none"))
@@ -124,11 +170,13 @@ def structure_checks(spec: dict) -> list[tuple[str, str, Column, Column, str]]:
     names = F.array(*[lit(s) for s in SECTIONS])
     ranks = F.col("headings")
     empty = lambda c: F.coalesce(F.trim(c), lit("")) == ""
-    contact = col("contact.text").rlike(spec["contact"]) if not spec["contact_exact"] else col("contact.text") == spec["contact_exact"]
-    author = ~empty("author") if not spec["author"] else col("author") == spec["author"]
+    given = lambda c: F.coalesce(spec[c], lit("")) != ""
+    contact = F.when(given("contact_exact"), col("contact.text") == spec["contact_exact"]).otherwise(F.regexp_like(F.col("contact.text"), spec["contact"]))
+    author = F.when(given("author"), F.coalesce(col("author"), lit("")) == spec["author"]).otherwise(~empty("author"))
+    all_are = lambda c, v: F.when(F.size(c) > 0, F.forall(c, lambda x: F.coalesce(x == v, lit(False))))
     none = lit("")
     false_if_null = lambda c: F.coalesce(c, lit(False))
-    return [
+    made = [
         ("x_page.size", "Page is A4", near("page_w", spec["page_w"], spec["page_tolerance"]) & near("page_h", spec["page_h"], spec["page_tolerance"]), F.concat(text("page_w"), lit(" x "), text("page_h")), "high"),
         ("page.margins", "Margins", margins, F.concat_ws(" / ", *[text(c) for c in ("mt", "mb", "ml", "mr")]), "medium"),
         ("page.columns", "Single column", col("n_cols") == spec["columns"], text("n_cols"), "high"),
@@ -139,47 +187,62 @@ def structure_checks(spec: dict) -> list[tuple[str, str, Column, Column, str]]:
         ("x_no.footer", "No footer text", empty("footer_text"), none, "medium"),
         ("bullets.real", "Bullets are numbering, not glyphs", F.when((col("glyphs") > 0) | (col("bullets") > 0), col("glyphs") == 0), text("glyphs"), "high"),
         ("x_bullets.level", "One level of bullets", F.when(col("bullets") > 0, col("deepest") == 0), text("deepest"), "low"),
-        ("x_font", "One font", col("font_same"), lit(spec["font"]), "medium"),
+        ("x_font", "One font", all_are("fonts", spec["font"]), F.array_join("fonts", ", "), "medium"),
         ("header.name", "Name", false_if_null((col("name.size_pt") == spec["name_pt"]) & col("name.bold")), none, "medium"),
         ("x_header.headline", "Headline", false_if_null((col("headline.size_pt") == spec["headline_pt"]) & (F.upper("headline.color") == spec["headline_color"])), none, "low"),
         ("header.contact", "Contact line", false_if_null(contact), none, "high"),
         ("header.linkedin", "Profile is a hyperlink", false_if_null(col("linkedin.is_hyperlink") & F.lower("linkedin.text").contains("linkedin")), none, "low"),
         ("sections.present", "All sections", F.size(absent) == 0, F.array_join(F.transform(absent, lambda i: F.get(names, (i - 1).cast("int"))), ", "), "high"),
         ("sections.order", "Sections in order", F.when(F.size("headings") > 0, ranks == F.array_sort(ranks)), none, "medium"),
-        ("sections.formatting", "Headings", col("headings_formed"), none, "medium"),
+        ("sections.formatting", "Headings", col("headings_formed") & all_are("heading_sizes", spec["heading_pt"]), none, "medium"),
         ("summary.shape", "Summary", col("summary") == spec["summary_paragraphs"], text("summary"), "medium"),
         ("x_competencies.shape", "Competencies", (col("competencies") == spec["competency_lines"]) & false_if_null(col("competencies_piped")), text("competencies"), "medium"),
         ("achievements.count", "Achievements", col("achievements") == spec["achievements"], text("achievements"), "medium"),
         ("achievements.quantified", "Achievements have numbers", col("achievements_counted"), none, "medium"),
         ("experience.roles", "Roles", (col("companies") > 0) & (col("role_lines") == 2 * col("companies")), F.concat(text("companies"), lit(" of "), text("role_lines"), lit(" lines")), "high"),
-        ("experience.company_format", "Company lines", col("companies_formed"), none, "low"),
+        ("experience.company_format", "Company lines", col("companies_formed") & all_are("company_sizes", spec["company_pt"]), none, "low"),
         ("x_experience.bullets", "Bullets per role", col("fewest").between(spec["role_bullets_min"], spec["role_bullets_max"]) & col("most").between(spec["role_bullets_min"], spec["role_bullets_max"]), F.concat(text("fewest"), lit(" to "), text("most")), "medium"),
         ("x_experience.order", "Latest role first", F.when(col("companies") > 0, col("out_of_order") == 0), none, "medium"),
-        ("x_experience.title_format", "Job titles", col("titles_formed"), none, "low"),
-        ("x_body.size", "Body text", col("body_same"), none, "low"),
+        ("x_experience.title_format", "Job titles", col("titles_formed") & all_are("title_sizes", spec["title_pt"]), none, "low"),
+        ("x_body.size", "Body text", all_are("body_sizes", spec["body_pt"]), none, "low"),
         ("x_lines.shape", "Dated lines", col("lines_formed"), none, "low"),
         ("meta.author", "Author", author, none, "low"),
-        ("meta.title", "Title", F.coalesce(col("title"), none).rlike(spec["meta_title"]), none, "low"),
+        ("meta.title", "Title", F.regexp_like(F.coalesce(col("title"), none), spec["meta_title"]), none, "low"),
     ]
+    read = ("x_docx.readable", "DOCX can be read", col("docx_ok"), F.coalesce(col("docx_message"), none), "blocker")
+    return [read, *((i, t, F.when(col("docx_ok"), ok), F.when(col("docx_ok"), d).otherwise(none), s) for i, t, ok, d, s in made)]
 
 
-def read(files: DataFrame, spec: dict) -> DataFrame:
-    """(doc_id, text, section fields, tables, textboxes, images, figures) of each DOCX that can be read."""
-    wanted = ["doc_id", "kind", "status", "text", "section", "tables", "textboxes", "images"]
-    rows = documents.parse(files, wanted, lambda row: figures(row.get("paras") or [], spec), FIGURES)
-    return rows.filter("kind = 'docx' AND status = 'ok'").select(*rows.columns, "section.*").drop("kind", "status", "section")
+def read(files: DataFrame) -> DataFrame:
+    """A row for each file: doc_id, docx_ok, docx_message, text, section fields, tables, textboxes, images, figures.
+
+    Of a file that cannot be read, or is no DOCX, ``docx_ok`` is false and the text is null.
+    """
+    wanted = ["doc_id", "kind", "status", "message", "text", "section", "tables", "textboxes", "images"]
+    rows = documents.parse(files, wanted, lambda row: figures(row.get("paras") or []), FIGURES)
+    good = (F.col("status") == "ok") & (F.col("kind") == "docx")
+    why = F.coalesce("message", F.when(~good, F.concat(F.lit("not a DOCX but "), "kind")))
+    rows = rows.withColumns({"docx_ok": good, "docx_message": why})
+    return rows.withColumn("text", F.when(F.col("docx_ok"), F.col("text"))).select(*rows.columns, "section.*").drop("kind", "status", "message", "section")
 
 
 def read_pdf(files: DataFrame) -> DataFrame:
-    """(doc_id, pdf_text, n_pages, multi_column, blockers) of each rendition that can be read."""
-    rows = documents.parse(files, ["doc_id", "status", "text", "multi_column_pages", "pages", "images", "n_unmapped"]).filter("status = 'ok'").withColumns(layout.counted())
-    return lint.with_blockers(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("pdf_text"), "n_pages", "multi_column", "blockers")
+    """(doc_id, pdf_ok, pdf_message, pdf_text, n_pages, multi_column, blockers) of each rendition; all but the first three null where it cannot be read."""
+    rows = documents.parse(files, ["doc_id", "status", "message", "text", "multi_column_pages", "pages", "images", "n_unmapped", "truncated"]).withColumns(layout.counted())
+    good = F.col("status") == "ok"
+    figures = {"pdf_text": F.coalesce("text", F.lit("")), **{c: F.col(c) for c in ("n_pages", "multi_column", "blockers")}}
+    return lint.with_blockers(rows).select("doc_id", good.alias("pdf_ok"), F.col("message").alias("pdf_message"), *[F.when(good, c).alias(n) for n, c in figures.items()])
+
+
+#: What stands in place of :func:`read_pdf` without any PDF.
+NO_PDF = {"pdf_ok": "boolean", "pdf_message": "string", "n_pages": "int", "multi_column": "boolean", "blockers": "int", "lacking": "array<struct<block_no:int,text:string>>"}
 
 
-def pdf_checks(spec: dict) -> list[tuple[str, str, Column, Column, str]]:
-    """Checks of a document's PDF; null where there is none."""
+def pdf_checks(spec: dict[str, Column]) -> list[tuple[str, str, Column, Column, str]]:
+    """Checks of a document's PDF; null where there is none, or but for the first where it cannot be read."""
     none = F.lit("")
     return [
+        ("x_pdf.readable", "PDF can be read", F.col("pdf_ok"), F.coalesce("pdf_message", none), "blocker"),
         ("pdf.single_column", "PDF has one column", ~F.col("multi_column"), none, "high"),
         ("x_pdf.pages", "PDF length", F.col("n_pages") <= spec["pdf_pages_max"], F.coalesce(F.col("n_pages").cast("string"), none), "medium"),
         ("x_pdf.blockers", "PDF parses", F.col("blockers") == 0, none, "blocker"),
@@ -187,15 +250,16 @@ def pdf_checks(spec: dict) -> list[tuple[str, str, Column, Column, str]]:
 
 
 def with_jd(rows: DataFrame, cover: DataFrame | None, gate_rows: DataFrame | None) -> DataFrame:
-    """Adds coverage_required and gates_ok of one job description; null where there is none."""
+    """Adds coverage_required and gates_ok of one job description; null where there is none, or nothing to compare with it."""
     if cover is None:
         return rows.withColumns({"coverage_required": F.lit(None).cast("double"), "gates_ok": F.lit(None).cast("boolean")})
     gates_ok = gate_rows.groupBy("doc_id").agg(F.bool_and("satisfied").alias("gates_ok"))
     rows = rows.join(cover.select("doc_id", "coverage_required"), "doc_id", "left").join(gates_ok, "doc_id", "left")
-    return rows.withColumn("coverage_required", F.coalesce("coverage_required", F.lit(0.0)))
+    read = F.col("docx_ok")
+    return rows.withColumns({"coverage_required": F.when(read, F.coalesce("coverage_required", F.lit(0.0))), "gates_ok": F.when(read, F.col("gates_ok"))})
 
 
-def jd_checks(spec: dict) -> list[tuple[str, str, Column, Column, str]]:
+def jd_checks(spec: dict[str, Column]) -> list[tuple[str, str, Column, Column, str]]:
     """Checks against one job description; null where there is none."""
     return [
         ("x_jd.required", "Required terms", F.col("coverage_required") >= spec["jd_coverage_min"], F.coalesce(F.col("coverage_required").cast("string"), F.lit("")), "high"),
@@ -206,7 +270,8 @@ def jd_checks(spec: dict) -> list[tuple[str, str, Column, Column, str]]:
 def checked(rows: DataFrame, checks: list[tuple[str, str, Column, Column, str]]) -> DataFrame:
     """(doc_id, id, title, ok, detail, severity): all checks of a document are made in its row."""
     made = [F.struct(F.lit(i).alias("id"), F.lit(t).alias("title"), ok.alias("ok"), d.alias("detail"), F.lit(s).alias("severity")) for i, t, ok, d, s in checks]
-    return rows.select("doc_id", F.inline(F.array(*made)))
+    # exploded rather than inlined: where so many checks are too much code to be compiled, Spark 4.1's inline loses rows
+    return rows.select("doc_id", F.explode(F.array(*made)).alias("c")).select("doc_id", "c.*")
 
 
 def completed(checks: DataFrame, docs: DataFrame, ids: Iterable[str]) -> DataFrame:
@@ -222,11 +287,14 @@ def status(ok: Column) -> Column:
 def verdict(checks: DataFrame) -> DataFrame:
     """(doc_id, n_pass, n_fail, n_skip, score, passed, exit_code) of checks (doc_id, ok).
 
-    Skips count for neither side of the score; nothing passes without a check that did.
+    Skips count for neither side of the score; nothing passes without a check that did. The
+    exit code is 2 where nothing was judged, or a file could not be read (by the checks' ``id``).
     """
-    rows = checks.groupBy("doc_id").agg(F.count_if(F.col("ok")).alias("n_pass"), F.count_if(~F.col("ok")).alias("n_fail"), F.count_if(F.col("ok").isNull()).alias("n_skip"))
+    named = F.col("id").isin(*READABLE) if "id" in checks.columns else F.lit(False)
+    unread = F.count_if(named & ~F.col("ok")).alias("unread")
+    rows = checks.groupBy("doc_id").agg(unread, F.count_if(F.col("ok")).alias("n_pass"), F.count_if(~F.col("ok")).alias("n_fail"), F.count_if(F.col("ok").isNull()).alias("n_skip"))
     judged = F.col("n_pass") + F.col("n_fail")
     score = F.when(judged > 0, F.floor((200 * F.col("n_pass") + judged) / (2 * judged))).cast("int")
     passed = (F.col("n_fail") == 0) & (F.col("n_pass") > 0)
-    code = F.when(judged == 0, 2).when(passed, 0).otherwise(1)
+    code = F.when((judged == 0) | (F.col("unread") > 0), 2).when(passed, 0).otherwise(1)
     return rows.select("doc_id", "n_pass", "n_fail", "n_skip", score.alias("score"), passed.alias("passed"), code.alias("exit_code"))

@@ -33,6 +33,7 @@ DEFAULTS: dict[str, str] = {
     "textboxes": "0",
     "multi_column": "false",
     "n_unmapped": "0",
+    "truncated": "CAST(NULL AS STRING)",
 }
 #: Share of a document's terms that one term may have, and terms from which it is judged.
 STUFFED, STUFFED_LEAST = 0.2, 50
@@ -81,6 +82,7 @@ def rules() -> list[tuple[str, str, str, Column, Column, str]]:
         ("x_layout_tables", "medium", "Tables used for layout", F.col("tables") > 0, F.format_string("%d table(s)", F.col("tables").cast("int")), "Use plain paragraphs."),
         ("x_odd_headings", "low", "Headings are not standard ones", (upper > 0) & (standard == 0), none, "Use standard headings."),
         ("x_odd_dates", "low", "Dates that parsers misread", T.has(F.col("text"), T.ODD_DATE), none, "Give years in full."),
+        ("x_text_cut", "blocker", "Not all of the file was read", F.col("truncated").isNotNull(), F.coalesce("truncated", none), "Save it anew or split it."),
         ("x_hidden_text", "high", "Hidden text", F.length(F.coalesce("hidden_text", none)) > 0, text(""), "Remove it."),
     ]
 

@@ -165,7 +165,7 @@ def similarity(one: DataFrame, two: DataFrame) -> DataFrame:
 
 
 def with_lacking(rows: DataFrame, one: str = "text", two: str = "pdf_text") -> DataFrame:
-    """In place of the texts ``one`` and ``two``, ``lacking``: the blocks (block_no, text) of one without a counterpart; null if two is."""
+    """In place of the texts ``one`` and ``two``, ``lacking``: the blocks (block_no, text) of one without a counterpart; null if either is."""
     kept = [c for c in rows.columns if c not in (one, two)]
     struct = "array<struct<block_no:int,text:string>>"
     kind = to_arrow_schema(StructType.fromDDL(f"lacking {struct}")).field(0).type
@@ -174,7 +174,7 @@ def with_lacking(rows: DataFrame, one: str = "text", two: str = "pdf_text") -> D
         for batch in batches:
             found = []
             for mine, other in documents.each_row([batch.select([one, two])]):
-                found.append(None if other is None else [{"block_no": n, "text": t[:SHOWN]} for n, t, ratio in judged(mine or "", other) if round(ratio, 6) < MISSING])
+                found.append(None if mine is None or other is None else [{"block_no": n, "text": t[:SHOWN]} for n, t, ratio in judged(mine, other) if round(ratio, 6) < MISSING])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, kind)], names=[*kept, "lacking"])
 
     schema = StructType([*(rows.schema[c] for c in kept), *StructType.fromDDL(f"lacking {struct}").fields])
@@ -182,8 +182,8 @@ def with_lacking(rows: DataFrame, one: str = "text", two: str = "pdf_text") -> D
 
 
 def parity_check() -> tuple[str, str, Column, Column, str]:
-    """The check ``parity.docx_pdf`` over ``lacking``; null without a PDF."""
+    """The check ``parity.docx_pdf`` over ``lacking``; null without a PDF, or if either cannot be read."""
     n = F.size("lacking")
     named = F.array_join(F.transform("lacking", lambda x: F.concat(F.lit('"'), x["text"], F.lit('"'))), "; ")
-    detail = F.when(F.col("lacking").isNull(), F.lit("no PDF")).when(n > 0, F.concat(n.cast("string"), F.lit(" block(s) have no counterpart: "), named)).otherwise(F.lit(""))
+    detail = F.when(F.col("lacking").isNull(), F.lit("nothing to compare")).when(n > 0, F.concat(n.cast("string"), F.lit(" block(s) have no counterpart: "), named)).otherwise(F.lit(""))
     return "parity.docx_pdf", "Every block is in the PDF", F.when(F.col("lacking").isNotNull(), n == 0), detail, "high"

@@ -73,25 +73,33 @@ def review(files: DataFrame, jds: DataFrame | None = None, pairs: DataFrame | No
     return report.review_report(loaded, found, lint.score(loaded, found), jd)
 
 
-def validate(files: DataFrame, pdfs: DataFrame | None = None, jds: DataFrame | None = None, spec: dict | None = None) -> DataFrame:
-    """(doc_id, id, title, ok, detail, severity): every check of each DOCX; ``pdfs`` has the same doc_id.
+def validate(files: DataFrame, pdfs: DataFrame | None = None, jds: DataFrame | None = None, spec: dict | None = None, specs: DataFrame | None = None) -> DataFrame:
+    """(doc_id, id, title, ok, detail, severity): every check of each file; ``pdfs`` has the same doc_id.
 
-    Checks that need a PDF or a job description are null without one. Files are read and checked
-    as the result is: a caller that uses it more than once may want it ``written`` first.
+    A file that cannot be read fails ``x_docx.readable`` or ``x_pdf.readable``, and what
+    depends on it is null, as are checks that need a PDF or a job description without one.
+    ``spec`` replaces values of the specification for all; ``specs`` (owner, version, spec
+    VARIANT) does so for the files whose column ``owner`` has that owner.
+
+    Files are read and checked as the result is: a caller that uses it more than once may
+    want it ``written`` first.
     """
-    spec = gate.spec_of(spec)
+    given = gate.spec_of(spec)
     ship(files.sparkSession)
     bounded_batches(files.sparkSession)
-    docs = gate.read(files, spec)
+    docs = gate.read(files)
     if jds is not None:
         docs = written(docs, "docs")
     if pdfs is not None:
         rows = parity.with_lacking(docs.join(gate.read_pdf(pdfs), "doc_id", "left"))
     else:
-        rows = docs.drop("text").withColumns({n: F.lit(None).cast(t) for n, t in {"n_pages": "int", "multi_column": "boolean", "blockers": "int", "lacking": "array<struct<block_no:int,text:string>>"}.items()})
+        rows = docs.drop("text").withColumns({n: F.lit(None).cast(t) for n, t in gate.NO_PDF.items()})
+    values = gate.spec_columns(given)
+    if specs is not None:
+        rows, values = gate.with_specs(rows.join(files.select("doc_id", "owner"), "doc_id"), specs, given)
     cover = conditions = None
     if jds is not None:
-        texts = docs.select("doc_id", "text")
+        texts = docs.filter("docx_ok").select("doc_id", "text")
         cover, conditions = matching.coverage(texts, jds), matching.gates(_pairs(texts, jds, None), texts, jds)
-    checks = [*gate.structure_checks(spec), parity.parity_check(), *gate.pdf_checks(spec), *gate.jd_checks(spec)]
+    checks = [*gate.structure_checks(values), parity.parity_check(), *gate.pdf_checks(values), *gate.jd_checks(values)]
     return gate.checked(gate.with_jd(rows, cover, conditions), checks)

@@ -34,7 +34,7 @@ def _struct(fields: str) -> str:
 
 SCHEMA = (
     f"doc_id long, filename string, kind string, status string, error_class string, message string, text string, stream_text string, band_text string, multi_column_pages array<int>, spans array<{_struct(SPAN)}>, pages array<{_struct(PAGE)}>,"
-    f" paras array<{_struct(PARA)}>, section {_struct(SECTION)}, tables int, textboxes int, images int, n_unmapped int, hidden_text string"
+    f" paras array<{_struct(PARA)}>, section {_struct(SECTION)}, tables int, textboxes int, images int, n_unmapped int, hidden_text string, truncated string"
 )
 #: Rows and bytes of files after which a batch of parsed documents is handed on.
 BATCH_ROWS, BATCH_BYTES = 128, 1 << 20
@@ -45,6 +45,10 @@ class UnsupportedFormat(ValueError):
     """No reader for this kind of file."""
 
 
+class InputTooLarge(ValueError):
+    """A file over the limit, which is not read."""
+
+
 def _suffix(name: str) -> str:
     base = (name or "").rpartition("/")[2]
     return ("." + base.rpartition(".")[2].lower()) if "." in base[1:] else ""
@@ -58,7 +62,8 @@ def parse_one(name: str, data: bytes, spans_too: bool = True) -> dict:
     if suffix in ADVICE and not (suffix == ".doc" and data[:4] == b"PK\x03\x04"):
         raise UnsupportedFormat(f"{suffix} files are not read. {ADVICE[suffix]}")
     if suffix == ".pdf" or data[:4] == b"%PDF":
-        pages = Document(data).pages()
+        document = Document(data)
+        pages = document.pages()
         spans, laid = [s for p in pages for s in p.spans], layout.placed(pages)
         return {
             "kind": "pdf",
@@ -68,6 +73,7 @@ def parse_one(name: str, data: bytes, spans_too: bool = True) -> dict:
             "images": sum(p.images for p in pages),
             "n_unmapped": laid["stream_text"].count(UNMAPPED),
             "hidden_text": " ".join(s.text for s in spans if s.hidden),
+            "truncated": "; ".join(sorted(document.cut)) or None,
         }
     if suffix in (".docx", ".doc") or data[:4] == b"PK\x03\x04":
         try:
@@ -114,13 +120,15 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _rows(schema: pa.Schema, also=None):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
-        for doc_id, name, data in each_row(batches):
+        for doc_id, name, data, length in each_row(batches):
             row = {"doc_id": doc_id, "filename": (name or "").rpartition("/")[2], "status": "ok", "tables": 0, "textboxes": 0, "images": 0, "n_unmapped": 0}
             try:
+                if data is None and length:
+                    raise InputTooLarge(f"the file has {length} bytes, which are more than are read")
                 row |= parse_one(name or "", data or b"", "spans" in schema.names)
                 if also:
                     row |= also(row)
-            except (UnsupportedFormat, PdfError, RtfError) as wrong:
+            except (InputTooLarge, UnsupportedFormat, PdfError, RtfError) as wrong:
                 row |= {"status": "error", "error_class": type(wrong).__name__, "message": str(wrong)}
             except Exception as wrong:  # a reader's defect must not fail the other documents
                 row |= {"status": "error", "error_class": type(wrong).__name__, "message": "the document could not be processed"}
@@ -132,25 +140,28 @@ def _rows(schema: pa.Schema, also=None):
 def parse(files: DataFrame, only: Iterable[str] | None = None, also=None, more: str = "") -> DataFrame:
     """One row of ``SCHEMA`` for each row (doc_id, filename, content).
 
+    Null content is an error row: the file is over the limit if a column ``length`` says so,
+    else there is nothing to read.
     ``only`` names the columns that are wanted, so that no others are made. ``also`` works out
     further columns of the DDL ``more`` from what was parsed, while it is at hand.
     """
     fields = [f for f in StructType.fromDDL(SCHEMA).fields if only is None or f.name in set(only)]
     schema = StructType(fields + (StructType.fromDDL(more).fields if more else []))
-    return files.select("doc_id", "filename", "content").mapInArrow(_rows(to_arrow_schema(schema), also), schema)
+    length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
+    return files.select("doc_id", "filename", "content", length.alias("length")).mapInArrow(_rows(to_arrow_schema(schema), also), schema)
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = inputs.MAX_FILE_BYTES) -> DataFrame:
-    """(doc_id, path, filename, folder, length, content) of all files below a folder; up to the limit.
-
-    Larger ones are in ``oversize_files``.
+    """(doc_id, path, filename, folder, length, content) of all files below a folder.
 
+    Larger ones have null content, which no scan has read; :func:`parse` makes error rows of them.
     Pick columns before using them: content is read only if it is asked for.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name, folder = F.regexp_extract("path", "([^/]*)$", 1), F.regexp_extract("path", "([^/]*)/[^/]*$", 1)
-    small = files.filter(F.col("length") <= most_bytes)
-    return small.select(F.xxhash64("path").alias("doc_id"), "path", name.alias("filename"), folder.alias("folder"), "length", "content")
+    named = [F.xxhash64("path").alias("doc_id"), "path", name.alias("filename"), folder.alias("folder"), "length"]
+    large = files.drop("content").filter(F.col("length") > most_bytes).select(*named, F.lit(None).cast("binary").alias("content"))
+    return files.filter(F.col("length") <= most_bytes).select(*named, "content").unionByName(large)
 
 
 def oversize_files(spark: SparkSession, path: str, most_bytes: int = inputs.MAX_FILE_BYTES) -> DataFrame:

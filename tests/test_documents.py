@@ -168,3 +168,20 @@ def test_extract_from_folder(spark, tmp_path):
     assert [r.error_class for r in documents.oversize_files(spark, path, 4000).collect()] == ["InputTooLarge"]
     plan = read.select("filename")._jdf.queryExecution().executedPlan().toString()
     assert "content" not in plan.split("ReadSchema")[-1]
+
+
+def test_what_a_reader_cuts_is_said_and_found(spark, monkeypatch):
+    from docsift.sources import pdf
+
+    whole = fx.pages_pdf([fx.content_of(fx.RESUME)] * 3, "table", "flate")
+    assert documents.parse_one("a.pdf", whole)["truncated"] is None
+    for name, value, said in (("MAX_OPERATIONS", 5, "more than 5 operations"), ("MAX_PAGES", 2, "more than 2 pages"), ("MAX_STREAM", 10, "a stream has more"), ("MAX_TREE", 0, "levels")):
+        with monkeypatch.context() as m:
+            m.setattr(pdf, name, value)
+            assert said in documents.parse_one("a.pdf", whole)["truncated"], name
+    broken = fx.pages_pdf([fx.content_of(fx.RESUME)] * 3).replace(b"/Length", b"/Filter /FlateDecode /Length", 1)
+    assert "cannot be decoded" in documents.parse_one("a.pdf", broken)["truncated"]
+    rows = spark.createDataFrame([(1, "some text", "there are more than 5 operations"), (2, "some text", None)], "doc_id long, text string, truncated string")
+    found = {(r.doc_id, r.detail) for r in lint.findings(rows).filter("id = 'x_text_cut'").collect()}
+    assert found == {(1, "there are more than 5 operations")}
+    assert {r.doc_id: r.blockers for r in lint.with_blockers(rows).collect()} == {1: 1, 2: 0}

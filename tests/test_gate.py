@@ -5,6 +5,7 @@ import pytest
 from docsift.functions import report
 from docsift.operators import archive, gate, matching, parity
 from docsift.plans import api
+from docsift.sources import documents
 from tests import fixtures as fx
 
 BROKEN = {
@@ -35,7 +36,8 @@ def by_doc(checks):
 
 def test_canonical_passes_everything(checks):
     rows = by_doc(checks)
-    assert set(rows) == {1, 2, 3, 4}
+    assert set(rows) == {1, 2, 3, 4, 5}
+    assert rows[5]["x_docx.readable"].ok is False and {r.ok for i, r in rows[5].items() if i != "x_docx.readable"} == {None}
     assert {i for i, r in rows[1].items() if r.ok is not True} == set()
     v = {r.doc_id: r for r in gate.verdict(checks).collect()}
     assert (v[1].score, v[1].passed, v[1].exit_code, v[1].n_skip) == (100, True, 0, 0)
@@ -65,6 +67,50 @@ def test_specification_overrides(spark):
         gate.spec_of({"no such key": 1})
 
 
+def test_unreadable_files_fail_and_the_gate_says_that_it_could_not_run(spark):
+    good, bad = fx.canonical_docx(), fx.canonical_docx()[:900]
+    docs = files(spark, [(1, "a.docx", good), (2, "b.docx", bad), (3, "c.docx", good), (4, "d.pdf", fx.text_pdf("x")), (5, "e.docx", b""), (6, "f.docx", good)])
+    pdfs = files(spark, [(1, "a.pdf", fx.text_pdf(fx.canonical_text())), (2, "b.pdf", fx.text_pdf(fx.canonical_text())), (3, "c.pdf", b"%PDF-1.7 and no more")])
+    jds = spark.createDataFrame([(1, "Requirements\n- storage\n")], "jd_id long, text string")
+    found = api.validate(docs, pdfs, jds)
+    rows = by_doc(found)
+    assert set(rows) == {1, 2, 3, 4, 5, 6}
+    assert rows[2]["x_docx.readable"].ok is False and "DOCX" in rows[2]["x_docx.readable"].detail and rows[2]["x_pdf.readable"].ok and rows[2]["pdf.single_column"].ok
+    assert rows[2]["parity.docx_pdf"].ok is None and rows[2]["x_jd.required"].ok is None and rows[2]["no.header"].ok is None
+    assert rows[3]["x_pdf.readable"].ok is False and rows[3]["parity.docx_pdf"].ok is None and rows[3]["pdf.single_column"].ok is None and rows[3]["no.header"].ok
+    assert rows[4]["x_docx.readable"].detail == "not a DOCX but pdf" and rows[5]["x_docx.readable"].detail == "the file is empty"
+    assert rows[6]["x_pdf.readable"].ok is None
+    codes = {r.doc_id: r.exit_code for r in gate.verdict(found).collect()}
+    assert codes[2] == codes[3] == codes[4] == codes[5] == 2 and codes[6] in (0, 1)
+
+
+def test_files_over_the_limit_are_error_rows_of_every_job(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(fx.canonical_docx())
+    (tmp_path / "b.docx").write_bytes(fx.canonical_docx() + b"x" * 50_000)
+    read = documents.read_files(spark, str(tmp_path), 40_000)
+    rows = {r.filename: r.doc_id for r in read.select("filename", "doc_id").collect()}
+    loaded = {r.doc_id: (r.error_class, r.exit_code) for r in api.errors(api.load(read)).collect()}
+    assert loaded == {rows["b.docx"]: ("InputTooLarge", 2)}
+    codes = {r.doc_id: r.exit_code for r in gate.verdict(api.validate(read)).collect()}
+    assert codes == {rows["a.docx"]: 0, rows["b.docx"]: 2}
+    assert "PushedFilters: [IsNotNull(length), GreaterThan(length,40000)]" in read.select("filename", "length")._jdf.queryExecution().toString()
+
+
+def test_owners_have_specifications_of_their_own(spark):
+    docs = files(spark, [(i, f"{i}.docx", fx.canonical_docx()) for i in range(1, 6)])
+    owner = spark.createDataFrame([(1, "one"), (2, "two"), (3, "none"), (4, None), (5, "one")], "doc_id long, owner string")
+    rows = [
+        ("one", 1, '{"author": "Someone", "columns": 2, "achievements": 9}'), ("one", 3, '{"columns": 1}'), ("one", 2, '{"columns": 3, "achievements": null}'),
+        ("two", 1, '{"margin_v": 2.5, "contact": "^x", "nonsense": 1, "page_w": "wide", "page_h": 16838}'), (None, 1, '{"columns": 7}'), ("list", 1, "[1]"),
+    ]
+    specs = spark.createDataFrame(rows, "owner string, version int, spec string").withColumn("spec", gate.F.parse_json("spec"))
+    found = by_doc(api.validate(docs.join(owner, "doc_id"), spec={"meta_title": "^never$"}, specs=specs))
+    failed = {i: {c for c, r in rows.items() if r.ok is False} for i, rows in found.items()}
+    assert failed == {1: {"meta.author", "achievements.count", "meta.title"}, 5: {"meta.author", "achievements.count", "meta.title"}, 2: {"page.margins", "header.contact", "meta.title"}, 3: {"meta.title"}, 4: {"meta.title"}}
+    wrong = {(r.owner, r.key, r.problem) for r in gate.spec_problems(specs).collect()}
+    assert wrong == {("two", "nonsense", "unknown key"), ("two", "page_w", "value of another kind"), ("list", None, "not an object")}
+
+
 def test_reports(spark, checks):
     names = spark.createDataFrame([(1, "good.docx"), (2, "broken.docx")], "doc_id long, filename string")
     rows = {r.doc_id: r for r in report.gate_report(checks, names).collect()}
