@@ -77,6 +77,39 @@ def _folded(rows: DataFrame, key: str, order: list[str], step, name: str) -> Dat
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
+class Store:
+    """What one store holds: (at, bytes, id) of at most ``max_entries`` entries, oldest first."""
+
+    def __init__(self, ttl: int = TTL_STAGED, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES, max_total: int = MAX_TOTAL_BYTES, held: list[tuple] | None = None) -> None:
+        self.ttl, self.max_bytes, self.max_entries, self.max_total = ttl, max_bytes, max_entries, max_total
+        self.held = list(held or [])
+
+    def _expire(self, at) -> None:
+        self.held = [x for x in self.held if at - x[0] <= self.ttl]
+
+    def take(self, at, ident) -> str | None:
+        """Releases an entry; says so if there is none."""
+        self._expire(at)
+        left = [x for x in self.held if x[2] != ident]
+        gone = len(left) == len(self.held)
+        self.held = left
+        return GONE if gone else None
+
+    def put(self, at, size: int, ident) -> str | None:
+        """Stages an entry, or says why not: empty, too large, too many entries, too many bytes, in that order."""
+        self._expire(at)
+        if size == 0:
+            return "empty"
+        if size > self.max_bytes:
+            return "too large"
+        if len(self.held) >= self.max_entries:
+            return "too many entries"
+        if sum(x[1] for x in self.held) + size > self.max_total:
+            return "too many bytes"
+        self.held.append((at, size, ident))
+        return None
+
+
 def put_errors(
     puts: DataFrame, at: str = "at", bytes_column: str = "bytes", order: tuple[str, ...] = (), taken: DataFrame | None = None,
     ttl: int = TTL_STAGED, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES, max_total: int = MAX_TOTAL_BYTES,
@@ -103,25 +136,8 @@ def put_errors(
         rows = rows.unionByName(gone)
 
     def step():
-        held: list[tuple] = []  # (at, bytes, id) of at most max_entries
-
-        def answer(row: dict) -> str | None:
-            held[:] = [x for x in held if row["when"] - x[0] <= ttl]
-            if not row["turn"]:
-                held[:] = [x for x in held if x[2] != row["ident"]]
-                return None
-            if row["n"] == 0:
-                return "empty"
-            if row["n"] > max_bytes:
-                return "too large"
-            if len(held) >= max_entries:
-                return "too many entries"
-            if sum(x[1] for x in held) + row["n"] > max_total:
-                return "too many bytes"
-            held.append((row["when"], row["n"], row["ident"]))
-            return None
-
-        return answer
+        own = Store(ttl, max_bytes, max_entries, max_total)
+        return lambda row: own.put(row["when"], row["n"], row["ident"]) if row["turn"] else own.take(row["when"], row["ident"])
 
     return _folded(rows, "in_store", ["when", "turn", "ties"], step, "error").filter("turn = 1").select("whole.*", "error")
 

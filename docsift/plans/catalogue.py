@@ -6,18 +6,20 @@ descriptions and for reference renditions, events for put, take and sign-in logs
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docsift import scratch
 from docsift.functions import report
 from docsift.functions import text as T
-from docsift.operators import gate, lint, matching, parity, phrases, staging
+from docsift.operators import gate, lint, matching, parity, phrases, redirects, staging
 from docsift.plans import api
-from docsift.sources import inputs
-from docsift.streaming.staging import failures_per_span
+from docsift.sources import addresses, inputs
+from docsift.streaming.staging import ended, failures_per_span, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,7 +109,7 @@ FROM h""")
 def q04_html_guard(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     content = F.col("html").cast("binary")
-    pages = inputs.url_policy(pages, "url", with_ipv6=False)
+    pages = inputs.url_policy(pages, "url")
     why = F.col("url_error")
     policy = F.when(why.startswith("the scheme"), "scheme").when(why.contains("no host"), "host").when(why.isNotNull(), "address").otherwise("ok")
     return pages.select(
@@ -457,22 +459,34 @@ def q23_base64_guard(spark, sf_dir):
 
 _IP = "((event_id * 2654435761) % 4294967296)"
 _OCTETS = " || '.' || ".join(f"(({_IP} // {256**i}) % 256)::VARCHAR" for i in (3, 2, 1, 0))
-_CLOSED = " OR ".join(
-    f"ip BETWEEN {int.from_bytes(bytes(map(int, a.split('.'))), 'big')} AND {int.from_bytes(bytes(map(int, a.split('.'))), 'big') + 2 ** (32 - p) - 1}" for a, p in inputs.IPV4_CLOSED
-)
+#: First groups of the addresses that are made; most lie in or beside a closed range.
+_GROUPS = (0x2001, 0xFE80, 0xFC00, 0xFF02, 0x2A00, 0x64, 0x2002, 0x100, 0x3FFF, 0x3FF0, 0xFEC0, 0x1FFF)
+
+
+def _narrowest(family: int, number: str) -> str:
+    """SQL for whether a number is closed, the narrowest range first."""
+    nets = sorted(((ipaddress.ip_network(x), closed) for xs, closed in ((addresses.CLOSED, True), (addresses.OPEN, False)) for x in xs), key=lambda n: -n[0].prefixlen)
+    return "CASE " + " ".join(f"WHEN {number} BETWEEN {int(n[0])} AND {int(n[-1])} THEN {closed}" for n, closed in nets if n.version == family) + " ELSE false END"
 
 
 @query(f"""
-WITH e AS (SELECT event_id, {_IP} AS ip, {_OCTETS} AS host FROM events)
-SELECT event_id, host, ip, {_CLOSED} AS closed FROM e""")
+WITH e AS (SELECT event_id, {_IP} AS ip, {_OCTETS} AS host, list_extract({list(_GROUPS)}, event_id % {len(_GROUPS)} + 1) AS a, event_id // {len(_GROUPS)} % 48 AS b, 274 * (event_id // 576 % 2) AS c, event_id % 3 AS d FROM events),
+  s AS (SELECT event_id, format('{{:x}}:{{:x}}:{{:x}}::{{:x}}', a, b, c, d) AS host, (a::UHUGEINT << 112) + (b::UHUGEINT << 96) + (c::UHUGEINT << 80) + d::UHUGEINT AS ip FROM e)
+SELECT event_id, 4 AS family, host, {_narrowest(4, "ip")} AS closed FROM e UNION ALL SELECT event_id, 6, host, {_narrowest(6, "ip")} FROM s""")
 def q24_address_policy(spark, sf_dir):
-    """Addresses made from event numbers against the closed ranges."""
+    """Addresses of both families made from event numbers against the closed ranges and the open ones within."""
     ip = F.expr("(event_id * 2654435761L) % 4294967296L")
     octet = lambda i: (F.floor(ip / 256**i) % 256).cast("string")
-    rows = table(spark, sf_dir, "events").select("event_id", F.concat_ws(".", octet(3), octet(2), octet(1), octet(0)).alias("host"))
-    rows = rows.withColumn("parsed", inputs.host(F.concat(F.lit("https://u@"), F.col("host"), F.lit(":8443/x"))))
-    rows = rows.withColumn("ip", inputs.ipv4(F.col("parsed")))
-    return rows.select("event_id", "host", "ip", inputs.ipv4_closed(F.col("ip")).alias("closed"))
+    group = lambda x: F.lower(F.hex(x.cast("long")))
+    event, n = F.col("event_id"), len(_GROUPS)
+    first = F.get(F.array(*map(F.lit, _GROUPS)), (event % n).cast("int"))
+    six = F.concat(group(first), F.lit(":"), group(F.floor(event / n) % 48), F.lit(":"), group(F.floor(event / 576) % 2 * 274), F.lit("::"), group(event % 3))
+    made = F.array(F.struct(F.lit(4).alias("family"), F.concat_ws(".", octet(3), octet(2), octet(1), octet(0)).alias("host")), F.struct(F.lit(6).alias("family"), six.alias("host")))
+    rows = table(spark, sf_dir, "events").select("event_id", F.inline(made))
+    authority = F.when(F.col("family") == 6, F.concat(F.lit("["), "host", F.lit("]"))).otherwise(F.col("host"))
+    rows = rows.withColumn("url_host", inputs.host(F.concat(F.lit("https://u@"), authority, F.lit(":8443/x"))))
+    shut = addresses.closed_hosts(rows, "url_host").withColumnsRenamed({"host": "url_host"}).withColumn("shut", F.lit(True))
+    return rows.join(shut, "url_host", "left").select("event_id", "family", "host", F.coalesce("shut", F.lit(False)).alias("closed"))
 
 
 @query("""
@@ -537,7 +551,7 @@ def q29_sign_ins(spark, sf_dir):
     return rows.select("event_id", F.col("key").alias("user_id"), F.col("at").alias("sec"), "outcome")
 
 
-@query("""
+_PUTS = """
 WITH RECURSIVE a AS (
     SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec, event_type, event_id % 47 AS bytes,
       row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), CASE event_type WHEN 'view' THEN 1 ELSE 0 END, event_id) AS k
@@ -551,7 +565,10 @@ WITH RECURSIVE a AS (
     FROM (SELECT *, CASE WHEN event_type = 'click' THEN NULL WHEN bytes = 0 THEN 'empty' WHEN bytes > 40 THEN 'too large' WHEN len(live) >= 3 THEN 'too many entries'
         WHEN coalesce(list_sum(list_transform(live, lambda x: x.n)), 0) + bytes > 60 THEN 'too many bytes' END AS error
       FROM (SELECT a.*, list_filter(s.held, lambda x: a.sec - x.put_at <= 2000000) AS live FROM s JOIN a ON a.user_id = s.user_id AND a.k = s.k + 1)))
-SELECT event_id, user_id, error FROM s WHERE k > 0 AND event_type = 'view'""")
+SELECT event_id, user_id, error FROM s WHERE k > 0 AND event_type = 'view'"""
+
+
+@query(_PUTS)
 def q30_staging_puts(spark, sf_dir):
     """A store for each user: views are puts, a click takes the entry with the number before the last; small caps, as events are."""
     events = _events(spark, sf_dir, "view", "click").withColumn("store", F.col("user_id"))
@@ -650,3 +667,71 @@ def q38_best_counterpart(spark, sf_dir):
 def q39_best_counterpart_wrapped(spark, sf_dir):
     """As q38, where two consecutive lines of a document are a counterpart as well."""
     return _best_blocks(spark, sf_dir, 2)
+
+
+#: Buckets of time in which events arrive, one after another, and seconds by which an event may come late.
+_ARRIVALS, _LATE = 4, 500_000
+
+
+@query(_PUTS)
+def q41_staging_stream(spark, sf_dir):
+    """q30 as a stream: events arrive in four parts and up to 500,000 seconds out of order; a tick at the end moves the clock past them."""
+    events = table(spark, sf_dir, "events").filter("event_type IN ('view', 'click')")
+    kind = F.when(F.col("event_type") == "view", "put").otherwise("take")
+    ident = F.when(kind == "put", F.col("event_id")).otherwise(F.col("event_id") - 2).cast("string")
+    rows = events.select(F.col("user_id").cast("string").alias("store"), "event_id", F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), ident.alias("id"), (F.col("event_id") % 47).cast("long").alias("bytes"))
+    first, last = rows.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
+    if first is None:
+        return spark.createDataFrame([], "event_id long, user_id long, error string")
+    width = (last - first + _LATE) // _ARRIVALS + 1
+    arrives = F.unix_seconds("ts") - first + F.pmod(F.xxhash64("event_id"), F.lit(_LATE))
+    came = scratch.new_path(spark, "arrivals")
+    for i in range(_ARRIVALS):
+        rows.filter(F.floor(arrives / width) == i).write.mode("append").parquet(came)
+    tick = spark.createDataFrame([("", None, "tick", None, None)], "store string, event_id long, kind string, id string, bytes long")
+    tick.select("store", "event_id", F.timestamp_seconds(F.lit(last + width + 2 * _LATE + 10)).alias("ts"), "kind", "id", "bytes").write.mode("append").parquet(came)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 8).parquet(came)
+    # what arrives together may be read in any order, hence the width of a part besides
+    found = stored(stream, f"{width + _LATE} seconds", 2_000_000, 40, 3, 60)
+    return ended(found, "puts").filter("kind = 'put'").select("event_id", F.col("store").cast("long").alias("user_id"), "error")
+
+
+_SECURE = "CASE WHEN page_id % 10 = 9 THEN url ELSE regexp_replace(url, '^http:', 'https:') END"
+_REFUSED = "(now NOT LIKE 'https:%' OR now LIKE 'https://10.0.0.%')"
+
+
+@query(f"""
+WITH RECURSIVE u AS (SELECT page_id, {_SECURE} AS url FROM pages),
+  p AS (SELECT *, regexp_replace(url, '#.*$', '') AS asked, regexp_extract(url, '^[a-z]+://[^/?#]*') AS root, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path FROM u),
+  f AS (SELECT p.*, n.url AS next, CASE WHEN path = '' THEN '/' ELSE regexp_extract(path, '^(.*/)', 1) END AS folder FROM p LEFT JOIN u n ON n.page_id = p.page_id + 8),
+  l AS (SELECT *, CASE page_id % 8 WHEN 0 THEN 200 WHEN 2 THEN 301 WHEN 3 THEN 307 WHEN 5 THEN 308 WHEN 6 THEN 404 WHEN 7 THEN 303 ELSE 302 END AS status,
+      CASE page_id % 8 WHEN 1 THEN '/moved/' || page_id WHEN 2 THEN next WHEN 3 THEN '../up/./' || page_id WHEN 4 THEN 'https://10.0.0.' || page_id % 256 || '/x' WHEN 5 THEN '#again' WHEN 7 THEN '//' || split_part(next, '//', 2) END AS location,
+      CASE page_id % 8 WHEN 1 THEN root || '/moved/' || page_id WHEN 3 THEN root || CASE WHEN folder = '/' THEN '/' ELSE regexp_replace(folder, '[^/]*/$', '') END || 'up/' || page_id WHEN 5 THEN asked || '#again'
+        WHEN 7 THEN split_part(url, '//', 1) || '//' || split_part(next, '//', 2) ELSE location END AS target FROM f),
+  a AS (SELECT asked, status, location, target FROM (
+      SELECT *, row_number() OVER (PARTITION BY asked ORDER BY status, location NULLS FIRST) AS k FROM (SELECT asked, status, location, target FROM l UNION ALL SELECT target, 200, NULL, NULL FROM l WHERE page_id % 8 = 1 OR page_id % 16 = 3)) WHERE k = 1),
+  c AS (
+    SELECT page_id, url, url AS now, regexp_replace(url, '#.*$', '') AS asked, 0 AS hops, []::VARCHAR[] AS trail FROM u
+    UNION ALL
+    SELECT page_id, url, target, regexp_replace(target, '#.*$', ''), hops + 1, list_append(trail, c.asked) FROM c JOIN a USING (asked)
+    WHERE NOT {_REFUSED} AND status BETWEEN 301 AND 308 AND location IS NOT NULL AND NOT list_contains(list_append(trail, c.asked), regexp_replace(target, '#.*$', '')) AND hops < 3),
+  e AS (SELECT page_id, arg_max({{'now': now, 'asked': asked, 'hops': hops, 'trail': trail}}, hops) AS x FROM c GROUP BY page_id),
+  o AS (SELECT page_id, x.now AS now, x.hops AS hops, x.trail AS trail, asked, status, location, target FROM (SELECT page_id, x, x.asked AS asked FROM e) LEFT JOIN a USING (asked))
+SELECT page_id, hops::INT AS hops, CASE WHEN {_REFUSED} THEN 'policy' WHEN status IS NULL THEN 'unreachable' WHEN status = 200 THEN 'ok' WHEN status = 404 THEN 'http' WHEN location IS NULL THEN 'no location'
+    WHEN list_contains(list_append(trail, asked), regexp_replace(target, '#.*$', '')) THEN 'loop' ELSE 'too many redirects' END AS outcome,
+  CASE WHEN NOT {_REFUSED} AND status = 200 THEN now END AS final_url, (len(trail) + CASE WHEN {_REFUSED} THEN 0 ELSE 1 END)::INT AS n_asked FROM o""")
+def q42_redirect_chains(spark, sf_dir):
+    """Every page asked for; answers lead on in eight ways, by the page's number, to pages, relative places, closed addresses and back."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 10 == 9, F.col("url")).otherwise(F.regexp_replace("url", "^http:", "https:")).alias("url"))
+    after = pages.select((F.col("page_id") - 8).alias("page_id"), F.col("url").alias("next"))
+    rows = pages.join(after, "page_id", "left").withColumn("kind", (F.col("page_id") % 8).cast("int"))
+    number, kind = F.col("page_id").cast("string"), F.col("kind")
+    status = F.get(F.array(*map(F.lit, (200, 302, 301, 307, 302, 308, 404, 303))), "kind")
+    location = (
+        F.when(kind == 1, F.concat(F.lit("/moved/"), number)).when(kind == 2, F.col("next")).when(kind == 3, F.concat(F.lit("../up/./"), number)).when(kind == 5, "#again")
+        .when(kind == 4, F.concat(F.lit("https://10.0.0."), (F.col("page_id") % 256).cast("string"), F.lit("/x"))).when(kind == 7, F.regexp_extract("next", "(//.*)$", 1))
+    )
+    answers = rows.select("page_id", "kind", "url", status.alias("status"), location.alias("location"))
+    there = answers.filter("kind = 1 OR page_id % 16 = 3").select(redirects.joined(F.col("url"), F.col("location")).alias("url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"))
+    found = redirects.follow(pages.withColumnRenamed("page_id", "id"), answers.select("url", "status", "location").unionByName(there))
+    return found.select(F.col("id").alias("page_id"), "hops", "outcome", "final_url", F.size("trail").alias("n_asked"))

