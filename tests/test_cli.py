@@ -5,13 +5,13 @@ import pytest
 from docsift.cli import main
 from tests import fixtures as fx
 
-NAME = "20260315_Ada VERNE_Head of Storage"
+NAME = "20260315_Tove HARKNESS_Yard Master"
 
 
 @pytest.fixture(scope="module")
 def root(tmp_path_factory):
     root = tmp_path_factory.mktemp("archive")
-    for name in (NAME, "20250101_Ada VERNE_Older", "CV final"):
+    for name in (NAME, "20250101_Tove HARKNESS_Older", "CV final"):
         folder = root / name
         folder.mkdir()
         (folder / f"{name}.docx").write_bytes(fx.canonical_docx())
@@ -49,6 +49,6 @@ def test_could_not_run(spark, capsys, root):
 def test_review(spark, capsys, root):
     code, out, _ = run(spark, capsys, "review", root / "cv.pdf", "--jd", root / "jd.txt")
     assert code == 0 and out.startswith("# ATS parse report") and "Job description overlap" in out
-    assert "EXPERIENCE SKILLS" not in run(spark, capsys, "review", root / "cv.pdf", "--text-only")[1]
-    assert "EXPERIENCE SKILLS" in run(spark, capsys, "review", root / "cv.pdf", "--text-only", "--stream-order")[1]
+    assert "EMPLOYMENT KEY SKILLS" not in run(spark, capsys, "review", root / "cv.pdf", "--text-only")[1]
+    assert "EMPLOYMENT KEY SKILLS" in run(spark, capsys, "review", root / "cv.pdf", "--text-only", "--stream-order")[1]
     assert "parseability" in json.loads(run(spark, capsys, "review", root / "cv.pdf", "--json")[1])

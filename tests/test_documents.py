@@ -17,7 +17,7 @@ def spans_text(data):
 @pytest.mark.parametrize("compress", ["", "flate", "hex", "a85"])
 def test_pdf_containers(style, compress):
     text = spans_text(fx.pages_pdf([fx.content_of(fx.RESUME)], style, compress))
-    assert "Ada Verne" in text and "Kubernetes" in text and "(" not in text
+    assert "Tove Harkness" in text and "steam bending" in text and "(refits of sixty" in text
 
 
 CMAP = b"1 begincodespacerange <0000> <FFFF> endcodespacerange 2 beginbfchar <0001> <0041> <0002> <00640061> endbfchar 1 beginbfrange <0003> <0005> <0078> endbfrange"
@@ -70,7 +70,7 @@ def test_garbage_pdf(data):
 
 def test_docx_model():
     m = Reader(fx.canonical_docx()).model()
-    assert len(m.paras) == len(fx.canonical()) and m.author == "Ada Verne" and (m.mt, m.ml, m.n_cols) == (1.5, 1.7, 1)
+    assert len(m.paras) == len(fx.canonical()) and m.author == "Tove Harkness" and (m.mt, m.ml, m.n_cols) == (1.5, 1.7, 1)
     assert m.paras[0].size_pt == 18 and m.paras[0].bold and m.paras[3].is_hyperlink and m.paras[4].has_bottom_rule
     styled = Reader(fx.docx(fx.para("styled", size=0, style="Small"))).model().paras[0]
     assert (styled.size_pt, styled.italic, styled.font) == (7.0, True, "Calibri")
@@ -122,12 +122,12 @@ def test_layout(loaded):
     rows = {r.filename: r for r in loaded.collect()}
     two, good = rows["two.pdf"], rows["good.pdf"]
     assert two.multi_column and two.multi_column_pages == [1] and not good.multi_column
-    assert "Staff Engineer\nFabrikam" in two.text and "SKILLS\nPython" in two.text
-    assert "EXPERIENCE SKILLS" in two.stream_text
-    assert "Principal Engineer, Northwind Storage 2019 - Present" in good.text
+    assert "Esk Slipway\nforeman" in two.text and "SKILLS\nLofting" in two.text
+    assert "EMPLOYMENT KEY SKILLS" in two.stream_text
+    assert "(refits of sixty cobles and two lifeboats) 2012 - 2024" in good.text
     assert good.n_pages == 1 and good.n_words == len(good.text.split())
     by = {r.filename: r for r in layout.extract_text(loaded.filter("kind = 'pdf'"), stream_order=True).collect()}
-    assert by["two.pdf"].order == "content-stream" and "EXPERIENCE SKILLS" in by["two.pdf"].text
+    assert by["two.pdf"].order == "content-stream" and "EMPLOYMENT KEY SKILLS" in by["two.pdf"].text
 
 
 def test_lint(loaded):

@@ -23,7 +23,7 @@ def files(spark, rows):
 def checks(spark):
     docs = files(spark, [(1, "good.docx", fx.canonical_docx()), (2, "broken.docx", fx.broken_docx()), (3, "short.docx", fx.canonical_docx()), (4, "design.docx", fx.canonical_docx()), (5, "bad.docx", b"no zip")])
     pdfs = files(spark, [(1, "good.pdf", fx.text_pdf(fx.canonical_text())), (3, "short.pdf", fx.text_pdf(fx.canonical_text(SHORT))), (4, "design.pdf", fx.pages_pdf([fx.content_of(fx.TWO_COLUMNS)]))])
-    jds = spark.createDataFrame([(1, "Requirements\n- storage\n- durability\n- 5+ years\n")], "jd_id long, text string")
+    jds = spark.createDataFrame([(1, "Requirements\n- lofting\n- winches\n- 5+ years\n")], "jd_id long, text string")
     return api.validate(docs, pdfs, jds).cache()
 
 
@@ -54,14 +54,14 @@ def test_broken_trips_the_named_checks(checks):
 
 def test_round_trip_names_what_is_missing(checks):
     rows = by_doc(checks)
-    assert rows[3]["parity.docx_pdf"].ok is False and "Chaired the review" in rows[3]["parity.docx_pdf"].detail
+    assert rows[3]["parity.docx_pdf"].ok is False and "Chaired the inquiry" in rows[3]["parity.docx_pdf"].detail
     assert rows[3]["parity.docx_pdf"].detail.startswith("1 block(s)")
     assert rows[4]["pdf.single_column"].ok is False and rows[4]["parity.docx_pdf"].ok is False
 
 
 def test_specification_overrides(spark):
     docs = files(spark, [(1, "a.docx", fx.canonical_docx())])
-    rows = by_doc(api.validate(docs, spec={"author": "Someone Else", "contact_exact": "Leeds, England | +44 20 7946 0958 | ada@example.org"}))[1]
+    rows = by_doc(api.validate(docs, spec={"author": "Someone Else", "contact_exact": "Whitby, England | +44 1947 820 331 | tove@yard.example"}))[1]
     assert rows["meta.author"].ok is False and rows["header.contact"].ok is True and rows["x_jd.required"].ok is None
     with pytest.raises(ValueError):
         gate.spec_of({"no such key": 1})
@@ -126,8 +126,8 @@ def test_review(spark):
     jds = spark.createDataFrame([(9, fx.JD)], "jd_id long, text string")
     row = api.review(docs, jds).first()
     data = json.loads(row.json)
-    assert data["parseability"]["score"] >= 85 and "Kubernetes" in data["extracted_text"] and data["pages"] == [{"number": 1, "multi_column": False}]
-    assert 0.5 <= data["jd_match"]["coverage_required"] <= 1 and {"rust", "graphql"} <= set(data["jd_match"]["missing"])
+    assert data["parseability"]["score"] >= 85 and "steam bending" in data["extracted_text"] and data["pages"] == [{"number": 1, "multi_column": False}]
+    assert 0.5 <= data["jd_match"]["coverage_required"] <= 1 and {"sailmaking", "welding"} <= set(data["jd_match"]["missing"])
     assert row.markdown.startswith("# ATS parse report") and "Job description overlap" in row.markdown
     assert "Job description overlap" not in api.review(docs).first().markdown
 
@@ -159,11 +159,11 @@ def test_matching(spark):
     docs, jds, pairs = docs_jds(spark, text, fx.JD)
     hit = {r.canonical: r.term for r in matching.matched(docs, jds).collect()}
     lacks = {r.canonical: r.term for r in matching.missing(pairs, docs, jds).collect()}
-    assert {"kubernete", "terraform", "kafka", "python"} <= set(hit) and hit["kubernete"] == "kubernetes"
-    assert {"rust", "graphql"} <= set(lacks) and not set(lacks) & {"deep", "solid", "strong", "exposure", "fluent", "hands-on", "proven", "equity"}
+    assert {"winche", "caulking", "rigging", "varnish"} <= set(hit) and hit["winche"] == "winches"
+    assert {"sailmaking", "welding"} <= set(lacks) and not set(lacks) & {"deep", "solid", "strong", "exposure", "fluent", "proven", "cabin", "tea"}
     assert 0.5 <= matching.coverage(docs, jds).first().coverage_required <= 1
     found = {r.kind: r for r in matching.gates(pairs, docs, jds).collect()}
-    assert found["years"].value == 7.0 and found["degree"].satisfied
+    assert found["years"].value == 6.0 and found["degree"].satisfied
 
 
 def test_aliases_and_tenure(spark):
@@ -189,8 +189,8 @@ def test_pathological_text_is_quick(spark):
 
 
 def test_archive(spark):
-    name = "20260315_Ada VERNE_Head of Storage"
-    rows = [(name, f"{name}.docx"), (name, f"{name}.pdf"), (name, f"{name}_Design.pdf"), ("CV final", "CV final.docx"), ("CV final", "notes.txt"), ("20250101_Ada VERNE_Old", "x.pdf")]
+    name = "20260315_Tove HARKNESS_Yard Master"
+    rows = [(name, f"{name}.docx"), (name, f"{name}.pdf"), (name, f"{name}_Design.pdf"), ("CV final", "CV final.docx"), ("CV final", "notes.txt"), ("20250101_Tove HARKNESS_Old", "x.pdf")]
     files_ = spark.createDataFrame(rows, "folder string, filename string")
     found = archive.resolved(files_)
     ok = {}
