@@ -33,17 +33,17 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docsift.llm._columns import raw_text, slices
 from docsift.scratch import discard, written
 from docsift.session import bounded_steps
 
@@ -52,6 +52,8 @@ WIDTH, GRAM = 400, 200
 PASSES = (16, 1)
 #: Window starts that are looked at together; bounds memory for a text of any length.
 SEGMENT = 1 << 21
+#: Bytes of short texts that are looked at together.
+GROUP = 1 << 15
 _U = np.uint64
 
 
@@ -108,14 +110,33 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def units(text, words: bool) -> np.ndarray:
-    """What windows count: the bytes of a text, or the hashes of its words."""
-    if words:
-        return np.array([xxhash.xxh64_intdigest(w) for w in bytes(text).split()], _U)
-    return np.frombuffer(text, np.uint8) if len(text) else np.zeros(0, np.uint8)
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
 
+def word_spans(data: np.ndarray, offsets: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word and the byte behind its last; no word crosses the ``offsets`` between texts."""
+    inside = np.zeros(len(data) + 1, bool)
+    inside[1:] = ~_BLANK[data]
+    begins, goes_on = inside[1:] & ~inside[:-1], inside[1:] & inside[:-1]
+    if offsets is not None:
+        cuts = offsets[1:-1]
+        cuts = cuts[cuts < len(data)]
+        begins[cuts] |= goes_on[cuts]
+    starts = np.flatnonzero(begins)
+    # a word ends at the next blank, or where the next one begins
+    blanks = np.flatnonzero(~inside[1:])
+    ends = np.r_[blanks, len(data)][np.searchsorted(blanks, starts)]
+    return starts, np.minimum(ends, np.r_[starts[1:], len(data)]) if len(starts) else ends
 
-_WORD = re.compile(rb"[^ \t\n\r\x0b\f]+")
+
+def _word_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return _mixed(_one.of(prefix, starts, ends))
+
+
+def units(text, words: bool) -> np.ndarray:
+    """What windows count: the bytes of a text, or the hashes of its words."""
+    data = np.frombuffer(text, np.uint8) if len(text) else np.zeros(0, np.uint8)
+    return _word_hashes(_one.prefix(data), *word_spans(data)) if words else data
 
 
 def _anchors(prefix: np.ndarray, n: int, width: int, gram: int) -> np.ndarray:
@@ -168,10 +189,36 @@ def pieces_of(data: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> tuple[n
     return _collapsed(core, hull, place, s1, s2)
 
 
-def _collapsed(core, hull, place, s1, s2) -> tuple[np.ndarray, ...]:
-    order = np.lexsort((s1, hull, core))
+def pieces_of_many(one: np.ndarray, two: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
+    """:func:`pieces_of` for texts that stand one behind another, by their prefix hashes.
+
+    Places count in all of them; the first of the arrays says which text a piece is of, and
+    marks are told apart by their place, as windows of two texts never touch.
+    """
+    sizes = np.diff(offsets)
+    room = np.maximum(sizes - width + 1, 0)
+    total = int(room.sum())
+    if not total:
+        none = np.zeros(0, np.int64)
+        return none, none.astype(_U), none.astype(_U), none, none, none, none, none, none
+    text = np.repeat(np.arange(len(room)), room)
+    start = np.arange(total) - np.repeat(np.cumsum(room) - room, room) + offsets[text]
+    anchor = _anchors(one, int(offsets[-1]), width, gram)[start]
+    first = np.flatnonzero(np.r_[True, (anchor[1:] != anchor[:-1]) | (text[1:] != text[:-1])])
+    last = np.r_[first[1:], total] - 1
+    place, s1, s2, text = anchor[first], start[first], start[last], text[first]
+    core = _one.of(one, place, place + gram)
+    hull = _mixed(_two.of(two, s1, s2 + width) + _mixed(_U(1) + ((place - s1) << 32 | (s2 - s1)).astype(_U)))
+    core, hull, place, s1, s2, n, m1, m2 = _collapsed(core, hull, place, s1, s2, text)
+    return np.searchsorted(offsets, s1, side="right") - 1, core, hull, place, s1, s2, n, m1, m2
+
+
+def _collapsed(core, hull, place, s1, s2, text=None) -> tuple[np.ndarray, ...]:
+    order = np.lexsort((s1, hull, core) if text is None else (s1, hull, core, text))
     c, h = core[order], hull[order]
     new = np.r_[True, (c[1:] != c[:-1]) | (h[1:] != h[:-1])] if len(c) else np.zeros(0, bool)
+    if text is not None:
+        new[1:] |= np.diff(text[order]) != 0
     heads = np.flatnonzero(new)
     n = np.diff(np.r_[heads, len(c)])
     again = np.zeros(len(c), bool)
@@ -228,33 +275,69 @@ def _listed(parts: list[dict[str, np.ndarray]]) -> pa.ListArray:
     return _structs({name: np.concatenate([p[name] for p in parts]) for name in parts[0]}, [len(p["s1"]) for p in parts])
 
 
+def _of_group(data: np.ndarray, offsets: np.ndarray, kinds: tuple[Windows, ...]) -> tuple[np.ndarray, dict, dict]:
+    """Units of each text and kind, and pieces and marks of all texts of a group with the text's number as ``text``."""
+    one, two = _one.prefix(data), _two.prefix(data)
+    spans = word_spans(data, offsets) if any(k.words for k in kinds) else None
+    sizes, pieces, marks = [], [], []
+    for number, kind in enumerate(kinds):
+        if kind.words:
+            hashes, own = _word_hashes(one, *spans), np.searchsorted(spans[0], offsets)
+            found = pieces_of_many(_one.prefix(hashes), _two.prefix(hashes), own, kind.width, kind.gram)
+        else:
+            own = offsets
+            found = pieces_of_many(one, two, own, kind.width, kind.gram)
+        text, core, hull, place, s1, s2, n, m1, m2 = found
+        of = np.searchsorted(own, m1, side="right") - 1
+        sizes.append(np.diff(own))
+        pieces.append((text, (core & ~_U(_KINDS - 1)) | _U(number), hull, place - own[text], s1 - own[text], s2 - own[text], n))
+        marks.append((of, np.full(len(of), number), m1 - own[of], m2 - own[of]))
+    joined = lambda parts, names: dict(zip(names, (np.concatenate(x) for x in zip(*parts, strict=True)), strict=True))
+    return np.stack(sizes, 1), joined(pieces, ("text", "core", "hull", "place", "s1", "s2", "n")), joined(marks, ("text", "kind", "s1", "s2"))
+
+
+def _by_text(parts: list[dict[str, np.ndarray]], texts: int) -> pa.ListArray:
+    """A list for each of so many texts, of rows that name theirs."""
+    rows = {name: np.concatenate([p[name] for p in parts]) for name in parts[0]}
+    text = rows.pop("text")
+    order = np.argsort(text, kind="stable")
+    return _structs({name: x[order] for name, x in rows.items()}, np.bincount(text, minlength=texts).tolist())
+
+
 def _scan(kinds: tuple[Windows, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                texts = [x.as_buffer() if x.is_valid else b"" for x in batch.column("text")]
+                data, offsets = raw_text(batch.column("text"))
                 sizes, pieces, marks = [], [], []
-                for text in texts:
-                    data = [units(text, kind.words) for kind in kinds]
-                    found = _told_apart([pieces_of(x, kind.width, kind.gram) for x, kind in zip(data, kinds, strict=True)])
-                    sizes.append([len(x) for x in data])
-                    pieces.append(found[0])
-                    marks.append(found[1])
+                for start, end in slices(offsets, GROUP):
+                    part, own = data[offsets[start] : offsets[end]], offsets[start : end + 1] - offsets[start]
+                    if len(part) > SEGMENT:  # a very long text, by itself
+                        each = [units(part, kind.words) for kind in kinds]
+                        found = _told_apart([pieces_of(x, kind.width, kind.gram) for x, kind in zip(each, kinds, strict=True)])
+                        group = np.array([[len(x) for x in each]]), *({"text": np.zeros(len(f["s1"]), np.int64), **f} for f in found)
+                    else:
+                        group = _of_group(part, own, kinds)
+                    sizes.append(group[0])
+                    pieces.append({**group[1], "text": group[1]["text"] + start})
+                    marks.append({**group[2], "text": group[2]["text"] + start})
+                n = batch.num_rows
+                texts = [data[a:b] for a, b in pairwise(offsets.tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + len(texts))),
+                        pa.array(np.arange(row, row + n)),
                         batch.column("doc_id"),
                         pa.array([hashlib.sha256(x).digest() for x in texts], pa.binary()),
-                        pa.array([len(x) for x in texts], pa.int64()),
-                        pa.array(sizes, pa.list_(pa.int64())),
-                        _listed(pieces),
-                        _listed(marks),
+                        pa.array(np.diff(offsets)),
+                        pa.array(np.concatenate(sizes).tolist(), pa.list_(pa.int64())),
+                        _by_text(pieces, n),
+                        _by_text(marks, n),
                     ],
                     ["row_id", "doc_id", "digest", "n_bytes", "n_units", "pieces", "marks"],
                 )
-                row += len(texts)
+                row += n
 
     return run
 
@@ -352,8 +435,8 @@ def _removals(kinds: tuple[Windows, ...], keep: bool):
                     first, last = _runs(s1[own], s2[own] + kind.width - 1)
                     covered.append(int((last - first + 1).sum()))
                     if kind.words and len(first):
-                        at = np.array([m.span() for m in _WORD.finditer(data)])
-                        first, last = at[first, 0], at[last, 1] - 1
+                        starts, ends = word_spans(np.frombuffer(data, np.uint8))
+                        first, last = starts[first], ends[last] - 1
                     if keep or not i:
                         spans.append((first, last))
                 first, last = spans[0] if len(spans) == 1 else _runs(*(np.concatenate(x) for x in zip(*spans, strict=True)))
