@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
+from docsift.scratch import discard, written
+
 #: Seconds that staged inputs, codes, access and refresh tokens and pending
 #: sign-ins live; entries and bytes that may be staged; failures in a trailing span of
 #: seconds that lock sign-in out.
@@ -142,6 +144,38 @@ def put_errors(
     return _folded(rows, "in_store", ["when", "turn", "ties"], step, "error").filter("turn = 1").select("whole.*", "error")
 
 
+def short_ids(keys: DataFrame, key: str = "key", digits: int = 5) -> DataFrame:
+    """(key, id, attempts): an id of so many hexadecimal digits for each distinct key, no two alike.
+
+    An id is the start of a digest of the key and the number of the attempt. In each round
+    the keys without one claim theirs; of those that claim an id which nobody holds, the
+    smallest key gets it, and only the others try again. So ids do not depend on how the
+    keys are partitioned. Keys are text or numbers; null has no id. There must be fewer keys
+    than ids; near that bound it takes many rounds.
+    """
+    pending = written(keys.select(F.col(key).alias("key")).filter("key IS NOT NULL").distinct(), "ids-pending")
+    n, room = pending.count(), 16**digits
+    if n > room:
+        raise ValueError(f"{n} keys do not fit {room} ids")
+    held, attempt = None, 0
+    while n:
+        digest = F.md5(F.concat(F.col("key").cast("string"), F.lit(f":{attempt}")))
+        claims = pending.select("key", F.left(digest, F.lit(digits)).alias("id"))
+        if held is not None:
+            claims = claims.join(held.select("id"), "id", "left_anti")
+        won = claims.groupBy("id").agg(F.min("key").alias("key")).select("key", "id", F.lit(attempt + 1).alias("attempts"))
+        both = written(won if held is None else held.unionByName(won), "ids-held")
+        left = written(pending.join(both.select("key"), "key", "left_anti"), "ids-pending")
+        discard(pending)
+        if held is not None:
+            discard(held)
+        held, pending, attempt = both, left, attempt + 1
+        n = pending.count()
+    if held is None:
+        held = pending.select("key", F.lit("").alias("id"), F.lit(0).alias("attempts"))
+    return held.withColumnRenamed("key", key)
+
+
 def lockouts(failures: DataFrame, key: str, at: str, least: int = LOCKOUT_FAILURES, seconds: int = LOCKOUT_SECONDS) -> DataFrame:
     """Failures (times in whole seconds) with those in the trailing span and whether they lock out.
 

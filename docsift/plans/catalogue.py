@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from docsift import scratch
 from docsift.functions import report
 from docsift.functions import text as T
-from docsift.operators import gate, lint, matching, parity, phrases, redirects, staging
+from docsift.operators import archive, gate, lint, matching, parity, phrases, records, redirects, staging, tokens
 from docsift.plans import api
 from docsift.sources import addresses, inputs
 from docsift.streaming.staging import ended, failures_per_span, stored
@@ -735,3 +735,102 @@ def q42_redirect_chains(spark, sf_dir):
     there = answers.filter("kind = 1 OR page_id % 16 = 3").select(redirects.joined(F.col("url"), F.col("location")).alias("url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("location"))
     found = redirects.follow(pages.withColumnRenamed("page_id", "id"), answers.select("url", "status", "location").unionByName(there))
     return found.select(F.col("id").alias("page_id"), "hops", "outcome", "final_url", F.size("trail").alias("n_asked"))
+
+
+#: The second at which tokens are looked at, and how long they last: 20 days.
+_NOW, _LASTS = 1_706_659_200, 1_728_000
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT *, floor(epoch(ts))::BIGINT AS sec, CASE WHEN event_type IN ('signup', 'view') THEN event_id END AS token FROM events),
+  p AS (SELECT *, last_value(token IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY sec, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM e),
+  t AS (SELECT token, sec, CASE WHEN event_type = 'view' THEN held END AS parent FROM p WHERE token IS NOT NULL),
+  u AS (SELECT held AS token, sec, event_id AS use_id FROM p WHERE held IS NOT NULL AND (event_type = 'view' OR event_type = 'click' AND event_id % 16 = 0)),
+  f AS (SELECT token, token AS root, 0::BIGINT AS depth FROM t WHERE parent IS NULL UNION ALL SELECT t.token, root, depth + 1 FROM t JOIN f ON t.parent = f.token),
+  k AS (SELECT token, sec, row_number() OVER (PARTITION BY token ORDER BY sec, use_id) AS place FROM u),
+  d AS (SELECT root, min(sec) AS undone_at FROM (SELECT token, sec FROM k WHERE place > 1 UNION ALL SELECT held, sec FROM p WHERE event_type = 'error' AND event_id % 64 = 0 AND held IS NOT NULL) JOIN f USING (token) GROUP BY root)
+SELECT token, root, depth, CASE WHEN undone_at IS NOT NULL THEN 'revoked' WHEN token IN (SELECT token FROM k) THEN 'consumed' WHEN {_NOW} - sec > {_LASTS} THEN 'expired' ELSE 'live' END AS state, undone_at
+FROM t JOIN f USING (token) LEFT JOIN d USING (root)""")
+def q43_token_families(spark, sf_dir):
+    """A signup starts a family, a view exchanges the user's last token; some clicks use a token besides, some errors revoke it."""
+    events = _events(spark, sf_dir).withColumn("token", F.when(F.col("event_type").isin("signup", "view"), F.col("event_id")))
+    before = Window.partitionBy("user_id").orderBy("at", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = scratch.written(events.withColumn("held", F.last("token", ignorenulls=True).over(before)).select("event_id", "event_type", "at", "token", "held"), "held")
+    is_view, number = F.col("event_type") == "view", F.col("event_id")
+    made = rows.filter("token IS NOT NULL").select("token", F.when(is_view, F.col("held")).alias("parent"), "at")
+    uses = rows.filter(F.col("held").isNotNull() & (is_view | (F.col("event_type") == "click") & (number % 16 == 0))).select(F.col("held").alias("token"), "at", number.alias("use_id"))
+    revoked = rows.filter("event_type = 'error' AND event_id % 64 = 0 AND held IS NOT NULL").select(F.col("held").alias("token"), "at")
+    return tokens.liveness(made, uses, revoked, _NOW, _LASTS)
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS sec, CASE event_id % 9 WHEN 4 THEN left(props, length(props) - 1) WHEN 7 THEN replace(props, ': ', ': "x') WHEN 2 THEN '[1]' WHEN 5 THEN '{}' ELSE props END AS record FROM events),
+  r AS (SELECT *, CASE WHEN json_valid(record) THEN try_cast(json_extract(record, '$.k') AS BIGINT) END AS k FROM e)
+SELECT user_id, arg_max({'k': k, 'event_id': event_id}, (sec, event_id)) FILTER (k IS NOT NULL).k AS k, arg_max(event_id, (sec, event_id)) FILTER (k IS NOT NULL) AS event_id, count(*) FILTER (k IS NULL) AS n_corrupt
+FROM r GROUP BY user_id HAVING max(sec) FILTER (k IS NOT NULL) >= 1706000000""".replace("arg_max({'k': k, 'event_id': event_id}, (sec, event_id)) FILTER (k IS NOT NULL).k AS k", "arg_max(k, (sec, event_id)) FILTER (k IS NOT NULL) AS k"))
+def q44_client_store(spark, sf_dir):
+    """Records of users in events' properties, four in nine of them broken on purpose: the newest good one of each, old ones swept, saved and loaded."""
+    number = F.col("event_id") % 9
+    broken = F.when(number == 4, F.expr("left(props, length(props) - 1)")).when(number == 7, F.replace("props", F.lit(": "), F.lit(': "x'))).when(number == 2, "[1]").when(number == 5, "{}").otherwise(F.col("props"))
+    rows = _events(spark, sf_dir).select("event_id", "user_id", "at", broken.alias("json"))
+    found = records.newest(records.parsed(rows, "json", "k long", ("k",)).drop("json"), "user_id", ["at", "event_id"])
+    path = scratch.new_path(spark, "clients")
+    records.save(found, path)
+    records.save(records.load(spark, path).filter("at >= 1706000000"), path)
+    return records.load(spark, path).select("user_id", "k", "event_id", "n_corrupt")
+
+
+def _short_sql(rounds: int) -> str:
+    """Each round: keys left, what they claim, and who gets it."""
+    parts = ["p0 AS (SELECT event_id AS key FROM events)"]
+    for i in range(rounds):
+        held = " UNION ALL ".join(f"SELECT id FROM h{k}" for k in range(i)) or "SELECT NULL AS id WHERE false"
+        parts.append(f"h{i} AS (SELECT min(key) AS key, id FROM (SELECT key, left(md5(key || ':{i}'), 5) AS id FROM p{i}) WHERE id NOT IN ({held}) GROUP BY id)")
+        parts.append(f"p{i + 1} AS (SELECT key FROM p{i} WHERE key NOT IN (SELECT key FROM h{i}))")
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT key AS event_id, id, {i + 1} AS attempts FROM h{i}" for i in range(rounds))
+
+
+@query(_short_sql(8))
+def q45_short_ids(spark, sf_dir):
+    """Ids of 20 bits for all events."""
+    return staging.short_ids(table(spark, sf_dir, "events"), "event_id")
+
+
+_FOLDERS = """
+  f AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE (20200101 + doc_id % 28 + 100 * (doc_id % 12) + 10000 * (doc_id % 6))::VARCHAR || '_' END || source || '_' || lang || doc_id AS folder FROM documents),
+  n AS (SELECT folder, unnest([CASE WHEN doc_id % 5 <> 1 THEN folder || '.docx' END, CASE WHEN doc_id % 5 <> 2 THEN folder || '.pdf' END, CASE WHEN doc_id % 3 <> 0 THEN folder || '_Design.pdf' END,
+      CASE WHEN doc_id % 11 = 0 THEN 'notes.txt' END, '.hidden', CASE WHEN doc_id % 13 = 0 THEN lower(folder) || '.PDF' END]) AS filename FROM f),
+  r AS (SELECT folder, filename, CASE WHEN filename = folder || '.docx' THEN 'docx' WHEN filename = folder || '.pdf' THEN 'pdf' WHEN filename = folder || '_Design.pdf' THEN 'design' END AS role FROM n WHERE filename IS NOT NULL)"""
+
+
+def _folders(spark, sf_dir) -> DataFrame:
+    """Files (folder, filename) of an archive with a folder for each document, some without a date or with files lacking or astray."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.col("doc_id")
+    date = F.when(n % 7 == 0, "").otherwise(F.concat((20_200_101 + n % 28 + 100 * (n % 12) + 10_000 * (n % 6)).cast("string"), F.lit("_")))
+    rows = docs.select("doc_id", F.concat(date, "source", F.lit("_"), "lang", n.cast("string")).alias("folder"))
+    own = lambda end: F.concat("folder", F.lit(end))
+    names = F.array(
+        F.when(n % 5 != 1, own(".docx")), F.when(n % 5 != 2, own(".pdf")), F.when(n % 3 != 0, own("_Design.pdf")),
+        F.when(n % 11 == 0, "notes.txt"), F.lit(".hidden"), F.when(n % 13 == 0, F.concat(F.lower("folder"), F.lit(".PDF"))),
+    )
+    return rows.select("folder", F.explode(names).alias("filename")).filter("filename IS NOT NULL")
+
+
+@query(rf"""
+WITH {_FOLDERS}, g AS (SELECT folder, count(DISTINCT role) AS n_roles, count(*) FILTER (role IS NULL AND filename NOT LIKE '.%') AS n_stray FROM r GROUP BY folder)
+SELECT folder, unnest(['archive.folder_name', 'archive.files', 'archive.extra_files']) AS id,
+  unnest([regexp_matches(folder, '^[0-9]{{4}}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])_[^_]+_.+$'), n_roles = 3, n_stray = 0]) AS ok FROM g""")
+def q46_archive_checks(spark, sf_dir):
+    """Name, files and strays of an archive folder for each document."""
+    return archive.checks(archive.resolved(_folders(spark, sf_dir))).select("folder", "id", "ok")
+
+
+@query(rf"""
+WITH {_FOLDERS}, m AS (SELECT max((left(folder, 8), folder)) AS top FROM r WHERE regexp_matches(folder, '^[0-9]{{4}}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])_[^_]+_.+$'))
+SELECT folder, string_agg(filename, '|' ORDER BY filename) AS files FROM r WHERE folder = (SELECT top[2] FROM m) GROUP BY folder""".replace("max((left(folder, 8), folder)) AS top", "max({'date': left(folder, 8), 'folder': folder}) AS top").replace("top[2]", "top.folder"))
+def q47_latest_archive(spark, sf_dir):
+    """The newest dated folder and its files."""
+    files = _folders(spark, sf_dir)
+    found = files.join(F.broadcast(archive.latest(files)), "folder")  # one row
+    return found.groupBy("folder").agg(F.array_join(F.array_sort(F.collect_list("filename")), "|").alias("files"))
