@@ -125,8 +125,7 @@ class StoreProcessor(StatefulProcessor):
         new = []
         for part in rows:
             part = part[part["kind"].isin(["put", "take"])]
-            size = part["bytes"].fillna(0).astype("int64")
-            new += zip(part["at"].tolist(), (part["kind"] == "put").astype(int).tolist(), part["event_id"].tolist(), part["id"].tolist(), size.tolist(), strict=True)
+            new += zip(part["at"].tolist(), (part["kind"] == "put").astype(int).tolist(), part["event_id"].tolist(), part["id"].tolist(), part["bytes"].tolist(), strict=True)
         if new:
             self.waiting.appendList(new)
             self._wake(min(x[0] for x in new))
@@ -167,10 +166,12 @@ def stored(
 
     Kinds are ``put`` and ``take``; any other kind, such as a tick that moves the clock on, is
     passed over. Events that come up to ``late`` after later ones are read in their place; those
-    that come later still are dropped, as the answers after them are out. Needs the RocksDB
-    state store.
+    that come later still are dropped, as the answers after them are out, and so are those
+    without a time. A null number or size counts as 0. Needs the RocksDB state store.
     """
-    rows = events.withWatermark("ts", late).select("store", "event_id", "ts", F.unix_seconds("ts").alias("at"), "kind", "id", F.col("bytes").cast("long").alias("bytes"))
+    # no null in a column of numbers: pandas would make fractions of all of them
+    number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    rows = events.filter("ts IS NOT NULL").withWatermark("ts", late).select("store", number("event_id"), "ts", F.unix_seconds("ts").alias("at"), "kind", "id", number("bytes"))
     processor = StoreProcessor(ttl, max_bytes, max_entries, max_total)
     return rows.groupBy("store").transformWithStateInPandas(processor, outputStructType=STORED, outputMode="Append", timeMode="EventTime")
 

@@ -38,7 +38,8 @@ def test_stream_equals_the_batch_form_with_late_events(spark):
     rows, path = log(4), new_path(spark, "t")
     for at in range(0, 500, 125):
         write(spark, rows[at : at + 125], path)  # seconds overlap: some events come after later ones
-    write(spark, [("", 10**6, 10**6, "tick", None, None)], path)
+    write(spark, [("", None, 10**6, "tick", None, None), ("s1", 2**60 + 1, 600, "put", "big", 5)], path)
+    rows.append(("s1", 2**60 + 1, 600, "put", "big", 5))
     found = ended(stored(stream(spark, path), "12 seconds", **LIMITS), "t").collect()
     assert sorted((r.event_id, r.error or "") for r in found if r.kind == "put") == want(spark, rows)
     assert {r.error for r in found if r.kind == "put"} >= {None, "empty", "too large", "too many entries", "too many bytes"}
