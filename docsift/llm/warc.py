@@ -141,12 +141,13 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record_id(url: str, date: str, payload_digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{url} {date} {payload_digest}')}>"
+def record_id(url: str, date: str, payload_digest: str, key: str = "") -> str:
+    """The same for the same capture; ``key`` tells captures apart that agree in all the rest."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, ' '.join(filter(None, (url, date, payload_digest, key))))}>"
 
 
-def to_warc(record: ArcRecord, refers_to: tuple[str, str, str] | None = None, extra: dict[str, str] | None = None) -> bytes:
-    """A WARC record; a revisit of (record id, URL, date) if that is given."""
+def to_warc(record: ArcRecord, refers_to: tuple[str, str, str] | None = None, extra: dict[str, str] | None = None, key: str = "") -> bytes:
+    """A WARC record; a revisit of (record id, URL, date) if that is given. ``key`` is of its id, see :func:`record_id`."""
     head, payload = split_http(record.body)
     date, said = arc_date(record.date), digest(payload)
     block = head if refers_to else head + payload
@@ -154,7 +155,7 @@ def to_warc(record: ArcRecord, refers_to: tuple[str, str, str] | None = None, ex
     lines = [
         VERSION,
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: {record_id(record.url, date, said)}",
+        f"WARC-Record-ID: {record_id(record.url, date, said, key)}",
         f"WARC-Date: {date}",
         f"WARC-Target-URI: {record.url}",
         f"WARC-IP-Address: {record.ip}",
@@ -211,9 +212,9 @@ def _convert(version: int):
                     refers, extra = None, {"WARC-Page-Key": _key(page_id)}
                     if best is not None:
                         date = arc_date(record.date)
-                        refers = (record_id(_uri(best_url), date, digest(payload)), _uri(best_url), date)
+                        refers = (record_id(_uri(best_url), date, digest(payload), _key(best)), _uri(best_url), date)
                         extra["WARC-Refers-To-Page-Key"] = str(best)
-                    out.append(to_warc(record, refers, extra)[:-4].decode("utf-8"))
+                    out.append(to_warc(record, refers, extra, _key(page_id))[:-4].decode("utf-8"))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     return run

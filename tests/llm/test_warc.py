@@ -82,3 +82,14 @@ def test_pages_match_brute_force(spark, sf):
     rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()]
     assert rows_of(w.round_trip(pages)) == brute(rows, 0)
     assert w.round_trip(pages.limit(0)).count() == 0
+
+
+def test_pages_of_one_url_and_payload_have_ids_of_their_own(spark, tmp_path):
+    rows = [(1, "http://h/x", "same"), (2, "http://h/x", "same"), (3, "http://h/x", "same"), (4, "http://h/x", "other")]
+    path = str(tmp_path / "warc")
+    w.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), path)
+    ids = {r.page_id: r.record_id for r in w.read_archives(spark, path).collect()}
+    assert len(set(ids.values())) == 4
+    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    refers = {x.split(": ")[1] for x in text.split("\r\n") if x.startswith("WARC-Refers-To: ")}
+    assert refers == {ids[3]}
