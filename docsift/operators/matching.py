@@ -20,6 +20,7 @@ from pyspark.sql.window import Window
 from docsift.functions import text as T
 from docsift.operators import phrases
 from docsift.operators.phrases import singular
+from docsift.scratch import written
 from docsift.sources.inputs import MAX_JD_CHARS
 
 #: Other spellings of a term, of one word or several; canonical spellings are singular.
@@ -133,13 +134,16 @@ def doc_terms(docs: DataFrame, only: DataFrame | None = None, more: dict[str, st
 
 def matched(docs: DataFrame, jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(jd_id, doc_id, term, canonical, section, weight) for each term that both have."""
-    wanted = jd_terms(jds, more)
+    return _matched(docs, written(jd_terms(jds, more), "jd-terms"), more)
+
+
+def _matched(docs: DataFrame, wanted: DataFrame, more) -> DataFrame:
     return doc_terms(docs, wanted, more).join(wanted, "canonical").select("jd_id", "doc_id", "term", "canonical", "section", "weight")
 
 
 def judged(pairs: DataFrame, docs: DataFrame, jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(jd_id, doc_id, coverage_required, matched, missing) of given pairs; the lists hold terms, sorted."""
-    terms = jd_terms(jds, more)
+    terms = written(jd_terms(jds, more), "jd-terms")
     there = doc_terms(docs, terms, more).withColumn("hit", F.lit(True))
     rows = pairs.select("jd_id", "doc_id").distinct().join(terms, "jd_id", "left").join(there, ["doc_id", "canonical"], "left")
     hit, required = F.col("hit").isNotNull(), F.when(F.col("section") == "required", F.col("weight"))
@@ -154,15 +158,16 @@ def judged(pairs: DataFrame, docs: DataFrame, jds: DataFrame, more: dict[str, st
 def coverage(docs: DataFrame, jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(jd_id, doc_id, coverage_required, n_matched, n_terms) of each pair with a term in common."""
     required = F.when(F.col("section") == "required", F.col("weight"))
-    of_jd = jd_terms(jds, more).groupBy("jd_id").agg(F.sum(required).alias("all"), F.count(F.lit(1)).alias("n_terms"))
-    hits = matched(docs, jds, more).groupBy("jd_id", "doc_id").agg(F.sum(required).alias("hit"), F.count(F.lit(1)).alias("n_matched"))
+    wanted = written(jd_terms(jds, more), "jd-terms")
+    of_jd = wanted.groupBy("jd_id").agg(F.sum(required).alias("all"), F.count(F.lit(1)).alias("n_terms"))
+    hits = _matched(docs, wanted, more).groupBy("jd_id", "doc_id").agg(F.sum(required).alias("hit"), F.count(F.lit(1)).alias("n_matched"))
     share = F.round(F.coalesce("hit", F.lit(0.0)) / F.nullif(F.col("all"), F.lit(0.0)), 6)
     return hits.join(of_jd, "jd_id").select("jd_id", "doc_id", share.alias("coverage_required"), "n_matched", "n_terms")
 
 
 def missing(pairs: DataFrame, docs: DataFrame, jds: DataFrame, more: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """(jd_id, doc_id, term, canonical, section) that the document of a given pair lacks."""
-    terms = jd_terms(jds, more)
+    terms = written(jd_terms(jds, more), "jd-terms")
     wanted = pairs.select("jd_id", "doc_id").join(terms, "jd_id")
     return wanted.join(doc_terms(docs, terms, more), ["doc_id", "canonical"], "left_anti").select("jd_id", "doc_id", "term", "canonical", "section")
 

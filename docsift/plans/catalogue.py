@@ -194,7 +194,7 @@ def q05_jd_coverage(spark, sf_dir):
 @query(f"WITH RECURSIVE {_JD} SELECT jd_id, canonical FROM jt WHERE canonical NOT IN (SELECT canonical FROM dt)")
 def q06_jd_missing(spark, sf_dir):
     """Terms of descriptions that no document has."""
-    wanted = matching.jd_terms(_jds(spark, sf_dir))
+    wanted = scratch.written(matching.jd_terms(_jds(spark, sf_dir)), "jd-terms")
     docs = matching.doc_terms(_documents(spark, sf_dir), wanted).select("canonical").distinct()
     return wanted.select("jd_id", "canonical").join(docs, "canonical", "left_anti").select("jd_id", "canonical")
 
