@@ -65,6 +65,7 @@ def rules() -> list[tuple[str, str, str, Column, Column, str]]:
     standard = F.size(F.filter("lines", lambda x: x.isin([h for v in HEADINGS.values() for h in v])))
     none = F.lit("")
     text = lambda x: F.lit(x)
+    text_of = F.coalesce("text", none)
     return [
         ("scanned_no_text", "blocker", "Pages are images without text", scanned, F.format_string("%d image(s), no words", F.col("n_images").cast("int")), "Export from the word processor instead of scanning."),
         ("unmapped_glyphs", "blocker", "Glyphs without a text mapping", F.col("n_unmapped") > 0, F.format_string("%d glyph(s)", F.col("n_unmapped").cast("int")), "Embed fonts with a ToUnicode map."),
@@ -77,8 +78,8 @@ def rules() -> list[tuple[str, str, str, Column, Column, str]]:
         ("no_date_ranges", "medium", "No date ranges", ~F.col("has_range") & (words > 0), none, "Write ranges as 2019 - 2023."),
         ("contact_in_docx_header", "high", "Contact details only in the page header", _contact("header_text") & ~F.col("has_email"), none, "Move them to the body."),
         ("docx_textboxes", "high", "Text boxes", F.col("textboxes") > 0, F.format_string("%d text box(es)", F.col("textboxes").cast("int")), "Use plain paragraphs."),
-        ("x_contact_in_pdf_band", "medium", "Contact details only in a page's header band", _contact("band_text") & ~F.col("has_email"), none, "Move them to the body."),
-        ("x_contact_in_annotation", "medium", "Address only behind a mailto link", F.col("mailto").isNotNull() & ~F.col("has_email"), none, "Write the address out."),
+        ("x_contact_in_pdf_band", "medium", "Contact details in a page's header band", _contact("band_text"), none, "Move them to the body."),
+        ("x_contact_in_annotation", "medium", "Address only behind a mailto link", F.col("mailto").isNotNull() & ~F.coalesce(F.lower(text_of).contains(F.lower(F.regexp_replace("mailto", "[?].*$", ""))), F.lit(False)), none, "Write the address out."),
         ("x_layout_tables", "medium", "Tables used for layout", F.col("tables") > 0, F.format_string("%d table(s)", F.col("tables").cast("int")), "Use plain paragraphs."),
         ("x_odd_headings", "low", "Headings are not standard ones", (upper > 0) & (standard == 0), none, "Use standard headings."),
         ("x_odd_dates", "low", "Dates that parsers misread", T.has(F.col("text"), T.ODD_DATE), none, "Give years in full."),
