@@ -6,6 +6,8 @@ content stream. A page is laid out on its own, in time n log n of its spans.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +27,12 @@ def lines(spans: list[Span]) -> list[list[Span]]:
     """Lines of a page from the top, by gaps in y; each in the order of y, x and the content stream."""
     out: list[list[Span]] = []
     above = None
-    for s in sorted(spans, key=lambda s: (-s.y, s.x, s.seq)):
-        if above is None or above - s.y > LINE * max(s.size, 1.0):
-            out.append([])
-        out[-1].append(s)
-        above = s.y
+    for y, _, _, s in sorted([(-s.y, s.x, s.seq, s) for s in spans]):
+        if above is None or y - above > LINE * max(s.size, 1.0):
+            line = []
+            out.append(line)
+        line.append(s)
+        above = y
     return out
 
 
@@ -45,6 +48,8 @@ def gutters(lined: list[list[Span]]) -> list[float]:
     support: dict[int, int] = {}
     least: dict[int, float] = {}
     for line in lined:
+        if len(line) < 2:
+            continue
         starts = set()
         for one, two in zip(line, line[1:]):
             if two.x - (one.x + CHARACTER * one.size * len(one.text)) >= GUTTER:
@@ -65,11 +70,13 @@ def placed(pages: list[Page]) -> dict:
     """
     read, stream, band, multi = [], [], [], []
     for page in pages:
-        y = None
+        y, top = None, BAND * page.height
         for s in page.spans:
-            stream += [" " if y == s.y else "\n", s.text] if y is not None or stream else [s.text]
+            if stream:
+                stream.append(" " if y == s.y else "\n")
+            stream.append(s.text)
             y = s.y
-            if s.y > BAND * page.height:
+            if y > top:
                 band.append(s.text)
         lined = lines(page.spans)
         for line in lined:
@@ -111,9 +118,9 @@ def extracted(parsed: DataFrame) -> DataFrame:
     return rows.withColumn("n_words", T.n_words(F.col("text")))
 
 
-def extract_text(extracted_rows: DataFrame, stream_order: bool = False) -> DataFrame:
-    """(doc_id, filename, format, pages, words, multi_column_pages, text, order)."""
+def extract_text(extracted_rows: DataFrame, stream_order: bool = False, also: Iterable[Column] = ()) -> DataFrame:
+    """(doc_id, filename, format, pages, words, multi_column_pages, text, order) and expressions of the caller's own."""
     return extracted_rows.select(
         "doc_id", "filename", F.col("kind").alias("format"), F.col("n_pages").alias("pages"), F.col("n_words").alias("words"), "multi_column_pages",
-        (F.col("stream_text") if stream_order else F.col("text")).alias("text"), F.lit("content-stream" if stream_order else "layout-aware").alias("order"),
+        (F.col("stream_text") if stream_order else F.col("text")).alias("text"), F.lit("content-stream" if stream_order else "layout-aware").alias("order"), *also,
     )
