@@ -15,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -101,59 +101,59 @@ def ended(rows: DataFrame, tag: str) -> DataFrame:
 
 
 STORED = "store string, event_id long, kind string, id string, at long, error string"
-_WAITING, _HELD = "at long, turn int, event_id long, id string, bytes long", "at long, bytes long, id string"
+#: State of a store: events that wait, entries that it holds, and when its timer stands.
+_STATE = "waiting array<struct<at:long,turn:int,event_id:long,id:string,bytes:long>>, held array<struct<at:long,bytes:long,id:string>>, wake long"
+_ANSWER = Row("store", "event_id", "kind", "id", "at", "error")
 
 
 class StoreProcessor(StatefulProcessor):
     """One store: events that wait for the watermark, and the entries that it holds.
 
-    A timer stands at the first second that waits, or at which an entry expires. Seconds are
-    read whole, takes before puts, then by event number, as in the batch form.
+    One timer stands at the first second that waits, or at which an entry expires. Seconds are
+    read whole, takes before puts, then by event number, as in the batch form. All of a store's
+    state is one value, read and written once for what a batch has of it, as each call costs
+    more than what is done with the answer.
     """
 
     def __init__(self, ttl: int, max_bytes: int, max_entries: int, max_total: int) -> None:
         self.limits = ttl, max_bytes, max_entries, max_total
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting, self.held = handle.getListState("waiting", _WAITING), handle.getListState("held", _HELD)
-
-    def _wake(self, second: int) -> None:
-        self.handle.registerTimer((second + 1) * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for part in rows:
-            part = part[part["kind"].isin(["put", "take"])]
-            new += zip(part["at"].tolist(), (part["kind"] == "put").astype(int).tolist(), part["event_id"].tolist(), part["id"].tolist(), part["bytes"].tolist(), strict=True)
+        self.handle, self.state = handle, handle.getValueState("store", _STATE)
+
+    def _keep(self, waiting: list, held: list, wake: int | None) -> None:
+        """Writes the state and sets its timer, in place of one at ``wake``."""
+        if not waiting and not held:
+            self.state.clear()
+            return
+        first = min([x[0] for x in waiting] + [x[0] + self.limits[0] for x in held[:1]])
+        at = (first + 1) * 1000
+        if at != wake:
+            if wake is not None:
+                self.handle.deleteTimer(wake)
+            self.handle.registerTimer(at)
+        self.state.update((waiting, held, at))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["at"], int(r["kind"] == "put"), r["event_id"], r["id"], r["bytes"]) for r in rows if r["kind"] in ("put", "take")]
         if new:
-            self.waiting.appendList(new)
-            self._wake(min(x[0] for x in new))
-        yield from ()
+            waiting, held, wake = self.state.get() or ([], [], None)
+            self._keep([*map(tuple, waiting), *new], [*map(tuple, held)], wake)
+        return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        waiting, held, _ = self.state.get() or ([], [], None)
         due, later = [], []
-        for x in waiting:
+        for x in map(tuple, waiting):
             (due if (x[0] + 1) * 1000 <= now else later).append(x)
-        store = Store(*self.limits, held=[tuple(x) for x in self.held.get()] if self.held.exists() else [])
+        store = Store(*self.limits, held=[*map(tuple, held)])
         out = []
         for at, turn, event_id, ident, size in sorted(due):
             error = store.put(at, size, ident) if turn else store.take(at, ident)
-            out.append((key[0], event_id, "put" if turn else "take", ident, at, error))
-        held = [x for x in store.held if (x[0] + self.limits[0] + 1) * 1000 > now]
-        for state, rows in ((self.waiting, later), (self.held, held)):
-            if rows:
-                state.put(rows)
-            else:
-                state.clear()
-        if later:
-            self._wake(min(x[0] for x in later))
-        if held:
-            self._wake(held[0][0] + self.limits[0])
-        if out:
-            yield pd.DataFrame(out, columns=["store", "event_id", "kind", "id", "at", "error"])
+            out.append(_ANSWER(key[0], event_id, "put" if turn else "take", ident, at, error))
+        self._keep(later, [x for x in store.held if (x[0] + self.limits[0] + 1) * 1000 > now], None)
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -169,11 +169,10 @@ def stored(
     that come later still are dropped, as the answers after them are out, and so are those
     without a time. A null number or size counts as 0. Needs the RocksDB state store.
     """
-    # no null in a column of numbers: pandas would make fractions of all of them
     number = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
     rows = events.filter("ts IS NOT NULL").withWatermark("ts", late).select("store", number("event_id"), "ts", F.unix_seconds("ts").alias("at"), "kind", "id", number("bytes"))
     processor = StoreProcessor(ttl, max_bytes, max_entries, max_total)
-    return rows.groupBy("store").transformWithStateInPandas(processor, outputStructType=STORED, outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("store").transformWithState(processor, outputStructType=STORED, outputMode="Append", timeMode="EventTime")
 
 
 def failures_per_span(events: DataFrame, seconds: int = LOCKOUT_SECONDS, late: str = "10 minutes") -> DataFrame:
