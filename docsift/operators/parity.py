@@ -110,10 +110,11 @@ def stretches(texts: DataFrame, lines: int = 1) -> DataFrame:
     """
     text = F.regexp_replace(F.coalesce("text", F.lit("")), "^\ufeff", "")
     numbered = F.filter(F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("no"), T.terms(x).alias("terms"))), lambda x: F.size(x["terms"]) > 0)
-    each = texts.select("key", numbered.alias("lines")).select("key", "lines", F.posexplode("lines").alias("at", "line"))
-    runs = [F.when(F.col("at") + n <= F.size("lines"), F.struct(F.lit(n).alias("n"), F.flatten(F.transform(F.slice("lines", F.col("at") + 1, n), lambda x: x["terms"])).alias("terms"))) for n in range(1, lines + 1)]
-    each = each.select("key", F.col("line.no").alias("first"), F.explode(F.array(*runs)).alias("r")).filter("r IS NOT NULL")
-    return each.select("key", "first", "r.n", "r.terms")
+    terms = lambda x, i, n: x["terms"] if n == 1 else F.flatten(F.transform(F.slice("lines", i + 1, F.lit(n)), lambda y: y["terms"]))
+    runs = lambda x, i: F.array(*[F.when(i + n <= F.size("lines"), F.struct(x["no"].alias("first"), F.lit(n).alias("n"), terms(x, i, n).alias("terms"))) for n in range(1, lines + 1)])
+    # made in the text's row, so that no row of a line has the whole text beside it
+    each = texts.select("key", numbered.alias("lines")).select("key", F.explode(F.flatten(F.transform("lines", runs))).alias("r")).filter("r IS NOT NULL")
+    return each.select("key", "r.first", "r.n", "r.terms")
 
 
 def counterparts(one: DataFrame, two: DataFrame, least: float = MISSING, lines: int = 1, same_key: bool = False, shortest: int = LEAST) -> DataFrame:
@@ -135,7 +136,9 @@ def counterparts(one: DataFrame, two: DataFrame, least: float = MISSING, lines:
     wanted = written(keyed.select("key", "block_no", "n_shingles", F.explode("parts").alias("part")), "parity-parts")
     looked_up = wanted.select(*by, "part").distinct()
     sets = stretches(two, lines).withColumn("parts", F.array_distinct(shingles(F.col("terms"))))
-    sets = sets.select("key", "first", "n", F.unhex(F.md5(F.array_join("terms", " "))).alias("stretch"), F.size("parts").alias("size"), F.explode("parts").alias("part"))
+    # before its shingles become rows: else each of them has the stretch's terms beside it
+    sets = sets.select("key", "first", "n", F.unhex(F.md5(F.array_join("terms", " "))).alias("stretch"), F.size("parts").alias("size"), "parts")
+    sets = sets.select("key", "first", "n", "stretch", "size", F.explode("parts").alias("part"))
     hits = written(sets.join(looked_up, [*by, "part"], "left_semi"), "parity-hits")
     of = [*by, "stretch"]
     where = hits.groupBy(*of, "size").agg(F.min(F.struct("n", "key", "first")).alias("at"))
