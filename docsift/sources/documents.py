@@ -118,10 +118,10 @@ def each_row(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             yield from zip(*(c.to_pylist() for c in batch.slice(at, BATCH_ROWS).columns), strict=True)
 
 
-def _rows(schema: pa.Schema, also=None):
+def _rows(schema: pa.Schema, also=None, keep: Iterable[str] = ()):
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, int]]:
-        for doc_id, name, data, length in each_row(batches):
-            row = {"doc_id": doc_id, "filename": (name or "").rpartition("/")[2], "status": "ok", "tables": 0, "textboxes": 0, "images": 0, "n_unmapped": 0}
+        for doc_id, name, data, length, *kept in each_row(batches):
+            row = dict(zip(keep, kept, strict=True)) | {"doc_id": doc_id, "filename": (name or "").rpartition("/")[2], "status": "ok", "tables": 0, "textboxes": 0, "images": 0, "n_unmapped": 0}
             try:
                 if data is None and length:
                     raise InputTooLarge(f"the file has {length} bytes, which are more than are read")
@@ -137,18 +137,19 @@ def _rows(schema: pa.Schema, also=None):
     return lambda batches: in_batches(each(batches), schema)
 
 
-def parse(files: DataFrame, only: Iterable[str] | None = None, also=None, more: str = "") -> DataFrame:
+def parse(files: DataFrame, only: Iterable[str] | None = None, also=None, more: str = "", keep: Iterable[str] = ()) -> DataFrame:
     """One row of ``SCHEMA`` for each row (doc_id, filename, content).
 
     Null content is an error row: the file is over the limit if a column ``length`` says so,
     else there is nothing to read.
     ``only`` names the columns that are wanted, so that no others are made. ``also`` works out
-    further columns of the DDL ``more`` from what was parsed, while it is at hand.
+    further columns of the DDL ``more`` from what was parsed, while it is at hand. ``keep`` names columns of
+    ``files`` that go with the document as they are.
     """
     fields = [f for f in StructType.fromDDL(SCHEMA).fields if only is None or f.name in set(only)]
-    schema = StructType(fields + (StructType.fromDDL(more).fields if more else []))
+    schema = StructType(fields + (StructType.fromDDL(more).fields if more else []) + [files.schema[c] for c in keep])
     length = F.col("length").cast("long") if "length" in files.columns else F.lit(None).cast("long")
-    return files.select("doc_id", "filename", "content", length.alias("length")).mapInArrow(_rows(to_arrow_schema(schema), also), schema)
+    return files.select("doc_id", "filename", "content", length.alias("length"), *keep).mapInArrow(_rows(to_arrow_schema(schema), also, keep), schema)
 
 
 def read_files(spark: SparkSession, path: str, most_bytes: int = inputs.MAX_FILE_BYTES) -> DataFrame:
