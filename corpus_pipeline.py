@@ -13,12 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 from docsift.llm import exact_dedup, near_copies, packing, quality, repeats
 from docsift.llm.queries import tokenizer_path
 from docsift.scratch import written
-from docsift.session import ship
+from docsift.session import bounded_batches, ship
+
+
+def _ready(spark: SparkSession) -> None:
+    """Executors have the package, and whole texts go to Python in batches of a few MB from here on."""
+    ship(spark)
+    bounded_batches(spark)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go; null and blank texts stay, repeated rows are judged alike."""
-    ship(spark)
+    _ready(spark)
     return quality.keep_good(docs)
 
 
@@ -27,7 +33,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     White space does not count, null texts count as empty, and of rows that repeat one stays.
     """
-    ship(spark)
+    _ready(spark)
     return exact_dedup.drop_copies(docs)
 
 
@@ -37,7 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     It is the one with the smallest doc_id. Found by SimHash and BK-trees, each link checked
     exactly. Null and blank texts are copies of each other.
     """
-    ship(spark)
+    _ready(spark)
     return near_copies.drop_near_copies(docs)
 
 
@@ -46,13 +52,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Every copy of such a passage goes. A text of which nothing is left stays as an empty one.
     """
-    ship(spark)
+    _ready(spark)
     return repeats.drop_repeats(docs, more=(repeats.PASSAGES,))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining texts in sequences of 4096 tokens; null and empty texts are their closing token."""
-    ship(spark)
+    _ready(spark)
     return packing.pack(docs, tokenizer_path())
 
 
